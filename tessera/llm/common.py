@@ -43,3 +43,14 @@ def words(text: Column) -> Column:
     """Words of a text that is not null; an empty array where it has none."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
+
+
+def pack(df: DataFrame, *own: str) -> DataFrame:
+    """df with only the columns own and one struct of all columns, so that no added name clashes with the input's."""
+    return df.select(*own, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def unpack(packed: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The packed columns and the added ones; an added column replaces a packed one of its name (in any case)."""
+    new = {c.lower() for c in added}
+    return packed.select(*[F.col("__row").getField(c).alias(c) for c in columns if c.lower() not in new], *[x.alias(c) for c, x in added.items()])

@@ -302,12 +302,12 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     ASCII. A phrase is a window of so many consecutive words of an item, or the whole of a shorter one. Without cut the
     text column is left out of the result; with it, texts come back without the removed spans, each replaced by a line
     feed, searched again until none is left. Null texts have no words and stay null; an empty benchmark hits nothing;
-    repeated item ids are one item, repeated documents are searched each by itself. docs must not have the result's
-    column names.
+    repeated item ids are one item, repeated documents are searched each by itself. Added columns replace columns of
+    docs of the same name.
     """
     spark = docs.sparkSession.sparkContext
     shared = [spark.broadcast(phrases_of(group, window)) for group in _grouped(benchmark)]
-    given = [c for c in docs.columns if cut or c != text]
+    given = [c for c in docs.columns if (cut or c != text) and c not in {f.name for f in RESULT}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = [x.value for x in shared]

@@ -144,7 +144,7 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
 
     The sample is taken by a hash of doc_id, so reruns agree; only counts of subwords reach the driver, never texts.
     """
-    labelled = docs.filter(may_learn & F.col(lang).isNotNull()).withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)))
+    labelled = docs.select("doc_id", text, lang).filter(may_learn & F.col(lang).isNotNull()).withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)))
     per = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}
     each = max(1, rows // max(1, len(per)))
     cut = F.create_map(*[x for k, n in sorted(per.items()) for x in (F.lit(k), F.lit(int(min(1.0, 1.2 * each / n) * (1 << 30))))]) if per else None
@@ -177,10 +177,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_tex
     """docs with lang_pred, score and rejected; the text column only with keep_text.
 
     A null text, or one without a letter, is und with score 0 and rejected. Others get a learned language, its
-    calibrated probability, and rejected where the calibration says so. Repeated rows are judged each by itself. docs
-    must not have the added columns.
+    calibrated probability, and rejected where the calibration says so. Repeated rows are judged each by itself. Added
+    columns replace columns of docs of the same name.
     """
-    given = [c for c in docs.columns if keep_text or c != text]
+    given = [c for c in docs.columns if (keep_text or c != text) and c not in {f.name for f in ADDED}]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, pack, unpack
 
 CYCLE = (5, 2, 1)
 CELLS = 4096
@@ -54,10 +54,10 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
     source's target in words. Their whole part is certain. The fraction is drawn by Pareto order sampling: documents in
     the order of their random odds divided by their inclusion odds, up to the target. Draws hang on doc_id and seed
     alone, so reruns agree. Null texts have size 0 and a null source is a source of its own. Rows that agree in doc_id
-    and size are drawn alike. Empty tables give empty results.
+    and size are drawn alike. Empty tables give empty results. Added columns replace columns of docs of the same name.
     """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = docs.withColumn("size", size)
+    drawn = pack(docs, "doc_id", "source", text).withColumn("size", size).drop(text)
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("d"), F.col("size").alias("s"))
     rows = materialize(drawn.select("source", "size", "doc_id"), "mix-sizes")
     targets = source_targets(rows, share, most)
@@ -106,4 +106,4 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
     chosen = F.col("_last").isNull() | (F.col("_cell") < F.col("_last")) | (
         (F.col("_cell") == F.col("_last")) & F.coalesce(F.struct(F.col("_q"), key.alias("k")) <= F.col("_cut"), F.lit(False)))
     copies = F.col("_base") + F.when(F.col("_p") > 0, chosen.cast("long")).otherwise(0)
-    return out.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return unpack(out, docs.columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=copies, taken=copies * F.col("size"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, words
+from .common import BLANKS, materialize, unpack, words
 
 SYMBOLS = "#*$%&|<>"
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def rule_figures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -21,7 +22,7 @@ def rule_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     window of three words that occurs at least twice in the text. Windows are compared by the chained 64-bit hash of
     their words, within one text only.
     """
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c != text and c not in FIGURES]
     t = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     t = t.select(*kept, "_t", words(F.col("_t")).alias("_w"))
     w, n = F.col("_w"), F.size("_w")
@@ -88,12 +89,15 @@ def quality_rules(docs: DataFrame, host: str = "source", max_host_rate: float =
 
     host_failed: the host's failure rate, shrunk to the prior, is above max_host_rate. A null host is a host of its
     own. An empty table gives an empty result; repeated rows are judged each by itself and all count for their host.
+    Added columns replace columns of docs of the same name.
     """
-    each = materialize(rule_figures(docs, text).withColumn("base_failed", base_failed()), "quality")
-    hosts = each.groupBy(F.col(host).alias("_host")).agg(
+    rest = [c for c in docs.columns if c != text]
+    packed = docs.select(F.col(text).alias("text"), F.col(host).alias("host"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
+    each = materialize(rule_figures(packed, "text").withColumn("base_failed", base_failed()), "quality")
+    hosts = each.groupBy(F.col("host").alias("_host")).agg(
         F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     alpha, beta = beta_prior(hosts)
     verdicts = hosts.select(
         "_host", ((F.col("failed") + alpha) / (F.col("n") + alpha + beta) > max_host_rate).alias("host_failed"))
-    out = each.join(verdicts, each[host].eqNullSafe(F.col("_host")), "left").drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+    out = each.join(verdicts, each["host"].eqNullSafe(F.col("_host")), "left")
+    return unpack(out, rest, **{c: F.col(c) for c in (*FIGURES, "base_failed", "host_failed")}, kept=~F.col("base_failed") & ~F.col("host_failed"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, mixing, quality_rules, secrets, simhash, toxicity, url_filter
+from . import chat_format, decontamination, language_id, line_dedup, mixing, quality_rules, secrets, simhash, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -152,6 +152,38 @@ FROM u LEFT JOIN best ON u.page_id = best.page_id
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    out = line_dedup.line_dedup(docs.withColumn("n_lines", before))
+    gone = F.aggregate(F.coalesce("removed", F.array().cast("array<struct<from:int,to:int>>")), F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"] + 1)
+    return out.select("doc_id", "n_lines", gone.alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP8_SQL = r"""
+WITH l0 AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l1 AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS raw FROM l0),
+l2 AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM l1),
+l AS (
+  SELECT doc_id, no, md5(l) AS l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER o AS i,
+         sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) OVER o AS e
+  FROM l2 WHERE l <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
+ahead AS (
+  SELECT doc_id, i, max(i) OVER f AS j FROM l WINDOW f AS (PARTITION BY doc_id ORDER BY e - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+back AS (
+  SELECT doc_id, min(i) OVER f AS i, i AS j FROM l WINDOW f AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+runs AS (SELECT DISTINCT * FROM (SELECT * FROM ahead UNION ALL SELECT * FROM back)),
+texts AS (
+  SELECT r.doc_id, r.i, r.j, min(no) AS f, max(no) AS t, string_agg(l, ' ' ORDER BY l.i) AS s
+  FROM runs r JOIN l ON r.doc_id = l.doc_id AND l.i BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j HAVING sum(w) >= 50),
+later AS (SELECT doc_id, f, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM texts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(f, t + 1)) AS no FROM later),
+kept AS (SELECT l1.doc_id, string_agg(raw, chr(10) ORDER BY l1.no) AS t FROM l1 ANTI JOIN gone ON l1.doc_id = gone.doc_id AND l1.no = gone.no GROUP BY l1.doc_id)
+SELECT l0.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS text_sha256
+FROM l0 LEFT JOIN kept ON l0.doc_id = kept.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON l0.doc_id = g.doc_id
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -228,10 +260,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_simhash": op6_simhash,
         "op7_url_filter": op7_url_filter,
+        "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op9_mixing": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_quality_rules": OP10_SQL}

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pack, unpack
 
 #: Bits that one level may have (8 MB): about five million listed keys. Lists beyond it are cut into parts of their own cascades.
 MOST_BITS = 1 << 26
@@ -108,11 +108,12 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], blocked_hosts: Da
     rules: (action, text) with action allow or block and the text a host and a path, like ``example.org/es/``; they are
     a short list by nature. A rule fits its host and its subdomains where the path starts with the rule's path.
     blocked_hosts has a column key: hosts that are blocked where no rule fits. Membership of both is by exact cascades
-    over all keys that the pages' urls give. Null and malformed urls have an empty host and path, and fit no rule.
+    over all keys that the pages' urls give. Null and malformed urls have an empty host and path, and fit no rule. Added
+    columns replace columns of pages of the same name.
     """
     lengths = sorted({len(text) - text.index("/") for _, text in rules})
-    host, path = url_parts(pages[url])
-    out = pages.withColumn("host", host).withColumn("path", path)
+    host, path = url_parts(F.col("_url"))
+    out = pack(pages.withColumn("_url", F.col(url)), "_url").withColumn("host", host).withColumn("path", path)
     keys = F.when(F.col("host") != "", rule_keys(F.col("host"), F.col("path"), lengths)).otherwise(F.array().cast("array<string>"))
     spark = pages.sparkSession
     universe = out.select("host", "path").distinct()
@@ -129,4 +130,5 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], blocked_hosts: Da
     out = out.withColumn("rule", longest)
     out = out.withColumn("listed", hosts.contains(F.col("host")))
     by_rule = F.when(block.contains(F.col("rule")), "block").otherwise("allow")
-    return out.withColumn("verdict", F.when(F.col("rule").isNotNull(), by_rule).when(F.col("listed"), "block").otherwise("allow"))
+    verdict = F.when(F.col("rule").isNotNull(), by_rule).when(F.col("listed"), "block").otherwise("allow")
+    return unpack(out, pages.columns, **{c: F.col(c) for c in ("host", "path", "rule", "listed")}, verdict=verdict)
