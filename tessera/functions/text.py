@@ -36,6 +36,10 @@ def grams(run: Column, n: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))).otherwise(empty_strings())
 
 
+def _grams_of(n: int):
+    return lambda run: grams(run, n)
+
+
 def index_tokens(text: Column, cap: int | None = 80) -> Column:
     """Words, single CJK characters, then pairs of CJK characters over all of them joined; distinct, first-seen order."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -48,7 +52,7 @@ def query_tokens(text: Column) -> Column:
     """Words and CJK runs, three- and two-character grams within runs, numbers; distinct, first-seen order."""
     low = F.lower(F.coalesce(text, F.lit("")))
     runs = matches(low, f"[{CJK}]+")
-    parts = [matches(low, f"[a-z0-9_.+-]+|[{CJK}]+"), *(F.flatten(F.transform(runs, lambda r, n=n: grams(r, n))) for n in (3, 2)), matches(low, r"\d+(?:\.\d+)?")]
+    parts = [matches(low, f"[a-z0-9_.+-]+|[{CJK}]+"), *(F.flatten(F.transform(runs, _grams_of(n))) for n in (3, 2)), matches(low, r"\d+(?:\.\d+)?")]
     return F.array_distinct(F.concat(*parts))
 
 

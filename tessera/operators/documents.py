@@ -128,7 +128,8 @@ def packed_chunks(units: Column, chunk_chars: int = 850, overlap: int = 150, hea
 
 def chunk_documents(units: DataFrame, drop_headings: bool = True, **params) -> DataFrame:
     """(doc_id, chunk_index, page_start, page_end, section, path, text) from the units of section_paths."""
-    u = units.filter("not heading") if drop_headings else units
+    u = units.withColumn("text", F.btrim("text", F.lit(" \n\t"))).filter("text <> ''")
+    u = u.filter("not heading") if drop_headings else u
     unit = F.struct("page", "no", "text", "section", "path", "heading")
     per = u.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
     return per.select("doc_id", F.posexplode(packed_chunks(F.col("units"), **params)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
