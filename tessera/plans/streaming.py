@@ -29,6 +29,18 @@ def x1_stream(spark, sf_dir):
     return X.drained(X.keyed(event_stream(spark, sf_dir), ["user_id"], X.Activity(60, 20, 3, 2), "event_id long, voice int, active boolean"), "activity")
 
 
+@query("x2_sessions_stream")
+def x2_stream(spark, sf_dir):
+    return X.drained(X.idle_sessions(event_stream(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour"), "idle")
+
+
+@query("x4_quota_stream", "SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, CAST(sum(length(props)) AS BIGINT) AS used, sum(length(props)) > 20 AS over FROM events GROUP BY 1, 2")
+def x4_stream(spark, sf_dir):
+    totals = X.daily_totals(event_stream(spark, sf_dir), "user_id", "ts", F.length("props"), "40 days")
+    t = X.upserted(totals, ["user_id", "day"], "used", "quota", mode="update")
+    return t.select("user_id", F.to_date("day").cast("string").alias("day"), "used", (F.col("used") > 20).alias("over"))
+
+
 @query("x3_sessions_stream", "SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role, min(turn) AS created FROM conversations GROUP BY conv_id")
 def x3(spark, sf_dir):
     s = turn_stream(spark, sf_dir).select("conv_id", "turn", "role", F.col("turn").alias("created"))

@@ -36,8 +36,11 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, created: str | None = None) -> DataFrame:
-    """The stream folded into a table by upsert, a version for each batch; a repeated batch writes the same version again."""
+def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, created: str | None = None, mode: str = "append") -> DataFrame:
+    """The stream folded into a table by upsert, a version for each batch; a repeated batch writes the same version again.
+
+    With mode update the stream may aggregate: each batch then brings the groups that changed.
+    """
     spark = stream.sparkSession
     base, state = new_path(spark, name), new_path(spark, f"{name}-state")
     versions: list[str] = []
@@ -48,7 +51,7 @@ def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, create
         if f"{base}/{epoch}" not in versions:
             versions.append(f"{base}/{epoch}")
 
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(fold).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
 
 
@@ -61,6 +64,18 @@ def windowed_counts(stream: DataFrame, ts: str, delay: str, size: str, keys: lis
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"))
 
 
+def idle_sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
+    """(key, started, ended, n) of sessions that the watermark has closed: a session ends after a gap without rows."""
+    s = stream.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
+    return s.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
+
+
+def daily_totals(stream: DataFrame, key: str, ts: str, amount: Column, delay: str) -> DataFrame:
+    """(key, day, used): sums that grow by batch, for update mode."""
+    d = stream.withWatermark(ts, delay).groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.sum(amount).alias("used"))
+    return d.select(key, F.col("w.start").alias("day"), "used")
+
+
 def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
