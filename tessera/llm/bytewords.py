@@ -14,7 +14,7 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 #: Bytes of texts that are handled in one numpy pass.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32

@@ -35,8 +35,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(df: DataFrame, column: str = "text") -> Column:
-    return F.coalesce(df[column].cast("string"), F.lit(""))
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of whole texts hold fewer rows than by default: a batch is in memory twice, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
 
 
 def words(text: Column) -> Column:

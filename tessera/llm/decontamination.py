@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, FOLD, blocks, hashes, owners, spans
+from .common import bounded_batches
 
 WINDOW = 10
 #: Words of test items that one pass over the documents carries; more items take more passes.
@@ -305,6 +306,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     repeated item ids are one item, repeated documents are searched each by itself. Added columns replace columns of
     docs of the same name.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession.sparkContext
     shared = [spark.broadcast(phrases_of(group, window)) for group in _grouped(benchmark)]
     given = [c for c in docs.columns if (cut or c != text) and c not in {f.name for f in RESULT}]

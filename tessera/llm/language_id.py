@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import blocks
+from .common import bounded_batches
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: Labelled documents that training reads at most, over all languages.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -144,6 +145,7 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
 
     The sample is taken by a hash of doc_id, so reruns agree; only counts of subwords reach the driver, never texts.
     """
+    bounded_batches(docs.sparkSession)
     labelled = docs.select("doc_id", text, lang).filter(may_learn & F.col(lang).isNotNull()).withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)))
     per = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}
     each = max(1, rows // max(1, len(per)))
@@ -181,6 +183,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_tex
     columns replace columns of docs of the same name.
     """
     given = [c for c in docs.columns if (keep_text or c != text) and c not in {f.name for f in ADDED}]
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

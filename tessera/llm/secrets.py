@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
 ASSIGN = re.compile(
@@ -92,6 +92,7 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach
             part = pa.list_(pa.struct([("kind", pa.int32()), ("scope", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("weak", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, span), pa.array(parts, part)], [key, "_h", "base", "parts"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(key), F.xxhash64(text).alias("_h"), F.col(text))
     kind = docs.schema[key].dataType.simpleString()
     scanned = materialize(given.mapInArrow(

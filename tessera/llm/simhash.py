@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .components import connected_components
 
 PARTS, PART_BITS = 4, 16
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [key, "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("fp", T.LongType())]))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, FOLD, blocks, hashes, mix, owners, spans
+from .common import bounded_batches
 
 BUCKETS = 1 << 20
 #: Labelled documents that training reads at most.
@@ -49,17 +50,17 @@ class ToxicityModel:
     bias: float
 
 
-def fit(sample: list[tuple[int, np.ndarray]], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l2: float = 1.0, least_rows: int = 5, seed: int = 1) -> ToxicityModel:
+def fit(sample: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0, least_rows: int = 5, seed: int = 1) -> ToxicityModel:
     """From rows (label, distinct buckets), one update a row. The bias is not penalised.
 
-    Buckets of fewer than least_rows rows get no weight: they would only learn single rows by heart. The L1 term is 12
-    from 3000 rows on and falls in proportion below, as the sums that it holds against do.
+    Buckets of fewer than least_rows rows get no weight: they would only learn single rows by heart. There are 5 rounds,
+    or as many as make 15,000 updates, 20 at most: the L1 term is held against sums that small samples are slow to reach.
     """
     rows_of = np.zeros(BUCKETS, np.int32)
     for _, ids in sample:
         rows_of[ids] += 1
     sample = [(y, ids[rows_of[ids] >= least_rows]) for y, ids in sample]
-    l1 = 12 * min(1.0, len(sample) / 3000)
+    epochs = max(5, min(20, 15_000 // max(1, len(sample))))
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     zb = nb = 0.0
     rng = np.random.default_rng(seed)
@@ -85,6 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
 
     Labels are joined by doc_id before any text is read into features; only buckets reach the driver.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(may_learn)
     n = known.count()
     if not n:
@@ -112,6 +114,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     docs is replaced.
     """
     given = [c for c in docs.columns if c not in (text, "score")]
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
