@@ -84,7 +84,7 @@ def fuse(lexical: DataFrame, vector: DataFrame, keys: list[str], lexical_share:
     """Both candidate sets merged by key: the weighted sum, an absent score counting 0."""
     merged = lexical.select(*keys, "lexical", F.lit(0.0).alias("vector")).unionByName(vector.select(*keys, F.lit(0.0).alias("lexical"), "vector"))
     merged = merged.groupBy(*keys).agg(F.max("lexical").alias("lexical"), F.max("vector").alias("vector"))
-    return merged.withColumn("score", F.round(lexical_share * F.col("lexical") + (1 - lexical_share) * F.col("vector"), 6))
+    return merged.withColumn("score", lexical_share * F.col("lexical") + round(1 - lexical_share, 9) * F.col("vector"))
 
 
 def rescored(score: Column, text: Column, rules: list[tuple[str, str, float]]) -> Column:

@@ -60,15 +60,15 @@ def r4(spark, sf_dir):
 
 
 @query("r5_fusion", f"""
-WITH {VECTORS}, l AS (SELECT query_id, vec_id, 1.0 / row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 7919) % 1009, vec_id) AS lexical FROM s),
+WITH {VECTORS}, l AS (SELECT query_id, vec_id, 1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 7919) % 1009, vec_id) AS lexical FROM s),
 m AS (SELECT query_id, vec_id, max(lexical) AS lexical, max(vector) AS vector FROM (SELECT query_id, vec_id, lexical, 0.0 AS vector FROM l WHERE lexical >= 0.1 UNION ALL SELECT query_id, vec_id, 0.0, vector FROM vt WHERE rank <= 10) GROUP BY 1, 2)
-SELECT query_id, vec_id, round(0.55::DOUBLE * lexical::DOUBLE + 0.45::DOUBLE * vector, 4) AS score FROM m""")
+SELECT query_id, vec_id, 0.55::DOUBLE * lexical::DOUBLE + 0.45::DOUBLE * vector AS score FROM m""")
 def r5(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     pairs = e.filter("vec_id >= 20").select("vec_id").join(F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"))))
     ranked = S.rank_per(pairs, "query_id", [(F.col("vec_id") * 7919) % 1009, F.col("vec_id")], 10).withColumn("lexical", 1.0 / F.col("rank"))
     fused = S.fuse(ranked, vectors(spark, sf_dir), ["query_id", "vec_id"])
-    return fused.select("query_id", "vec_id", F.round(F.col("score"), 4).alias("score"))
+    return fused.select("query_id", "vec_id", "score")
 
 
 BOOSTS = [(r"\|", "*", 0.55), ("Licensed", "*", 0.18), ("tion", "+", 0.25)]
