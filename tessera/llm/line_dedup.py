@@ -20,7 +20,7 @@ BUCKETS = 4096
 def _first_ranks(lines: DataFrame) -> DataFrame:
     """(h, g, r, n) of line identities (h, g) that occur twice or more: r is how many lines sort before."""
     each = lines.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1")
-    each = materialize(each.withColumn("bucket", F.expr(f"shiftrightunsigned(h, {64 - 12})").cast("int")), "line-counts")
+    each = each.withColumn("bucket", F.expr(f"shiftrightunsigned(h, {64 - 12})").cast("int"))
     # Two steps: BUCKETS sums at most in one task, then places within a bucket.
     sums = each.groupBy("bucket").agg(F.sum("n").alias("s"))
     sums = sums.withColumn("base", F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).select("bucket", "base")
@@ -49,7 +49,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, text: str = "text", key:
         F.struct(F.col(key).alias("k"), F.col("_h").alias("h")).alias("d"), "no", F.xxhash64("l").alias("h"), F.hash("l").alias("g"),
         F.regexp_count("l", F.lit(WORD)).cast("long").alias("w"))
     lines = materialize(one.dropDuplicates(["d", "no"]), "lines")
-    known = materialize(_first_ranks(lines), "line-ranks")
+    known = _first_ranks(lines)
 
     # Numbers among the lines with words, and words before each: over whole documents, then only repeated lines go on.
     of = Window.partitionBy("d").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
