@@ -74,12 +74,13 @@ class LanguageModel:
         return float(bag[self.seen].sum() / max(1, bag.sum()))
 
 
-def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 4.0, seed: int = 1, most_error: float = 0.01) -> LanguageModel:
+def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, seed: int = 1, most_error: float = 0.01, most_rejected: float = 0.02) -> LanguageModel:
     """From rows (language, buckets, counts). A fifth of them is kept from training for the calibration.
 
     Calibration: one temperature minimises the log loss of the kept rows; a text is rejected under the least score at
-    which the accepted rows' error is at most most_error, or where the share of subwords that training saw is below
-    half of what all but a thousandth of the kept rows have.
+    which the accepted rows' error is at most most_error, but no higher than rejects a share most_rejected of the kept
+    rows, or where the share of subwords that training saw is below half of what all but a thousandth of them have.
+    There are so many rounds that about 12,000 rows are seen, at least 6 and at most 100.
     """
     languages = sorted({x[0] for x in sample})
     if not languages:
@@ -93,6 +94,7 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
     seen = np.zeros(BUCKETS, bool)
     for k in train:
         seen[sample[k][1]] = True
+    epochs = max(6, min(100, 12_000 // max(1, len(train))))
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
         for k in rng.permutation(train):
@@ -136,6 +138,7 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate:
             break
     else:
         model.least_score = 1.0
+    model.least_score = min(model.least_score, float(np.quantile(top, most_rejected, method="lower")))
     model.least_seen = 0.5 * float(np.quantile(shares, 0.001))
     return model
 
