@@ -10,7 +10,7 @@ from tessera.llm.decontamination import find_phrases
 from tessera.llm.language_id import identify, train
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
-from tessera.llm.simhash import near_duplicates
+from tessera.llm.near_copies import near_copies
 
 
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,8 +30,9 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of the smallest doc_id; repeated rows once. Documents without doc_id stay."""
-    near = near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the smallest doc_id;
+    repeated rows once. Documents without doc_id stay."""
+    near = near_copies(docs.select("doc_id", "text"))
     kept = near.filter("doc_id = component_id").select("doc_id").distinct()
     rows = pack(docs.filter("doc_id is not null"), "doc_id", "text").join(kept, "doc_id", "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")

@@ -1,0 +1,176 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+At a similarity of 0.8 two SimHash fingerprints differ in about ten of 64 bits, which no blocking by equal parts reaches.
+Candidates therefore come from minima: a set has BANDS keys, each of ROWS minima under different hashes, and sets that
+share a key are joined to the least set of the key, so a key of any size costs one row a set. A pair of similarity 0.8
+shares no key with a probability of (1 - 0.8**4)**28 = 4e-7, a nearer one with less. Candidates are only grouped by
+this; the links are made within the groups, by the sets' exact similarity, whatever keys they share.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import bounded_batches, materialize
+from .components import connected_components
+
+BANDS, ROWS = 28, 4
+#: Shingles that a task's sets are meant to have together, and the most of a group that one task compares.
+TILE, MOST = 1 << 20, 1 << 22
+CHUNK = 2048
+
+_RNG = np.random.default_rng(11)
+_XOR = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+_ODD = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, length: int = 5) -> np.ndarray:
+    """The distinct XXH64 of a text's runs of length words, in order; of all its words where it has fewer."""
+    words = (text or "").encode().lower().split()  # folds A-Z only, splits at ASCII blanks only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
+    if len(words) < length:
+        raw = digest(joined, 42)
+    else:
+        ends = list(accumulate((len(w) + 1 for w in words)))
+        raw = b"".join([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[length - 1 :], strict=False)])
+    return np.unique(np.frombuffer(raw, np.uint64))
+
+
+def node_of(shingle_set: np.ndarray) -> int:
+    """A signed 64-bit number for the set."""
+    return int(np.array([xxhash.xxh64_intdigest(shingle_set.tobytes(), 7)], np.uint64).view(np.int64)[0])
+
+
+def band_keys(shingle_set: np.ndarray) -> np.ndarray:
+    """The keys of a set that isn't empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingle_set), CHUNK):
+        np.minimum(least, ((shingle_set[None, at : at + CHUNK] ^ _XOR) * _ODD).min(axis=1), out=least)
+    mixed = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
+    return mixed.view(np.int64)
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The number of each set's component, whose links are all pairs of at least that Jaccard similarity.
+
+    A search from set to set: each is held against all sets not reached yet, by the lists of sets that have its
+    shingles. What is reached is taken out of the lists, so a group of copies costs little more than its size.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    owners = np.repeat(np.arange(n), sizes)
+    out = np.full(n, -1)
+    by_id = np.argsort(ids, kind="stable")
+    listed, starts = owners[by_id], np.concatenate(([0], np.cumsum(np.bincount(ids))))
+    reached, left = 0, n
+    for first in range(n):
+        if out[first] >= 0:
+            continue
+        out[first] = first
+        reached += 1
+        todo = [first]
+        while todo:
+            k = todo.pop()
+            own = ids[bounds[k] : bounds[k + 1]]
+            lo, length = starts[own], starts[own + 1] - starts[own]
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+            others, common = np.unique(listed[at], return_counts=True)
+            fits = (out[others] < 0) & (common >= similarity * (sizes[k] + sizes[others] - common) - 1e-9)
+            new = others[fits]
+            out[new] = first
+            reached += len(new)
+            todo += new.tolist()
+            if n - reached < 0.95 * left:  # take what has been reached out of the lists
+                open_ = out[listed] < 0
+                listed, starts = listed[open_], np.concatenate(([0], np.cumsum(open_)))[starts]
+                left = n - reached
+    return out
+
+
+def _sets(docs: DataFrame, text: str, length: int, keep: list[str], full: bool) -> DataFrame:
+    """keep, node and size for each row of docs; the set itself where full, else its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, more = [], [], []
+            for t in batch.column(batch.schema.get_field_index(text)):
+                s = shingles(t.as_py(), length)
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+                more.append(s.tobytes() if full else band_keys(s) if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(more, pa.binary() if full else pa.list_(pa.int64()))],
+                [*keep, "node", "size", "more"])
+
+    bounded_batches(docs.sparkSession)
+    added = [T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("more", T.BinaryType() if full else T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + added))
+
+
+def _edges(tile: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    nodes = tile["node"].to_numpy()
+    found = linked([np.frombuffer(s, np.uint64) for s in tile["more"]], similarity)
+    far = np.flatnonzero(found != np.arange(len(found)))
+    return pd.DataFrame({"a": nodes[far], "b": nodes[found[far]]})
+
+
+def near_copies(docs: DataFrame, length: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, node, component_id) for each row of docs: component_id is the smallest key of all documents that links reach.
+
+    Linked are texts whose sets of shingles (runs of length words; A-Z folded) have at least the Jaccard similarity. Equal
+    sets are one node; texts without a word are one node that links to no other. Null keys count only where a
+    component has no other.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    each = materialize(_sets(rows, "text", length, ["key", "h"], False), "near-sets")
+    sample = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "h")).alias("sample")
+    nodes = materialize(each.groupBy("node").agg(sample, F.max("size").alias("size")).select("node", "size", "sample.key", "sample.h"), "near-nodes")
+
+    # Each row of a key that has several nodes points at the least of them.
+    keys = each.select("node", F.explode("more").alias("band"))
+    several = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("band", "least")
+    maybe = materialize(keys.join(several, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "near-candidates")
+    groups = connected_components(maybe)
+    chosen = materialize(groups.join(nodes, "node"), "near-groups")
+    totals = materialize(chosen.groupBy("root").agg(F.sum("size").alias("total")), "near-totals")
+
+    # The sets of the candidates; a set comes from one row, though others may have its key and text.
+    of = chosen.select(F.col("key").alias("key2"), F.col("h").alias("h2"), F.col("node").alias("want"), "root")
+    picked = rows.join(of, F.col("key").eqNullSafe(F.col("key2")) & (F.col("h") == F.col("h2")))
+    full = _sets(picked.select("text", "want", "root"), "text", length, ["want", "root"], True).filter("node = want")
+    full = materialize(full.groupBy("node", "root", "size").agg(F.first("more").alias("more")).join(totals, "root"), "near-full")
+
+    # Small groups share tasks. A large one is compared as pairs of cells of sets of near sizes.
+    small = full.filter(F.col("total") <= MOST)
+    tasks = max(1, int((totals.filter(F.col("total") <= MOST).agg(F.sum("total")).first()[0] or 0) // TILE))
+    tiles = small.select(F.lit(0).cast("long").alias("g"), F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("x"), F.lit(0).cast("long").alias("y"), "node", "more")
+    if totals.filter(F.col("total") > MOST).limit(1).count():
+        large = full.filter(F.col("total") > MOST).withColumn("step", F.floor(F.log("size") / F.log(F.lit(1 / similarity)) + 1e-9))
+        cells = materialize(large.groupBy("root", "step").agg(F.ceil(F.sum("size") / (MOST // 2)).alias("m")), "near-cells")
+        large = large.join(cells, ["root", "step"]).withColumn("own", F.col("step") * 1048576 + F.pmod(F.xxhash64("node"), F.col("m")))
+        other = cells.select("root", F.col("step").alias("step2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("sub"))
+        pairs = large.join(other, "root").filter("abs(step - step2) <= 1").withColumn("its", F.col("step2") * 1048576 + F.col("sub"))
+        tiles = tiles.unionByName(pairs.select(F.col("root").alias("g"), F.least("own", "its").alias("x"), F.greatest("own", "its").alias("y"), "node", "more"))
+    links = tiles.groupBy("g", "x", "y").applyInPandas(lambda tile: _edges(tile, similarity), "a long, b long")
+
+    roots = connected_components(links)
+    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = joined.groupBy("root").agg(F.min("key").alias("component_id"))
+    by_node = joined.join(least, "root").select("node", "component_id")
+    return each.join(by_node, "node").select(F.col("key").alias(key), "node", "component_id")
