@@ -7,6 +7,7 @@ the model reduces to one row of class scores per bucket, a table of fixed size.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +25,8 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: Labelled documents that training reads at most, over all languages.
 SAMPLE_ROWS = 2000
+#: Of the subword distribution of a language, the part that is spread evenly over all buckets; and the allowance for short texts.
+EVEN, SLACK = 0.02, 3.0
 LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -59,10 +62,10 @@ class LanguageModel:
     languages: list[str]
     table: np.ndarray  # of a bucket's class scores
     bias: np.ndarray
-    seen: np.ndarray  # buckets that training saw
+    likeness: np.ndarray  # of a bucket: log of its largest share in a learned language, over an even share
     temperature: float = 1.0
     least_score: float = 0.0
-    least_seen: float = 0.0
+    least_likeness: float = -math.inf
 
     def scores(self, bag: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
@@ -70,8 +73,14 @@ class LanguageModel:
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def seen_share(self, bag: np.ndarray) -> float:
-        return float(bag[self.seen].sum() / max(1, bag.sum()))
+    def likeness_of(self, bag: np.ndarray) -> float:
+        n = float(bag.sum())
+        return _likeness(float(bag.astype(np.float32) @ self.likeness), n)
+
+
+def _likeness(total: float, n: float) -> float:
+    """The mean over a text's n subwords, and more for a short text, whose mean is less certain."""
+    return total / max(1.0, n) + SLACK / math.sqrt(max(1.0, n))
 
 
 def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, seed: int = 1, most_error: float = 0.01, most_rejected: float = 0.02) -> LanguageModel:
@@ -79,7 +88,10 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
 
     Calibration: one temperature minimises the log loss of the kept rows; a text is rejected under the least score at
     which the accepted rows' error is at most most_error, but no higher than rejects a share most_rejected of the kept
-    rows, or where the share of subwords that training saw is below half of what all but a thousandth of them have.
+    rows, or where its likeness to what was learned is under a bound. That bound lies half way between the likeness that
+    all but 1 in 200 of the kept rows have and the highest that 95 in 100 rows of a language stay under where the
+    language is left out of what was learned. A language as like the others as kept rows are can't be told from them
+    and doesn't count; subwords at random always do.
     There are so many rounds that about 12,000 rows are seen, at least 6 and at most 100.
     """
     languages = sorted({x[0] for x in sample})
@@ -91,9 +103,12 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
     bias = np.zeros(len(languages), np.float32)
     order = rng.permutation(len(sample))
     kept, train = order[: len(sample) // 5], order[len(sample) // 5 :]
-    seen = np.zeros(BUCKETS, bool)
+    spread = np.zeros((len(languages), BUCKETS))
     for k in train:
-        seen[sample[k][1]] = True
+        lang, ids, counts = sample[k]
+        spread[languages.index(lang), ids] += counts / max(1, counts.sum())
+    spread = (1 - EVEN) * spread / np.maximum(1e-12, spread.sum(axis=1, keepdims=True)) + EVEN / BUCKETS
+    likeness = np.log(spread.max(axis=0) * BUCKETS).astype(np.float32)
     epochs = max(6, min(100, 12_000 // max(1, len(train))))
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
@@ -111,14 +126,15 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
             bias -= 0.01 * now * p
             embed[ids] -= now * share[:, None] * back
             step += 1
-    model = LanguageModel(languages, embed @ out, bias, seen)
+    model = LanguageModel(languages, embed @ out, bias, likeness)
     rows = kept if len(kept) else train
-    logits, gold, shares = [], [], []
+    logits, gold, like = [], [], []
     for k in rows:
         lang, ids, counts = sample[k]
         logits.append(counts.astype(np.float32) @ model.table[ids] / max(1, counts.sum()) + bias)
         gold.append(languages.index(lang))
-        shares.append(counts[seen[ids]].sum() / max(1, counts.sum()))
+        if counts.sum():
+            like.append(_likeness(counts @ likeness[ids], counts.sum()))
     z, gold_ = np.array(logits), np.array(gold)
 
     def probabilities(t: float) -> np.ndarray:
@@ -139,7 +155,13 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
     else:
         model.least_score = 1.0
     model.least_score = min(model.least_score, float(np.quantile(top, most_rejected, method="lower")))
-    model.least_seen = 0.5 * float(np.quantile(shares, 0.001))
+    if like:
+        known = float(np.quantile(like, 0.005, method="lower"))
+        unknown = [float(likeness.mean())]
+        for k, lang in enumerate(languages if len(languages) > 1 else []):
+            others = np.log(np.delete(spread, k, axis=0).max(axis=0) * BUCKETS).astype(np.float32)
+            unknown.append(float(np.quantile([_likeness(c @ others[i], c.sum()) for x, i, c in sample if x == lang and c.sum()] or [math.inf], 0.95)))
+        model.least_likeness = (known + max([u for u in unknown if u < known], default=known)) / 2
     return model
 
 
@@ -204,7 +226,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_tex
                 k = int(p.argmax())
                 lang.append(m.languages[k])
                 score.append(float(p[k]))
-                rejected.append(bool(p[k] < m.least_score or m.seen_share(bag) < m.least_seen))
+                rejected.append(bool(p[k] < m.least_score or m.likeness_of(bag) < m.least_likeness))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in given), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 [*given, *(f.name for f in ADDED)])

@@ -64,6 +64,26 @@ def test_language_rejects_what_it_never_saw(spark):
     assert out == {0: True, 1: False}
 
 
+def test_language_rejects_unlearned_languages_and_keeps_learned(spark):
+    """Languages that share letters and subwords with those learned, though none was in training."""
+    rng = random.Random(13)
+
+    def made_up(seed, n):  # words of syllables that the language prefers, over letters that all have
+        own = random.Random(seed)
+        syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+        often = [own.choice(syllables) for _ in range(14)]
+        return [" ".join("".join(rng.choice(often if rng.random() < 0.85 else syllables) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(30, 120))) for _ in range(n)]
+
+    learned = [(100 * k + i, t, f"l{k}", "s", 0) for k in range(4) for i, t in enumerate(made_up(k, 100))]
+    model = language_id.train(spark.createDataFrame(learned, DOCS), F.lit(True))
+    fresh = [t for k in range(4) for t in made_up(k, 20)]
+    letters = ["".join(rng.choice("abdefgilmnoprstu ") for _ in range(400)) for _ in range(20)]
+    unlearned = [t for k in (11, 12, 13) for t in made_up(k, 20)] + letters
+    out = [r["rejected"] for r in language_id.identify(docs(spark, fresh + unlearned), model).orderBy("doc_id").collect()]
+    assert sum(out[: len(fresh)]) <= 2
+    assert sum(out[len(fresh) :]) >= 0.9 * len(unlearned)
+
+
 def test_language_result_does_not_hang_on_blocks(spark):
     model = language_id.train(labelled(spark), F.lit(True))
     d = labelled(spark, 40)
