@@ -2,7 +2,8 @@
 
 A shard is one Arrow batch of documents. Its word sequence is cut to the stretches whose word pairs all occur in some
 test phrase (no other stretch can hold a phrase), indexed, and searched backward for all phrases at once. The
-documents are read once and never shuffled; what each task holds is one batch and the phrases.
+documents are never shuffled; what a task holds is one batch and the phrases of one group of test items. A test set of
+more than PHRASE_WORDS words is dealt to groups, each of which takes a pass of its own over the documents.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, FOLD, blocks, hashes, owners, spans
-from .common import bounded_batches
+from .common import bounded_batches, materialize, others
 
 WINDOW = 10
-#: Words of test items that one pass over the documents carries; more items take more passes.
+#: Words of test items that one pass over the documents carries, about; more items take more passes.
 PHRASE_WORDS = 2_000_000
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Symbols of one index.
 SHARD_SYMBOLS = 1 << 20
 SAMPLE = 8
@@ -168,7 +171,8 @@ class Found:
     item: np.ndarray
 
 
-def search_batch(texts: pa.Array, phrases: Phrases) -> Found:
+def search_batch(texts: pa.Array, phrases: Phrases, every_stretch: bool = False) -> Found:
+    """Occurrences in a batch. every_stretch: index all texts' words, not only stretches that can hold a phrase."""
     n = len(texts)
     n_words = np.zeros(n, np.int64)
     none = np.zeros(0, np.int64)
@@ -193,6 +197,13 @@ def search_batch(texts: pa.Array, phrases: Phrases) -> Found:
         at, known = _among(phrases.vocabulary, hashes(buf, s, e))
         ids = np.where(known, at + 1, 0)
         # A word stays if it is in a stretch, all of whose neighbours are pairs of a phrase, as long as the shortest phrase.
+        if every_stretch:
+            if len(ids):
+                kept.append((ids, own, own + first, s - starts[own], e - starts[own]))
+                held += len(ids)
+            if held >= SHARD_SYMBOLS:
+                flush()
+            continue
         linked = np.zeros(len(ids) + 1, bool)
         maybe = np.flatnonzero(known[1:] & known[:-1] & (own[1:] == own[:-1]))
         linked[maybe[_among(phrases.pairs, ids[maybe] * v + ids[maybe + 1])[1]] + 1] = True
@@ -255,78 +266,127 @@ RESULT = [
 _RESULT_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
 
-def _scan(texts: pa.Array, groups: list[Phrases]) -> tuple[list[pa.Array], dict[int, list[tuple[int, int]]]]:
-    """The columns of RESULT, and the spans to remove by row."""
+def _merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they meet or no word lies between."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and (a <= out[-1][1] or not WORD_CHARACTER.search(text, out[-1][1], a)):
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scan(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set[str]], dict[int, list[tuple[int, int]]]]:
+    """Words and hit words of each text, its items, and the spans to remove by row."""
     items: list[set[str]] = [set() for _ in range(len(texts))]
-    hits = np.zeros((0, 3), np.int64)
-    for phrases in groups:
-        found = search_batch(texts, phrases)
-        hits = np.concatenate((hits, np.stack((found.hit_text, found.hit_from, found.hit_to), axis=1)))
-        for t, i in zip(found.item_text.tolist(), found.item.tolist(), strict=True):
-            items[t].add(phrases.names[i])
-    hits = np.unique(hits, axis=0)
+    found = search_batch(texts, phrases)
+    hits = np.unique(np.stack((found.hit_text, found.hit_from, found.hit_to), axis=1), axis=0)
+    for t, i in zip(found.item_text.tolist(), found.item.tolist(), strict=True):
+        items[t].add(phrases.names[i])
     removed: dict[int, list[tuple[int, int]]] = {}
     for part in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1) if len(hits) else ():
         t = int(part[0, 0])
         text = texts[t].as_py()
-        merged: list[tuple[int, int]] = []
-        for x, y in zip(_points(text, part[:, 1]).tolist(), _points(text, part[:, 2]).tolist(), strict=True):
-            if merged and not WORD_CHARACTER.search(text, merged[-1][1], x):
-                merged[-1] = (merged[-1][0], y)
-            else:
-                merged.append((x, y))
-        removed[t] = merged
-    return [
-        pa.array(found.n_words, pa.int64()), pa.array(np.bincount(hits[:, 0], minlength=len(texts)), pa.int64()),
-        pa.array([sorted(x) for x in items], _RESULT_TYPES[2]),
-        pa.array([[{"start": a, "end": b} for a, b in removed.get(t, [])] for t in range(len(texts))], _RESULT_TYPES[3]),
-    ], removed
-
-
-def _grouped(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The test items, a published set, in groups of about PHRASE_WORDS words: a task holds one index and all groups' phrases."""
-    groups: list[list[tuple[str, str]]] = [[]]
-    held = 0
-    for name, text in sorted((str(r["item_id"]), r["text"] or "") for r in benchmark.select("item_id", "text").collect()):
-        if held > PHRASE_WORDS:
-            groups.append([])
-            held = 0
-        groups[-1].append((name, text))
-        held += len(text) // 4 + 1
-    return groups
+        removed[t] = _merged(text, list(zip(_points(text, part[:, 1]).tolist(), _points(text, part[:, 2]).tolist(), strict=True)))
+    return found.n_words, np.bincount(hits[:, 0], minlength=len(texts)), items, removed
+
+
+def _without(text: str, parts: list[tuple[int, int]]) -> str:
+    for a, b in reversed(parts):
+        text = text[:a] + "\n" + text[b:]
+    return text
+
+
+def _groups(benchmark: DataFrame) -> list[DataFrame]:
+    """The test items in groups of about PHRASE_WORDS words, by a hash of their ids."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORDS.pattern)))).first()[0] or 0
+    n = max(1, -(-total // PHRASE_WORDS))
+    return [items.filter(F.coalesce(F.pmod(F.xxhash64("item_id"), F.lit(n)), F.lit(0)) == k) for k in range(n)]
+
+
+def _phrases(group: DataFrame, window: int) -> Phrases:
+    return phrases_of(sorted((str(r["item_id"]), r["text"]) for r in group.collect()), window)
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", cut: bool = False) -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted as strings) and removed (spans in code points, merged).
 
-    benchmark has item_id and text. Words are runs of digits, letters a to z (A to Z folded) and characters beyond
+    benchmark has item_id and text, of any number of items. Words are runs of digits, letters a to z (A to Z folded) and characters beyond
     ASCII. A phrase is a window of so many consecutive words of an item, or the whole of a shorter one. Without cut the
     text column is left out of the result; with it, texts come back without the removed spans, each replaced by a line
-    feed, searched again until none is left. Null texts have no words and stay null; an empty benchmark hits nothing;
+    feed, searched again until none is left. Null texts have no words and stay null; an empty benchmark hits nothing, an
+    empty table gives an empty result;
     repeated item ids are one item, repeated documents are searched each by itself. Added columns replace columns of
-    docs of the same name.
+    docs of the same name, in any case.
     """
     bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession.sparkContext
-    shared = [spark.broadcast(phrases_of(group, window)) for group in _grouped(benchmark)]
-    given = [c for c in docs.columns if (cut or c != text) and c not in {f.name for f in RESULT}]
+    groups = _groups(benchmark)
+    given = [c for c in others(docs.columns, *(f.name for f in RESULT)) if cut or c != text]
+    columns = list(dict.fromkeys([*given, text]))
+    names = [f.name for f in RESULT]
+    found = _search(docs.select(*[f"`{c}`" for c in columns]), groups, window, text, columns, cut and len(groups) == 1)
+    if cut and len(groups) > 1:
+        # What is cut out can bring words together: all groups again, until nothing is found.
+        found = materialize(found, "phrases-found")
+        now = _cut(found, text).select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in [*columns, *names]]).alias("__row"))
+        while True:
+            again = materialize(_search(now, groups, window, "text", ["text", "__row"], False), "phrases-found")
+            if not again.filter("n_hit > 0").limit(1).count():
+                break
+            now = _cut(again, "text").select("text", "__row")
+        found = now.select(*[(F.col("text") if c == text else F.col("__row").getField(c)).alias(c) for c in [*columns, *names]])
+    return found.select(*[f"`{c}`" for c in given], *names)
+
+
+def _search(docs: DataFrame, groups: list[DataFrame], window: int, text: str, columns: list[str], cut: bool) -> DataFrame:
+    """columns and RESULT, by one pass a group."""
+    found = _pass(docs, _phrases(groups[0], window), text, columns, cut, False)
+    for group in groups[1:]:
+        found = _pass(materialize(found, "phrases-found"), _phrases(group, window), text, columns, False, True)
+    return found
+
+
+def _cut(found: DataFrame, text: str) -> DataFrame:
+    """The texts without the removed spans, each replaced by a line feed."""
+    spans, whole = F.col("removed"), F.col(f"`{text}`")
+    n = F.size(spans)
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(
+        whole, (F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["end"]) + 1).cast("int"),
+        (F.when(k == n, F.length(whole)).otherwise(F.get(spans, k)["start"]) - F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["end"])).cast("int")))
+    return found.withColumn(text, F.when(n > 0, F.array_join(pieces, "\n")).otherwise(whole))
+
+
+def _pass(docs: DataFrame, phrases: Phrases, text: str, columns: list[str], cut: bool, before: bool) -> DataFrame:
+    """columns and RESULT of docs; before: docs has RESULT from other phrases, and what these hit is added to it."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [x.value for x in shared]
+        own = shared.value
         for batch in batches:
-            values = {c: batch.column(batch.schema.get_field_index(c)) for c in {text: 0, **dict.fromkeys(given)}}
-            columns, removed = _scan(values[text], groups)
+            values = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
+            n_words, n_hit, items, removed = _scan(values[text], own)
+            if before:
+                n_hit = n_hit.copy()
+                for t, (parts, names) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("removed", "item_ids")), strict=True)):
+                    items[t].update(names)
+                    if parts:
+                        whole = values[text][t].as_py()
+                        removed[t] = _merged(whole, [(x["start"], x["end"]) for x in parts] + removed.get(t, []))
+                        n_hit[t] = sum(len(WORDS.findall(whole, a, b)) for a, b in removed[t])
+            result = [
+                pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], _RESULT_TYPES[2]),
+                pa.array([[{"start": a, "end": b} for a, b in removed.get(t, [])] for t in range(len(items))], _RESULT_TYPES[3])]
             if cut and removed:
                 texts = values[text].to_pylist()
                 while removed:
                     for t, parts in removed.items():
-                        for a, b in reversed(parts):
-                            texts[t] = texts[t][:a] + "\n" + texts[t][b:]
+                        texts[t] = _without(texts[t], parts)
                     again = sorted(removed)
-                    more = _scan(pa.array([texts[t] for t in again], pa.string()), groups)[1]
+                    more = _scan(pa.array([texts[t] for t in again], pa.string()), own)[3]
                     removed = {again[t]: parts for t, parts in more.items()}
                 values[text] = pa.array(texts, values[text].type)
-            yield pa.RecordBatch.from_arrays(
-                [*(values[c] for c in given), *columns], [*given, "n_words", "n_hit", "item_ids", "removed"])
+            yield pa.RecordBatch.from_arrays([*(values[c] for c in columns), *result], [*columns, *(f.name for f in RESULT)])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in given] + RESULT))
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in columns] + RESULT))

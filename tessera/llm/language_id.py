@@ -8,26 +8,27 @@ the model reduces to one row of class scores per bucket, a table of fixed size.
 from __future__ import annotations
 
 import math
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import blocks
-from .common import bounded_batches
+from .common import bounded_batches, materialize, others
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-#: Labelled documents that training reads at most, over all languages.
-SAMPLE_ROWS = 2000
+#: Labelled documents that training reads at most, over all languages; the bytes of their subword counts; languages, the most frequent.
+SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 2000, 64 << 20, 1000
 #: Of the subword distribution of a language, the part that is spread evenly over all buckets; and the allowance for short texts.
 EVEN, SLACK = 0.02, 3.0
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -66,16 +67,22 @@ class LanguageModel:
     temperature: float = 1.0
     least_score: float = 0.0
     least_likeness: float = -math.inf
-
-    def scores(self, bag: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities."""
-        z = (bag.astype(np.float32) @ self.table / max(1, bag.sum()) + self.bias) / self.temperature
-        z = np.exp(z - z.max())
-        return z / z.sum()
-
-    def likeness_of(self, bag: np.ndarray) -> float:
-        n = float(bag.sum())
-        return _likeness(float(bag.astype(np.float32) @ self.likeness), n)
+    _joint: np.ndarray | None = None
+
+    def judge(self, ids: np.ndarray) -> tuple[int, float, bool]:
+        """(language, calibrated probability, rejected) of a text's subwords."""
+        n = max(1, len(ids))
+        if self._joint is None:
+            self._joint = np.concatenate((self.table, self.likeness[:, None]), axis=1)
+        sums = self._joint
+        total = np.zeros(sums.shape[1])
+        for at in range(0, len(ids), 1 << 16):
+            total += sums[ids[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        z = (total[:-1] / n + self.bias) / self.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        return k, float(p[k]), bool(p[k] < self.least_score or _likeness(total[-1], len(ids)) < self.least_likeness)
 
 
 def _likeness(total: float, n: float) -> float:
@@ -83,8 +90,9 @@ def _likeness(total: float, n: float) -> float:
     return total / max(1.0, n) + SLACK / math.sqrt(max(1.0, n))
 
 
-def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, seed: int = 1, most_error: float = 0.01, most_rejected: float = 0.02) -> LanguageModel:
-    """From rows (language, buckets, counts). A fifth of them is kept from training for the calibration.
+def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, rounds: int = 12, seed: int = 1, most_error: float = 0.01, most_rejected: float = 0.02) -> LanguageModel:
+    """From rows (language, buckets, counts), each seen so many rounds. A fifth of them is kept from training for the calibration.
+    Without rows the model knows no language.
 
     Calibration: one temperature minimises the log loss of the kept rows; a text is rejected under the least score at
     which the accepted rows' error is at most most_error, but no higher than rejects a share most_rejected of the kept
@@ -92,11 +100,10 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
     all but 1 in 200 of the kept rows have and the highest that 95 in 100 rows of a language stay under where the
     language is left out of what was learned. A language as like the others as kept rows are can't be told from them
     and doesn't count; subwords at random always do.
-    There are so many rounds that about 12,000 rows are seen, at least 6 and at most 100.
     """
     languages = sorted({x[0] for x in sample})
     if not languages:
-        raise ValueError("there are no labelled documents to learn from")
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, np.float32))
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, len(languages)), np.float32)
@@ -109,9 +116,8 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
         spread[languages.index(lang), ids] += counts / max(1, counts.sum())
     spread = (1 - EVEN) * spread / np.maximum(1e-12, spread.sum(axis=1, keepdims=True)) + EVEN / BUCKETS
     likeness = np.log(spread.max(axis=0) * BUCKETS).astype(np.float32)
-    epochs = max(6, min(100, 12_000 // max(1, len(train))))
-    steps, step = epochs * len(train), 0
-    for _ in range(epochs):
+    steps, step = rounds * len(train), 0
+    for _ in range(rounds):
         for k in rng.permutation(train):
             lang, ids, counts = sample[k]
             share = (counts / max(1, counts.sum())).astype(np.float32)
@@ -166,18 +172,23 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, see
 
 
 def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most rows documents of those that may_learn and have a language, in equal parts by language.
+    """Fit on at most rows documents, and SAMPLE_BYTES of counts, of those that may_learn and have a language, in equal
+    parts by language. Without such documents, or in an empty table, the model knows no language.
 
-    The sample is taken by a hash of doc_id, so reruns agree; only counts of subwords reach the driver, never texts.
+    The sample is taken by a hash of doc_id and text, so reruns agree; only counts of subwords reach the driver, never texts.
     """
     bounded_batches(docs.sparkSession)
-    labelled = docs.select("doc_id", text, lang).filter(may_learn & F.col(lang).isNotNull()).withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)))
-    per = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}
-    each = max(1, rows // max(1, len(per)))
-    cut = F.create_map(*[x for k, n in sorted(per.items()) for x in (F.lit(k), F.lit(int(min(1.0, 1.2 * each / n) * (1 << 30))))]) if per else None
-    if cut is None:
-        raise ValueError("there are no labelled documents to learn from")
-    chosen = labelled.filter(F.col("_u") <= cut[F.col(lang)]).select(lang, text, "_u")
+    drawn = F.pmod(F.xxhash64("doc_id", text, F.lit("language sample")), F.lit(1 << 40))
+    labelled = docs.select("doc_id", text, lang).filter(may_learn & F.col(lang).isNotNull()).withColumn("_u", drawn)
+    per = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(MOST_LANGUAGES).collect()}
+    if not per:
+        return fit([])
+    each = max(1, rows // len(per))
+
+    def up_to(cuts: dict[str, int]) -> Column:
+        return F.create_map(*[F.lit(x) for k, v in sorted(cuts.items()) for x in (k, v)])
+
+    chosen = labelled.filter(F.col("_u") <= up_to({k: int(min(1.0, 1.2 * each / n) * (1 << 40)) for k, n in per.items()})[F.col(lang)]).select(lang, text, "_u")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,13 +199,21 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
                 counts.append(bag[some].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "u", "ids", "counts"])
 
-    table = chosen.mapInArrow(count, "lang string, u long, ids binary, counts binary").toArrow().sort_by([("lang", "ascending"), ("u", "ascending"), ("ids", "ascending")])
-    sample, used = [], dict.fromkeys(per, 0)
-    for name, ids, counts in zip(*(table[c].to_pylist() for c in ("lang", "ids", "counts")), strict=True):
-        if used[name] < each:
-            used[name] += 1
-            sample.append((name, np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32)))
-    return fit(sample)
+    # One row for repeated documents. The table has at most about 1.2 times rows; of each language the first rows by u that fit in its bytes are taken.
+    sampled = chosen.mapInArrow(count, "lang string, u long, ids binary, counts binary").dropDuplicates(["lang", "u"])
+    sampled = materialize(sampled, "language-sample")
+    sizes = sampled.select("lang", "u", (2 * F.octet_length("ids")).alias("b")).collect()
+    used, held, last = defaultdict(int), defaultdict(int), {}
+    for r in sorted(sizes, key=lambda r: (r["lang"], r["u"])):
+        used[r["lang"]] += 1
+        held[r["lang"]] += r["b"]
+        if used[r["lang"]] == 1 or used[r["lang"]] <= each and held[r["lang"]] <= SAMPLE_BYTES // len(per):
+            last[r["lang"]] = r["u"]
+    if not last:
+        return fit([])
+    table = sampled.filter(F.col("u") <= up_to(last)[F.col("lang")]).toArrow().sort_by([("lang", "ascending"), ("u", "ascending")])
+    return fit([(name, np.frombuffer(ids, np.int32), np.frombuffer(counts, np.int32))
+                for name, ids, counts in zip(*(table[c].to_pylist() for c in ("lang", "ids", "counts")), strict=True)])
 
 
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -203,11 +222,12 @@ ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.Do
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with lang_pred, score and rejected; the text column only with keep_text.
 
-    A null text, or one without a letter, is und with score 0 and rejected. Others get a learned language, its
-    calibrated probability, and rejected where the calibration says so. Repeated rows are judged each by itself. Added
-    columns replace columns of docs of the same name.
+    A null text, or one without a letter (Unicode category L), is und with score 0 and rejected, and so is any text
+    where the model knows no language. Others get a learned language, its calibrated probability, and rejected where
+    the calibration says so. An empty table gives an empty result; repeated rows are judged each by itself. Added
+    columns replace columns of docs of the same name, in any case.
     """
-    given = [c for c in docs.columns if (keep_text or c != text) and c not in {f.name for f in ADDED}]
+    given = [c for c in others(docs.columns, *(f.name for f in ADDED)) if keep_text or c != text]
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,17 +236,17 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep_tex
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             lang, score, rejected = [], [], []
-            for t, bag in zip(column, bags(column), strict=True):
-                if not LETTER.search(t.as_py() or ""):
+            subwords = (ids for _, _, buf, starts in blocks(column) for ids in _subwords(buf, starts))
+            for t, ids in zip(column, subwords, strict=True):
+                if not m.languages or not LETTER.search(t.as_py() or ""):
                     lang.append("und")
                     score.append(0.0)
                     rejected.append(True)
                     continue
-                p = m.scores(bag)
-                k = int(p.argmax())
+                k, p, out = m.judge(ids)
                 lang.append(m.languages[k])
-                score.append(float(p[k]))
-                rejected.append(bool(p[k] < m.least_score or m.likeness_of(bag) < m.least_likeness))
+                score.append(p)
+                rejected.append(out)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in given), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 [*given, *(f.name for f in ADDED)])

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions.
 
-Only (source, size, odds) rows are shuffled, pre-aggregated to histograms by source, and never the texts. A hot source
-is never gathered in one task: its cut-off is found in a histogram of 4096 cells of the order variable, and only the
-rows of the cell that holds the cut-off are sorted.
+Only rows (source, size, odds) are worked on, pre-aggregated by source, and never the texts. A hot source is never gathered in
+one task: its cut-off is found by three histograms of 256 cells of the order variable, each inside the cell of the one before
+that holds the cut-off, so that one of 16.8 million parts of a source is left to be sorted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, pack, unpack
 
 CYCLE = (5, 2, 1)
-CELLS = 4096
+CELLS, DEPTH = 256, 3
 
 
 def _uniform(key: Column, seed: int) -> Column:
@@ -26,19 +26,28 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     """(source, source_size, target) for rows (source, size).
 
     Sources by code point, null last, weigh as weights say, repeating. They split share times all words by weight; what
-    a source would get above most times its size goes to the others by weight until none is above.
+    a source would get above most times its size goes to the others by weight until none is above. Sources may be many:
+    they are numbered by a range partitioning, and each round of the split is one sum over them.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    s = materialize(s.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "mix-ordered")
+    # As many rows as there were partitions.
+    parts = s.groupBy("_part").agg(F.count("*").alias("_rows"))
+    parts = parts.withColumn("_base", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).drop("_rows")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last()))
+    s = s.withColumn("_n", within).join(F.broadcast(parts), "_part").withColumn("_n", F.col("_base") + F.col("_n"))
     pick = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("_n") - 1) % len(weights) + 1).cast("int"))
-    s = s.withColumn("_n", F.row_number().over(order)).withColumn("_w", pick).withColumn("_cap", F.col("source_size") * most)
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("_cap") / F.col("_w"), "_n").rowsBetween(Window.unboundedPreceding, -1)
-    nil = F.lit(0.0)
-    s = s.withColumn("_rate", (F.sum("source_size").over(every) * share - F.coalesce(F.sum("_cap").over(before), nil))
-                     / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), nil)))
-    # The rate rises while sources are cut at their cap and falls after: its maximum is the rate all others get.
-    target = F.least(F.col("_cap"), F.max("_rate").over(every) * F.col("_w"))
+    s = materialize(s.select("source", "source_size", pick.alias("_w"), (F.col("source_size") * most).alias("_cap")), "mix-weighed")
+
+    words, weight = s.agg(F.sum("source_size"), F.sum("_w")).first()
+    rate, capped = 0.0, 0
+    while words:
+        # The rate only rises, and with it the sources that stop at their cap, until no more do.
+        over = s.filter(F.col("_cap") <= rate * F.col("_w")).agg(F.count("*"), F.sum("_cap"), F.sum("_w")).first()
+        if over[0] == capped and rate > 0 or over[2] == weight:
+            break
+        capped, rate = over[0], (words * share - (over[1] or 0.0)) / (weight - (over[2] or 0.0))
+    target = F.least(F.col("_cap"), rate * F.col("_w"))
     return s.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
@@ -53,15 +62,16 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
     A document's expected copies are in proportion to the binary digits of its size, most at the most, and sum to its
     source's target in words. Their whole part is certain. The fraction is drawn by Pareto order sampling: documents in
     the order of their random odds divided by their inclusion odds, up to the target. Draws hang on doc_id and seed
-    alone, so reruns agree. Null texts have size 0 and a null source is a source of its own. Rows that agree in doc_id
+    alone, so reruns agree; doc_id may be of any type, and null. Null texts have size 0 and a null source is a source of its own. Rows that agree in doc_id
     and size are drawn alike. Empty tables give empty results. Added columns replace columns of docs of the same name.
     """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     drawn = pack(docs, "doc_id", "source", text).withColumn("size", size).drop(text)
-    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("d"), F.col("size").alias("s"))
+    key = F.struct("doc_id", F.col("size").alias("s"))
     rows = materialize(drawn.select("source", "size", "doc_id"), "mix-sizes")
     targets = source_targets(rows, share, most)
 
+    # At most 64 rows a source.
     levels = rows.groupBy("source", _level(F.col("size")).alias("_l")).agg(F.sum("size").alias("_s"))
     per = levels.join(targets.select(F.col("source").alias("_src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_src")))
     of = Window.partitionBy("source")
@@ -73,37 +83,41 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
         per.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"),
                                   F.coalesce(F.max("_c"), F.lit(0.0)).alias("_c")), "mix-sources")
 
-    def with_odds(df: DataFrame, s: DataFrame) -> DataFrame:
-        s = s.withColumnRenamed("source", "_src")
-        df = df.join(s, F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src")
+    def to_sources(df: DataFrame, s: DataFrame) -> DataFrame:
+        """df with the columns of its source; a source table that is small is broadcast by the optimizer."""
+        return df.join(s.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src")
+
+    def with_odds(df: DataFrame) -> DataFrame:
         df = df.withColumn("_e", F.round(F.least(F.lit(float(most)), F.col("_c") * _level(F.col("size"))), 9))
         df = df.withColumn("_base", F.floor("_e").cast("long")).withColumn("_p", F.col("_e") - F.col("_base"))
         u = _uniform(F.col("doc_id"), seed)
-        q = F.when(F.col("_p") > 0, (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p"))))
-        return df.withColumn("_q", q).withColumn("_cell", F.floor(CELLS * (F.col("_q") / (1 + F.col("_q")))).cast("int"))
-
-    small = with_odds(rows, sources)
-    cells = small.groupBy("source", "_cell").agg(
-        F.sum("size").alias("_s"), F.sum(F.col("size") * F.col("_base")).alias("_certain"))
-    up_to = of.orderBy(F.col("_cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    drawable = F.when(F.col("_cell").isNotNull(), F.col("_s")).otherwise(0)
-    cells = cells.withColumn("_to", F.sum(drawable).over(up_to)).withColumn("_certain", F.sum("_certain").over(of))
-    edge = cells.join(sources.select(F.col("source").alias("_src"), "target"), F.col("source").eqNullSafe(F.col("_src")))
-    edge = edge.filter(F.col("_cell").isNotNull() & (F.col("_to") > F.col("target") - F.col("_certain"))).groupBy("source").agg(
-        F.min(F.struct("_cell", (F.col("target") - F.col("_certain") - (F.col("_to") - F.col("_s"))).alias("room"))).alias("_edge"))
-    edged = materialize(
-        sources.join(edge.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "left")
-        .select("source", "source_size", "target", "_c", F.col("_edge._cell").alias("_last"), F.col("_edge.room").alias("_room")), "mix-edges")
-
-    at_edge = with_odds(rows, edged).filter(F.col("_cell") == F.col("_last"))
+        return df.withColumn("_q", F.when(F.col("_p") > 0, (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))))
+
+    odds = with_odds(to_sources(rows, sources.select("source", "_c")))
+    odds = materialize(odds.select("source", "size", "doc_id", "_base", "_q"), "mix-odds")
+    certain = odds.groupBy("source").agg(F.sum(F.col("size") * F.col("_base")).alias("_certain"))
+    # _room: words that are left for the drawn. The cell in which they run out holds the cut-off; sources without one take all.
+    edge = to_sources(sources, certain).select("source", (F.col("target") - F.col("_certain")).alias("_room"))
+    place = F.col("_q") / (1 + F.col("_q"))
+    at_edge = odds.filter("_q is not null").withColumn("_x", place).drop("_base")
+    edge = edge.withColumn("_low", F.lit(0.0))
+    for depth in range(1, DEPTH + 1):
+        width = float(CELLS) ** -depth
+        met = to_sources(at_edge, edge).filter((F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + width * CELLS))
+        cells = met.groupBy("source", F.floor(F.col("_x") / width).alias("_cell")).agg(F.sum("size").alias("_s"), F.first("_room").alias("_room"))
+        up_to = of.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("_to", F.sum("_s").over(up_to)).filter(F.col("_to") > F.col("_room"))
+        edge = materialize(cells.groupBy("source").agg(F.min_by(F.struct(
+            (F.col("_cell") * width).alias("low"), (F.col("_room") - F.col("_to") + F.col("_s")).alias("room")), "_cell").alias("_e")).select(
+            "source", F.col("_e.low").alias("_low"), F.col("_e.room").alias("_room")), "mix-edges")
+
+    last = to_sources(at_edge, edge).filter((F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + float(CELLS) ** -DEPTH))
     through = of.orderBy("_q", key).rowsBetween(Window.unboundedPreceding, 0)
-    cut = at_edge.withColumn("_to", F.sum("size").over(through)).filter(F.col("_to") - F.col("size") / 2 <= F.col("_room"))
+    cut = last.withColumn("_to", F.sum("size").over(through)).filter(F.col("_to") - F.col("size") / 2 <= F.col("_room"))
     cut = cut.groupBy("source").agg(F.max(F.struct(F.col("_q"), key.alias("k"))).alias("_cut"))
-    final = materialize(
-        edged.join(cut.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src"), "mix-cuts")
+    final = materialize(to_sources(to_sources(sources, edge.select("source", "_low")), cut), "mix-cuts")
 
-    out = with_odds(drawn, final)
-    chosen = F.col("_last").isNull() | (F.col("_cell") < F.col("_last")) | (
-        (F.col("_cell") == F.col("_last")) & F.coalesce(F.struct(F.col("_q"), key.alias("k")) <= F.col("_cut"), F.lit(False)))
+    out = with_odds(to_sources(drawn, final)).withColumn("_x", place)
+    chosen = F.col("_low").isNull() | (F.col("_x") < F.col("_low")) | F.coalesce(F.struct(F.col("_q"), key.alias("k")) <= F.col("_cut"), F.lit(False))
     copies = F.col("_base") + F.when(F.col("_p") > 0, chosen.cast("long")).otherwise(0)
     return unpack(out, docs.columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=copies, taken=copies * F.col("size"))

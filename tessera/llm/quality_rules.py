@@ -6,6 +6,8 @@ What is shuffled is one small row per document, pre-aggregated by host.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +86,14 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * strength, (1 - mean) * strength
 
 
-def quality_rules(docs: DataFrame, host: str = "source", max_host_rate: float = 0.5, text: str = "text") -> DataFrame:
-    """One row per row of docs: its columns without the text, the rule figures, base_failed, host_failed and kept.
+def quality_rules(docs: DataFrame, host: str = "source", spread: float = 0.84, text: str = "text") -> DataFrame:
+    """One row per row of docs: its columns without the text, the rule figures, base_failed, host_rate, host_failed and kept.
 
-    host_failed: the host's failure rate, shrunk to the prior, is above max_host_rate. A null host is a host of its
-    own. An empty table gives an empty result; repeated rows are judged each by itself and all count for their host.
-    Added columns replace columns of docs of the same name.
+    host_rate: the host's failure rate, shrunk to the prior. host_failed: it lies more than spread standard deviations of
+    the fitted prior above the prior's mean (0.84: about where the prior's upper fifth begins). So the cut follows the corpus: where
+    all hosts fail alike, shrinking leaves few or none above it. A null host is a host of its own. An empty table gives
+    an empty result; repeated rows are judged each by itself and all count for their host. Added columns replace columns
+    of docs of the same name.
     """
     rest = [c for c in docs.columns if c != text]
     packed = docs.select(F.col(text).alias("text"), F.col(host).alias("host"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
@@ -97,7 +101,8 @@ def quality_rules(docs: DataFrame, host: str = "source", max_host_rate: float =
     hosts = each.groupBy(F.col("host").alias("_host")).agg(
         F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     alpha, beta = beta_prior(hosts)
-    verdicts = hosts.select(
-        "_host", ((F.col("failed") + alpha) / (F.col("n") + alpha + beta) > max_host_rate).alias("host_failed"))
-    out = each.join(verdicts, each["host"].eqNullSafe(F.col("_host")), "left")
-    return unpack(out, rest, **{c: F.col(c) for c in (*FIGURES, "base_failed", "host_failed")}, kept=~F.col("base_failed") & ~F.col("host_failed"))
+    whole = alpha + beta
+    cut = alpha / whole + spread * math.sqrt(alpha * beta / (whole * whole * (whole + 1)))
+    verdicts = hosts.select("_host", ((F.col("failed") + alpha) / (F.col("n") + whole)).alias("host_rate"))
+    out = each.join(verdicts, each["host"].eqNullSafe(F.col("_host")), "left").withColumn("host_failed", F.col("host_rate") > cut)
+    return unpack(out, rest, **{c: F.col(c) for c in (*FIGURES, "base_failed", "host_rate", "host_failed")}, kept=~F.col("base_failed") & ~F.col("host_failed"))

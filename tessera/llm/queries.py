@@ -15,7 +15,7 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = language_id.train(docs, ~held_out)
     return language_id.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
@@ -80,12 +80,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"),
-        secrets.spans_text(F.concat("base", "linked")).alias("spans"))
+        secrets.spans_text(F.concat("base", "linked")).alias("spans"), F.size("links").cast("long").alias("n_links"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -124,10 +124,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    # The host list: hosts most of whose pages carry runs of symbols as words of spam do.
-    host = url_filter.url_parts(F.col("url"))[0]
-    spam = (F.contains(F.col("html"), F.lit("%%%")) | F.contains(F.col("html"), F.lit("***"))).cast("int")
-    listed = pages.groupBy(host.alias("key")).agg(F.avg(spam).alias("share")).filter("share > 0.5 and key <> ''").select("key")
+    # The list: addresses of pages over 2 % of whose characters outside tags are symbols, and hosts most of whose pages are such.
+    host, path = url_filter.url_parts(F.col("url"))
+    shown = F.regexp_replace("html", "<[^>]*>", " ")
+    junk = 50 * (F.length(shown) - F.length(F.translate(shown, "#*$%&|", ""))) > F.length(shown)
+    judged = pages.select(host.alias("host"), path.alias("path"), F.coalesce(junk, F.lit(False)).cast("int").alias("junk")).filter("host <> ''")
+    hosts = judged.groupBy("host").agg(F.avg("junk").alias("share")).filter("share > 0.5").select(F.col("host").alias("key"))
+    listed = hosts.unionByName(judged.filter("junk = 1").select(F.concat("host", "path").alias("key")))
     out = url_filter.url_filter(pages.select("page_id", "url"), URL_RULES, listed)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
@@ -140,15 +143,16 @@ p AS (
 u AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-spam AS (
-  SELECT host FROM u WHERE host <> '' GROUP BY host
-  HAVING avg(CASE WHEN contains(html, '%%%') OR contains(html, '***') THEN 1 ELSE 0 END) > 0.5),
+t AS (SELECT host, path, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM u WHERE host <> ''),
+j AS (SELECT host, path, coalesce((length(t) - length(regexp_replace(t, '[#*$%&|]', '', 'g'))) / length(t) > 0.02, false) AS junk FROM t),
+bad_host AS (SELECT host FROM j GROUP BY host HAVING 2 * count(*) FILTER (junk) > count(*)),
+bad_page AS (SELECT DISTINCT host, path FROM j WHERE junk),
 best AS (
   SELECT u.page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action
   FROM u JOIN rules ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp) GROUP BY u.page_id)
 SELECT u.page_id, u.host, u.path, best.rule,
-       coalesce(best.action, CASE WHEN u.host IN (SELECT host FROM spam) THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN best ON u.page_id = best.page_id
+       coalesce(best.action, CASE WHEN bad_host.host IS NOT NULL OR bad_page.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN best ON u.page_id = best.page_id LEFT JOIN bad_host ON u.host = bad_host.host LEFT JOIN bad_page ON u.host = bad_page.host AND u.path = bad_page.path
 """
 
 
@@ -176,7 +180,9 @@ runs AS (SELECT DISTINCT * FROM (SELECT * FROM ahead UNION ALL SELECT * FROM bac
 texts AS (
   SELECT r.doc_id, r.i, r.j, min(no) AS f, max(no) AS t, string_agg(l, ' ' ORDER BY l.i) AS s
   FROM runs r JOIN l ON r.doc_id = l.doc_id AND l.i BETWEEN r.i AND r.j GROUP BY r.doc_id, r.i, r.j HAVING sum(w) >= 50),
-later AS (SELECT doc_id, f, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM texts) WHERE n > 1),
+seen AS (
+  SELECT *, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0, first_value(j) OVER o AS j0 FROM texts WINDOW o AS (PARTITION BY s ORDER BY doc_id, i)),
+later AS (SELECT doc_id, f, t FROM seen WHERE doc_id <> d0 OR i > j0),
 gone AS (SELECT DISTINCT doc_id, unnest(range(f, t + 1)) AS no FROM later),
 kept AS (SELECT l1.doc_id, string_agg(raw, chr(10) ORDER BY l1.no) AS t FROM l1 ANTI JOIN gone ON l1.doc_id = gone.doc_id AND l1.no = gone.no GROUP BY l1.doc_id)
 SELECT l0.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS text_sha256
@@ -245,7 +251,7 @@ v AS (SELECT *, ff - mean * mean - mean * (1 - mean) * hosts / n AS btw FROM m),
 s AS (
   SELECT least(greatest(mean, 1e-6), 1 - 1e-6) AS mean,
          CASE WHEN mean = 0 OR mean = 1 OR btw <= 0 THEN n / hosts ELSE greatest(1.0, mean * (1 - mean) / btw - 1) END AS k FROM v),
-x AS (SELECT source, (failed + mean * k) / (n + mean * k + (1 - mean) * k) > 0.5 AS bad FROM h, s)
+x AS (SELECT source, (failed + mean * k) / (n + k) - mean > 0.84 * sqrt(mean * (1 - mean) / (k + 1)) AS bad FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """

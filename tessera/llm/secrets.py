@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking.
 
-One pass over the documents finds the base kinds and the parts that mean little alone: access identifiers, secrets and
-endpoints. Parts are then joined by interval within their scope (a stretch without a blank line): a sorted sweep gives
-each part the nearest complementary part on either side, so a scope with many parts makes no pairs. Only parts are
-shuffled, never texts.
+One pass over the documents finds the base kinds and the parts that mean little alone: access identifiers (named ids,
+e-mail addresses), secrets (random runs) and endpoints (urls, IPv4 addresses). Parts are then joined by interval within
+their scope (a stretch without a blank line): a sorted sweep gives each part the nearest complementary part on either
+side, so a scope with many parts makes no pairs. Weak parts are reported only where what they need lies within reach;
+each secret so met is a link with its nearest identifier and endpoint. Only parts are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 HEX = re.compile(r"[0-9a-f]+")
 NAMED_ID = re.compile(r"""(?:client|access|account|key|tenant)[_-]?(?:key[_-]?)?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{6,})""", re.IGNORECASE | re.ASCII)
 NAMED_ID_WORDS = ("id=", "id:", 'id"', "id'", "id ")
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,11}://[^\s\"'<>]{4,}")
+ADDRESS = re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.]*[0-9])")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 #: Bits a character that a run needs to count as a possible secret.
 LEAST_ENTROPY = 3.5
@@ -55,6 +58,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         parts += [(5, *m.span(), True) for m in ENDPOINT.finditer(text)]
     if "id" in low and any(w in low for w in NAMED_ID_WORDS):
         parts += [(3, *m.span(1), True) for m in NAMED_ID.finditer(text)]
+    if "@" in text:
+        parts += [(3, *m.span(), True) for m in EMAIL.finditer(text)]
+    parts += [(5, *m.span(), True) for m in ADDRESS.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
 
     def free(a: int, b: int) -> bool:
@@ -74,11 +80,14 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
 
 
 def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = 400) -> DataFrame:
-    """One row per row of docs: key, n_assign, n_access, n_hex, base and linked (arrays of start, kind number and end).
+    """One row per row of docs: key, n_assign, n_access, n_hex, base, linked (arrays of start, kind number and end) and links.
 
     Offsets are code points, ends exclusive. base holds every match of the base kinds. A weak part is in linked only
     where its complement lies in the same scope within reach characters: an identifier or a secret needs the other of
-    the two, an endpoint needs both. A null text is empty. Rows of equal key and text have equal results.
+    the two, an endpoint needs both. links has, for each secret (base or weak) that has an identifier within reach, the
+    spans secret, identifier (the nearest, the one before on a tie) and endpoint (likewise, null where none is within
+    reach). A null text is empty. Rows of equal key and text have equal results; an empty table gives an empty result.
+    Columns of docs other than key and text are left out, so no name clashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +113,25 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach
     rows = scanned.filter(has(3) & has(4)).dropDuplicates([key, "_h"]).select(key, "_h", F.explode("parts").alias("p")).select(key, "_h", "p.*")
     scope = Window.partitionBy(key, "_h", "scope").orderBy("start", "end", "kind")
     back, ahead = scope.rowsBetween(Window.unboundedPreceding, 0), scope.rowsBetween(0, Window.unboundedFollowing)
+    span = F.struct("start", "kind", "end")
 
     def near(k: int) -> Column:
-        """Whether a part of kind k ends or starts within reach."""
-        before = F.max(F.when(F.col("kind") == k, F.col("end"))).over(back)
-        after = F.min(F.when(F.col("kind") == k, F.col("start"))).over(ahead)
-        return F.coalesce(F.col("start") - before <= reach, F.lit(False)) | F.coalesce(after - F.col("end") <= reach, F.lit(False))
-
-    met = rows.withColumn("id", near(3)).withColumn("secret", near(4))
-    linked = met.filter(F.col("weak") & F.col("id") & F.col("secret")).groupBy(key, "_h").agg(
-        F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("linked"))
-    linked = linked.select(F.col(key).alias("_k"), F.col("_h").alias("_g"), "linked")
+        """The nearest part of kind k that ends before or starts after within reach, else null."""
+        of_kind = F.col("kind") == k
+        before = F.max(F.when(of_kind, F.struct(F.col("end").alias("at"), span.alias("s")))).over(back)
+        after = F.min(F.when(of_kind, F.struct(F.col("start").alias("at"), span.alias("s")))).over(ahead)
+        away = F.when(before.isNotNull(), F.greatest(F.col("start") - before["at"], F.lit(0))), F.when(after.isNotNull(), F.greatest(after["at"] - F.col("end"), F.lit(0)))
+        found = F.when(away[1].isNull() | (away[0] <= away[1]), F.struct(away[0].alias("away"), before["s"].alias("s"))).otherwise(
+            F.struct(away[1].alias("away"), after["s"].alias("s")))
+        return F.when(found["away"] <= reach, found["s"])
+
+    met = rows.withColumn("id", near(3)).withColumn("secret", near(4)).withColumn("endpoint", near(5))
+    met = met.filter(F.col("id").isNotNull() & F.col("secret").isNotNull())
+    linked = met.groupBy(key, "_h").agg(
+        F.array_sort(F.collect_set(F.when(F.col("weak"), span))).alias("linked"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == 4, F.struct(
+            span.alias("secret"), F.col("id").alias("identifier"), F.col("endpoint").alias("endpoint"))))).alias("links"))
+    linked = linked.select(F.col(key).alias("_k"), F.col("_h").alias("_g"), "linked", "links")
     out = scanned.join(linked, scanned[key].eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left")
 
     def count(k: int) -> Column:
@@ -122,7 +139,8 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach
 
     return out.select(
         key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), "base",
-        F.coalesce("linked", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("linked"))
+        F.coalesce("linked", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("linked"), F.coalesce("links", F.array().cast(
+            "array<struct<secret:struct<start:long,kind:int,end:long>,identifier:struct<start:long,kind:int,end:long>,endpoint:struct<start:long,kind:int,end:long>>>")).alias("links"))
 
 
 def spans_text(spans: Column) -> Column:

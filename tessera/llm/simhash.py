@@ -1,8 +1,9 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints that differ in at most three of 64 bits agree in one of four parts of 16 bits. Each distinct fingerprint
-goes to four tiles, one for each part, by the leading bits of the part: as many bits as keep tiles near a set size, so
-the comparisons grow in proportion to the input. Within a tile all pairs are compared by exclusive-or and bit counts in
+Fingerprints that differ in at most three of 64 bits agree in one of four parts of 16 bits, in two of five parts, and in three of six.
+Each distinct fingerprint goes to one tile for each part, or each choice of parts, by the leading bits of what must agree: as many
+bits as keep tiles near a set size, so the comparisons grow in proportion to the input. Four parts do up to 134 million
+fingerprints, more take longer keys. Within a tile all pairs are compared by exclusive-or and bit counts in
 numpy, block by block, and blocks whose population counts differ beyond the radius are skipped. A tile that grew too
 large, because one part is common, is compared as pairs of sub-tiles in separate tasks. A task returns a spanning
 forest of the links it found, never all pairs.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, join_hot, materialize
 from .components import connected_components
 
-PARTS, PART_BITS = 4, 16
+#: Tiles too large for a task, up to which their list is broadcast.
+LARGE_TILES = 200_000
 #: Fingerprints that a tile is meant to hold, and the most that one task compares with each other.
 TILE, MOST = 2048, 4096
 BLOCK = 512
@@ -51,12 +53,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp) for each row of docs; fp is the fingerprint as a signed 64-bit number. A null text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [key, "fp"])
 
     bounded_batches(docs.sparkSession)
@@ -122,49 +124,81 @@ def _compare_tile(tile: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": every[node].view(np.int64), "b": every[root].view(np.int64)})
 
 
+def tile_keys(n: int, radius: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """For n fingerprints: the keys, each a choice of parts (lowest bit, bits), and the leading bits of a key to use.
+
+    Of radius + k parts at least k agree in a linked pair; k is the least whose keys are long enough for n. With no bits
+    to use there is one tile, which holds all.
+    """
+    need = max(0, math.ceil(math.log2(max(1, n) / TILE)))
+    if need == 0:
+        return [[(0, 0)]], 0
+    for agree in (1, 2, 3):
+        parts = radius + agree
+        edges = [64 * k // parts for k in range(parts + 1)]
+        chosen = [list(c) for c in combinations([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], agree)]
+        least = min(sum(width for _, width in c) for c in chosen)
+        if need <= least:
+            break
+    return chosen, min(need, least)
+
+
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs within the radius, for distinct rows (fp)."""
-    if radius >= PARTS:
-        raise ValueError(f"the radius must be under {PARTS}")
-    n = distinct.count()
-    bits = min(PART_BITS, max(0, math.ceil(math.log2(max(1, n) / TILE))))
-    part = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("part"), F.expr(f"shiftrightunsigned(fp, {PART_BITS * p + PART_BITS - bits}) & {(1 << bits) - 1}").alias("value"))
-        for p in range(PARTS)])).alias("x")
+    """Edges (a, b) whose components are those of all pairs within the radius (under 16), for distinct rows (fp)."""
+    if radius > 15:
+        raise ValueError("equal parts are no help beyond 15 bits")
+    keys, bits = tile_keys(distinct.count(), radius)
+
+    def value(parts: list[tuple[int, int]]) -> str:
+        whole, text = 0, "0L"
+        for low, width in parts:
+            text = f"(shiftleft({text}, {width}) | (shiftrightunsigned(fp, {low}) & {(1 << width) - 1}L))"
+            whole += width
+        return f"shiftright({text}, {whole - bits})"
+
+    part = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.expr(value(parts)).alias("value")) for k, parts in enumerate(keys)])).alias("x")
     rows = distinct.select("fp", part).select("fp", "x.part", "x.value")
-    # At most PARTS * 2**PART_BITS rows.
-    sizes = rows.groupBy("part", "value").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes, "tile-sizes")
-    rows = rows.join(F.broadcast(sizes), ["part", "value"])
-
-    plain = rows.filter(F.col("n") <= MOST).select("part", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", F.lit(0).alias("side"))
-    tiles = plain
-    if sizes.filter(F.col("n") > MOST).limit(1).count():
+    sizes = materialize(rows.groupBy("part", "value").agg(F.count("*").alias("n")), "tile-sizes")
+    large = sizes.filter(F.col("n") > MOST)
+    n_large = large.limit(LARGE_TILES + 1).count()
+    plain = rows
+    if n_large:
+        listed = F.broadcast(large) if n_large <= LARGE_TILES else large
+        plain = rows.join(listed, ["part", "value"], "left_anti")
+    tiles = plain.select("part", "value", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", F.lit(0).alias("side"))
+    if n_large:
         # Sub-tiles: by population count, and where still too many by a hash.
-        large = rows.filter(F.col("n") > MOST).withColumn("pop", F.bit_count("fp"))
-        cells = large.groupBy("part", "value", "pop").agg(F.ceil(F.count("*") / (MOST // 2)).cast("int").alias("m"))
+        rows = rows.join(listed.drop("n"), ["part", "value"]).withColumn("pop", F.bit_count("fp"))
+        cells = rows.groupBy("part", "value", "pop").agg(F.count("*").alias("n")).withColumn("m", F.ceil(F.col("n") / (MOST // 2)).cast("int"))
         cells = materialize(cells, "tile-cells")
-        large = large.join(cells, ["part", "value", "pop"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-        other = cells.select("part", "value", F.col("pop").alias("pop2"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("sub2"))
-        near = large.join(other, ["part", "value"]).filter(F.abs(F.col("pop") - F.col("pop2")) <= radius)
-        own, its = F.col("pop") * 65536 + F.col("sub"), F.col("pop2") * 65536 + F.col("sub2")
-        tiles = plain.unionByName(near.select(
+        # The sub-tiles that a sub-tile is held against, one short row for each population count of a tile.
+        beside = cells.select("part", "value", F.col("pop").alias("pop2"), F.col("m").alias("m2"))
+        beside = cells.join(beside, ["part", "value"]).filter(F.abs(F.col("pop") - F.col("pop2")) <= radius).groupBy("part", "value", "pop", "m").agg(
+            F.collect_list(F.struct("pop2", "m2")).alias("beside"))
+        near = join_hot(rows, beside, ["part", "value", "pop"], cells, cells.agg(F.sum("n")).first()[0])
+        near = near.withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")).withColumn("s", F.explode("beside"))
+        near = near.withColumn("sub2", F.explode(F.sequence(F.lit(0), F.col("s.m2") - 1)))
+        own, its = F.col("pop") * 65536 + F.col("sub"), F.col("s.pop2") * 65536 + F.col("sub2")
+        tiles = tiles.unionByName(near.select(
             "part", "value", F.least(own, its).alias("x"), F.greatest(own, its).alias("y"), "fp", (own > its).cast("int").alias("side")))
 
     return tiles.groupBy("part", "value", "x", "y").applyInPandas(lambda tile: _compare_tile(tile, radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp, component_id) for each row of docs: component_id is the smallest key of all documents that links reach.
 
-    Texts without a word have fingerprint zero and link like any other. Rows of equal texts have equal fingerprints and
-    are one node. Null keys count only where a component has no other. An empty table gives an empty result.
+    Fingerprints within the radius (under 16) are linked. Texts without a word have fingerprint zero and link like any other. Rows of
+    equal texts have equal fingerprints and are one node. Null keys count only where a component has no other. Other
+    columns are left out. An empty table gives an empty result. Near copies at a similarity of shingles, which differ
+    in more bits, are the business of simhash_similar.
     """
-    each = materialize(fingerprints(docs, text, key), "fingerprints")
-    nodes = materialize(each.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-nodes")
+    each = materialize(fingerprints(docs, text, key, shingle), "fingerprints")
+    nodes = materialize(each.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
     edges = near_links(nodes.select("fp"), radius)
     roots = connected_components(edges)
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = joined.join(least, "root").select("fp", "component_id")
-    return each.join(by_fp, "fp").select(key, "fp", "component_id")
+    by_fp = materialize(joined.join(least, "root").select("fp", "component_id", "n"), "fingerprint-components")
+    out = join_hot(each, by_fp.drop("n"), ["fp"], by_fp, by_fp.agg(F.sum("n")).first()[0] or 0)
+    return out.select(key, "fp", "component_id")

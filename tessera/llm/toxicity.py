@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, FOLD, blocks, hashes, mix, owners, spans
-from .common import bounded_batches
+from .common import bounded_batches, materialize, others
 
 BUCKETS = 1 << 20
-#: Labelled documents that training reads at most.
-SAMPLE_ROWS = 12000
+#: Labelled documents that training reads at most, and the bytes of their features.
+SAMPLE_ROWS, SAMPLE_BYTES = 12000, 96 << 20
 
 
 def features(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,21 +50,22 @@ class ToxicityModel:
     bias: float
 
 
-def fit(sample: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0, least_rows: int = 5, seed: int = 1) -> ToxicityModel:
-    """From rows (label, distinct buckets), one update a row. The bias is not penalised.
+def fit(sample: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1.0, least_rows: int = 5, rounds: int = 8, seed: int = 1) -> ToxicityModel:
+    """From rows (label, distinct buckets), one update a row and round. The bias is not penalised.
 
-    Buckets of fewer than least_rows rows get no weight: they would only learn single rows by heart. There are 5 rounds,
-    or as many as make 15,000 updates, 20 at most: the L1 term is held against sums that small samples are slow to reach.
+    Buckets of fewer than least_rows rows get no weight: they would only learn single rows by heart. Without rows nothing is
+    known, and every text scores next to 0.
     """
+    if not sample:
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -35.0)
     rows_of = np.zeros(BUCKETS, np.int32)
     for _, ids in sample:
         rows_of[ids] += 1
     sample = [(y, ids[rows_of[ids] >= least_rows]) for y, ids in sample]
-    epochs = max(5, min(20, 15_000 // max(1, len(sample))))
     z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     zb = nb = 0.0
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(rounds):
         for k in rng.permutation(len(sample)):
             y, ids = sample[k]
             zi, ni = z[ids], n[ids]
@@ -82,7 +83,8 @@ def fit(sample: list[tuple[int, np.ndarray]], alpha: float = 1.0, beta: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text", rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on at most rows documents that may_learn and have a label, drawn by a hash of doc_id at their natural rate.
+    """Fit on at most rows documents, and SAMPLE_BYTES of features, that may_learn and have a label, drawn by a hash of
+    doc_id at their natural rate. Without such documents, or in an empty table, the model scores all texts alike.
 
     Labels are joined by doc_id before any text is read into features; only buckets reach the driver.
     """
@@ -90,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
     known = labels.select("doc_id", "toxic").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(may_learn)
     n = known.count()
     if not n:
-        raise ValueError("there are no labelled documents to learn from")
+        return fit([])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30))
     chosen = known.withColumn("_u", drawn).filter(F.col("_u") <= int(min(1.0, 1.1 * rows / n) * (1 << 30)))
     # Bounded by rows: a share of the labels that falls as they grow.
@@ -103,17 +105,26 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
                 out += [x.tobytes() for x in _per_text(*features(buf, starts), end - first)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(2), pa.array(out, pa.binary())], ["y", "u", "ids"])
 
-    table = pairs.mapInArrow(collect, "y int, u long, ids binary").toArrow().sort_by([("u", "ascending"), ("ids", "ascending")]).slice(0, rows)
+    # One row for repeated documents; the first rows by u that fit in the bytes are taken.
+    sampled = materialize(pairs.mapInArrow(collect, "y int, u long, ids binary").dropDuplicates(["u", "y"]), "toxicity-sample")
+    held, last = 0, None
+    for k, r in enumerate(sorted(sampled.select("u", F.octet_length("ids").alias("b")).collect())):
+        held += r["b"]
+        if k == 0 or k < rows and held <= SAMPLE_BYTES:
+            last = r["u"]
+    if last is None:
+        return fit([])
+    table = sampled.filter(F.col("u") <= last).toArrow().sort_by([("u", "ascending"), ("ids", "ascending")])
     return fit([(y, np.frombuffer(ids, np.int32)) for y, ids in zip(table["y"].to_pylist(), table["ids"].to_pylist(), strict=True)])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """docs without the text, with score (0 to 1). A null or empty text has the score of the bias alone.
 
-    Each feature counts once a text, however often it occurs. Repeated rows are scored each by itself. A column score of
-    docs is replaced.
+    Each feature counts once a text, however often it occurs. Repeated rows are scored each by itself; an empty table
+    gives an empty result. A column score of docs is replaced, in any case.
     """
-    given = [c for c in docs.columns if c not in (text, "score")]
+    given = [c for c in others(docs.columns, "score") if c != text]
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tessera.llm import near_copies as N
+from tessera.llm import simhash_similar as N
 from tests.llm.test_operators import docs, random_text
 
 
@@ -56,9 +56,9 @@ def test_components(spark, monkeypatch, tile, most):
     monkeypatch.setattr(N, "TILE", tile)
     monkeypatch.setattr(N, "MOST", most)
     texts = planted()
-    out = {r["doc_id"]: r["component_id"] for r in N.near_copies(docs(spark, texts)).collect()}
+    out = {r["doc_id"]: r["component_id"] for r in N.similar_documents(docs(spark, texts)).collect()}
     assert [out[i] for i in range(len(texts))] == brute(texts)
-    assert N.near_copies(docs(spark, [])).count() == 0
+    assert N.similar_documents(docs(spark, [])).count() == 0
 
 
 def test_stage_drops_near_copies(spark, tmp_path):
@@ -71,6 +71,6 @@ def test_large_group_of_copies_with_null_and_repeated_ids(spark):
     base = random_text(random.Random(5), 200, 5000)
     d = docs(spark, [base + f" extra{i}" for i in range(400)] + ["quite another text of a few words"])
     d = d.unionByName(d.filter("doc_id < 3")).unionByName(d.filter("doc_id < 5").withColumn("doc_id", d["doc_id"] * None))
-    out = N.near_copies(d).collect()
+    out = N.similar_documents(d).collect()
     assert len(out) == 409 and {r["component_id"] for r in out if r["doc_id"] is None or r["doc_id"] < 400} == {0}
     assert [r["component_id"] for r in out if r["doc_id"] == 400] == [400]
