@@ -62,14 +62,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFra
     hot: its rows stay where they are and meet right's rows for the hot keys, at most HOT_KEYS, by broadcast. All
     other rows are shuffled.
     """
+    # Such tables grow with the input: they are shuffled at any size, so that small runs show what large ones do.
+    right_ = right.hint("merge")
     if total <= HOT_ROWS:
-        return left.join(right, keys)
+        return left.join(right_, keys)
     hot = materialize(counts.filter(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys), "hot-keys")
     if not hot.limit(1).count():
-        return left.join(right, keys)
+        return left.join(right_, keys)
     hot = F.broadcast(hot)
     spread = left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys)
-    return spread.unionByName(left.join(hot, keys, "left_anti").join(right, keys))
+    return spread.unionByName(left.join(hot, keys, "left_anti").join(right_, keys))
 
 
 def words(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, WORD, join_hot, materialize, others, pack, unpack
 
 #: Blocks that a running sum over many rows is taken in: the sums of the blocks first, then within each.
-BLOCKS = 4096
+BLOCKS = 256
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
@@ -124,9 +124,8 @@ def line_dedup(docs: DataFrame, min_words: int = 50, text: str = "text", key: st
     text are one document. Null and empty texts stay as they are, and an empty table gives an empty result; a text all
     of whose lines are later copies becomes empty. A column removed of docs is replaced.
     """
-    # Small where few documents have copies: the optimizer then broadcasts it and no text is shuffled.
-    found = repeated_runs(docs, min_words, text, key).select(F.col(key).alias("_k"), F.col("_h").alias("_g"), "removed")
-    found = materialize(found, "removed-lines")
+    # The texts are shuffled here, once.
+    found = repeated_runs(docs, min_words, text, key).select(F.col(key).alias("_k"), F.col("_h").alias("_g"), "removed").hint("merge")
     packed = pack(docs, key, text)
     out = packed.join(found, packed[key].eqNullSafe(F.col("_k")) & (F.xxhash64(packed[text]) == F.col("_g")), "left")
     rest = F.array_join(_kept_lines(F.split(text, "\n", -1), F.col("removed")), "\n")

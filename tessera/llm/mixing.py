@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, pack, unpack
+from .common import WORD, join_hot, materialize, pack, unpack
 
 CYCLE = (5, 2, 1)
 CELLS, DEPTH = 256, 3
+#: Sources up to which the tables with one row a source are broadcast.
+BROADCAST_SOURCES = 200_000
 
 
 def _uniform(key: Column, seed: int) -> Column:
@@ -51,6 +53,11 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return s.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
+def _name(source: Column) -> Column:
+    """The source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def _level(size: Column) -> Column:
     """Binary digits of the size: the weight of a document's inclusion; few values, so that sources reduce to short tables."""
     return F.length(F.bin(size)).cast("double")
@@ -72,8 +79,8 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
     targets = source_targets(rows, share, most)
 
     # At most 64 rows a source.
-    levels = rows.groupBy("source", _level(F.col("size")).alias("_l")).agg(F.sum("size").alias("_s"))
-    per = levels.join(targets.select(F.col("source").alias("_src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_src")))
+    levels = rows.groupBy("source", _level(F.col("size")).alias("_l")).agg(F.sum("size").alias("_s"), F.count("*").alias("n"))
+    per = levels.join(targets.select(F.col("source").alias("_src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     of = Window.partitionBy("source")
     higher = of.orderBy(F.col("_l").desc()).rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum("_s").over(higher), F.lit(0))
@@ -81,11 +88,17 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
     per = per.withColumn("_c", F.when(left > 0, (F.col("target") - most * done) / left))
     sources = materialize(
         per.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-                                  F.coalesce(F.max("_c"), F.lit(0.0)).alias("_c")), "mix-sources")
+                                  F.coalesce(F.max("_c"), F.lit(0.0)).alias("_c"), F.sum("n").alias("n")).withColumn("_src", _name(F.col("source"))), "mix-sources")
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    total = sources.agg(F.sum("n")).first()[0] or 0
 
     def to_sources(df: DataFrame, s: DataFrame) -> DataFrame:
-        """df with the columns of its source; a source table that is small is broadcast by the optimizer."""
-        return df.join(s.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src")), "left").drop("_src")
+        """df with the columns of s, which has one row for each source; a hot source's rows stay where they are."""
+        return df.join(F.broadcast(s), "_src") if few else join_hot(df, s, ["_src"], sources.select("_src", "n"), total)
+
+    def completed(s: DataFrame) -> DataFrame:
+        """s with rows of nulls for the sources that it lacks."""
+        return sources.select("_src").join(s, "_src", "left")
 
     def with_odds(df: DataFrame) -> DataFrame:
         df = df.withColumn("_e", F.round(F.least(F.lit(float(most)), F.col("_c") * _level(F.col("size"))), 9))
@@ -93,31 +106,33 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, t
         u = _uniform(F.col("doc_id"), seed)
         return df.withColumn("_q", F.when(F.col("_p") > 0, (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))))
 
-    odds = with_odds(to_sources(rows, sources.select("source", "_c")))
-    odds = materialize(odds.select("source", "size", "doc_id", "_base", "_q"), "mix-odds")
-    certain = odds.groupBy("source").agg(F.sum(F.col("size") * F.col("_base")).alias("_certain"))
+    odds = with_odds(to_sources(rows.withColumn("_src", _name(F.col("source"))), sources.select("_src", "_c")))
+    odds = materialize(odds.select("_src", "size", "doc_id", "_base", "_q"), "mix-odds")
+    of = Window.partitionBy("_src")
+    certain = odds.groupBy("_src").agg(F.sum(F.col("size") * F.col("_base")).alias("_certain"))
     # _room: words that are left for the drawn. The cell in which they run out holds the cut-off; sources without one take all.
-    edge = to_sources(sources, certain).select("source", (F.col("target") - F.col("_certain")).alias("_room"))
+    edge = sources.join(certain, "_src").select("_src", (F.col("target") - F.col("_certain")).alias("_room"))
     place = F.col("_q") / (1 + F.col("_q"))
     at_edge = odds.filter("_q is not null").withColumn("_x", place).drop("_base")
-    edge = edge.withColumn("_low", F.lit(0.0))
+    edge = materialize(edge.withColumn("_low", F.lit(0.0)), "mix-edges")
     for depth in range(1, DEPTH + 1):
         width = float(CELLS) ** -depth
         met = to_sources(at_edge, edge).filter((F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + width * CELLS))
-        cells = met.groupBy("source", F.floor(F.col("_x") / width).alias("_cell")).agg(F.sum("size").alias("_s"), F.first("_room").alias("_room"))
+        cells = met.groupBy("_src", F.floor(F.col("_x") / width).alias("_cell")).agg(F.sum("size").alias("_s"), F.first("_room").alias("_room"))
         up_to = of.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.withColumn("_to", F.sum("_s").over(up_to)).filter(F.col("_to") > F.col("_room"))
-        edge = materialize(cells.groupBy("source").agg(F.min_by(F.struct(
-            (F.col("_cell") * width).alias("low"), (F.col("_room") - F.col("_to") + F.col("_s")).alias("room")), "_cell").alias("_e")).select(
-            "source", F.col("_e.low").alias("_low"), F.col("_e.room").alias("_room")), "mix-edges")
+        edge = cells.groupBy("_src").agg(F.min_by(F.struct(
+            (F.col("_cell") * width).alias("low"), (F.col("_room") - F.col("_to") + F.col("_s")).alias("room")), "_cell").alias("_e"))
+        edge = materialize(completed(edge.select("_src", F.col("_e.low").alias("_low"), F.col("_e.room").alias("_room"))), "mix-edges")
 
     last = to_sources(at_edge, edge).filter((F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + float(CELLS) ** -DEPTH))
     through = of.orderBy("_q", key).rowsBetween(Window.unboundedPreceding, 0)
     cut = last.withColumn("_to", F.sum("size").over(through)).filter(F.col("_to") - F.col("size") / 2 <= F.col("_room"))
-    cut = cut.groupBy("source").agg(F.max(F.struct(F.col("_q"), key.alias("k"))).alias("_cut"))
-    final = materialize(to_sources(to_sources(sources, edge.select("source", "_low")), cut), "mix-cuts")
+    cut = cut.groupBy("_src").agg(F.max(F.struct(F.col("_q"), key.alias("k"))).alias("_cut"))
+    final = sources.drop("source", "n").join(edge.select("_src", "_low"), "_src").join(completed(cut), "_src")
+    final = materialize(final, "mix-cuts")
 
-    out = with_odds(to_sources(drawn, final)).withColumn("_x", place)
+    out = with_odds(to_sources(drawn.withColumn("_src", _name(F.col("source"))), final)).withColumn("_x", place)
     chosen = F.col("_low").isNull() | (F.col("_x") < F.col("_low")) | F.coalesce(F.struct(F.col("_q"), key.alias("k")) <= F.col("_cut"), F.lit(False))
     copies = F.col("_base") + F.when(F.col("_p") > 0, chosen.cast("long")).otherwise(0)
     return unpack(out, docs.columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=copies, taken=copies * F.col("size"))

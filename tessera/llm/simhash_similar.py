@@ -155,11 +155,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     each = materialize(_sets(rows, "text", shingle, ["key", "h"], False), "near-sets")
     sample = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "h")).alias("sample")
-    nodes = each.groupBy("node").agg(sample, F.max("size").alias("size"), F.count("*").alias("n"))
-    nodes = materialize(nodes.select("node", "size", "sample", "n"), "near-nodes")
+    nodes = each.groupBy("node").agg(sample, F.max("size").alias("size"), F.count("*").alias("n"), F.first("more").alias("more"))
+    nodes = materialize(nodes, "near-nodes")
 
     # Each row of a key that has several nodes points at the least of them.
-    keys = each.select("node", F.explode("more").alias("band")).distinct()
+    keys = nodes.select("node", F.explode("more").alias("band"))
+    nodes = nodes.drop("more")
     several = keys.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     several = materialize(several, "near-bands")
     met = join_hot(keys, several.drop("n"), ["band"], several, several.agg(F.sum("n")).first()[0] or 0)
@@ -170,7 +171,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     # The sets of the candidates; a set comes from one row, though others may have its key and text.
     of = chosen.select(F.col("sample.key").alias("key2"), F.col("sample.h").alias("h2"), F.col("node").alias("want"), "root")
-    picked = rows.join(of, F.col("key").eqNullSafe(F.col("key2")) & (F.col("h") == F.col("h2")))
+    picked = rows.join(of.hint("merge"), F.col("key").eqNullSafe(F.col("key2")) & (F.col("h") == F.col("h2")))
     full = _sets(picked.select("text", "want", "root"), "text", shingle, ["want", "root"], True).filter("node = want")
     full = materialize(full.groupBy("node", "root", "size").agg(F.first("more").alias("more")), "near-full")
     full = join_hot(full, totals.drop("n"), ["root"], totals, totals.agg(F.sum("n")).first()[0] or 0)
