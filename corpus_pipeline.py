@@ -49,7 +49,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near = similar_documents(docs.select("doc_id", "text"), 5, 0.8)
     kept = near.filter("first").select(identity(F.col("text_hash")).alias("_id")).distinct()
     rows = pack(docs, "doc_id", "text").select(identity(F.xxhash64("text")).alias("_id"), "__row")
-    return rows.groupBy("_id").agg(F.first("__row").alias("__row")).join(kept, "_id", "left_semi").select("__row.*")
+    return rows.groupBy("_id").agg(F.first("__row").alias("__row")).join(kept.hint("merge"), "_id", "left_semi").select("__row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
