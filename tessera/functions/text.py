@@ -59,10 +59,10 @@ def query_tokens(text: Column) -> Column:
 def expand_queries(queries: DataFrame, triggers: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
     """queries with expanded: the text and the phrases of all triggers (place, trigger, phrase) that it contains.
 
-    The trigger table is a vocabulary of bounded size and is broadcast; each query is tested against each trigger.
+    The trigger table is a vocabulary: each query is tested against each trigger.
     """
     hit = F.contains(F.lower(queries[text]), F.lower(triggers["trigger"]))
-    met = queries.join(F.broadcast(triggers), hit, "left").groupBy(key, text).agg(F.array_sort(F.collect_list(F.when(
+    met = queries.join(triggers, hit, "left").groupBy(key, text).agg(F.array_sort(F.collect_list(F.when(
         F.col("phrase").isNotNull(), F.struct("place", "phrase")))).alias("p"))
     return met.select(key, text, F.concat_ws(" ", F.col(text), F.col("p.phrase")).alias("expanded"))
 
@@ -134,26 +134,37 @@ def without_emoji(text: Column) -> Column:
     return F.regexp_replace(text, f"[{EMOJI}\\n]", "")
 
 
+#: Characters that tell a formula from a price, as a part of a character class.
+FORMULA = r"a-zA-Z\\^_{}+\-()\[\]="
+
+
 def plain_text(markdown: Column) -> Column:
-    """Markdown without its marks; table rows become header = cell lists."""
+    """Markdown without its marks; table rows become header = cell lists, and a table of one row a list of its cells.
+
+    Dollar signs about a formula go, those of prices stay.
+    """
     t = F.regexp_replace(markdown, r"(?s)```.*?```", "")
     lines = F.split(t, "\n")
     is_row = lambda x: x.rlike(r"^\s*\|.*\|\s*$")
     cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    start = F.struct(F.lit(None).cast(STRINGS).alias("head"), empty_strings().alias("out"))
+    start = F.struct(F.lit(None).cast(STRINGS).alias("head"), F.lit(0).alias("rows"), empty_strings().alias("out"))
+    # A header line that no row followed is a row of its own.
+    ended = lambda acc: F.when(acc["head"].isNotNull() & (acc["rows"] == 0), F.array_append(acc["out"], F.array_join(acc["head"], ", "))).otherwise(acc["out"])
 
     def step(acc: Column, x: Column) -> Column:
         dashes = x.rlike(r"^[\s|:-]+$") & F.contains(x, F.lit("-"))
         paired = F.array_join(F.zip_with(acc["head"], cells(x), lambda h, c: F.concat_ws(" = ", h, c)), ", ")
-        return (F.when(~is_row(x), F.struct(F.lit(None).cast(STRINGS).alias("head"), F.array_append(acc["out"], x).alias("out")))
-                .when(acc["head"].isNull(), F.struct(cells(x).alias("head"), acc["out"].alias("out")))
+        return (F.when(~is_row(x), F.struct(F.lit(None).cast(STRINGS).alias("head"), F.lit(0).alias("rows"), F.array_append(ended(acc), x).alias("out")))
+                .when(acc["head"].isNull(), F.struct(cells(x).alias("head"), F.lit(0).alias("rows"), acc["out"].alias("out")))
                 .when(dashes, acc)
-                .otherwise(F.struct(acc["head"].alias("head"), F.array_append(acc["out"], paired).alias("out"))))
+                .otherwise(F.struct(acc["head"].alias("head"), (acc["rows"] + 1).alias("rows"), F.array_append(acc["out"], paired).alias("out"))))
 
-    t = F.array_join(F.aggregate(lines, start, step, lambda acc: acc["out"]), "\n")
+    t = F.array_join(F.aggregate(lines, start, step, ended), "\n")
     for pattern, to in (
         (r"`([^`]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s*", ""),
-        (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), (r"(?s)\$\$?(.*?)\$\$?", "$1"), (r"\n{2,}", "\n"),
+        (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), (r"(?s)\$\$(.*?)\$\$", "$1"),
+        # In order: pairs about anything but a formula are kept by a mark that no text holds, the others lose their signs.
+        (rf"\$([^$\n{FORMULA}]*)\$|\$([^$\n]*)\$", "\u0001$1\u0001$2"), ("\u0001\u0001", ""), ("\u0001", r"\$"), (r"\n{2,}", "\n"),
     ):
         t = F.regexp_replace(t, pattern, to)
     return F.trim(t)
@@ -239,17 +250,68 @@ def midpoint(first: Column, second: Column) -> Column:
     return F.coalesce(F.bround((a + b) / 2, 2), a, b)
 
 
+def hashed_vector(tokens: Column, dimensions: int = 32) -> Column:
+    """A signed bucket for each token by its hash, scaled to length one; all-zero without tokens. Built in place, without a shuffle."""
+    byte = lambda h, k: F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("long")
+
+    def placed(t: Column) -> Column:
+        h = F.sha2(t, 256)
+        index = F.pmod(byte(h, 0) + byte(h, 1) * 256 + byte(h, 2) * 65536 + byte(h, 3) * 16777216, F.lit(dimensions)).cast("int")
+        return F.struct(index.alias("i"), F.when(byte(h, 4) % 2 == 0, 1.0).otherwise(-1.0).alias("v"))
+
+    # From tokens to sums to the scaled vector: each step's array is the variable of the next.
+    sums = lambda pairs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(
+        F.filter(pairs, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["v"]))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda v: F.transform(F.array(F.struct(v.alias("v"), length(v).alias("n"))), lambda s: F.transform(
+        s["v"], lambda x: x / F.when(s["n"] > 0, s["n"]).otherwise(1.0)))
+    steps = F.transform(F.array(F.transform(tokens, placed)), lambda pairs: F.transform(F.array(sums(pairs)), lambda v: F.get(scaled(v), F.lit(0))))
+    return F.coalesce(F.get(F.get(steps, F.lit(0)), F.lit(0)), F.array_repeat(F.lit(0.0), dimensions))
+
+
 def hashed_vectors(rows: DataFrame, key: str, tokens: str, dimensions: int = 32) -> DataFrame:
-    """(key, vector) of token hashes: a signed bucket for each token, scaled to length one; all-zero without tokens.
+    """(key, vector) of hashed_vector."""
+    return rows.select(key, hashed_vector(F.col(tokens), dimensions).alias("vector"))
 
-    The sums go by (key, bucket), so a text of any length is pre-aggregated where it lies.
-    """
-    token = rows.select(key, F.explode(tokens).alias("t")).withColumn("h", F.sha2("t", 256))
-    byte = lambda k: F.conv(F.substring("h", 2 * k + 1, 2), 16, 10).cast("long")
-    index = F.pmod(byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216, F.lit(dimensions)).cast("int")
-    sign = F.when(byte(4) % 2 == 0, 1.0).otherwise(-1.0)
-    sums = token.groupBy(key, index.alias("i")).agg(F.sum(sign).alias("v")).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0))
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    return rows.select(key).join(sums.select(key, dense.alias("vector")), key, "left").select(key, F.coalesce("vector", zeros).alias("vector"))
+
+def page_label(first: Column, last: Column) -> Column:
+    """p.3, or pp.3-5; a missing first page is 1, a missing last page the first."""
+    a = F.when(F.coalesce(first, F.lit(0)) == 0, 1).otherwise(first).cast("int")
+    b = F.when(F.coalesce(last, F.lit(0)) == 0, a).otherwise(last).cast("int")
+    return F.when(a == b, F.concat(F.lit("p."), a)).otherwise(F.concat(F.lit("pp."), a, F.lit("-"), b))
+
+
+def citation(source: Column, first: Column, last: Column, chunk_id: Column) -> Column:
+    """source, its pages, and the chunk in brackets."""
+    return F.concat(source, F.lit(" "), page_label(first, last), F.lit(" ["), chunk_id, F.lit("]"))
+
+
+#: Ends of a title that are stripped, and words by which meals and intent are recognised.
+TITLE_ENDS = "。！？!?.,，；;：: "
+MEALS = (("breakfast", ("breakfast", "早餐", "早饭")), ("lunch", ("lunch", "午餐", "午饭")), ("dinner", ("dinner", "supper", "晚餐", "晚饭")), ("snack", ("snack", "加餐", "夜宵")))
+HYPOTHETICAL = ("如果", "假如", "计划", "打算", "准备", "能不能", "可不可以", "适合吗", "推荐", "建议", "会不会")
+ACTUAL = ("吃了", "喝了", "刚吃", "刚喝", "本餐", "这餐", "这一餐", "早餐", "早饭", "午餐", "午饭", "晚餐", "晚饭", "加餐", "夜宵")
+
+
+def session_title(text: Column, most: int = 40) -> Column:
+    """A text on one line, without punctuation at its end, cut to most characters."""
+    return F.substring(F.regexp_replace(collapse(text), f"[{TITLE_ENDS}]+$", ""), 1, most)
+
+
+def holds_any(text: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)), F.lit(False))
+
+
+def meal_label(text: Column, other: str = "meal") -> Column:
+    """The first meal any of whose words the text holds."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(holds_any(low, words), label) for label, words in MEALS], F.lit(other))
+
+
+def is_actual_intake(text: Column, said: Column | None = None) -> Column:
+    """Whether a sentence tells of food taken: what was said of it outright, else not where it only supposes."""
+    supposed = holds_any(text, HYPOTHETICAL) & ~holds_any(text, ACTUAL)
+    if said is None:
+        return ~supposed
+    word = F.lower(F.trim(said))
+    return F.when(word.isin("true", "1", "yes", "y", "是", "已吃", "记录"), True).when(word.isin("false", "0", "no", "n", "否", "不记录", "假设"), False).otherwise(~supposed)

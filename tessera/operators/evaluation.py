@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.operators.search import small
+
 
 def ranked_measures(cases: DataFrame, results: DataFrame, relevant: DataFrame, key: str = "item_id", item: str = "doc_id", cuts: tuple[int, ...] = (1, 3, 4, 6)) -> DataFrame:
     """Per case of cases: hit@k, reciprocal rank and precision at the last cut; a case without results scores 0."""
@@ -51,3 +54,24 @@ def latency_rollup(runs: DataFrame, service: str, latency: str, ok: Column, sigm
         r = r.join(s, service, "left").withColumn("_ok", F.col("_ok") & (F.abs(F.col(latency) - F.col("_m")) <= sigmas * F.coalesce("_s", F.lit(0.0))))
     per = r.groupBy(service).agg(F.count("*").alias("runs"), F.count_if("_ok").alias("valid"), F.sum(F.when(F.col("_ok"), F.col(latency).cast("decimal(18,4)"))).alias("_t"))
     return per.select(service, "runs", "valid", (F.col("_t").cast("double") / F.col("valid")).alias("mean"), F.when(F.col("valid") < 0.3 * F.col("runs"), "failed").otherwise("ok").alias("state"))
+
+
+def sharing_passages(docs: DataFrame, items: DataFrame, words: int = 10) -> DataFrame:
+    """(item_id, doc_id) where the document holds so many consecutive words of the item (all, where it has fewer), in any case.
+
+    Windows compare by two hashes. The items' windows are broadcast up to a checked count, so windows of documents are
+    dropped where they are made unless an item has them.
+    """
+    def windows(df: DataFrame, key: str, n: Column) -> DataFrame:
+        w = df.select(key, T.matches(F.lower("text"), "[a-z0-9_+-]+").alias("w")).withColumn("n", n).filter((F.col("n") > 0) & (F.size("w") >= F.col("n")))
+        at = w.select(key, "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
+        run = F.array_join(F.slice("w", F.col("i"), F.col("n")), " ")
+        return at.select(key, "n", F.xxhash64(run).alias("h"), F.hash(run).alias("g"))
+
+    own = windows(items, "item_id", F.least(F.size("w"), F.lit(words))).distinct()
+    lengths = [r["n"] for r in own.select("n").distinct().collect()]  # at most words of them
+    hit = None
+    for n in lengths:
+        found = windows(docs, "doc_id", F.lit(n)).join(small(own.filter(F.col("n") == n)), ["n", "h", "g"]).select("item_id", "doc_id")
+        hit = found if hit is None else hit.unionByName(found)
+    return hit.distinct() if hit is not None else items.select("item_id").limit(0).join(docs.select("doc_id").limit(0))

@@ -10,37 +10,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: An ASCII word of a rule, and what separates the parts of one.
+ASCII_WORD, SEPARATORS = r"[a-z0-9_ -]+", r"[_\s-]+"
+
+
+def _plain(text: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(text, F.lit(""))))
+
+
 def _contains(values: Column, word: str) -> Column:
-    """ASCII words match whole, others as substrings; values is an array of strings."""
-    w = word.lower()
-    if re.fullmatch(r"[\x00-\x7f]+", w):
-        return F.exists(values, lambda x: F.lower(x).rlike(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])"))
-    return F.exists(values, lambda x: F.contains(F.lower(x), F.lit(w)))
+    """ASCII words match whole, with _, - and blanks as one separator; others as substrings. values: normalised strings."""
+    if not word:
+        return F.lit(False)
+    if re.fullmatch(ASCII_WORD, word):
+        w = re.escape(re.sub(SEPARATORS, " ", word).strip())
+        return F.exists(values, lambda x: F.trim(F.regexp_replace(x, SEPARATORS, " ")).rlike(rf"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    return F.exists(values, lambda x: F.contains(x, F.lit(word)))
 
 
 def _as_strings(df: DataFrame, field: str) -> Column:
+    """The field's value or values, trimmed and lower-cased; none for a null field."""
     is_list = dict(df.dtypes).get(field.split(".")[0], "").startswith("array")
-    values = F.col(field).cast("array<string>") if is_list else F.array(F.col(field).cast("string"))
-    return F.coalesce(F.array_compact(values), F.array().cast("array<string>"))
+    values = F.col(field).cast("array<string>") if is_list else F.when(F.col(field).isNotNull(), F.array(F.col(field).cast("string")))
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), _plain)
 
 
 def predicate(df: DataFrame, clause: dict[str, Any]) -> Column:
-    """A leaf: field (dotted), op and value."""
-    field, op, value = clause["field"], clause["op"], clause.get("value")
-    words = [str(v) for v in (value if isinstance(value, list) else [value])]
+    """A leaf: field (dotted), operator and values; op and value are taken too.
+
+    Both sides are trimmed and in lower case. equals holds where the field, or an empty text for a null one, is among the
+    values; numbers compare with the first value, and what is no number compares false.
+    """
+    field, op = clause["field"], clause.get("operator", clause.get("op"))
+    value = clause.get("values", clause.get("value"))
+    words = [str(v if v is not None else "").strip().lower() for v in (value if isinstance(value, list) else [value])]
     if op == "exists":
         return F.col(field).isNotNull()
     if op == "equals":
-        return F.coalesce(F.col(field).cast("string") == F.lit(str(value)), F.lit(False))
+        return _plain(F.col(field).cast("string")).isin(words)
     if op in ("contains_any", "contains_all"):
         values = _as_strings(df, field)
         join = (lambda a, b: a | b) if op == "contains_any" else (lambda a, b: a & b)
-        return reduce(join, [_contains(values, w) for w in words])
-    number = F.col(field).cast("string").try_cast("double")
+        return reduce(join, [_contains(values, w) for w in words], F.lit(op == "contains_all"))
+    number, bound = F.col(field).cast("string").try_cast("double"), F.lit(words[0] if words else None).try_cast("double")
     if op == "greater_than":
-        return F.coalesce(number > float(value), F.lit(False))
+        return F.coalesce(number > bound, F.lit(False))
     if op == "less_than":
-        return F.coalesce(number < float(value), F.lit(False))
+        return F.coalesce(number < bound, F.lit(False))
     raise ValueError(f"unknown operator {op}")
 
 
@@ -56,11 +72,14 @@ def condition(df: DataFrame, node: dict[str, Any]) -> Column:
 
 
 def findings(df: DataFrame, key: str, rules: list[dict[str, Any]], group: int = 50) -> DataFrame:
-    """(key, rule_id, severity, message) for each record and rule that holds: one scan, rules in groups of columns."""
+    """(key, rule_id, severity, message) for each record and rule that holds: one scan, rules in groups of columns.
+
+    rules as a rule file has them: rule_id, severity, if and a message, of its own or under then.
+    """
     hits = []
     for at in range(0, len(rules), group):
         hits.append(F.array_compact(F.array(*[F.when(condition(df, r["if"]), F.struct(
-            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"]).alias("message"))) for r in rules[at : at + group]])))
+            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"] if "message" in r else r["then"]["message"]).alias("message"))) for r in rules[at : at + group]])))
     return df.select(key, F.explode(F.concat(*hits)).alias("f")).select(key, "f.*")
 
 

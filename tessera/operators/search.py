@@ -6,10 +6,16 @@ and joined by shuffle beyond it. Candidates are cut by a window per query before
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.scratch import materialize
+
+WORD = "[a-z0-9_+-]+"
 
 #: Query rows up to which the query side is broadcast.
 BROADCAST_ROWS = 100_000
@@ -20,6 +26,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def in_blocks(queries: DataFrame, against: Callable[[DataFrame], DataFrame], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """against(block) for blocks of at most about rows rows of queries, each marked for broadcast: a join on a condition that
+    is no equality holds the queries against all rows, a block at a time."""
+    n = max(1, -(-queries.count() // rows))
+    if n == 1:
+        return against(F.broadcast(queries))
+    block = F.pmod(F.xxhash64(*queries.columns), F.lit(n))
+    return reduce(DataFrame.unionByName, [against(F.broadcast(queries.filter(block == k))) for k in range(n)])
+
+
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", boost: int = 0) -> DataFrame:
     """(tok, key, tf): words of each document and how often they occur; boost is added to every count."""
     words = docs.select(key, F.explode(T.matches(F.lower(F.col(text)), "[a-z0-9_+-]+")).alias("tok"))
@@ -39,44 +55,54 @@ def rank_per(df: DataFrame, key: str, order: list[Column], n: int, name: str = "
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 40, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(item_id, doc_id, score, rank, lexical): lexical is the inverse of the rank, which fusion uses.
 
-    Lengths take one pass over the corpus; only postings of query tokens are joined.
+    Words that are in no query are dropped where they are read, so only postings of query tokens are shuffled, each with
+    its document's length.
     """
-    p = postings(docs)
-    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.avg("dl").alias("avg"), F.count("*").alias("n")).first()
-    n, mean = stats["n"], stats["avg"] or 1.0
     terms = query_terms(queries)
-    hit = p.join(small(terms.select("tok").distinct()), "tok", "left_semi")
-    df = hit.groupBy("tok").agg(F.count("*").alias("df"))
+    low = F.lower("text")
+    stats = docs.select(F.regexp_count(low, F.lit(WORD)).alias("dl")).filter("dl > 0").agg(F.avg("dl").alias("avg"), F.count("*").alias("n")).first()
+    n, mean = stats["n"], stats["avg"] or 1.0
+    words = docs.select("doc_id", T.matches(low, WORD).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("tok"))
+    hit = words.join(small(terms.select("tok").distinct()), "tok", "left_semi").groupBy("tok", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    hit = materialize(hit, "hits")
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    terms = terms.join(df.select("tok", idf.alias("idf")), "tok")
+    terms = terms.join(hit.groupBy("tok").agg(F.count("*").alias("df")).select("tok", idf.alias("idf")), "tok")
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scored = hit.join(lengths, "doc_id").select("tok", "doc_id", norm.alias("w")).join(small(terms), "tok")
+    scored = hit.select("tok", "doc_id", norm.alias("w")).join(small(terms), "tok")
     scored = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("w")), 6).alias("score"))
     return rank_per(scored, "item_id", [F.col("score").desc(), F.col("doc_id")], top).withColumn("lexical", 1.0 / F.col("rank"))
 
 
 def substring_hits(docs: DataFrame, queries: DataFrame, top: int = 40) -> DataFrame:
     """(item_id, doc_id, pos, rank): documents that contain one of a query's first five tokens, by token then document."""
-    terms = query_terms(queries, first=5)
-    hit = docs.select("doc_id", F.lower("text").alias("t")).join(F.broadcast(terms) if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms, F.contains("t", "tok"))
+    low = docs.select("doc_id", F.lower("text").alias("t"))
+    hit = in_blocks(query_terms(queries, first=5), lambda terms: low.join(terms, F.contains("t", "tok")).select("item_id", "doc_id", "pos"))
     first = hit.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos"))
     return rank_per(first, "item_id", [F.col("pos"), F.col("doc_id")], top)
 
 
-def vector_top(corpus: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+def vector_top(corpus: DataFrame, queries: DataFrame, top: int = 10, dimensions: int | None = None) -> DataFrame:
     """(query_id, vec_id, vector, rank) by cosine, shown as (cosine + 1) / 2, at least 0; other dimensions don't match.
 
-    Norms are computed once a vector. Every query is held against the whole corpus, exactly; queries are broadcast in
-    blocks by their checked count, and the corpus is only filtered and projected.
+    Norms are computed once a vector. Every query is held against the whole corpus, exactly, in blocks of broadcast
+    queries; the corpus is only filtered and projected. With dimensions given, other vectors are left out and products
+    are written out, which compiles.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    def dot(a: Column, b: Column) -> Column:
+        if dimensions:
+            return reduce(lambda s, i: s + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double"), range(dimensions), F.lit(0.0))
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
     norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    if dimensions:
+        corpus, queries = corpus.filter(F.size("embedding") == dimensions), queries.filter(F.size("embedding") == dimensions)
     c = corpus.select("vec_id", "embedding", norm("embedding").alias("cn"))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
-    pairs = c.join(small(q), F.size("embedding") == F.size("qv"))
     cos = F.when(F.col("cn") * F.col("qn") > 0, dot(F.col("embedding"), F.col("qv")) / (F.col("cn") * F.col("qn"))).otherwise(0.0)
-    scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), (cos + 1) / 2), 6).alias("vector"))
+    score = F.round(F.greatest(F.lit(0.0), (cos + 1) / 2), 6).alias("vector")
+    # A condition that is no equality keeps the join a broadcast of the queries, never a shuffle by the one number of dimensions.
+    same = (F.size("embedding") >= F.size("qv")) & (F.size("embedding") <= F.size("qv"))
+    scored = in_blocks(q, lambda block: c.join(block, same).select("query_id", "vec_id", score))
     return rank_per(scored, "query_id", [F.col("vector").desc(), F.col("vec_id")], top)
 
 
@@ -100,7 +126,7 @@ def diverse_top(candidates: DataFrame, key: str, top: int = 6, most: float = 0.8
     At most a few dozen candidates a query reach this fold.
     """
     item = F.struct((-F.col("score")).alias("s"), "doc_id", "tokens")
-    held = "array<struct<s:double,doc_id:bigint,tokens:array<string>>>"
+    held = f"array<struct<s:double,doc_id:{dict(candidates.dtypes)['doc_id']},tokens:array<string>>>"
     kept = F.aggregate(
         F.array_sort(F.collect_list(item)), F.array().cast(held),
         lambda a, x: F.when((F.size(a) < top) & ~F.exists(a, lambda y: T.jaccard(x["tokens"], y["tokens"]) > most), F.array_append(a, x)).otherwise(a))
@@ -108,15 +134,22 @@ def diverse_top(candidates: DataFrame, key: str, top: int = 6, most: float = 0.8
     return out.select(key, (F.col("place") + 1).alias("place"), F.col("x.doc_id").alias("doc_id"), (-F.col("x.s")).alias("score"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, rules: list[tuple[str, str, float]], top: int = 6, candidates: int = 40, dimensions: int = 32) -> DataFrame:
-    """Lexical and hashed-vector candidates, fused, rescored and filtered for redundancy."""
-    lexical = bm25(docs, queries, candidates)
-    corpus = T.hashed_vectors(docs.select("doc_id", T.index_tokens(F.col("text")).alias("t")), "doc_id", "t", dimensions)
-    asked = T.hashed_vectors(queries.select("item_id", T.index_tokens(F.col("text")).alias("t")), "item_id", "t", dimensions)
-    near = vector_top(corpus.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding")),
-                      asked.select(F.col("item_id").alias("vec_id"), F.col("vector").alias("embedding")), candidates)
+def hybrid(chunks: DataFrame, queries: DataFrame, rules: list[tuple[str, str, float]], triggers: DataFrame | None = None, top: int = 6, candidates: int = 40, dimensions: int = 32) -> DataFrame:
+    """The best chunks (doc_id, text; doc_id names the chunk) for each query (item_id, text), by place.
+
+    Queries are expanded by the triggers, lexical and hashed-vector candidates fused, rescored and filtered for
+    redundancy. Tokens and vectors are of whole chunks as far as the cap of index_tokens, which is made for chunks,
+    goes. Chunks are used several times: pass a written table.
+    """
+    if triggers is not None:
+        queries = T.expand_queries(queries, small(triggers)).select("item_id", F.col("expanded").alias("text"))
+    queries = materialize(queries.select("item_id", "text"), "queries")
+    lexical = bm25(chunks, queries, candidates)
+    vector_of = T.hashed_vector(T.index_tokens(F.col("text")), dimensions).alias("embedding")
+    corpus = materialize(chunks.select(F.col("doc_id").alias("vec_id"), vector_of), "chunk-vectors")
+    near = vector_top(corpus, materialize(queries.select(F.col("item_id").alias("vec_id"), vector_of), "query-vectors"), candidates, dimensions)
     vector = near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "vector")
-    fused = fuse(lexical, vector, ["item_id", "doc_id"]).join(docs.select("doc_id", "text"), "doc_id")
+    fused = fuse(lexical, vector, ["item_id", "doc_id"]).join(chunks.select("doc_id", "text"), "doc_id")
     scored = fused.withColumn("score", rescored(F.col("score"), F.col("text"), rules)).withColumn("tokens", T.index_tokens(F.col("text")))
     return diverse_top(scored.select("item_id", "doc_id", "score", "tokens"), "item_id", top)
 
@@ -142,6 +175,7 @@ def idf_rank(docs: DataFrame, queries: DataFrame, fields: dict[str, float], top:
 
 
 def token_weight(token: Column) -> Column:
+    # The weights of the kinds of tokens.
     return (F.when(token.rlike(r"\d"), 4.0).when(token.isin("bmi", "met"), 5.0).when(token.rlike(r"^[a-z0-9_.+-]+$"), 2.5)
             .when(F.length(token) >= 3, 3.0).otherwise(1.6))
 
@@ -151,8 +185,8 @@ def structured_search(records: DataFrame, queries: DataFrame, top: int = 10) ->
     most four, weighted by its kind; a title that equals a token gets 40 more, one that contains one 18."""
     r = records.groupBy("type", "id").agg(F.max("title").alias("title"), F.max("search_text").alias("search_text"))
     t = F.lower("search_text")
-    pairs = r.select("type", "id", F.lower("title").alias("title"), t.alias("t")).join(
-        small(query_tokens_of(queries)), F.contains("t", "tok"))
+    r = r.select("type", "id", F.lower("title").alias("title"), t.alias("t"))
+    pairs = in_blocks(query_tokens_of(queries), lambda tokens: r.join(tokens, F.contains("t", "tok")))
     count = F.least((F.length("t") - F.length(F.replace("t", "tok", F.lit("")))) / F.length("tok"), F.lit(4.0))
     bonus = F.when(F.col("title") == F.col("tok"), 40.0).when(F.contains("title", "tok"), 18.0).otherwise(0.0)
     scored = pairs.groupBy("item_id", "type", "id").agg(F.round(F.sum(count * token_weight(F.col("tok"))) + F.max(bonus), 4).alias("score"))
@@ -184,8 +218,8 @@ def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, to
     exact = q.join(c, F.lower("q") == F.col("name")).select("q", "id", "name", "source_tier", F.lit(0).alias("tier"))
     alias = q.join(aliases.select(F.lower("alias").alias("alias"), "id"), F.lower("q") == F.col("alias")).join(c, "id").select("q", "id", "name", "source_tier", F.lit(1).alias("tier"))
     rest = q.join(exact.select("q").unionByName(alias.select("q")).distinct(), "q", "left_anti")
-    like = c.join(small(rest), F.contains("name", F.lower("q"))).select(
-        "q", "id", "name", "source_tier", F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier"))
+    like = in_blocks(rest, lambda block: c.join(block, F.contains("name", F.lower("q"))).select(
+        "q", "id", "name", "source_tier", F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier")))
     found = exact.unionByName(alias).unionByName(like).groupBy("q", "id").agg(F.min("tier").alias("tier"), F.min("source_tier").alias("source_tier"), F.min("name").alias("name"))
     return rank_per(found, "q", [F.col("tier"), F.col("source_tier"), F.length("name"), F.col("id")], top)
 
@@ -198,13 +232,21 @@ def recall_memories(memories: DataFrame, asked: DataFrame, top: int = 6, least:
     return rank_per(m.select("user_id", "id", "layer", "score"), "user_id", [F.col("score").desc(), F.col("id")], top)
 
 
-def fuzzy_match(names: DataFrame, catalogue: DataFrame, least: float = 0.4, block: int = 3) -> DataFrame:
+def fuzzy_match(names: DataFrame, catalogue: DataFrame, least: float = 0.4) -> DataFrame:
     """The best catalogue name (id, name) for each name (q): 1 - edit distance / longer length, at least the floor.
 
-    Names are compared within blocks of equal first letters, which bounds the pairs at scale.
+    Every name is held against every different name of the catalogue, in blocks of broadcast names; only lengths that
+    can't reach the floor are passed over.
     """
-    q = names.select("q", F.lower(F.substring("q", 1, block)).alias("b")).distinct()
-    c = catalogue.select("id", "name", F.lower(F.substring("name", 1, block)).alias("b"))
-    ratio = 1 - F.levenshtein("q", "name") / F.greatest(F.length("q"), F.length("name"))
-    found = q.join(c, "b").withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= least)
-    return rank_per(found, "q", [F.col("ratio").desc(), F.col("name"), F.col("id")], 1).select("q", "id", "name", "ratio")
+    c = catalogue.groupBy("name").agg(F.min("id").alias("id"))
+    longer = F.greatest(F.length("q"), F.length("name"))
+    fits = F.least(F.length("q"), F.length("name")) >= F.lit(least) * longer
+    ratio = F.round(1 - F.levenshtein("q", "name") / longer, 6)
+
+    def against(block: DataFrame) -> DataFrame:
+        return c.join(block, fits).select("q", "id", "name", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+
+    found = in_blocks(names.select("q").distinct(), against)
+    # The best is found by partial aggregation: no name gathers its candidates.
+    best = found.groupBy("q").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "name", "id")).alias("b"))
+    return best.select("q", "b.id", "b.name", (-F.col("b.r")).alias("ratio"))

@@ -136,10 +136,12 @@ def d13(spark, sf_dir):
 
 
 @query("d14_block_texts", f"""
-WITH {PAGES}, n AS (SELECT doc_id FROM pg GROUP BY doc_id HAVING count(*) >= 3)
-SELECT pg.doc_id, 2 AS first, 3 AS last, md5(string_agg('[page ' || page || ']' || chr(10) || text, chr(10) ORDER BY page)) AS text_md5 FROM pg JOIN n ON pg.doc_id = n.doc_id WHERE page BETWEEN 2 AND 3 GROUP BY pg.doc_id""")
+WITH {PAGES} SELECT doc_id, min(page) AS first, max(page) AS last, md5(string_agg('[page ' || page || ']' || chr(10) || text, chr(10) ORDER BY page)) AS text_md5 FROM pg GROUP BY doc_id, (page + 1) // 2""")
 def d14(spark, sf_dir):
-    return D.block_texts(pages(spark, sf_dir), blocks(spark, sf_dir)).select("doc_id", "first", "last", F.md5("block_text").alias("text_md5"))
+    """Every two pages are a block."""
+    p = pages(spark, sf_dir)
+    pairs = p.groupBy("doc_id", F.floor((F.col("page") + 1) / 2).alias("b")).agg(F.min("page").alias("first"), F.max("page").alias("last")).drop("b")
+    return D.block_texts(p, pairs).select("doc_id", "first", "last", F.md5("block_text").alias("text_md5"))
 
 
 @query("d15_publish_gate", """

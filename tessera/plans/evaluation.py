@@ -1,4 +1,4 @@
-"""Queries over evaluation: a document is relevant to a benchmark text if it holds a passage of it."""
+"""Queries over evaluation: a document is relevant to a benchmark text if it holds ten words of it in a row."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation as V
 from tessera.operators import search as S
 from tessera.plans.registry import query, table
-from tessera.plans.search import BM25
+from tessera.plans.search import BM25, WORDS
 
-MEASURED = f"""{BM25}, rel AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))),
+MEASURED = f"""{BM25}, bw AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bw)),
+dw AS (SELECT doc_id, {WORDS} AS w FROM documents),
+rel AS (SELECT DISTINCT item_id, doc_id FROM (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)) x JOIN iw ON iw.n = x.n AND iw.s = x.s),
 h AS (SELECT bm.item_id, min(rank) FILTER (rel.doc_id IS NOT NULL) AS first, count(rel.doc_id) AS found FROM bm LEFT JOIN rel ON rel.item_id = bm.item_id AND rel.doc_id = bm.doc_id WHERE rank <= 6 GROUP BY 1),
 e AS (SELECT b.item_id, coalesce(first <= 1, false) AS hit_1, coalesce(first <= 3, false) AS hit_3, coalesce(first <= 4, false) AS hit_4, coalesce(first <= 6, false) AS hit_6, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(found, 0) / 6, 6) AS precision
   FROM benchmark b LEFT JOIN h ON h.item_id = b.item_id)"""
@@ -17,9 +20,7 @@ e AS (SELECT b.item_id, coalesce(first <= 1, false) AS hit_1, coalesce(first <=
 
 def measured(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    passages = asked.select("item_id", F.substring("text", 1, 60).alias("passage"))
-    relevant = docs.select("doc_id", "text").join(S.small(passages), F.contains("text", "passage")).select("item_id", "doc_id")
-    return V.ranked_measures(asked, S.bm25(docs, asked, 6), relevant)
+    return V.ranked_measures(asked, S.bm25(docs, asked, 6), V.sharing_passages(docs, asked))
 
 
 def cases(spark, sf_dir):

@@ -35,12 +35,15 @@ def k1(spark, sf_dir):
 
 
 @query("k2_predicates", r"""
-SELECT p_partkey, regexp_matches(lower(p_name), '(^|[^a-z0-9])red([^a-z0-9]|$)') AS whole_word, true AS has_size, p_size < 10 AS small, p_brand = 'Brand#11' AS equal FROM part""")
+SELECT p_partkey, regexp_matches(lower(p_name), '(^|[^a-z0-9])red([^a-z0-9]|$)') AS whole_word, true AS has_size, p_size < 10 AS small, p_brand IN ('Brand#11', 'Brand#22') AS equal,
+  regexp_matches(regexp_replace(lower(p_type), '[_\s-]+', ' ', 'g'), '(^|[^a-z0-9])' || 'economy' || '([^a-z0-9]|$)') AND regexp_matches(lower(p_name), '(^|[^a-z0-9])red([^a-z0-9]|$)') AS both FROM part""")
 def k2(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    leaf = lambda f, op, v=None: K.predicate(p, {"field": f, "op": op, "value": v})
-    return p.select("p_partkey", leaf("p_name", "contains_any", ["red"]).alias("whole_word"), leaf("p_size", "exists").alias("has_size"),
-                    leaf("p_size", "less_than", 10).alias("small"), leaf("p_brand", "equals", "Brand#11").alias("equal"))
+    p = p.withColumn("words", F.array("p_type", "p_name"))
+    leaf = lambda f, op, *v: K.predicate(p, {"field": f, "operator": op, "values": list(v)})
+    return p.select("p_partkey", leaf("p_name", "contains_any", "Red ").alias("whole_word"), leaf("p_size", "exists").alias("has_size"),
+                    leaf("p_size", "less_than", 10).alias("small"), leaf("p_brand", "equals", "brand#11", " Brand#22").alias("equal"),
+                    leaf("words", "contains_all", "economy", "red").alias("both"))
 
 
 @query("k3_context", "SELECT c_custkey, list_sort(list_distinct(list_concat([lower(c_mktsegment)], list(DISTINCT lower(o_orderpriority)) FILTER (o_orderpriority IS NOT NULL))))::VARCHAR AS context FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment")

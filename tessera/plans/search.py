@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import documents as D
 from tessera.operators import search as S
+from tessera.plans.documents import units
 from tessera.plans.registry import ordered_distinct, query, rows, table
+from tessera.sources.scratch import materialize
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9_+-]+')"
 POSTINGS = f"p AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS tok FROM documents) GROUP BY doc_id, tok)"
@@ -44,31 +47,48 @@ def r3(spark, sf_dir):
     return S.substring_hits(docs(spark, sf_dir), asked(spark, sf_dir)).select("item_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"))
 
 
-VECTORS = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20), c AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id >= 20),
+VECTORS = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id, label, embedding FROM embeddings),
 s AS (SELECT query_id, vec_id, label, round(greatest(0, (list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) + 1) / 2), 6) AS vector FROM q, c),
 vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, vec_id) AS rank FROM s)"""
 
 
-def vectors(spark, sf_dir, top=10):
+@query("r4_vector", f"WITH {VECTORS} SELECT query_id, vec_id, vector, rank FROM vt WHERE rank <= 10")
+def r4(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return S.vector_top(e.filter("vec_id >= 20"), e.filter("vec_id < 20"), top)
+    return S.vector_top(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "vector", F.col("rank").cast("long").alias("rank"))
 
 
-@query("r4_vector", f"WITH {VECTORS} SELECT query_id, vec_id, vector, rank FROM vt WHERE rank <= 10")
-def r4(spark, sf_dir):
-    return vectors(spark, sf_dir).select("query_id", "vec_id", "vector", F.col("rank").cast("long").alias("rank"))
+def hashed_sql(name: str, key: str, source: str) -> str:
+    """DuckDB: (key, bucket, v) of the scaled hashed vectors of a table's distinct words, as CTE name."""
+    byte = lambda k: f"CAST('0x' || substr(sha256(tok), {2 * k + 1}, 2) AS BIGINT)"
+    return f"""{name}0 AS (SELECT {key}, ({byte(0)} + {byte(1)} * 256 + {byte(2)} * 65536 + {byte(3)} * 16777216) % 32 AS bucket, sum(CASE WHEN {byte(4)} % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v
+  FROM (SELECT DISTINCT {key}, unnest({WORDS}) AS tok FROM {source}) GROUP BY 1, 2),
+{name} AS (SELECT {key}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}0 WHERE v <> 0)"""
 
 
 @query("r5_fusion", f"""
-WITH {VECTORS}, l AS (SELECT query_id, vec_id, 1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 7919) % 1009, vec_id) AS lexical FROM s),
-m AS (SELECT query_id, vec_id, max(lexical) AS lexical, max(vector) AS vector FROM (SELECT query_id, vec_id, lexical, 0.0 AS vector FROM l WHERE lexical >= 0.1 UNION ALL SELECT query_id, vec_id, 0.0, vector FROM vt WHERE rank <= 10) GROUP BY 1, 2)
-SELECT query_id, vec_id, 0.55::DOUBLE * lexical::DOUBLE + 0.45::DOUBLE * vector AS score FROM m""")
+WITH {BM25}, {hashed_sql('dv', 'doc_id', 'documents')}, {hashed_sql('qv', 'item_id', 'benchmark')},
+cs AS (SELECT item_id, doc_id, sum(dv.v * qv.v) AS c FROM qv JOIN dv ON dv.bucket = qv.bucket GROUP BY 1, 2),
+vs AS (SELECT item_id, doc_id, round(greatest(0, (coalesce(c, 0) + 1) / 2), 6) AS vector FROM benchmark CROSS JOIN documents LEFT JOIN cs USING (item_id, doc_id)),
+vt AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY vector DESC, doc_id) AS rank FROM vs),
+m AS (SELECT item_id, doc_id, max(lexical) AS lexical, max(vector) AS vector FROM (SELECT item_id, doc_id, 1.0::DOUBLE / rank AS lexical, 0.0::DOUBLE AS vector FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 0.0, vector FROM vt WHERE rank <= 10) GROUP BY 1, 2)
+SELECT item_id, doc_id, round(0.55::DOUBLE * lexical + 0.45::DOUBLE * vector, 6) AS score FROM m""")
 def r5(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    pairs = e.filter("vec_id >= 20").select("vec_id").join(F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"))))
-    ranked = S.rank_per(pairs, "query_id", [(F.col("vec_id") * 7919) % 1009, F.col("vec_id")], 10).withColumn("lexical", 1.0 / F.col("rank"))
-    fused = S.fuse(ranked, vectors(spark, sf_dir), ["query_id", "vec_id"])
-    return fused.select("query_id", "vec_id", "score")
+    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
+    vector_of = T.hashed_vector(T.index_tokens(F.col("text"), None)).alias("embedding")
+    near = S.vector_top(d.select(F.col("doc_id").alias("vec_id"), vector_of), q.select(F.col("item_id").alias("vec_id"), vector_of), 10, 32)
+    vector = near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "vector")
+    return S.fuse(S.bm25(d, q, 10), vector, ["item_id", "doc_id"]).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def chunks(spark, sf_dir):
+    """The documents' chunks as search sees them: doc_id names the chunk; a written table."""
+    c = D.chunk_documents(units(spark, sf_dir))
+    return materialize(c.select(F.concat_ws(":", "doc_id", F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("doc_id"), "text"), "chunks")
+
+
+#: (place, trigger, phrase): what a query that holds the trigger is widened by.
+TRIGGERS = [(0, "the", "of the"), (1, "und", "der die das"), (2, "que", "de la"), (3, "tion", "nation")]
 
 
 BOOSTS = [(r"\|", "*", 0.55), ("Licensed", "*", 0.18), ("tion", "+", 0.25)]
@@ -86,14 +106,15 @@ def r6(spark, sf_dir):
 
 @query("r7_diverse_top")
 def r7(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    found = S.bm25(d, asked(spark, sf_dir), 40).join(d.select("doc_id", T.index_tokens(F.col("text")).alias("tokens")), "doc_id")
-    return S.diverse_top(found.select("item_id", "doc_id", F.col("lexical").alias("score"), "tokens"), "item_id")
+    c = chunks(spark, sf_dir)
+    found = S.bm25(c, asked(spark, sf_dir), 40).join(c.select("doc_id", T.index_tokens(F.col("text")).alias("tokens")), "doc_id")
+    return S.diverse_top(found.select("item_id", "doc_id", F.col("lexical").alias("score"), "tokens"), "item_id").withColumnRenamed("doc_id", "chunk_id")
 
 
 @query("r8_hybrid")
 def r8(spark, sf_dir):
-    return S.hybrid(docs(spark, sf_dir), asked(spark, sf_dir), BOOSTS)
+    triggers = rows(spark, "place int, trigger string, phrase string", TRIGGERS)
+    return S.hybrid(chunks(spark, sf_dir), asked(spark, sf_dir), BOOSTS, triggers).withColumnRenamed("doc_id", "chunk_id")
 
 
 @query("r9_idf_rank", f"""
@@ -167,7 +188,7 @@ def r13(spark, sf_dir):
 
 
 @query("r14_tiered_lookup", """
-WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE substr(p_name, 1, 4) END AS q FROM part WHERE p_partkey % 20 = 0),
+WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE substr(p_name, 1, 4) END AS q FROM part WHERE p_partkey % 50 = 0),
 c AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size % 3 AS st, lower(p_brand) AS alias FROM part),
 e AS (SELECT q, id, name, st, 0 AS tier FROM q JOIN c ON lower(q) = name UNION ALL SELECT q, id, name, st, 1 FROM q JOIN c ON lower(q) = alias),
 l AS (SELECT q, id, name, st, CASE WHEN starts_with(name, lower(q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(name, lower(q)) WHERE q NOT IN (SELECT q FROM e)),
@@ -176,21 +197,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, st, length(name
 def r14(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     q = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.substring("p_name", 1, 4))
-    names = p.filter("p_partkey % 20 = 0").select(q.alias("q"))
+    names = p.filter("p_partkey % 50 = 0").select(q.alias("q"))
     catalogue = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 3).alias("source_tier"))
     return S.tiered_lookup(names, catalogue, p.select(F.col("p_brand").alias("alias"), F.col("p_partkey").alias("id"))).select("q", "id", "tier")
 
 
 @query("r15_recall_memories", """
-WITH m AS (SELECT vec_id AS id, vec_id % 10 AS user_id, CASE label % 3 WHEN 0 THEN 'factual' WHEN 1 THEN 'semantic' ELSE 'episodic' END AS layer, (vec_id % 97) / 100.0 AS weight, embedding FROM embeddings WHERE vec_id >= 10),
-q AS (SELECT vec_id AS user_id, embedding AS qe FROM embeddings WHERE vec_id < 10),
+WITH m AS (SELECT vec_id AS id, vec_id // 50 AS user_id, CASE label % 3 WHEN 0 THEN 'factual' WHEN 1 THEN 'semantic' ELSE 'episodic' END AS layer, (vec_id % 97) / 100.0 AS weight, embedding FROM embeddings),
+q AS (SELECT vec_id // 50 AS user_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT m.user_id, id, layer, round(list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]) + weight + CASE layer WHEN 'factual' THEN 0.25 WHEN 'semantic' THEN 0.18 ELSE 0.12 END, 4) AS score FROM m JOIN q ON m.user_id = q.user_id WHERE weight >= 0.1),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS n FROM s) SELECT user_id, id, layer, score FROM r WHERE n <= 6""")
 def r15(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     layer = F.when(F.col("label") % 3 == 0, "factual").when(F.col("label") % 3 == 1, "semantic").otherwise("episodic")
-    m = e.filter("vec_id >= 10").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 10).alias("user_id"), layer.alias("layer"), ((F.col("vec_id") % 97) / 100.0).alias("weight"), "embedding")
-    return S.recall_memories(m, e.filter("vec_id < 10").select(F.col("vec_id").alias("user_id"), "embedding")).select("user_id", "id", "layer", "score")
+    user = F.floor(F.col("vec_id") / 50).alias("user_id")
+    m = e.select(F.col("vec_id").alias("id"), user, layer.alias("layer"), ((F.col("vec_id") % 97) / 100.0).alias("weight"), "embedding")
+    return S.recall_memories(m, e.filter("vec_id % 50 = 0").select(user, "embedding")).select("user_id", "id", "layer", "score")
 
 
 @query("r16_page_relevance", "SELECT l_orderkey, l_linenumber, l_partkey % 20 <= 9 AND l_partkey % 20 + l_linenumber >= 5 AS relevant FROM lineitem")
@@ -201,9 +223,12 @@ def r16(spark, sf_dir):
 
 
 @query("r17_fuzzy_match", """
-WITH q AS (SELECT DISTINCT substr(p_name, 1, 5) || substr(p_name, 7) AS q FROM part), c AS (SELECT p_partkey AS id, p_name AS name FROM part),
-s AS (SELECT q, id, name, round(1 - levenshtein(q, name) / greatest(length(q), length(name)), 6) AS ratio FROM q JOIN c ON lower(substr(q, 1, 3)) = lower(substr(name, 1, 3))),
+WITH q AS (SELECT DISTINCT substr(p_name, 1, CAST(k AS INT)) || substr(p_name, CAST(k AS INT) + 2) AS q FROM (SELECT p_name, (p_partkey // 50) % 8 AS k FROM part WHERE p_partkey % 50 = 0)), c AS (SELECT p_partkey AS id, p_name AS name FROM part),
+s AS (SELECT q, id, name, round(1 - levenshtein(q, name) / greatest(length(q), length(name)), 6) AS ratio FROM q, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ratio DESC, name, id) AS n FROM s WHERE ratio >= 0.4) SELECT q, id, name, ratio FROM r WHERE n = 1""")
 def r17(spark, sf_dir):
+    """Names with a letter left out, its place going from the first to the eighth."""
     p = table(spark, sf_dir, "part")
-    return S.fuzzy_match(p.select(F.concat(F.substring("p_name", 1, 5), F.substring("p_name", 7, 1000)).alias("q")), p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    k = (F.floor(F.col("p_partkey") / 50) % 8).cast("int")
+    named = p.filter("p_partkey % 50 = 0").select(F.concat(F.substring("p_name", F.lit(1), k), F.substring("p_name", k + 2, F.length("p_name"))).alias("q"))
+    return S.fuzzy_match(named, p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))

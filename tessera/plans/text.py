@@ -96,8 +96,9 @@ def t9(spark, sf_dir):
 
 @query("t10_plain_text")
 def t10(spark, sf_dir):
+    """A page with a table, code and a link before each whole text."""
     d = table(spark, sf_dir, "documents")
-    page = F.concat(F.lit("# "), "source", F.lit("\n\n| a | b |\n|---|---|\n| "), "lang", F.lit(" | "), F.col("n_chars"), F.lit(" |\n\n**"), F.substring("text", 1, 40), F.lit("** [x](http://y) `z`"))
+    page = F.concat(F.lit("# "), "source", F.lit("\n\n| a | b |\n|---|---|\n| "), "lang", F.lit(" | "), F.col("n_chars"), F.lit(" |\n\n```\ncode\n```\n**[x](http://y)** `z`\n\n"), F.coalesce("text", F.lit("")))
     return d.select("doc_id", T.plain_text(page).alias("plain"))
 
 
@@ -190,3 +191,40 @@ def t20(spark, sf_dir):
     size, price = F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")
     return p.select("p_partkey", T.midpoint(size, price).alias("mid"), T.midpoint(F.lit("none"), price).alias("one_sided"),
                     T.clamp(size, 0, 5, 30).alias("clamped"), T.clamp(F.lit("x"), 7, 5, 30).alias("fallback"))
+
+
+@query("t21_session_titles", r"""
+WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS t FROM conversations),
+s AS (SELECT conv_id, min_by(t, (turn, t)) FILTER (role = 'user' AND t <> '') AS said, min_by(t, (turn, role, t)) FILTER (t <> '') AS any_, max_by(t, (turn, role, t)) FILTER (t <> '') AS last FROM c GROUP BY conv_id)
+SELECT conv_id, substr(regexp_replace(coalesce(said, any_, ''), '[。！？!?.,，；;：: ]+$', ''), 1, 40) AS title, substr(coalesce(last, ''), 1, 80) AS preview FROM s""")
+def t21(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.collapse(F.col("text")).alias("t"))
+    some = F.col("t") != ""
+    s = c.groupBy("conv_id").agg(
+        F.min(F.when(some & (F.col("role") == "user"), F.struct("turn", "t"))).alias("said"), F.min(F.when(some, F.struct("turn", "role", "t"))).alias("any"),
+        F.max(F.when(some, F.struct("turn", "role", "t"))).alias("last"))
+    return s.select("conv_id", T.session_title(F.coalesce("said.t", "any.t", F.lit(""))).alias("title"), F.substring(F.coalesce("last.t", F.lit("")), 1, 80).alias("preview"))
+
+
+@query("t22_citations", """
+WITH n AS (SELECT doc_id, source, CAST(greatest(ceil(length(coalesce(text, '')) / 1500.0), 1) AS INT) AS n FROM documents),
+p AS (SELECT doc_id, source, n, unnest(range(1, n + 1, 3)) AS a FROM n)
+SELECT doc_id, CAST(a AS INT) AS first, source || ' ' || CASE WHEN least(a + 2, n) = a THEN 'p.' || a ELSE 'pp.' || a || '-' || least(a + 2, n) END || ' [' || doc_id || ':' || a || ']' AS citation FROM p""")
+def t22(spark, sf_dir):
+    """Every three pages of a document, cited."""
+    d = table(spark, sf_dir, "documents")
+    n = F.greatest(F.ceil(F.length(F.coalesce("text", F.lit(""))) / 1500), F.lit(1)).cast("int")
+    p = d.select("doc_id", "source", n.alias("n")).select("doc_id", "source", "n", F.explode(F.expr("sequence(1, n, 3)")).alias("first"))
+    last = F.least(F.col("first") + 2, F.col("n"))
+    return p.select("doc_id", "first", T.citation(F.col("source"), F.col("first"), last, F.concat_ws(":", "doc_id", "first")).alias("citation"))
+
+
+@query("t23_meal_intent", """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') || CASE turn % 6 WHEN 0 THEN ' 如果早餐' WHEN 1 THEN ' Dinner' WHEN 2 THEN ' 准备' WHEN 3 THEN ' 刚吃 supper' WHEN 4 THEN ' 推荐 lunch' ELSE '' END AS t FROM conversations)
+SELECT conv_id, turn, role, CASE WHEN contains(lower(t), 'breakfast') OR contains(t, '早餐') THEN 'breakfast' WHEN contains(lower(t), 'lunch') THEN 'lunch' WHEN contains(lower(t), 'dinner') OR contains(lower(t), 'supper') THEN 'dinner' WHEN contains(lower(t), 'snack') THEN 'snack' ELSE 'meal' END AS meal,
+  NOT ((contains(t, '如果') OR contains(t, '准备') OR contains(t, '推荐')) AND NOT (contains(t, '早餐') OR contains(t, '刚吃'))) AS actual FROM m""")
+def t23(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    more = F.element_at(F.array(*[F.lit(x) for x in (" 如果早餐", " Dinner", " 准备", " 刚吃 supper", " 推荐 lunch", "")]), (F.col("turn") % 6 + 1).cast("int"))
+    t = F.concat(F.coalesce("text", F.lit("")), more)
+    return c.select("conv_id", "turn", "role", T.meal_label(t).alias("meal"), T.is_actual_intake(t).alias("actual"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,15 +17,20 @@ from tessera.sources.tables import upsert
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+#: Files that a drop is written as, and that a batch of the stream takes.
+FILES = 4
+
+
+def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int = FILES) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def in_drops(df: DataFrame, drop: Column, n: int) -> str:
-    """df written as n files in one folder, by the number that drop gives, in order: what a landing folder would get."""
+def in_drops(df: DataFrame, drop: Column, n: int, files: int = FILES) -> str:
+    """df written in n drops of so many files to one folder, by the number that drop gives, in order: what a landing folder
+    would get. A drop of fewer rows than files is filled up with what comes after it."""
     path = new_path(df.sparkSession, "drops")
     for k in range(n):
-        df.filter(drop == k).coalesce(1).write.mode("append").parquet(path)
+        df.filter(drop == k).repartition(files).write.mode("append").parquet(path)
     return path
 
 
@@ -36,23 +42,27 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, created: str | None = None, mode: str = "append") -> DataFrame:
+def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, created: str | None = None, mode: str = "append", path: str | None = None) -> DataFrame:
     """The stream folded into a table by upsert, a version for each batch; a repeated batch writes the same version again.
 
-    With mode update the stream may aggregate: each batch then brings the groups that changed.
+    Batch n reads version n - 1 in the path and writes version n, so nothing is held in the driver and a restart from the same
+    path goes on where it stopped. With mode update the stream may aggregate: each batch then brings the groups that changed.
     """
     spark = stream.sparkSession
-    base, state = new_path(spark, name), new_path(spark, f"{name}-state")
-    versions: list[str] = []
+    path = path or new_path(spark, name)
+    base, state, schema = f"{path}/versions", f"{path}/state", stream.schema
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        old = batch.sparkSession.read.schema(batch.schema).parquet(versions[-1]) if versions else batch.limit(0)
+        old = batch.sparkSession.read.schema(schema).parquet(f"{base}/{epoch - 1}") if epoch else batch.limit(0)
         upsert(old, batch, keys, recency, created).write.mode("overwrite").parquet(f"{base}/{epoch}")
-        if f"{base}/{epoch}" not in versions:
-            versions.append(f"{base}/{epoch}")
 
     stream.writeStream.foreachBatch(fold).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    try:
+        every = spark.read.schema(schema).parquet(f"{base}/*")
+    except AnalysisException:  # no batch has ever come
+        return spark.createDataFrame([], schema)
+    last = every.select(F.max(F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).cast("long"))).first()[0]
+    return spark.read.schema(schema).parquet(f"{base}/{last}") if last is not None else every
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:

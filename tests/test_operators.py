@@ -35,6 +35,35 @@ def test_markdown_to_text(spark):
     assert one(spark, T.plain_text(F.lit(md))) == "Title\nbold and code link\nquote\na = 1, b = 2\nitem"
 
 
+def test_markdown_keeps_one_row_tables_and_prices(spark):
+    assert one(spark, T.plain_text(F.lit("| only | row |\ntext $5, $6 for $a^2$ is $7"))) == "only, row\ntext $5, $6 for a^2 is $7"
+
+
+def test_labels_of_pages_meals_and_intent(spark):
+    assert [one(spark, T.page_label(F.lit(a), F.lit(b))) for a, b in ((3, 3), (3, 5), (None, None), (4, None))] == ["p.3", "pp.3-5", "p.1", "p.4"]
+    assert one(spark, T.citation(F.lit("book"), F.lit(1), F.lit(2), F.lit("c7"))) == "book pp.1-2 [c7]"
+    assert [one(spark, T.meal_label(F.lit(t))) for t in ("My Supper", "早饭吃了", "bread")] == ["dinner", "breakfast", "meal"]
+    assert [one(spark, T.is_actual_intake(F.lit(t))) for t in ("如果吃米饭", "如果早餐吃", "bread")] == [False, True, True]
+    assert one(spark, T.is_actual_intake(F.lit("bread"), F.lit(" No"))) is False
+    assert one(spark, T.session_title(F.lit("  What now?! \n"))) == "What now"
+
+
+def test_fuzzy_match_finds_names_with_any_letter_wrong(spark):
+    names = ["alpha song", "beta song", "gamma ray", "x"]
+    wrong = ["zlpha song", "lpha song", "gamma rya", "bet asong", "qqqqqqqqqq"]
+    out = {r["q"]: r["name"] for r in S.fuzzy_match(spark.createDataFrame([(w,) for w in wrong], "q string"), spark.createDataFrame(list(enumerate(names)), "id long, name string")).collect()}
+    assert out == {"zlpha song": "alpha song", "lpha song": "alpha song", "gamma rya": "gamma ray", "bet asong": "beta song"}
+
+
+def test_queries_in_blocks_are_all_answered(spark):
+    corpus = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(40)] + [(99, [1.0])], "vec_id long, embedding array<double>")
+    whole = S.vector_top(corpus, corpus, 3).orderBy("query_id", "rank").collect()
+    blocked = S.in_blocks(corpus.select(F.col("vec_id").alias("q")), lambda b: corpus.join(b, F.col("vec_id") >= F.col("q")).select("vec_id", "q"), rows=7)
+    assert blocked.count() == sum(1 for i in [*range(40), 99] for j in [*range(40), 99] if j >= i)
+    assert whole == S.vector_top(corpus, corpus, 3).orderBy("query_id", "rank").collect() and len(whole) == 121
+    assert {tuple(r) for r in S.vector_top(corpus, corpus, 3, 3).collect()} == {tuple(r) for r in whole if r["query_id"] != 99}
+
+
 def test_keyword_windows_skip_covered_hits_and_keep_the_budget(spark):
     text = "x" * 100 + "alpha" + "y" * 20 + "beta" + "z" * 400 + "gamma"
     out = one(spark, T.keyword_windows(F.lit(text), ["alpha", "beta", "gamma", "none"], 1000, 10, 50))
@@ -155,6 +184,17 @@ def test_rules_nest_and_missing_fields_are_false(spark):
     assert [r["id"] for r in K.findings(df, "id", [rule]).collect()] == [1]
 
 
+def test_rules_of_a_file_and_its_normalisation(spark):
+    df = spark.createDataFrame([(1, "Low-sodium salt", "Brand", "7"), (2, "lowsodium", "other", "x"), (3, None, None, None), (4, "西柚汁", " BRAND ", "5")], "id long, food string, brand string, n string")
+    leaf = lambda op, f, *v: [r["x"] for r in df.orderBy("id").select(K.predicate(df, {"field": f, "operator": op, "values": list(v)}).alias("x")).collect()]
+    assert leaf("contains_any", "food", "low_sodium  salt", "pomelo") == [True, False, False, False]
+    assert leaf("contains_any", "food", "西柚") == [False, False, False, True]
+    assert leaf("equals", "brand", "x", "brand ") == [True, False, False, True]
+    assert leaf("greater_than", "n", 6) == [True, False, False, False] and leaf("exists", "n") == [True, True, False, True]
+    rule = {"rule_id": "g", "severity": "block", "if": {"all": [{"field": "food", "operator": "contains_any", "values": ["salt"]}]}, "then": {"message": "m"}}
+    assert [tuple(r) for r in K.findings(df, "id", [rule]).collect()] == [(1, "g", "block", "m")]
+
+
 @pytest.mark.parametrize("said,want", [("Yes!", "yes"), ("no", "no"), ("好的", "yes"), ("不可以", "no"), ("I would like to think about it yes", None), ("hm", None)])
 def test_yes_or_no(spark, said, want):
     assert one(spark, K.yes_or_no(F.lit(said))) == want

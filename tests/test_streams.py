@@ -9,7 +9,7 @@ from tessera.streaming import streams as X
 
 def stream(spark, rows, schema, n):
     df = spark.createDataFrame(rows, schema)
-    return X.stream_of(spark, X.in_drops(df, F.col("drop"), n), df.schema)
+    return X.stream_of(spark, X.in_drops(df, F.col("drop"), n, 1), df.schema, 1)
 
 
 def test_late_rows_are_dropped(spark):
