@@ -252,21 +252,22 @@ def midpoint(first: Column, second: Column) -> Column:
 
 def hashed_vector(tokens: Column, dimensions: int = 32) -> Column:
     """A signed bucket for each token by its hash, scaled to length one; all-zero without tokens. Built in place, without a shuffle."""
-    byte = lambda h, k: F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("long")
-
-    def placed(t: Column) -> Column:
+    def code(t: Column) -> Column:
+        """Twice the bucket, by the first four bytes, lowest first; one more where the fifth byte is odd."""
         h = F.sha2(t, 256)
-        index = F.pmod(byte(h, 0) + byte(h, 1) * 256 + byte(h, 2) * 65536 + byte(h, 3) * 16777216, F.lit(dimensions)).cast("int")
-        return F.struct(index.alias("i"), F.when(byte(h, 4) % 2 == 0, 1.0).otherwise(-1.0).alias("v"))
+        low = F.substring(h, 1, 2) if 256 % dimensions == 0 else F.concat(*[F.substring(h, 2 * k + 1, 2) for k in (3, 2, 1, 0)])
+        odd = (F.locate("1", F.translate(F.substring(h, 10, 1), "3579bdf", "1111111")) > 0).cast("int")
+        return (2 * F.pmod(F.conv(low, 16, 10).cast("long"), F.lit(dimensions)).cast("int") + odd).cast("int")
 
-    # From tokens to sums to the scaled vector: each step's array is the variable of the next.
-    sums = lambda pairs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(
-        F.filter(pairs, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["v"]))
+    # Occurrences of a code are what its removal takes away.
+    sums = lambda codes: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (
+        F.size(F.array_remove(codes, 2 * i + 1)) - F.size(F.array_remove(codes, 2 * i))).cast("double"))
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    scaled = lambda v: F.transform(F.array(F.struct(v.alias("v"), length(v).alias("n"))), lambda s: F.transform(
-        s["v"], lambda x: x / F.when(s["n"] > 0, s["n"]).otherwise(1.0)))
-    steps = F.transform(F.array(F.transform(tokens, placed)), lambda pairs: F.transform(F.array(sums(pairs)), lambda v: F.get(scaled(v), F.lit(0))))
-    return F.coalesce(F.get(F.get(steps, F.lit(0)), F.lit(0)), F.array_repeat(F.lit(0.0), dimensions))
+    scaled = lambda s: F.transform(s["v"], lambda x: x / F.when(s["n"] > 0, s["n"]).otherwise(1.0))
+    # From codes to sums to the scaled vector: each step's value is the variable of the next.
+    steps = F.transform(F.array(F.transform(tokens, code)), sums)
+    steps = F.transform(F.transform(steps, lambda v: F.struct(v.alias("v"), length(v).alias("n"))), scaled)
+    return F.coalesce(F.get(steps, F.lit(0)), F.array_repeat(F.lit(0.0), dimensions))
 
 
 def hashed_vectors(rows: DataFrame, key: str, tokens: str, dimensions: int = 32) -> DataFrame:

@@ -81,21 +81,14 @@ def substring_hits(docs: DataFrame, queries: DataFrame, top: int = 40) -> DataFr
     return rank_per(first, "item_id", [F.col("pos"), F.col("doc_id")], top)
 
 
-def vector_top(corpus: DataFrame, queries: DataFrame, top: int = 10, dimensions: int | None = None) -> DataFrame:
+def vector_top(corpus: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, vec_id, vector, rank) by cosine, shown as (cosine + 1) / 2, at least 0; other dimensions don't match.
 
     Norms are computed once a vector. Every query is held against the whole corpus, exactly, in blocks of broadcast
-    queries; the corpus is only filtered and projected. With dimensions given, other vectors are left out and products
-    are written out, which compiles.
+    queries; the corpus is only filtered and projected.
     """
-    def dot(a: Column, b: Column) -> Column:
-        if dimensions:
-            return reduce(lambda s, i: s + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double"), range(dimensions), F.lit(0.0))
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    if dimensions:
-        corpus, queries = corpus.filter(F.size("embedding") == dimensions), queries.filter(F.size("embedding") == dimensions)
     c = corpus.select("vec_id", "embedding", norm("embedding").alias("cn"))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
     cos = F.when(F.col("cn") * F.col("qn") > 0, dot(F.col("embedding"), F.col("qv")) / (F.col("cn") * F.col("qn"))).otherwise(0.0)
@@ -147,7 +140,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, rules: list[tuple[str, str, fl
     lexical = bm25(chunks, queries, candidates)
     vector_of = T.hashed_vector(T.index_tokens(F.col("text")), dimensions).alias("embedding")
     corpus = materialize(chunks.select(F.col("doc_id").alias("vec_id"), vector_of), "chunk-vectors")
-    near = vector_top(corpus, materialize(queries.select(F.col("item_id").alias("vec_id"), vector_of), "query-vectors"), candidates, dimensions)
+    near = vector_top(corpus, materialize(queries.select(F.col("item_id").alias("vec_id"), vector_of), "query-vectors"), candidates)
     vector = near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "vector")
     fused = fuse(lexical, vector, ["item_id", "doc_id"]).join(chunks.select("doc_id", "text"), "doc_id")
     scored = fused.withColumn("score", rescored(F.col("score"), F.col("text"), rules)).withColumn("tokens", T.index_tokens(F.col("text")))

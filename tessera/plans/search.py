@@ -76,7 +76,7 @@ SELECT item_id, doc_id, round(0.55::DOUBLE * lexical + 0.45::DOUBLE * vector, 6)
 def r5(spark, sf_dir):
     d, q = docs(spark, sf_dir), asked(spark, sf_dir)
     vector_of = T.hashed_vector(T.index_tokens(F.col("text"), None)).alias("embedding")
-    near = S.vector_top(d.select(F.col("doc_id").alias("vec_id"), vector_of), q.select(F.col("item_id").alias("vec_id"), vector_of), 10, 32)
+    near = S.vector_top(d.select(F.col("doc_id").alias("vec_id"), vector_of), q.select(F.col("item_id").alias("vec_id"), vector_of), 10)
     vector = near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "vector")
     return S.fuse(S.bm25(d, q, 10), vector, ["item_id", "doc_id"]).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
