@@ -195,15 +195,20 @@ NUMERALS = ("零〇一二两三四五六七八九", "001223456789")
 
 
 def chinese_number(text: Column) -> Column:
-    """A number of numerals with 十 and 点; null for anything else."""
-    whole, part = F.substring_index(text, "点", 1), F.when(F.contains(text, F.lit("点")), F.substring_index(text, "点", -1)).otherwise("")
+    """A number of numerals with 百, 十 and 点; 半 alone or in front is 0.5 and adds a half elsewhere. Null for anything else."""
+    half, said = F.contains(text, F.lit("半")), F.replace(text, F.lit("半"), F.lit(""))
+    whole, part = F.substring_index(said, "点", 1), F.when(F.contains(said, F.lit("点")), F.substring_index(said, "点", -1)).otherwise("")
     digits = lambda x: F.translate(x, *NUMERALS)
-    left, right = F.substring_index(whole, "十", 1), F.substring_index(whole, "十", -1)
+    head = F.when(F.contains(whole, F.lit("百")), F.substring_index(whole, "百", 1))
+    rest = F.substring_index(whole, "百", -1)
+    hundreds = F.when(head.isNull(), 0.0).when(head == "", 100.0).when(digits(head).rlike(r"^\d$"), digits(head).try_cast("double") * 100)
+    left, right = F.substring_index(rest, "十", 1), F.substring_index(rest, "十", -1)
     tens = F.when(left == "", F.lit("1")).otherwise(digits(left))
     ones = F.when(right == "", F.lit("0")).otherwise(digits(right))
-    joined = F.when(F.contains(whole, F.lit("十")), F.concat(tens, ones)).otherwise(digits(whole))
+    joined = F.when(F.contains(rest, F.lit("十")), F.concat(tens, ones)).when(head.isNotNull() & (rest == ""), F.lit("0")).otherwise(digits(rest))
     value = F.concat(joined, F.when(part != "", F.concat(F.lit("."), digits(part))).otherwise(""))
-    return F.when(value.rlike(r"^\d+(\.\d+)?$"), value.try_cast("double"))
+    number = F.when(value.rlike(r"^\d+(\.\d+)?$"), value.try_cast("double")) + hundreds
+    return F.when(F.startswith(text, F.lit("半")), 0.5).otherwise(number + F.when(half, 0.5).otherwise(0.0))
 
 
 def glucose_mmol(value: Column, unit: Column, digits: int = 1) -> Column:

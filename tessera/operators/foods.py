@@ -31,24 +31,37 @@ def threshold_tags(values: dict[str, tuple[Column, float]]) -> Column:
     return F.filter(every, lambda x: x["hit"])
 
 
-#: Chinese and Latin separators of meal items, and the units that follow a quantity.
-SEPARATORS = "[，,、；;+]|\\s+和\\s+|\\band\\b|和"
-UNITS = "g|kg|ml|l|克|毫升|碗|杯|个|份|片|勺|斤|两|piece|cup|bowl|slice"
+#: Separators and joining words of meal items, words of a sentence that name no food, describing words of a
+#: food, numerals and units of a quantity.
+SEPARATORS = r"[，,、。；;+\n]+|以及|还有|另外|外加|再加|加上|搭配|配上|配着|配了|和|\band\b"
+FILLERS = "早餐|早饭|午餐|中饭|晚餐|晚饭|加餐|这一餐|这餐|一餐|我|今天|早上|中午|晚上|刚才|大概|大约|约|吃了|喝了|吃|喝|有"
+DESCRIBING = "一个|一只|一枚|一颗|一份|大份|小份|中等|普通|熟的|生的"
+QUANTITY = r"\d+(?:\.\d+)?|[零〇一二两三四五六七八九十百半]+"
+UNITS = "毫升|ml|公斤|千克|kg|克|g|斤|两|汤匙|茶匙|大勺|小勺|勺子|勺|杯|碗|片|个|只|枚|颗|块|份|根|条|包|袋|盒|瓶|l|piece|cup|bowl|slice"
 
 
 def meal_items(text: Column) -> Column:
-    """(name, quantity, unit) for each item of a meal sentence; a quantity may lead or trail, and is 1 without one."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
+    """(name, quantity, unit) for each item of a meal sentence.
+
+    A quantity is a number with a unit, before or after the name; an item without one counts 1. A fragment with several
+    quantities is cut where each begins, what precedes the first is dropped. Null and empty texts have no items.
+    """
+    number_unit = f"({QUANTITY})\\s*({UNITS}(?![a-z]))"
+    said = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i){SEPARATORS}", "，"), FILLERS, "")
+    marked = lambda x: F.regexp_replace(x, f"(?i){number_unit}", "\x01$1$2")
+    cut = lambda x: F.when(F.regexp_count(x, F.lit(f"(?i){number_unit}")) > 1, F.filter(F.split(marked(x), "\x01"), lambda _, i: i > 0)).otherwise(F.array(x))
+    parts = F.transform(F.flatten(F.transform(F.split(said, "，"), cut)), lambda x: F.trim(x))
 
     def item(x: Column) -> Column:
-        lead, trail = rf"^([\d.]+|[零一二两三四五六七八九十半]+)\s*({UNITS})?\s*(?:of\s+)?(.+)$", rf"^(.+?)\s*([\d.]+|[零一二两三四五六七八九十]+)\s*({UNITS})$"
-        a, b = F.regexp_extract(x, lead, 1), F.regexp_extract(x, trail, 2)
-        number = lambda n: F.coalesce(n.try_cast("double"), F.when(n == "半", 0.5), T.chinese_number(n), F.lit(1.0))
-        made = lambda n, q, u: F.struct(F.trim(n).alias("name"), number(q).alias("quantity"), F.nullif(u, F.lit("")).alias("unit"))
-        return F.when(a != "", made(F.regexp_extract(x, lead, 3), a, F.regexp_extract(x, lead, 2))).when(
-            b != "", made(F.regexp_extract(x, trail, 1), b, F.regexp_extract(x, trail, 3))).otherwise(made(x, F.lit("1"), F.lit("")))
+        lead, trail = f"(?i)^{number_unit}\\s*(?:of\\s+)?(.+)$", f"(?i)^(.+?){number_unit}$"
+        group = lambda p, i: F.regexp_extract(x, p, i)
+        number = lambda n: F.coalesce(n.try_cast("double"), T.chinese_number(n), F.lit(1.0))
+        name = lambda n: F.regexp_replace(F.regexp_replace(n, DESCRIBING, ""), r"^[ 的左右上下约]+|[ 的左右上下约]+$", "")
+        made = lambda n, q, u: F.struct(name(n).alias("name"), number(q).alias("quantity"), F.nullif(u, F.lit("")).alias("unit"))
+        return F.when(group(lead, 1) != "", made(group(lead, 3), group(lead, 1), group(lead, 2))).when(
+            group(trail, 2) != "", made(group(trail, 1), group(trail, 2), group(trail, 3))).otherwise(made(x, F.lit("1"), F.lit("")))
 
-    return F.transform(parts, item)
+    return F.filter(F.transform(F.filter(parts, lambda x: x != ""), item), lambda i: i["name"] != "")
 
 
 def resolved_grams(steps: list[tuple[str, Column]], quantity: Column) -> tuple[Column, Column]:
@@ -106,3 +119,34 @@ def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str], order: l
     w = Window.partitionBy(*keys).orderBy(*order)
     first = incoming.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     return first.join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+#: Grams a millilitre of kinds of drinks, by words in their names.
+DENSITIES = [("oil|油", 0.92), ("milk|yogurt|奶", 1.03), ("juice|汁", 1.04)]
+
+
+def detected_items(items: DataFrame, key: str, densities: list[tuple[str, float]] = DENSITIES) -> DataFrame:
+    """(key, name, grams) of detected items (name, amount, unit): millilitres by the density of the kind, other units as grams."""
+    rules = F.lit(None).cast("decimal(4,2)")
+    for pattern, density in reversed(densities):
+        rules = F.when(F.lower("name").rlike(pattern), F.lit(density).cast("decimal(4,2)")).otherwise(rules)
+    density = F.when(F.col("unit") == "ml", F.coalesce(rules, F.lit(1).cast("decimal(4,2)"))).otherwise(F.lit(1).cast("decimal(4,2)"))
+    return items.select(key, "name", (F.col("amount").cast("decimal(18,2)") * density).alias("grams"))
+
+
+def flag_labels(flags: dict[str, Column]) -> Column:
+    """The names of the flags that hold, in the order given; an unknown flag does not hold."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
+
+
+def portion_string(name: Column, grams: Column) -> Column:
+    """One "name=12.0g" of each distinct pair of a group, in order; an aggregate."""
+    return F.array_join(F.array_sort(F.collect_set(F.concat(name, F.lit("="), grams.cast("double"), F.lit("g")))), "; ")
+
+
+def portions_of(text: Column) -> Column:
+    """(name, grams) of a portion string's parts; parts without a name and a number of grams are passed over."""
+    def part(x: Column) -> Column:
+        return F.struct(F.trim(F.regexp_extract(x, r"^(.+)=", 1)).alias("name"), F.regexp_extract(x, r"=\s*(\d+(?:\.\d+)?)\s*g\s*$", 1).try_cast("double").alias("grams"))
+
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), part), lambda p: p["grams"].isNotNull() & (p["name"] != ""))

@@ -51,6 +51,11 @@ def readings(text: Column, base: Column) -> Column:
     return F.filter(F.transform(clauses, reading), lambda r: r["value"].isNotNull())
 
 
+def bmi(weight_kg: Column, height_cm: Column) -> Column:
+    """Null without a weight or a height above 0."""
+    return F.when(height_cm > 0, weight_kg / F.pow(height_cm / 100, F.lit(2)))
+
+
 def conflict(field: Column, now: Column, proposed: Column) -> Column:
     """Whether a proposed number differs from the present one by more than its field tolerates."""
     diff = F.abs(now - proposed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import documents as D
+from tessera.operators import extraction as X
 from tessera.plans.registry import query, table
 
 PAGES = "pg AS (SELECT doc_id, CAST(i AS INT) AS page, substr(coalesce(text, ''), (i - 1) * 1500 + 1, 1500) AS text FROM (SELECT doc_id, text, unnest(range(1, greatest(CAST(ceil(length(coalesce(text, '')) / 1500.0) AS BIGINT), 1) + 1)) AS i FROM documents))"
@@ -175,32 +176,43 @@ def d17(spark, sf_dir):
     return p.groupBy("topic", "k").agg(F.min("doc_id").alias("d")).groupBy("topic").agg(F.count("*").alias("n_items"), F.min("d").alias("first_doc"), F.max("d").alias("last_doc"))
 
 
+#: DuckDB: the lines of the documents, blanks collapsed, numbered from 0.
+LINES = r"ln AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS l FROM documents)"
+
+
 @query("d18_marker_rows", r"""
-SELECT p_partkey, i AS no, 'row' AS label, CAST(CASE i WHEN 0 THEN p_size ELSE p_retailprice END AS DOUBLE) AS value FROM part, (VALUES (0), (1)) AS v(i)""")
+WITH s AS (SELECT doc_id, text, list_min(list_filter([strpos(text, 'The'), strpos(text, 'Die'), strpos(text, 'Le ')], lambda x: x > 0)) AS b FROM documents),
+c AS (SELECT doc_id, text, b, b + list_min(list_filter([strpos(substr(text, b + 1), 'ing.'), strpos(substr(text, b + 1), 'ung.'), strpos(substr(text, b + 1), 'tion.')], lambda x: x > 0)) AS e FROM s WHERE b > 0),
+l AS (SELECT doc_id, unnest(string_split(sl, chr(10))) AS l, unnest(range(len(string_split(sl, chr(10))))) AS i FROM (SELECT doc_id, substr(text, b, coalesce(e, length(text) + 1) - b) AS sl FROM c)),
+n AS (SELECT doc_id, i, trim(regexp_replace(l, '\s+', ' ', 'g')) AS l FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no FROM n WHERE length(l) >= 4 AND NOT regexp_matches(l, '^(表|食物类别|证型|注|a:|b:)'))
+SELECT doc_id, no, substr(coalesce(nullif(trim(regexp_replace(trim(regexp_extract(l, '^([^0-9]*)', 1), ' |,，、:-'), '^(表\s*[A-Z]?\.\d+|食品|食物|组别|类别|g|kJ|kcal)\s*', '')), ''), 'row'), 1, 80) AS label, md5(l) AS line_md5 FROM k WHERE no < 120""")
 def d18(spark, sf_dir):
-    t = F.format_string("intro\nTABLE START\nrow %d\nrow %s\nTABLE END\nrest 9", "p_size", F.col("p_retailprice").cast("string"))
-    p = table(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
-    inside = F.regexp_extract("t", r"(?s)TABLE START\n(.*?)\nTABLE END", 1)
-    rows = p.select("p_partkey", F.posexplode(F.split(inside, "\n")).alias("no", "line"))
-    return rows.select("p_partkey", "no", F.trim(F.regexp_extract("line", r"^([^\d]*)", 1)).alias("label"), F.regexp_extract("line", r"(\d[\d.]*)", 1).try_cast("double").alias("value"))
+    rows = X.table_rows(X.marker_slice(F.col("text"), ["The", "Die", "Le "], ["ing.", "ung.", "tion."]), "row", False)
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(rows).alias("no", "r"))
+    return d.select("doc_id", F.col("no").cast("long").alias("no"), "r.label", F.md5("r.line").alias("line_md5"))
 
 
-@query("d19_carried_category", "SELECT p_partkey, p_type AS category, p_brand AS name, CAST(p_size AS DOUBLE) AS number FROM part")
+@query("d19_carried_category", rf"""
+WITH {LINES}, c AS (SELECT *, last_value(CASE WHEN NOT regexp_matches(l, '\d') AND length(l) <= 30 THEN l END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no) AS category FROM ln WHERE l <> ''),
+m AS (SELECT doc_id, no, category, unnest(regexp_extract_all(l, '([一-龥A-Za-z0-9（）()\[\]、,，.·%-]{{1,40}})\s+(\d+(?:\.\d+)?)', 1)) AS name, unnest(regexp_extract_all(l, '([一-龥A-Za-z0-9（）()\[\]、,，.·%-]{{1,40}})\s+(\d+(?:\.\d+)?)', 2)) AS number
+  FROM c WHERE regexp_matches(l, '\d') AND NOT regexp_matches(l, '^(表|（单位|b:|a:)')),
+t AS (SELECT doc_id, no AS line, category, trim(name, ' ，,、') AS name, number::DOUBLE AS number FROM m)
+SELECT * FROM t WHERE name <> '' AND name NOT IN ('单位', '食物', '嘌呤', '含量', '类别', '制品', '附录', '数据来源')""")
 def d19(spark, sf_dir):
-    t = F.concat(F.lit("["), "p_type", F.lit("]\n"), "p_brand", F.lit("="), F.col("p_size"))
-    lines = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(t, "\n")).alias("no", "line"))
-    cat = F.nullif(F.regexp_extract("line", r"^\[(.*)\]$", 1), F.lit(""))
-    carried = F.last(cat, ignorenulls=True).over(Window.partitionBy("p_partkey").orderBy("no"))
-    pairs = lines.withColumn("category", carried).filter(F.contains("line", F.lit("=")))
-    return pairs.select("p_partkey", "category", F.substring_index("line", "=", 1).alias("name"), F.substring_index("line", "=", -1).try_cast("double").alias("number"))
+    found = X.carried_pairs(docs(spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), "category", "name", "number")
 
 
-@query("d20_exchange_pairs", "SELECT p_partkey, p_brand AS name, CAST(p_size AS DOUBLE) AS grams FROM part WHERE p_size <> 13")
+@query("d20_exchange_pairs", rf"""
+WITH {LINES}, m AS (SELECT doc_id, no, unnest(range(len(regexp_extract_all(l, '([一-龥A-Za-z0-9、,，（）() ]{{1,70}})\s+(\d{{1,4}})(?:\s|$)', 1)))) AS i, unnest(regexp_extract_all(l, '([一-龥A-Za-z0-9、,，（）() ]{{1,70}})\s+(\d{{1,4}})(?:\s|$)', 1)) AS name, unnest(regexp_extract_all(l, '([一-龥A-Za-z0-9、,，（）() ]{{1,70}})\s+(\d{{1,4}})(?:\s|$)', 2)) AS grams
+  FROM ln WHERE l <> '' AND NOT regexp_matches(l, '^(注|表|食品|食物|g )')),
+t AS (SELECT doc_id, no, i, trim(regexp_replace(name, '\s+', '', 'g'), ',，、|') AS name, grams::DOUBLE AS grams FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, i) AS place FROM t WHERE length(name) >= 2 AND NOT regexp_matches(name, '每份|提供|能量|蛋白质|脂肪|碳水|重量'))
+SELECT doc_id, place - 1 AS place, substr(name, 1, 80) AS name, grams FROM k WHERE place <= 160""")
 def d20(spark, sf_dir):
-    t = F.concat("p_brand", F.lit(" "), F.col("p_size"), F.lit("g; total 13g"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract_all(t, F.lit(r"([A-Za-z#0-9]+) (\d+)g"), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(r"([A-Za-z#0-9]+) (\d+)g"), F.lit(2)).alias("g"))
-    rows = p.select("p_partkey", F.posexplode(F.slice(F.arrays_zip("n", "g"), 1, 160)).alias("no", "x")).filter("x.n <> 'total' and x.g <> '13'")
-    return rows.select("p_partkey", F.col("x.n").alias("name"), F.col("x.g").cast("double").alias("grams"))
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(X.exchange_pairs(F.col("text"))).alias("place", "p"))
+    return d.select("doc_id", F.col("place").cast("long").alias("place"), "p.name", F.col("p.number").alias("grams"))
 
 
 @query("d21_spans", """
@@ -215,14 +227,23 @@ def d21(spark, sf_dir):
     return s.groupBy("doc_id", "span").agg(F.min("no").cast("long").alias("first_line"), F.count("*").alias("n_lines"), F.md5(joined).alias("span_md5"))
 
 
-@query("d22_two_levels", "SELECT p_partkey, p_type AS outer_name, p_brand AS inner_name, CAST(p_size AS VARCHAR) AS size_field FROM part")
+#: A page's headings and bold runs as header lines of two levels, its other tags as line breaks.
+HEADERS = [("<h1[^>]*>", "\n# "), ("<b>", "\n- "), ("<[^>]*>", "\n")]
+
+
+@query("d22_two_levels", r"""
+WITH t AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '<h1[^>]*>', chr(10) || '# ', 'g'), '<b>', chr(10) || '- ', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)) AS x FROM pages),
+l AS (SELECT page_id, unnest(range(len(x))) AS no, unnest(x) AS line FROM t),
+f AS (SELECT *, nullif(regexp_extract(line, '^# (.*)$', 1), '') AS o, nullif(regexp_extract(line, '^- (.*)$', 1), '') AS i FROM l),
+s AS (SELECT *, count(coalesce(o, i)) OVER w AS span, last_value(o IGNORE NULLS) OVER w AS outer_name FROM f WINDOW w AS (PARTITION BY page_id ORDER BY no))
+SELECT page_id, any_value(outer_name) AS outer_name, min_by(CASE WHEN o IS NULL THEN coalesce(i, '') ELSE '' END, no) AS inner_name, min(no) AS first_no, md5(coalesce(string_agg(CASE WHEN coalesce(o, i) IS NULL THEN line END, chr(10) ORDER BY no), '')) AS body_md5 FROM s GROUP BY page_id, span""")
 def d22(spark, sf_dir):
-    t = F.concat(F.lit("== "), "p_type", F.lit("\n-- "), "p_brand", F.lit("\nsize: "), F.col("p_size"), F.lit("\nend"))
-    lines = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(t, "\n")).alias("no", "line"))
-    w = Window.partitionBy("p_partkey").orderBy("no")
-    found = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
-    s = lines.withColumn("outer_name", F.last(found("^== (.*)$"), ignorenulls=True).over(w)).withColumn("inner_name", F.last(found("^-- (.*)$"), ignorenulls=True).over(w))
-    return s.withColumn("size_field", found("^size: (.*)$")).filter("size_field is not null").select("p_partkey", "outer_name", "inner_name", "size_field")
+    t = F.col("html")
+    for pattern, mark in HEADERS:
+        t = F.regexp_replace(t, pattern, mark)
+    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(t, "\n")).alias("no", "line"))
+    s = X.two_levels(lines, "page_id", "^# (.*)$", "^- (.*)$")
+    return s.select("page_id", "outer_name", F.coalesce("inner_name", F.lit("")).alias("inner_name"), F.col("first_no").cast("long").alias("first_no"), F.md5("body").alias("body_md5"))
 
 
 @query("d23_recipe_tree", "SELECT o_orderkey, l_linenumber AS dish_no, l_returnflag AS meal, l_partkey AS ingredient, l_quantity AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -237,12 +258,12 @@ def d23(spark, sf_dir):
     return flat.select("o_orderkey", "dish_no", "meal", F.col("i.l_partkey").alias("ingredient"), F.col("i.l_quantity").alias("amount"))
 
 
-@query("d24_facts", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS energy, round_even((p_size + p_size + 4) / 2.0, 2) AS target FROM part")
+@query("d24_facts", r"""
+WITH m AS (SELECT doc_id, regexp_extract(text, '(?s)(?:the|der|de|la)\D*?([0-9]+(?:\.[0-9]+)?)(?:\s*[～~-]\s*([0-9]+(?:\.[0-9]+)?))?\s*', ['a', 'b']) AS g FROM documents),
+v AS (SELECT doc_id, TRY_CAST(g.a AS DOUBLE) AS a, TRY_CAST(g.b AS DOUBLE) AS b FROM m) SELECT doc_id, coalesce(round_even((a + b) / 2, 2), a) AS value FROM v WHERE a IS NOT NULL""")
 def d24(spark, sf_dir):
-    t = F.concat(F.lit("energy: "), F.col("p_size"), F.lit(" kcal, target "), F.col("p_size"), F.lit("~"), F.col("p_size") + 4, F.lit(" g"))
-    p = table(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
-    e = lambda i, pat: F.regexp_extract("t", pat, i)
-    return p.select("p_partkey", e(1, r"energy: (\d+(?:\.\d+)?)").try_cast("double").alias("energy"), T.midpoint(e(1, r"target (\d+)~(\d+)"), e(2, r"target (\d+)~(\d+)")).alias("target"))
+    d = docs(spark, sf_dir).select("doc_id", X.fact(F.col("text"), "(?:the|der|de|la)", "").alias("value"))
+    return d.filter("value is not null")
 
 
 @query("d25_validated_routes", """
@@ -257,11 +278,11 @@ def d25(spark, sf_dir):
 
 
 @query("d26_review", """
-WITH c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'approved' WHEN doc_id % 7 = 1 THEN 'rejected' ELSE 'pending' END AS status FROM documents) SELECT status, count(*) AS n FROM c GROUP BY status""")
+WITH c AS (SELECT CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN length(trim(coalesce(text, ''))) < 80 THEN 'needs_review' ELSE 'pending' END AS status FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) SELECT status, count(*) AS n FROM c GROUP BY status""")
 def d26(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.lit("pending").alias("status"))
-    decisions = d.filter("doc_id % 7 < 2").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "approved").otherwise("rejected").alias("decision"))
-    return d.join(decisions, "doc_id", "left").select(F.coalesce("decision", "status").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    d = docs(spark, sf_dir).select("doc_id", F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) < 80, "needs_review").otherwise("pending").alias("status"))
+    decision = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved")
+    return X.reviewed(d, table(spark, sf_dir, "labels").select("doc_id", decision.alias("decision")), "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("d27_newest_versions", "SELECT '/wiki/' || source AS parent, lang AS base, lpad(CAST(max(doc_id) AS VARCHAR), 14, '0') AS version FROM documents WHERE doc_id % 5 <> 0 GROUP BY source, lang")
@@ -271,17 +292,18 @@ def d27(spark, sf_dir):
     return D.newest_versions(f).filter("version <> ''").select("parent", "base", "version")
 
 
-@query("d28_title_dedupe", r"SELECT k AS title_key, max(p_partkey) AS p_partkey FROM (SELECT p_partkey, regexp_replace(lower(p_name), '\W+', '', 'g') AS k FROM part) GROUP BY k")
+@query("d28_title_dedupe", r"""
+WITH t AS (SELECT page_id, lower(trim(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\([^)]*\)', ' ', 'g'), '-v\d{14}(?:-\d+)?', ' ', 'g'), '\s+', ' ', 'g')), ' _-')) AS k FROM pages)
+SELECT k AS title_key, max(page_id) AS page_id FROM t WHERE k <> '' GROUP BY k UNION ALL SELECT k, page_id FROM t WHERE k = ''""")
 def d28(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), r"\W+", "").alias("title_key"))
-    return p.groupBy("title_key").agg(F.max("p_partkey").alias("p_partkey"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return X.newest_entries(p, "title", "page_id")
 
 
-@query("d29_sync_set", "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS INT) >= 50")
+@query("d29_sync_set", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def d29(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    meta = F.when(F.get_json_object("props", "$.k").cast("int") < 50, F.concat(F.lit('{"index_id": "'), F.col("event_id"), F.lit('"}'))).otherwise(F.lit("{}"))
-    return e.filter(F.get_json_object(meta, "$.index_id").isNull()).select("event_id")
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return X.unsynced(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
 @query("d30_structured_blocks", f"""

@@ -66,9 +66,10 @@ def f5(spark, sf_dir):
 
 
 @query("f6_meal_items", """
-SELECT p_partkey, v.no, v.name, CASE v.no WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS quantity, v.unit FROM part, (VALUES (0, 'rice', 'g'), (1, 'soup', '碗'), (2, 'tea', NULL)) AS v(no, name, unit)""")
+SELECT p_partkey, v.no, CASE v.no WHEN 2 THEN p_brand ELSE v.name END AS name, CASE v.no WHEN 0 THEN p_size::DOUBLE ELSE v.q END AS quantity, v.unit FROM part,
+  (VALUES (0, 'rice', 'g', 0.0), (1, 'soup', '碗', 2.0), (2, NULL, NULL, 1.0), (3, '饭', '碗', 1.5), (4, '菜', '克', 150.0), (5, '豆', 'kg', 0.5)) AS v(no, name, unit, q)""")
 def f6(spark, sf_dir):
-    said = F.concat(F.col("p_size"), F.lit("g rice，soup 两碗 and tea"))
+    said = F.concat(F.lit("今天吃了"), F.col("p_size"), F.lit("g rice，soup 两碗 and "), "p_brand", F.lit("，一半碗饭搭配一百五十克菜半kg豆"))
     m = part(spark, sf_dir).select("p_partkey", F.posexplode(N.meal_items(said)).alias("no", "i"))
     return m.select("p_partkey", "no", "i.name", "i.quantity", "i.unit")
 
@@ -111,13 +112,13 @@ def f10(spark, sf_dir):
 
 
 @query("f11_detected_items", """
-SELECT l_orderkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 1.03 ELSE l_quantity END)::DOUBLE AS grams_raw, bool_or(p_type LIKE '%STANDARD%') AS sugar_notice
-FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)) AS l_quantity, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+WITH i AS (SELECT l_orderkey, p_type, CAST(l_quantity AS DECIMAL(18,2)) * CASE WHEN l_linenumber % 2 = 1 THEN 1.00 WHEN p_name LIKE '%widget%' THEN 0.92 WHEN p_name LIKE '%gear%' THEN 1.03 ELSE 1.00 END AS grams FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, sum(grams)::DOUBLE AS grams, bool_or(p_type LIKE '%STANDARD%') AS sugar_notice FROM i GROUP BY 1""")
 def f11(spark, sf_dir):
-    x = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("decimal(18,2)").alias("q"))).alias("items"))
-    x = x.select("l_orderkey", F.explode("items").alias("i")).select("l_orderkey", "i.*").join(part(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
-    grams = F.when(F.col("l_linenumber") % 2 == 0, F.col("q") * F.lit(1.03).cast("decimal(4,2)")).otherwise(F.col("q"))
-    return x.groupBy("l_orderkey").agg(F.sum(grams).cast("double").alias("grams_raw"), F.bool_or(F.contains("p_type", F.lit("STANDARD"))).alias("sugar_notice"))
+    x = lines(spark, sf_dir).join(part(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    seen = x.select(F.struct("l_orderkey", "p_type").alias("of"), F.col("p_name").alias("name"), F.col("l_quantity").alias("amount"), F.when(F.col("l_linenumber") % 2 == 0, "ml").otherwise("g").alias("unit"))
+    grams = N.detected_items(seen, "of", [("widget", 0.92), ("gear", 1.03)])
+    return grams.groupBy("of.l_orderkey").agg(F.sum("grams").cast("double").alias("grams"), F.bool_or(F.contains("of.p_type", F.lit("STANDARD"))).alias("sugar_notice"))
 
 
 @query("f12_daily_targets", """
@@ -155,11 +156,10 @@ def f14(spark, sf_dir):
 @query("f15_flag_labels", "SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 25 THEN 'large' END, CASE WHEN p_retailprice < 1200 THEN 'cheap' END, CASE WHEN p_partkey % 2 = 0 THEN 'even' END) AS labels FROM part")
 def f15(spark, sf_dir):
     flags = {"large": F.col("p_size") > 25, "cheap": F.col("p_retailprice") < 1200, "even": F.col("p_partkey") % 2 == 0}
-    return part(spark, sf_dir).select("p_partkey", F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in flags.items()])), ",").alias("labels"))
+    return part(spark, sf_dir).select("p_partkey", F.array_join(N.flag_labels(flags), ",").alias("labels"))
 
 
 @query("f16_portions_read_back", "SELECT DISTINCT p_brand, p_type AS name, CAST(p_size AS DOUBLE) AS grams FROM part")
 def f16(spark, sf_dir):
-    said = F.array_join(F.array_sort(F.collect_set(F.concat("p_type", F.lit("="), F.col("p_size"), F.lit(".0g")))), "; ")
-    b = part(spark, sf_dir).groupBy("p_brand").agg(said.alias("s")).select("p_brand", F.explode(F.split("s", "; ")).alias("x"))
-    return b.select("p_brand", F.regexp_extract("x", "^(.*)=", 1).alias("name"), F.regexp_extract("x", r"=([\d.]+)g$", 1).try_cast("double").alias("grams"))
+    b = part(spark, sf_dir).groupBy("p_brand").agg(N.portion_string(F.col("p_type"), F.col("p_size")).alias("s"))
+    return b.select("p_brand", F.explode(N.portions_of(F.col("s"))).alias("p")).select("p_brand", "p.name", "p.grams")

@@ -41,9 +41,10 @@ def p3(spark, sf_dir):
 
 
 @query("p4_readings", """
-SELECT event_id, v.kind, CASE v.kind WHEN 'fasting' THEN 5.5 ELSE 8.0 END AS value, CAST(ts::DATE - v.back AS VARCHAR) AS "on" FROM events, (VALUES ('fasting', 0), ('post_meal', 1)) AS v(kind, back)""")
+WITH r AS (SELECT event_id, 'fasting' AS kind, floor(value) AS value, ts::DATE AS day FROM events UNION ALL SELECT event_id, 'post_meal', CAST(5 + user_id % 40 AS DOUBLE), ts::DATE - 1 FROM events)
+SELECT event_id, kind, value, CAST(day AS VARCHAR) AS "on" FROM r WHERE value BETWEEN 1 AND 35""")
 def p4(spark, sf_dir):
-    said = F.lit("fasting 5.5 mmol, yesterday after dinner 144 mg/dl; pulse 70; at night 99 mmol")
+    said = F.concat(F.lit("fasting "), F.floor("value"), F.lit(" mmol, yesterday after dinner "), (5 + F.col("user_id") % 40) * 18, F.lit(" mg/dl; pulse 70"))
     r = events(spark, sf_dir).select("event_id", F.explode(P.readings(said, F.col("ts"))).alias("r"))
     return r.select("event_id", "r.kind", "r.value", F.col("r.on").cast("string").alias("on"))
 
@@ -90,7 +91,7 @@ def p8(spark, sf_dir):
 @query("p9_bmi", "SELECT c_custkey, round((50.0 + c_custkey % 45)::DOUBLE / pow((150.0 + c_custkey % 40)::DOUBLE / 100, 2), 4) AS bmi FROM customer")
 def p9(spark, sf_dir):
     k = F.col("c_custkey")
-    return customers(spark, sf_dir).select("c_custkey", F.round((50.0 + k % 45) / F.pow((150.0 + k % 40) / 100, F.lit(2)), 4).alias("bmi"))
+    return customers(spark, sf_dir).select("c_custkey", F.round(P.bmi(50.0 + k % 45, 150.0 + k % 40), 4).alias("bmi"))
 
 
 
