@@ -1,11 +1,10 @@
-"""Named functions for SQL: text expressions as SQL functions, and table functions for LATERAL joins."""
+"""Named functions for SQL: text expressions as SQL functions, and table functions for LATERAL joins. All run in the JVM."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 
 @dataclass(frozen=True)
@@ -22,6 +21,20 @@ FUNCTIONS = [
     SqlFunction("tessera_dedupe_key", "a STRING, b STRING", "STRING", r"regexp_replace(lower(concat_ws(':', a, b)), '\\s+', '')"),
     SqlFunction("tessera_words", "t STRING", "ARRAY<STRING>", "regexp_extract_all(lower(t), '([a-z0-9_+-]+)', 1)"),
     SqlFunction("tessera_jaccard", "a ARRAY<STRING>, b ARRAY<STRING>", "DOUBLE", "coalesce(try_divide(size(array_intersect(a, b)), size(array_union(a, b))), 0D)"),
+    SqlFunction("tessera_normalize", "t STRING", "STRING", r"trim(regexp_replace(regexp_replace(replace(t, '\\r\\n', '\\n'), '[ \\t]+', ' '), '\\n{3,}', '\\n\\n'))"),
+    SqlFunction("tessera_content_id", "t STRING", "STRING", "sha2(t, 256)"),
+    SqlFunction("tessera_midpoint", "a DOUBLE, b DOUBLE", "DOUBLE", "coalesce(bround((a + b) / 2, 2), a, b)"),
+    SqlFunction("tessera_glucose_mmol", "v DOUBLE, unit STRING", "DOUBLE",
+                "CASE WHEN (CASE WHEN lower(trim(unit)) = 'mg/dl' THEN v / 18 ELSE v END) BETWEEN 1 AND 35 THEN bround(CASE WHEN lower(trim(unit)) = 'mg/dl' THEN v / 18 ELSE v END, 1) END"),
+    #: Overlapping pieces of a text; an empty or null text is one empty piece.
+    SqlFunction("tessera_chunks", "t STRING, size INT, overlap INT", "TABLE(no INT, chunk STRING)",
+                "SELECT pos, piece FROM posexplode(transform(sequence(0, greatest(0, length(coalesce(t, '')) - overlap - 1), greatest(1, size - overlap)), "
+                "x -> substr(coalesce(t, ''), x + 1, size))) AS p(pos, piece)"),
+    #: Each clause of a text that has a value with a unit.
+    SqlFunction("tessera_readings", "t STRING", "TABLE(kind STRING, value DOUBLE, unit STRING)",
+                "SELECT CASE WHEN c RLIKE 'fasting|空腹' THEN 'fasting' WHEN c RLIKE 'after|餐后' THEN 'post_meal' ELSE 'random' END, "
+                "try_cast(regexp_extract(c, '([0-9.]+) *(mmol|mg/dl)', 1) AS DOUBLE), regexp_extract(c, '([0-9.]+) *(mmol|mg/dl)', 2) "
+                "FROM explode(split(t, '[,;，；。]')) AS p(c) WHERE c RLIKE '[0-9.]+ *(mmol|mg/dl)'"),
 ]
 
 
@@ -29,16 +42,4 @@ def register_functions(spark: SparkSession) -> list[str]:
     """Declare all functions in the session; returns their names."""
     for f in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f.name}({f.parameters}) RETURNS {f.returns} RETURN {f.body}")
-    spark.udtf.register("tessera_chunks", Chunks)
-    return [f.name for f in FUNCTIONS] + ["tessera_chunks"]
-
-
-@udtf(returnType="no int, chunk string")
-class Chunks:
-    """tessera_chunks(text, size, overlap): overlapping pieces of a text. The expression form in operators.documents is the
-    usual way; this one serves LATERAL joins in SQL."""
-
-    def eval(self, text: str, size: int, overlap: int):
-        step = max(1, size - overlap)
-        for no, at in enumerate(range(0, max(1, len(text or "") - overlap), step)):
-            yield no, (text or "")[at : at + size]
+    return [f.name for f in FUNCTIONS]

@@ -280,6 +280,13 @@ def hashed_vectors(rows: DataFrame, key: str, tokens: str, dimensions: int = 32)
     return rows.select(key, hashed_vector(F.col(tokens), dimensions).alias("vector"))
 
 
+def vector_sum(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, total): the sum of each group's vectors, in double precision, place by place; shorter ones end early."""
+    placed = rows.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("at", "v"))
+    sums = placed.groupBy(key, "at").agg(F.sum("v").alias("v"))
+    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("total"))
+
+
 def page_label(first: Column, last: Column) -> Column:
     """p.3, or pp.3-5; a missing first page is 1, a missing last page the first."""
     a = F.when(F.coalesce(first, F.lit(0)) == 0, 1).otherwise(first).cast("int")

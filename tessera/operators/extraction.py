@@ -74,8 +74,13 @@ def pairs(text: Column, pattern: str) -> Column:
 
 
 def exchange_pairs(text: Column, most: int = 160) -> Column:
-    """(name, number) of foods and the grams of a portion, at most so many a text, without lines and names of captions."""
-    lines = F.filter(_lines(text), lambda x: (x != "") & ~_begins(x, ["注", "表", "食品", "食物", "g "]))
+    """(name, number) of foods and the grams of a portion, at most so many a text, without lines and names of captions.
+
+    A number has at most four digits and a blank or the line's end behind it. A name may hold figures and blanks, so of
+    several numbers in one run the last counts.
+    """
+    # The short pattern first: the long one starts at every character of a line without portions.
+    lines = F.filter(_lines(text), lambda x: x.rlike(r"\s\d{1,4}(\s|$)") & ~_begins(x, ["注", "表", "食品", "食物", "g "]))
     found = F.flatten(F.transform(lines, lambda x: pairs(x, r"([一-龥A-Za-z0-9、,，（）() ]{1,70})\s+(\d{1,4})(?:\s|$)")))
     named = F.transform(found, lambda p: F.struct(
         F.regexp_replace(F.regexp_replace(p["name"], r"\s+", ""), "^[,，、|]+|[,，、|]+$", "").alias("name"), p["number"].alias("number")))
@@ -125,9 +130,9 @@ def ingredients(text: Column) -> Column:
     return F.filter(F.transform(parts, made), lambda i: i["amount"].isNotNull() & ~i["name"].isin("", "主要材料", "材料"))
 
 
-def fact(text: Column, name: str, unit: str) -> Column:
-    """The number that stands between a name and a unit, the middle of a range; null without one."""
-    pattern = rf"(?s){name}\D*?([0-9]+(?:\.[0-9]+)?)(?:\s*[～~-]\s*([0-9]+(?:\.[0-9]+)?))?\s*{unit}"
+def fact(text: Column, name: str, unit: str, reach: int = 40) -> Column:
+    """The first number, with a unit, at most reach characters after a name; the middle of a range; null without one."""
+    pattern = rf"(?s){name}[^0-9]{{0,{reach}}}([0-9]+(?:\.[0-9]+)?)(?:\s*[～~-]\s*([0-9]+(?:\.[0-9]+)?))?\s*{unit}"
     return T.midpoint(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2))
 
 

@@ -186,6 +186,30 @@ def structured_search(records: DataFrame, queries: DataFrame, top: int = 10) ->
     return rank_per(scored.filter("score > 0"), "item_id", [F.col("score").desc(), F.col("type"), F.col("id")], top)
 
 
+#: What an exact, a partial and a textual match of the label, and of the title, adds to a score.
+LABEL_POINTS, TITLE_POINTS = (40.0, 18.0, 30.0), (20.0, 10.0)
+
+
+def adjusted(found: DataFrame, action_words: list[str], rules: list[tuple[str, str, list[str], float, float]]) -> Column:
+    """The score of found (query, type, title, label, text, score) after label, title and topic terms and rules.
+
+    The topic is the query without action_words and blanks; one of fewer than two characters adds nothing. A rule
+    (pattern of the query, pattern of the text, types, times, plus) multiplies and then adds where all three fit; an empty
+    pattern or list fits everything. Rules apply in order. A null label, title or text is empty.
+    """
+    q, title, label, text = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("query", "title", "label", "text"))
+    topic = F.regexp_replace(F.regexp_replace(q, "|".join(action_words) or "$^", ""), r"\s+", "")
+    named, holds = F.length(topic) >= 2, lambda a, b: (b != "") & F.contains(a, b)
+    exact, partial, textual = LABEL_POINTS
+    score = F.col("score") + F.when(~named, 0.0).when(label == topic, exact).when(holds(label, topic) | holds(topic, label), partial).when(holds(text, topic), textual).otherwise(0.0)
+    exact, partial = TITLE_POINTS
+    score = score + F.when(~named, 0.0).when(title == topic, exact).when(holds(q, title) | holds(title, topic), partial).otherwise(0.0)
+    for asked, held, types, times, plus in rules:
+        fits = q.rlike(asked) & text.rlike(held) & (F.col("type").isin(types) if types else F.lit(True))
+        score = F.when(fits, score * times + plus).otherwise(score)
+    return score
+
+
 def query_tokens_of(queries: DataFrame) -> DataFrame:
     return queries.select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("tok")).filter(F.length("tok") > 1)
 
@@ -201,20 +225,22 @@ def domain_tags(text: Column, tags: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(any_of(words), tag) for tag, words in tags.items()]))
 
 
-def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, top: int = 1) -> DataFrame:
-    """names (q) against catalogue (id, name, source_tier) by exact name, alias, prefix, then substring.
+def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, top: int = 1, tiers: tuple[str, ...] = ("source_tier",)) -> DataFrame:
+    """(q, id, tier, rank): names (q) against catalogue (id, name and tiers) by exact name, alias, prefix, then substring.
 
-    Exact and alias matches are equi-joins; only names left over take the substring join against the catalogue.
+    Equal matches are ordered by the catalogue's tiers, in the order given, then by length of name and id. Exact and alias
+    matches are equi-joins; only names left over take the substring join against the catalogue.
     """
-    c = catalogue.select("id", F.lower("name").alias("name"), "source_tier")
+    c = catalogue.select("id", F.lower("name").alias("name"), *tiers)
     q = names.select("q").distinct()
-    exact = q.join(c, F.lower("q") == F.col("name")).select("q", "id", "name", "source_tier", F.lit(0).alias("tier"))
-    alias = q.join(aliases.select(F.lower("alias").alias("alias"), "id"), F.lower("q") == F.col("alias")).join(c, "id").select("q", "id", "name", "source_tier", F.lit(1).alias("tier"))
+    exact = q.join(c, F.lower("q") == F.col("name")).select("q", "id", "name", *tiers, F.lit(0).alias("tier"))
+    alias = q.join(aliases.select(F.lower("alias").alias("alias"), "id"), F.lower("q") == F.col("alias")).join(c, "id").select("q", "id", "name", *tiers, F.lit(1).alias("tier"))
     rest = q.join(exact.select("q").unionByName(alias.select("q")).distinct(), "q", "left_anti")
     like = in_blocks(rest, lambda block: c.join(block, F.contains("name", F.lower("q"))).select(
-        "q", "id", "name", "source_tier", F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier")))
-    found = exact.unionByName(alias).unionByName(like).groupBy("q", "id").agg(F.min("tier").alias("tier"), F.min("source_tier").alias("source_tier"), F.min("name").alias("name"))
-    return rank_per(found, "q", [F.col("tier"), F.col("source_tier"), F.length("name"), F.col("id")], top)
+        "q", "id", "name", *tiers, F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier")))
+    every = exact.unionByName(alias).unionByName(like)
+    found = every.groupBy("q", "id").agg(F.min("tier").alias("tier"), *[F.min(t).alias(t) for t in tiers], F.min("name").alias("name"))
+    return rank_per(found, "q", [F.col("tier"), *[F.col(t) for t in tiers], F.length("name"), F.col("id")], top)
 
 
 def recall_memories(memories: DataFrame, asked: DataFrame, top: int = 6, least: float = 0.1) -> DataFrame:

@@ -204,15 +204,13 @@ def d19(spark, sf_dir):
     return found.select("doc_id", F.col("line").cast("long").alias("line"), "category", "name", "number")
 
 
-@query("d20_exchange_pairs", rf"""
-WITH {LINES}, m AS (SELECT doc_id, no, unnest(range(len(regexp_extract_all(l, '([一-龥A-Za-z0-9、,，（）() ]{{1,70}})\s+(\d{{1,4}})(?:\s|$)', 1)))) AS i, unnest(regexp_extract_all(l, '([一-龥A-Za-z0-9、,，（）() ]{{1,70}})\s+(\d{{1,4}})(?:\s|$)', 1)) AS name, unnest(regexp_extract_all(l, '([一-龥A-Za-z0-9、,，（）() ]{{1,70}})\s+(\d{{1,4}})(?:\s|$)', 2)) AS grams
-  FROM ln WHERE l <> '' AND NOT regexp_matches(l, '^(注|表|食品|食物|g )')),
-t AS (SELECT doc_id, no, i, trim(regexp_replace(name, '\s+', '', 'g'), ',，、|') AS name, grams::DOUBLE AS grams FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, i) AS place FROM t WHERE length(name) >= 2 AND NOT regexp_matches(name, '每份|提供|能量|蛋白质|脂肪|碳水|重量'))
-SELECT doc_id, place - 1 AS place, substr(name, 1, 80) AS name, grams FROM k WHERE place <= 160""")
+@query("d20_exchange_pairs", """
+SELECT p_partkey, 0 AS place, replace(p_name, ' ', '') AS name, p_size::DOUBLE AS grams FROM part UNION ALL SELECT p_partkey, 1, p_brand[7:], floor(p_retailprice) FROM part WHERE p_retailprice < 10000 AND length(p_brand) >= 8""")
 def d20(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", F.posexplode(X.exchange_pairs(F.col("text"))).alias("place", "p"))
-    return d.select("doc_id", F.col("place").cast("long").alias("place"), "p.name", F.col("p.number").alias("grams"))
+    """A portion list for each part: a line of name and size, brand and price, between lines that are no portions."""
+    t = F.concat(F.lit("食品 12 \n"), F.col("p_name"), F.lit("  "), F.col("p_size"), F.lit(" "), F.col("p_brand"), F.lit(" "), F.floor("p_retailprice"), F.lit("\n每份重量 25 \nno figures"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(X.exchange_pairs(t)).alias("place", "p"))
+    return p.select("p_partkey", "place", "p.name", F.col("p.number").alias("grams"))
 
 
 @query("d21_spans", """
@@ -259,7 +257,7 @@ def d23(spark, sf_dir):
 
 
 @query("d24_facts", r"""
-WITH m AS (SELECT doc_id, regexp_extract(text, '(?s)(?:the|der|de|la)\D*?([0-9]+(?:\.[0-9]+)?)(?:\s*[～~-]\s*([0-9]+(?:\.[0-9]+)?))?\s*', ['a', 'b']) AS g FROM documents),
+WITH m AS (SELECT doc_id, regexp_extract(text, '(?s)(?:the|der|de|la)[^0-9]{0,40}([0-9]+(?:\.[0-9]+)?)(?:\s*[～~-]\s*([0-9]+(?:\.[0-9]+)?))?\s*', ['a', 'b']) AS g FROM documents),
 v AS (SELECT doc_id, TRY_CAST(g.a AS DOUBLE) AS a, TRY_CAST(g.b AS DOUBLE) AS b FROM m) SELECT doc_id, coalesce(round_even((a + b) / 2, 2), a) AS value FROM v WHERE a IS NOT NULL""")
 def d24(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", X.fact(F.col("text"), "(?:the|der|de|la)", "").alias("value"))

@@ -147,12 +147,14 @@ def asked_records(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text")).filter("item_id % 50 = 0")
 
 
-@query("r10_structured_search", rf"""
-WITH {RECORDS}, q AS (SELECT p_partkey AS item_id, list_concat(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9_.+-]+'), regexp_extract_all(lower(p_name || ' ' || p_brand), '\d+(?:\.\d+)?')) AS w FROM part WHERE p_partkey % 50 = 0),
+ASKED = r"""q AS (SELECT p_partkey AS item_id, list_concat(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9_.+-]+'), regexp_extract_all(lower(p_name || ' ' || p_brand), '\d+(?:\.\d+)?')) AS w FROM part WHERE p_partkey % 50 = 0),
 t AS (SELECT DISTINCT item_id, unnest(w) AS tok FROM q), u AS (SELECT * FROM t WHERE length(tok) > 1),
 x AS (SELECT item_id, type, id, tok, lower(title) AS title, least((length(t) - length(replace(t, tok, ''))) / length(tok), 4.0) * CASE WHEN regexp_matches(tok, '\d') THEN 4.0 WHEN tok IN ('bmi', 'met') THEN 5.0 ELSE 2.5 END AS s FROM u JOIN rec ON contains(t, tok)),
 g AS (SELECT item_id, type, id, round(sum(s) + max(CASE WHEN title = tok THEN 40.0 WHEN contains(title, tok) THEN 18.0 ELSE 0.0 END), 4) AS score FROM x GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, type, id) AS rank FROM g) SELECT item_id, type, id, score, rank FROM r WHERE rank <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, type, id) AS rank FROM g)"""
+
+
+@query("r10_structured_search", f"WITH {RECORDS}, {ASKED} SELECT item_id, type, id, score, rank FROM r WHERE rank <= 10")
 def r10(spark, sf_dir):
     found = S.structured_search(records(spark, sf_dir), asked_records(spark, sf_dir))
     return found.select("item_id", "type", "id", "score", F.col("rank").cast("long").alias("rank"))
@@ -168,14 +170,22 @@ def r11(spark, sf_dir):
     return j.groupBy(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")).agg(types.alias("search_text"))
 
 
-@query("r12_adjusted", """
-WITH s AS (SELECT p_partkey, p_name, p_type, p_size::DOUBLE AS score FROM part)
-SELECT p_partkey, score + CASE WHEN p_name LIKE '%red%' THEN 18 ELSE 0 END + CASE WHEN p_size_even THEN 40 ELSE 0 END - CASE WHEN p_type LIKE 'ECONOMY%' THEN 6 ELSE 0 END AS adjusted FROM (SELECT *, CAST(score AS INT) % 2 = 0 AS p_size_even FROM s)""")
+@query("r12_adjusted", rf"""
+WITH {RECORDS}, {ASKED},
+j AS (SELECT r.item_id, r.type, r.id, r.score, lower(p.p_name || ' ' || p.p_brand) AS q, lower(rec.title) AS title, rec.t, replace(lower(p.p_name), ' ', '') AS topic, coalesce(lower(l.p_type), '') AS label
+  FROM r JOIN part p ON p.p_partkey = r.item_id JOIN rec ON rec.type = r.type AND rec.id = r.id LEFT JOIN part l ON r.type = 'part' AND l.p_partkey = r.id WHERE rank <= 10),
+a AS (SELECT *, score + CASE WHEN label = topic THEN 40 WHEN contains(label, topic) OR label <> '' AND contains(topic, label) THEN 18 WHEN contains(t, topic) THEN 30 ELSE 0 END
+  + CASE WHEN title = topic THEN 20 WHEN contains(q, title) OR contains(title, topic) THEN 10 ELSE 0 END AS s FROM j),
+b AS (SELECT *, CASE WHEN contains(q, 'red') AND contains(t, 'economy') THEN s * 0.25 ELSE s END AS s2 FROM a)
+SELECT item_id, type, id, round(CASE WHEN type IN ('supplier', 'customer') THEN s2 + 2.5 ELSE s2 END, 4) AS adjusted FROM b""")
 def r12(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    s = F.col("p_size").cast("double") + F.when(F.col("p_size") % 2 == 0, 40).otherwise(0)
-    text = F.concat_ws("|", "p_name", "p_type")
-    return p.select("p_partkey", S.rescored(s, text, [(r"^[^|]*red", "+", 18.0), (r"\|ECONOMY", "+", -6.0)]).alias("adjusted"))
+    asked = asked_records(spark, sf_dir)
+    found = S.structured_search(records(spark, sf_dir), asked).join(records(spark, sf_dir), ["type", "id"])
+    found = found.join(asked.select("item_id", F.col("text").alias("query")), "item_id")
+    labels = table(spark, sf_dir, "part").select(F.lit("part").alias("type"), F.col("p_partkey").alias("id"), F.col("p_type").alias("label"))
+    found = found.join(labels, ["type", "id"], "left").withColumnRenamed("search_text", "text")
+    score = S.adjusted(found, [r"brand#\d+"], [("red", "economy", [], 0.25, 0.0), ("", "", ["supplier", "customer"], 1.0, 2.5)])
+    return found.select("item_id", "type", "id", F.round(score, 4).alias("adjusted"))
 
 
 TAGS = {"warm": ["red", "orange"], "cold": ["blue", "green"], "part": ["widget", "gear"]}
@@ -187,19 +197,32 @@ def r13(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.domain_tags(F.col("p_name"), TAGS), " ").alias("tags"))
 
 
-@query("r14_tiered_lookup", """
-WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE substr(p_name, 1, 4) END AS q FROM part WHERE p_partkey % 50 = 0),
-c AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size % 3 AS st, lower(p_brand) AS alias FROM part),
-e AS (SELECT q, id, name, st, 0 AS tier FROM q JOIN c ON lower(q) = name UNION ALL SELECT q, id, name, st, 1 FROM q JOIN c ON lower(q) = alias),
-l AS (SELECT q, id, name, st, CASE WHEN starts_with(name, lower(q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(name, lower(q)) WHERE q NOT IN (SELECT q FROM e)),
-m AS (SELECT q, id, min(tier) AS tier, min(st) AS st, min(name) AS name FROM (SELECT * FROM e UNION ALL SELECT * FROM l) GROUP BY q, id),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, st, length(name), id) AS n FROM m) SELECT q, id, tier FROM r WHERE n = 1""")
-def r14(spark, sf_dir):
+LOOKUP = """q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE substr(p_name, 1, 4) END AS q FROM part WHERE p_partkey % 50 = 0),
+c AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size % 3 AS st, CASE WHEN p_type LIKE '%POLISHED%' THEN 1 WHEN p_type LIKE '%BRUSHED%' THEN 2 ELSE 0 END AS pt, lower(p_brand) AS alias FROM part),
+e AS (SELECT q, id, name, st, pt, 0 AS tier FROM q JOIN c ON lower(q) = name UNION ALL SELECT q, id, name, st, pt, 1 FROM q JOIN c ON lower(q) = alias),
+l AS (SELECT q, id, name, st, pt, CASE WHEN starts_with(name, lower(q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(name, lower(q)) WHERE q NOT IN (SELECT q FROM e)),
+m AS (SELECT q, id, min(tier) AS tier, min(st) AS st, min(pt) AS pt, min(name) AS name FROM (SELECT * FROM e UNION ALL SELECT * FROM l) GROUP BY q, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, st, pt, length(name), id) AS rank FROM m)"""
+
+
+def looked_up(spark, sf_dir, top):
     p = table(spark, sf_dir, "part")
     q = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.substring("p_name", 1, 4))
     names = p.filter("p_partkey % 50 = 0").select(q.alias("q"))
-    catalogue = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 3).alias("source_tier"))
-    return S.tiered_lookup(names, catalogue, p.select(F.col("p_brand").alias("alias"), F.col("p_partkey").alias("id"))).select("q", "id", "tier")
+    processing = F.when(F.contains("p_type", F.lit("POLISHED")), 1).when(F.contains("p_type", F.lit("BRUSHED")), 2).otherwise(0)
+    catalogue = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 3).alias("source_tier"), processing.alias("processing_tier"))
+    aliases = p.select(F.col("p_brand").alias("alias"), F.col("p_partkey").alias("id"))
+    return S.tiered_lookup(names, catalogue, aliases, top, ("source_tier", "processing_tier"))
+
+
+@query("r14_tiered_lookup", f"WITH {LOOKUP} SELECT q, id, tier FROM r WHERE rank = 1")
+def r14(spark, sf_dir):
+    return looked_up(spark, sf_dir, 1).select("q", "id", "tier")
+
+
+@query("r14_tiered_top", f"WITH {LOOKUP} SELECT q, id, tier, rank FROM r WHERE rank <= 5")
+def r14_top(spark, sf_dir):
+    return looked_up(spark, sf_dir, 5).select("q", "id", "tier", F.col("rank").cast("long").alias("rank"))
 
 
 @query("r15_recall_memories", """

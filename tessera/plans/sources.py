@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.registry import register_functions
+from tessera.functions.text import vector_sum
 from tessera.plans.registry import query, rows, table
 from tessera.sources import tables as S
 from tessera.sources.scratch import new_path
@@ -163,6 +164,26 @@ def u2(spark, sf_dir):
     return spark.sql("SELECT doc_id, CAST(c.no AS BIGINT) AS no, md5(c.chunk) AS chunk_md5 FROM tessera_documents, LATERAL tessera_chunks(text, 300, 50) c")
 
 
+@query("u2_readings", """
+WITH r AS (SELECT event_id, 'fasting' AS kind, floor(value) AS v FROM events UNION ALL SELECT event_id, 'post_meal', CAST(5 + user_id % 40 AS DOUBLE) FROM events)
+SELECT event_id, kind, v AS value FROM r WHERE v BETWEEN 1 AND 35""")
+def u2_readings(spark, sf_dir):
+    register_functions(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("tessera_events")
+    return spark.sql("""
+        SELECT event_id, r.kind, tessera_glucose_mmol(r.value, r.unit) AS value
+        FROM (SELECT event_id, concat('fasting ', floor(value), ' mmol; after dinner ', (5 + user_id % 40) * 18, ' mg/dl; pulse 70') AS said FROM tessera_events), LATERAL tessera_readings(said) r
+        WHERE tessera_glucose_mmol(r.value, r.unit) IS NOT NULL""")
+
+
+@query("u3_vector_sum", """
+WITH e AS (SELECT label, unnest(range(len(embedding))) AS place, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, place, round(sum(v), 3) + 0.0 AS v FROM e GROUP BY 1, 2)
+SELECT label, place, v FROM s""")
+def u3_vector_sum(spark, sf_dir):
+    e = vector_sum(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return e.select("label", F.posexplode("total").alias("place", "v")).select("label", F.col("place").cast("long").alias("place"), (F.round("v", 3) + 0.0).alias("v"))
+
+
 @query("u3_aggregates", """
 SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(DISTINCT event_id % 16) AS buckets FROM events GROUP BY user_id""")
 def u3(spark, sf_dir):

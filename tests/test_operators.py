@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import documents as D
+from tessera.operators import extraction as X
 from tessera.operators import foods as N
 from tessera.operators import memory as M
 from tessera.operators import records as P
@@ -222,3 +223,66 @@ def test_corpus_scan_skips_and_decodes(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     out = {r["path"].rsplit("/", 1)[1]: r["text"] for r in Z.read_corpus(spark, str(tmp_path)).collect()}
     assert out == {"a.md": "é", "c.txt": "é"}
+
+
+def test_meal_sentences_of_several_quantities(spark):
+    def of(said):
+        return [(i["name"], i["quantity"], i["unit"]) for i in one(spark, N.meal_items(F.lit(said)))]
+
+    assert of("我早餐吃了一百五十克米饭两杯牛奶，还有半个苹果") == [("米饭", 150, "克"), ("牛奶", 2, "杯"), ("苹果", 0.5, "个")]
+    assert of("一些菜") == [("一些菜", 1, None)] and of("鸡蛋3个") == [("鸡蛋", 3, "个")]
+    assert of("") == [] and one(spark, N.meal_items(F.lit(None).cast("string"))) == []
+
+
+@pytest.mark.parametrize("said,number", [("半", 0.5), ("一百", 100), ("百", 100), ("二百五十", 250), ("一百零五", 105), ("三半", 3.5), ("百里", None)])
+def test_hundreds_and_halves(spark, said, number):
+    assert one(spark, T.chinese_number(F.lit(said))) == number
+
+
+def test_marker_rows(spark):
+    cut = one(spark, X.marker_slice(F.lit("x END b START one 1\ntwo END three END"), ["START", "none"], ["END", "three"]))
+    assert cut == "START one 1\ntwo"
+    assert one(spark, X.marker_slice(F.lit("nothing here"), ["START"], ["END"])) == ""
+    rows = one(spark, X.table_rows(F.lit("注 1 note\nrice | 12 30\n 4444 5\nplain words\nab"), "row", True))
+    assert [(r["label"], r["line"]) for r in rows] == [("rice", "rice | 12 30"), ("row", "4444 5")]
+    assert [r["label"] for r in one(spark, X.table_rows(F.lit("表 one\nplain words\nab"), "row", False))] == ["plain words"]
+    assert one(spark, X.table_rows(F.lit(None).cast("string"), "row", True)) == []
+
+
+def test_portions_and_carried_categories(spark):
+    got = one(spark, X.exchange_pairs(F.lit("rice cake 25 \n每份能量 90\n注 oil 10\nmilk 240; red 7 bean 30\nx 5")))
+    # A name may hold figures and blanks, so it reaches to the last number of its run.
+    assert [(p["name"], p["number"]) for p in got] == [("ricecake", 25), ("red7bean", 30)]
+    texts = spark.createDataFrame([(1, "肉类\n牛肉 83.7 羊肉 109\n\n蔬菜\n菠菜 13"), (2, "a 1"), (3, None)], "id long, text string")
+    got = sorted((r["id"], r["line"], r["category"] or "", r["name"], r["number"]) for r in X.carried_pairs(texts, "id", "text").collect())
+    assert got == [(1, 1, "肉类", "牛肉", 83.7), (1, 1, "肉类", "羊肉", 109), (1, 4, "蔬菜", "菠菜", 13), (2, 0, "", "a", 1)]
+
+
+def test_two_levels_and_labelled_fields(spark):
+    said = "# A\n- one\nx\ny\n- two\n# B\nz"
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(said.split("\n"))], "id long, no int, line string")
+    got = [(r["outer_name"], r["inner_name"], r["first_no"], r["body"]) for r in X.two_levels(lines, "id", "^# (.*)$", "^- (.*)$").orderBy("first_no").collect()]
+    assert got == [("A", None, 0, ""), ("A", "one", 1, "x\ny"), ("A", "two", 4, ""), ("B", None, 5, "z")]
+    fields = one(spark, X.labelled_fields(F.lit("主要材料：米50g，*山药*3片 制作方法：煮 注意：慎用"), {"ingredients": "主要材料：", "method": "制作方法：", "usage": "用法用量：", "cautions": "注意："}))
+    assert fields.asDict() == {"ingredients": "米50g，*山药*3片", "method": "煮", "usage": "", "cautions": "慎用"}
+    got = one(spark, X.ingredients(F.lit(fields["ingredients"])))
+    assert [(i["name"], i["amount"], i["unit"]) for i in got] == [("米", 50, "g"), ("山药", 3, "片")]
+
+
+def test_facts_and_titles(spark):
+    assert one(spark, X.fact(F.lit("能量约为 1500～1700 kcal，蛋白质 60 g"), "能量", "kcal")) == 1600
+    assert one(spark, X.fact(F.lit("蛋白质 60 g"), "能量", "kcal")) is None
+    assert one(spark, X.title_key(F.lit(" Guide (old)  to Food-v20240102030405-2 "))) == "guide to food"
+    entries = spark.createDataFrame([("Guide", 1), ("guide (b)", 3), (None, 2), ("", 4)], "title string, id long")
+    assert sorted((r["title_key"] or "", r["id"]) for r in X.newest_entries(entries, "title", "id").collect()) == [("", 2), ("", 4), ("guide", 3)]
+
+
+def test_portion_strings(spark):
+    assert [(p["name"], p["grams"]) for p in one(spark, N.portions_of(F.lit("cup=12.0g; big slice = 30 g;bad;=4g; x=yg")))] == [("cup", 12.0), ("big slice", 30.0)]
+
+
+def test_adjusted_scores(spark):
+    rows = [("rice 多少", "table", "rice", "rice", "rice 5", 1.0), ("rice 多少", "plan", "fried rice", None, "rice", 1.0), ("多少", "plan", "x", "x", "x", 1.0)]
+    found = spark.createDataFrame(rows, "query string, type string, title string, label string, text string, score double")
+    got = [r["s"] for r in found.select(S.adjusted(found, ["多少"], [("", "rice", ["plan"], 0.5, 1.0)]).alias("s")).collect()]
+    assert got == [1 + 40 + 20, (1 + 30 + 10) * 0.5 + 1, 1.0]
