@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,16 +122,78 @@ def labelled_fields(text: Column, labels: dict[str, str]) -> Column:
 
 def ingredients(text: Column) -> Column:
     """(name, amount, unit) of each part that ends in an amount; parts are cut at commas, semicolons and brackets."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "[（）]", "，"), "[，,、；;]")
+    dried = F.replace(F.coalesce(text, F.lit("")), F.lit("【干】"), F.lit("干"))
+    parts = F.split(F.regexp_replace(dried, "[（）]", "，"), "[，,、；;]")
     pattern = r"^(.+?)([0-9]+(?:\.[0-9]+)?)\s*(g|mL|ml|克|毫升|枚|片|个|次)"
 
     def made(x: Column) -> Column:
-        group = lambda i: F.regexp_extract(F.trim(x), pattern, i)
+        group = lambda i: F.regexp_extract(F.regexp_replace(x, "^[ 。.]+|[ 。.]+$", ""), pattern, i)
         return F.struct(F.regexp_replace(F.trim(group(1)), r"^\*+|\*+$", "").alias("name"), group(2).try_cast("double").alias("amount"), group(3).alias("unit"))
 
     return F.filter(F.transform(parts, made), lambda i: i["amount"].isNotNull() & ~i["name"].isin("", "主要材料", "材料"))
 
 
+#: Names of meals, in the order they are looked for, and beginnings of lines of a plan that are no dishes.
+MEALS = ["早餐", "中餐", "午餐", "晚餐", "加餐"]
+NOT_DISHES = ["注：", "2.", "宏量营养素", "油、盐"]
+PLAN_TOTAL = "本食谱提供能量"
+
+
+def recipe_tree(plans: DataFrame, key: str, text: str, meals: list[str] = MEALS) -> DataFrame:
+    """(key, meal_no, meal, dish_no, dish, ingredient_no, name, amount, unit): the tree of each plan's text, a row a leaf.
+
+    A plan's first line is its title. A line that is or begins with a meal's name opens the meal, and what follows the
+    name is its first dish; other lines are dishes of the open meal. A dish is named by what stands before its bracket. A
+    dish without ingredients has one row with nulls; a meal without dishes, lines before the first meal, and null or empty
+    texts have none. Only lines of one plan meet in a window.
+    """
+    lines = plans.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("no", "l")).filter("no > 0")
+    lines = lines.withColumn("l", F.trim("l")).filter((F.col("l") != "") & ~_begins(F.col("l"), NOT_DISHES))
+    opened = F.coalesce(*[F.when((F.col("l") == m) | F.startswith("l", F.lit(m + " ")), m) for m in meals])
+    s = lines.withColumn("opened", opened)
+    s = s.withColumn("said", F.when(F.col("opened").isNull(), F.col("l")).otherwise(F.trim(F.substr("l", F.length("opened") + 1))))
+    w = Window.partitionBy(key).orderBy("no")
+    s = s.withColumn("meal_no", F.count("opened").over(w)).withColumn("meal", F.last("opened", ignorenulls=True).over(w))
+    is_dish = (F.col("said") != "") & (F.col("opened").isNotNull() | ~F.startswith("l", F.lit(PLAN_TOTAL)))
+    s = s.filter((F.col("meal_no") > 0) & is_dish).withColumn("dish_no", F.row_number().over(Window.partitionBy(key, "meal_no").orderBy("no")))
+    named = F.coalesce(F.nullif(F.trim(F.split_part("said", F.lit("（"), F.lit(1))), F.lit("")), F.substring("said", 1, 40))
+    s = s.select(key, "meal_no", "meal", "dish_no", named.alias("dish"), F.posexplode_outer(ingredients(F.col("said"))).alias("ingredient_no", "i"))
+    return s.select(key, "meal_no", "meal", "dish_no", "dish", "ingredient_no", "i.*")
+
+
+def plan_nutrition(text: Column) -> Column:
+    """(energy_kcal, protein_g, carbohydrate_g, fat_g, protein_pct, carbohydrate_pct, fat_pct) of a plan's closing sentence.
+
+    The exact form of the sentence goes before the form with ranges, whose middle counts; what neither says is null.
+    """
+    one, span = r"([0-9.]+)", r"([0-9.]+)(?:[～~-]([0-9.]+))?"
+    exact = rf"(?s)本食谱提供能量约为\s*([0-9]+)\s*kcal.*?蛋白质\s*{one}\s*g，碳水化合物\s*{one}\s*g.*?脂肪\s*{one}\s*g"
+    ranged = rf"(?s)本食谱可提供能量.*?总值为{span}kcal.*?蛋白质{span}g.*?碳水化合物{span}g.*?脂肪{span}g"
+    share = rf"(?s)蛋白质\s*{one}%.*?碳水化合物\s*{one}%.*?脂肪\s*{one}%"
+    compact = F.regexp_replace(text, r"\s+", "")
+    names = ["energy_kcal", "protein_g", "carbohydrate_g", "fat_g"]
+    amounts = [F.coalesce(F.regexp_extract(text, exact, i + 1).try_cast("double"),
+                          T.midpoint(F.regexp_extract(compact, ranged, 2 * i + 1), F.regexp_extract(compact, ranged, 2 * i + 2))).alias(n) for i, n in enumerate(names)]
+    shares = [F.regexp_extract(text, share, i + 1).try_cast("double").alias(n) for i, n in enumerate(["protein_pct", "carbohydrate_pct", "fat_pct"])]
+    return F.struct(*amounts, *shares)
+
+
+def rule_targets(pages: DataFrame, key: str, page: str, text: str, rules: list[tuple[list[str], list[str], list[tuple[str, str]]]]) -> DataFrame:
+    """(key, nutrient, target, page) of rules (all of these, any of these, targets), with the first page that gives each.
+
+    An empty list of phrases always fits. Phrases are looked for in a page's text without blanks. A null text gives no target.
+    """
+    said = F.regexp_replace(text, r"\s+", "")
+    found = []
+    for every, some, targets in rules:
+        fits = reduce(lambda a, b: a & b, [F.contains(said, F.lit(p)) for p in every], F.lit(True))
+        if some:
+            fits = fits & reduce(lambda a, b: a | b, [F.contains(said, F.lit(p)) for p in some])
+        found += [F.when(fits, F.struct(F.lit(n).alias("nutrient"), F.lit(v).alias("target"))) for n, v in targets]
+    t = pages.select(key, page, F.explode(F.array_compact(F.array(*found))).alias("t"))
+    return t.groupBy(key, "t.nutrient", "t.target").agg(F.min(page).alias("page"))
+
+
 def fact(text: Column, name: str, unit: str, reach: int = 40) -> Column:
     """The first number, with a unit, at most reach characters after a name; the middle of a range; null without one."""
     pattern = rf"(?s){name}[^0-9]{{0,{reach}}}([0-9]+(?:\.[0-9]+)?)(?:\s*[～~-]\s*([0-9]+(?:\.[0-9]+)?))?\s*{unit}"

@@ -121,17 +121,33 @@ def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str], order: l
     return first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-#: Grams a millilitre of kinds of drinks, by words in their names.
-DENSITIES = [("oil|油", 0.92), ("milk|yogurt|奶", 1.03), ("juice|汁", 1.04)]
+#: Grams a millilitre of kinds of drinks, by words in their names; names of sweet drinks and dishes.
+DENSITIES = [("奶|milk", 1.03)]
+SWEET = ["奶茶", "含糖", "甜饮", "甜品", "果汁", "可乐", "sugar", "sweet", "milk tea", "dessert"]
+#: What is read of the JSON of detected items.
+DETECTED = ("items array<struct<name string, food_name string, quantity double, unit string, estimated_grams double, estimated_ml double, "
+            "brand_or_variant string, risk_tags array<string>>>")
 
 
-def detected_items(items: DataFrame, key: str, densities: list[tuple[str, float]] = DENSITIES) -> DataFrame:
-    """(key, name, grams) of detected items (name, amount, unit): millilitres by the density of the kind, other units as grams."""
-    rules = F.lit(None).cast("decimal(4,2)")
-    for pattern, density in reversed(densities):
-        rules = F.when(F.lower("name").rlike(pattern), F.lit(density).cast("decimal(4,2)")).otherwise(rules)
-    density = F.when(F.col("unit") == "ml", F.coalesce(rules, F.lit(1).cast("decimal(4,2)"))).otherwise(F.lit(1).cast("decimal(4,2)"))
-    return items.select(key, "name", (F.col("amount").cast("decimal(18,2)") * density).alias("grams"))
+def detected_items(found: DataFrame, key: str, payload: str, densities: list[tuple[str, float]] = DENSITIES) -> DataFrame:
+    """(key, place, name, quantity, unit, grams) of the detected items in a JSON text.
+
+    Grams are the estimated ones, else the estimated millilitres by the density of the first kind that name, brand or tags
+    match (1 without one), else null. Items without a name, null texts and texts that are no JSON have no rows.
+    """
+    i = found.select(key, F.posexplode(F.from_json(payload, DETECTED)["items"]).alias("place", "i"))
+    name = F.trim(F.coalesce(F.nullif("i.name", F.lit("")), "i.food_name", F.lit("")))
+    i = i.withColumn("name", name).filter("name <> ''")
+    said = F.lower(F.concat_ws(" ", "name", "i.brand_or_variant", "i.risk_tags"))
+    density = F.coalesce(*[F.when(said.rlike(p), d) for p, d in densities], F.lit(1.0))
+    grams = F.coalesce("i.estimated_grams", F.col("i.estimated_ml") * density)
+    return i.select(key, "place", "name", F.coalesce("i.quantity", F.lit(1.0)).alias("quantity"), F.nullif(F.trim("i.unit"), F.lit("")).alias("unit"), grams.alias("grams"))
+
+
+def sweet_notice(names: Column, concerned: Column, words: list[str] = SWEET) -> Column:
+    """Whether a concerned person's list of names holds a word of something sweet; false for null lists."""
+    said = F.lower(F.array_join(names, " "))
+    return F.coalesce(concerned, F.lit(False)) & F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(said, w)), F.lit(False))
 
 
 def flag_labels(flags: dict[str, Column]) -> Column:
@@ -145,8 +161,9 @@ def portion_string(name: Column, grams: Column) -> Column:
 
 
 def portions_of(text: Column) -> Column:
-    """(name, grams) of a portion string's parts; parts without a name and a number of grams are passed over."""
+    """(name, grams) of a portion string's parts, cut at the first =; grams that are no number are null, parts without = are passed over."""
     def part(x: Column) -> Column:
-        return F.struct(F.trim(F.regexp_extract(x, r"^(.+)=", 1)).alias("name"), F.regexp_extract(x, r"=\s*(\d+(?:\.\d+)?)\s*g\s*$", 1).try_cast("double").alias("grams"))
+        group = lambda i: F.trim(F.regexp_extract(x, "(?s)^([^=]*)=(.*)$", i))
+        return F.struct(group(1).alias("name"), F.regexp_replace(group(2), "g$", "").try_cast("double").alias("grams"))
 
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), part), lambda p: p["grams"].isNotNull() & (p["name"] != ""))
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.contains(x, F.lit("="))), part)

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,7 +98,33 @@ def decisions(found: DataFrame, key: str) -> DataFrame:
     return per.select(key, "blocked", F.transform(cut, lambda f: f["message"]).alias("messages"))
 
 
-def yes_or_no(text: Column) -> Column:
-    """The decision of a short reply: rejections are looked for first; null for long or other replies."""
-    t = F.lower(F.trim(text))
-    return F.when(F.length(t) > 16, F.lit(None)).when(t.rlike(r"\b(no|not|never|stop)\b|不|别|算了"), "no").when(t.rlike(r"\b(yes|ok|okay|sure|yeah)\b|好|可以|行|是"), "yes")
+#: What a short reply says that rejects or accepts a proposed update, and the longest such reply.
+REJECTS = ["忽略", "不用", "不更新", "不要更新", "别更新", "别改", "不是", "不对", "取消", "先别", "保持原来", "维持原来"]
+ACCEPTS = ["确认更新", "确认", "更新", "改成这个", "就按这个", "是的", "对的", "没错", "可以", "是", "对"]
+LONGEST_REPLY = 16
+
+
+def review_decision(text: Column, rejects: list[str] = REJECTS, accepts: list[str] = ACCEPTS, longest: int = LONGEST_REPLY) -> Column:
+    """reject, accept or null for a short reply without blanks and punctuation; markers of rejection are looked for first.
+
+    Replies that are null, empty, longer or without a marker decide nothing.
+    """
+    said = F.regexp_replace(text, r"[\s，。！？,.!?:：；;、]+", "")
+    holds = lambda words: F.exists(F.array(*[F.contains(said, F.lit(w)) for w in words]), lambda x: x)
+    return F.when((said == "") | (F.length(said) > longest), F.lit(None)).when(holds(rejects), "reject").when(holds(accepts), "accept")
+
+
+def rule_drafts(rules: DataFrame, source: str, order: str) -> DataFrame:
+    """rules (rule_id, severity, category, description, then, evidence and the source's column) as drafts to review.
+
+    A rule without an id gets one of its source and its place in it by order, from 1. Ids are in upper case, other
+    characters than letters, digits and _ as one _. Missing fields take defaults: a warning, with the source as evidence.
+    """
+    place = F.row_number().over(Window.partitionBy(source).orderBy(order))
+    made = F.concat(F.lit("DRAFT_"), F.upper(F.col(source).cast("string")), F.lit("_"), place)
+    rule_id = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(F.nullif("rule_id", F.lit("")), made)), "[^A-Z0-9_]+", "_"), "^_+|_+$", "")
+    then = F.struct(F.lit("warn").alias("action"), F.lit("").alias("message"), F.lit("").alias("recommendation"))
+    evidence = F.struct(F.col(source).cast("string").alias("source_title"), F.lit("draft").alias("evidence_level"))
+    return rules.select(source, rule_id.alias("rule_id"), F.coalesce("severity", F.lit("warn")).alias("severity"), F.coalesce("category", F.lit("draft_clinical_nutrition")).alias("category"),
+                        F.coalesce("description", F.lit("")).alias("description"), F.coalesce("then", then).alias("then"), F.coalesce("evidence", evidence).alias("evidence"),
+                        F.lit("draft_needs_review").alias("review_status"))

@@ -190,6 +190,23 @@ def structured_search(records: DataFrame, queries: DataFrame, top: int = 10) ->
 LABEL_POINTS, TITLE_POINTS = (40.0, 18.0, 30.0), (20.0, 10.0)
 
 
+def source_view(rows: DataFrame, kind: str, key: str, title: Column, said: list[tuple[str, Column]], more: list[Column]) -> DataFrame:
+    """(type, id, title, content, search_text) of a kind of records for structured_search.
+
+    said are labels and values; values that are null or empty are left out of the content. search_text is the title, more
+    and the content with a blank between; its null parts are left out.
+    """
+    values = [(label, c.cast("string")) for label, c in said]
+    content = F.concat_ws("; ", *[F.when(c != "", F.concat(F.lit(label), c)) for label, c in values])
+    return rows.select(F.lit(kind).alias("type"), F.col(key).alias("id"), title.alias("title"), content.alias("content"), F.concat_ws(" ", title, *more, content).alias("search_text"))
+
+
+def distinct_lists(parents: DataFrame, children: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """parents with the distinct values of their children's columns, sorted and joined by commas; empty without children."""
+    per = children.groupBy(key).agg(*[F.array_join(F.array_sort(F.collect_set(c)), ",").alias(c) for c in columns])
+    return parents.join(per, key, "left").fillna("", columns)
+
+
 def adjusted(found: DataFrame, action_words: list[str], rules: list[tuple[str, str, list[str], float, float]]) -> Column:
     """The score of found (query, type, title, label, text, score) after label, title and topic terms and rules.
 
@@ -226,17 +243,22 @@ def domain_tags(text: Column, tags: dict[str, list[str]]) -> Column:
 
 
 def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, top: int = 1, tiers: tuple[str, ...] = ("source_tier",)) -> DataFrame:
-    """(q, id, tier, rank): names (q) against catalogue (id, name and tiers) by exact name, alias, prefix, then substring.
+    """(q, id, tier, rank): names (q) against catalogue (id, name and tiers) by exact name, alias, prefix, then substring of
+    the name or an alias.
 
     Equal matches are ordered by the catalogue's tiers, in the order given, then by length of name and id. Exact and alias
-    matches are equi-joins; only names left over take the substring join against the catalogue.
+    matches are equi-joins. The best match of a name that has one of these needs no more; other names, and all where more
+    than one match is asked for, take the substring join against the catalogue in blocks of checked size.
     """
     c = catalogue.select("id", F.lower("name").alias("name"), *tiers)
     q = names.select("q").distinct()
     exact = q.join(c, F.lower("q") == F.col("name")).select("q", "id", "name", *tiers, F.lit(0).alias("tier"))
     alias = q.join(aliases.select(F.lower("alias").alias("alias"), "id"), F.lower("q") == F.col("alias")).join(c, "id").select("q", "id", "name", *tiers, F.lit(1).alias("tier"))
-    rest = q.join(exact.select("q").unionByName(alias.select("q")).distinct(), "q", "left_anti")
-    like = in_blocks(rest, lambda block: c.join(block, F.contains("name", F.lower("q"))).select(
+    rest = q if top > 1 else q.join(exact.select("q").unionByName(alias.select("q")).distinct(), "q", "left_anti")
+    called = aliases.groupBy("id").agg(F.array_join(F.collect_set(F.lower("alias")), "\n").alias("called"))
+    c = c.join(called, "id", "left")
+    held = F.contains("name", F.lower("q")) | F.contains(F.coalesce("called", F.lit("")), F.lower("q"))
+    like = in_blocks(rest, lambda block: c.join(block, held).select(
         "q", "id", "name", *tiers, F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier")))
     every = exact.unionByName(alias).unionByName(like)
     found = every.groupBy("q", "id").agg(F.min("tier").alias("tier"), *[F.min(t).alias(t) for t in tiers], F.min("name").alias("name"))

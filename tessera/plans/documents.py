@@ -244,16 +244,19 @@ def d22(spark, sf_dir):
     return s.select("page_id", "outer_name", F.coalesce("inner_name", F.lit("")).alias("inner_name"), F.col("first_no").cast("long").alias("first_no"), F.md5("body").alias("body_md5"))
 
 
-@query("d23_recipe_tree", "SELECT o_orderkey, l_linenumber AS dish_no, l_returnflag AS meal, l_partkey AS ingredient, l_quantity AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("d23_recipe_tree", """
+SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity) AS dish_no, CASE l_returnflag WHEN 'A' THEN '早餐' WHEN 'N' THEN '午餐' ELSE '晚餐' END AS meal,
+  'line ' || l_linenumber AS dish, 'part ' || l_partkey AS ingredient, l_quantity AS amount FROM lineitem""")
 def d23(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    dishes = items.groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(F.struct("l_linenumber", F.array(F.struct("l_partkey", "l_quantity")).alias("ingredients"))).alias("dishes"))
-    tree = dishes.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("meal"), "dishes")).alias("meals"))
-    tree = tree.join(orders, tree["l_orderkey"] == orders["o_orderkey"])
-    flat = tree.select("o_orderkey", F.explode_outer("meals").alias("m")).select("o_orderkey", "m.meal", F.explode_outer("m.dishes").alias("d"))
-    flat = flat.select("o_orderkey", "meal", F.col("d.l_linenumber").alias("dish_no"), F.explode_outer("d.ingredients").alias("i"))
-    return flat.select("o_orderkey", "dish_no", "meal", F.col("i.l_partkey").alias("ingredient"), F.col("i.l_quantity").alias("amount"))
+    """A plan's text for each order, its lines as dishes of three meals, read back by the parser."""
+    meal = F.when(F.col("l_returnflag") == "A", "早餐").when(F.col("l_returnflag") == "N", "午餐").otherwise("晚餐")
+    dish = F.concat(F.lit("line "), "l_linenumber", F.lit("（part "), "l_partkey", F.lit(" "), "l_quantity", F.lit("g）"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", dish.alias("d")))), lambda x: x["d"]), "\n")
+    meals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), meal.alias("meal")).agg(said.alias("said"))
+    plan = F.array_join(F.array_sort(F.collect_list(F.concat("meal", F.lit(" "), "said"))), "\n")
+    plans = meals.groupBy("o_orderkey").agg(F.concat(F.lit("plan\n"), plan, F.lit("\n本食谱提供能量约为 1500kcal")).alias("text"))
+    t = X.recipe_tree(plans, "o_orderkey", "text")
+    return t.select("o_orderkey", F.col("dish_no").cast("long").alias("dish_no"), "meal", "dish", F.col("name").alias("ingredient"), "amount")
 
 
 @query("d24_facts", r"""
@@ -264,6 +267,16 @@ def d24(spark, sf_dir):
     return d.filter("value is not null")
 
 
+@query("d24_targets", rf"""
+WITH {PAGES}, s AS (SELECT doc_id, page, regexp_replace(text, '\s+', '', 'g') AS t FROM pg),
+f AS (SELECT doc_id, page, contains(t, 'the') AND (contains(t, 'tion') OR contains(t, 'der')) AS a, contains(t, 'and') AND contains(t, 'en') AS b FROM s)
+SELECT doc_id, nutrient, target, min(page) AS page FROM (
+  SELECT doc_id, page, unnest(['sodium', 'salt']) AS nutrient, unnest(['<2 g/d', '<5 g/d']) AS target FROM f WHERE a UNION ALL SELECT doc_id, page, 'potassium', '>3 g/d' FROM f WHERE b) GROUP BY 1, 2, 3""")
+def d24_targets(spark, sf_dir):
+    rules = [(["the"], ["tion", "der"], [("sodium", "<2 g/d"), ("salt", "<5 g/d")]), (["and", "en"], [], [("potassium", ">3 g/d")])]
+    return X.rule_targets(pages(spark, sf_dir), "doc_id", "page", "text", rules)
+
+
 @query("d25_validated_routes", """
 SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'review' WHEN CAST(props->>'$.k' AS INT) < 90 THEN 'typed' ELSE 'review' END AS route,
   CASE WHEN event_id % 10 = 0 THEN 'not valid JSON' WHEN CAST(props->>'$.k' AS INT) >= 90 THEN 'k out of range' END AS error FROM events""")

@@ -112,13 +112,19 @@ def f10(spark, sf_dir):
 
 
 @query("f11_detected_items", """
-WITH i AS (SELECT l_orderkey, p_type, CAST(l_quantity AS DECIMAL(18,2)) * CASE WHEN l_linenumber % 2 = 1 THEN 1.00 WHEN p_name LIKE '%widget%' THEN 0.92 WHEN p_name LIKE '%gear%' THEN 1.03 ELSE 1.00 END AS grams FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_orderkey, sum(grams)::DOUBLE AS grams, bool_or(p_type LIKE '%STANDARD%') AS sugar_notice FROM i GROUP BY 1""")
+WITH i AS (SELECT l_orderkey, p_name, CAST(l_quantity AS DECIMAL(18,2)) * CASE WHEN l_linenumber % 2 = 1 THEN 1.00 WHEN p_name LIKE '%widget%' THEN 0.92 WHEN p_name LIKE '%gear%' THEN 1.03 ELSE 1.00 END AS grams FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, sum(grams)::DOUBLE AS grams, any_value(c_mktsegment) = 'BUILDING' AND bool_or(contains(p_name, 'ring') OR contains(p_name, 'bolt')) AS notice FROM i JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def f11(spark, sf_dir):
+    """The lines of each order as the JSON of detected items, every second in millilitres; customers of one segment are concerned."""
     x = lines(spark, sf_dir).join(part(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
-    seen = x.select(F.struct("l_orderkey", "p_type").alias("of"), F.col("p_name").alias("name"), F.col("l_quantity").alias("amount"), F.when(F.col("l_linenumber") % 2 == 0, "ml").otherwise("g").alias("unit"))
-    grams = N.detected_items(seen, "of", [("widget", 0.92), ("gear", 1.03)])
-    return grams.groupBy("of.l_orderkey").agg(F.sum("grams").cast("double").alias("grams"), F.bool_or(F.contains("of.p_type", F.lit("STANDARD"))).alias("sugar_notice"))
+    odd = F.col("l_linenumber") % 2 == 1
+    seen = F.struct(F.col("p_name").alias("name"), F.when(odd, F.col("l_quantity")).alias("estimated_grams"), F.when(~odd, F.col("l_quantity")).alias("estimated_ml"))
+    said = x.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(seen).alias("items"))).alias("payload"))
+    items = N.detected_items(said, "l_orderkey", "payload", [("widget", 0.92), ("gear", 1.03)])
+    per = items.groupBy("l_orderkey").agg(F.sum(F.col("grams").cast("decimal(18,4)")).cast("double").alias("grams"), F.collect_set("name").alias("names"))
+    o, c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    notice = N.sweet_notice(F.col("names"), F.col("c_mktsegment") == "BUILDING", ["ring", "bolt"])
+    return per.join(o, "l_orderkey").join(c, "o_custkey").select("l_orderkey", "grams", notice.alias("notice"))
 
 
 @query("f12_daily_targets", """

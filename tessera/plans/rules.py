@@ -69,14 +69,24 @@ def k5(spark, sf_dir):
     return d.withColumn("messages", F.array_join("messages", "; "))
 
 
-@query("k6_rule_drafts", "SELECT p_brand, count(*) AS approved FROM part WHERE p_size % 2 = 0 AND p_type <> '' GROUP BY p_brand")
+@query("k6_rule_drafts", r"""
+WITH s AS (SELECT p_partkey // 500 AS source, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS n, * FROM part)
+SELECT source, CASE WHEN p_size % 2 = 0 THEN 'DRAFT_' || source || '_' || n ELSE trim(regexp_replace(upper(p_brand || ' ' || p_name), '[^A-Z0-9_]+', '_', 'g'), '_') END AS rule_id,
+  CASE WHEN p_size % 3 = 0 THEN 'warn' ELSE 'block' END AS severity, coalesce(p_type, 'draft_clinical_nutrition') AS category, source::VARCHAR AS cited, 'draft_needs_review' AS review_status FROM s""")
 def k6(spark, sf_dir):
-    draft = F.struct(F.col("p_type").alias("action"), F.when(F.col("p_size") % 2 == 0, "approved").alias("status"))
-    d = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(draft).alias("drafts")).select("p_brand", F.explode("drafts").alias("d"))
-    return d.filter((F.coalesce("d.status", F.lit("draft")) == "approved") & (F.coalesce("d.action", F.lit("")) != "")).groupBy("p_brand").agg(F.count("*").alias("approved"))
-
-
-@query("k7_yes_or_no", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'no' END AS decision FROM events")
+    """Parts as rules of sources of 500, every second without an id, every third without a severity."""
+    p = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 500).alias("source"), "p_partkey", F.when(F.col("p_size") % 2 != 0, F.concat_ws(" ", "p_brand", "p_name")).alias("rule_id"),
+        F.when(F.col("p_size") % 3 != 0, "block").alias("severity"), F.col("p_type").alias("category"), F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("struct<action:string,message:string,recommendation:string>").alias("then"), F.lit(None).cast("struct<source_title:string,evidence_level:string>").alias("evidence"))
+    d = K.rule_drafts(p, "source", "p_partkey")
+    return d.select("source", "rule_id", "severity", "category", F.col("evidence.source_title").alias("cited"), "review_status")
+
+
+@query("k7_review_decision", """
+WITH s AS (SELECT o_orderkey, regexp_replace(o_orderpriority, '[\\s,.!?:;]+', '', 'g') AS t FROM orders)
+SELECT o_orderkey, CASE WHEN contains(t, 'NOT') THEN 'reject' WHEN contains(t, 'SPEC') OR contains(t, 'HIGH') OR contains(t, 'URGENT') THEN 'accept' END AS decision FROM s""".replace("\\\\", "\\"))
 def k7(spark, sf_dir):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Yes, please", "no thanks", "ok... 不要", "this answer is far too long, yes")]), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", K.yes_or_no(said).alias("decision"))
+    """The priorities of orders as replies."""
+    decision = K.review_decision(F.col("o_orderpriority"), [*K.REJECTS, "NOT"], [*K.ACCEPTS, "SPEC", "HIGH", "URGENT"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", decision.alias("decision"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import documents as D
 from tessera.operators import search as S
+from tessera.operators.foods import portion_string
 from tessera.plans.documents import units
 from tessera.plans.registry import ordered_distinct, query, rows, table
 from tessera.sources.scratch import materialize
@@ -170,6 +174,34 @@ def r11(spark, sf_dir):
     return j.groupBy(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")).agg(types.alias("search_text"))
 
 
+@query("r11_every_source", """
+WITH l AS (SELECT l_orderkey, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS dishes, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS parts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+v AS (SELECT 'part' AS type, p_partkey AS id, p_name AS title, 'brand: ' || p_brand || '; size: ' || p_size AS content, p_type AS more FROM part
+  UNION ALL SELECT 'nation', n_nationkey, n_name, 'region: ' || r_name, NULL FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'supplier', s_suppkey, s_name, 'nation: ' || n_name, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'customer', c_custkey, c_name, 'segment: ' || c_mktsegment || '; nation: ' || n_name, NULL FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'line', l_orderkey * 10 + l_linenumber, p_name, 'flag: ' || l_returnflag || '; status: ' || l_linestatus, p_type FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT 'order', o_orderkey, o_orderpriority, concat_ws('; ', 'status: ' || o_orderstatus, 'holds: ' || dishes), parts FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+  UNION ALL SELECT 'event', event_id, event_type, 'user: ' || user_id, props FROM events)
+SELECT type, id::BIGINT AS id, title, content, md5(concat_ws(' ', title, CASE WHEN type = 'order' THEN coalesce(more, '') ELSE more END, content)) AS search_md5 FROM v""")
+def r11_every_source(spark, sf_dir):
+    """Seven kinds of records as one table; an order has the distinct names and types of its lines' parts."""
+    t = {n: table(spark, sf_dir, n) for n in ("part", "nation", "region", "supplier", "customer", "lineitem", "orders", "events")}
+    nation = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    orders = S.distinct_lists(t["orders"].withColumnRenamed("o_orderkey", "l_orderkey"), lines, "l_orderkey", ["p_name", "p_type"])
+    c = F.col
+    views = [S.source_view(t["part"], "part", "p_partkey", c("p_name"), [("brand: ", c("p_brand")), ("size: ", c("p_size"))], [c("p_type")]),
+             S.source_view(nation, "nation", "n_nationkey", c("n_name"), [("region: ", c("r_name"))], []),
+             S.source_view(t["supplier"].join(t["nation"], c("s_nationkey") == c("n_nationkey")), "supplier", "s_suppkey", c("s_name"), [("nation: ", c("n_name"))], []),
+             S.source_view(t["customer"].join(t["nation"], c("c_nationkey") == c("n_nationkey")), "customer", "c_custkey", c("c_name"), [("segment: ", c("c_mktsegment")), ("nation: ", c("n_name"))], []),
+             S.source_view(lines.withColumn("id", c("l_orderkey") * 10 + c("l_linenumber")), "line", "id", c("p_name"), [("flag: ", c("l_returnflag")), ("status: ", c("l_linestatus"))], [c("p_type")]),
+             S.source_view(orders, "order", "l_orderkey", c("o_orderpriority"), [("status: ", c("o_orderstatus")), ("holds: ", c("p_name"))], [c("p_type")]),
+             S.source_view(t["events"], "event", "event_id", c("event_type"), [("user: ", c("user_id"))], [c("props")])]
+    every = reduce(DataFrame.unionByName, [v.withColumn("id", c("id").cast("long")) for v in views])
+    return every.select("type", "id", "title", "content", F.md5("search_text").alias("search_md5"))
+
+
 @query("r12_adjusted", rf"""
 WITH {RECORDS}, {ASKED},
 j AS (SELECT r.item_id, r.type, r.id, r.score, lower(p.p_name || ' ' || p.p_brand) AS q, lower(rec.title) AS title, rec.t, replace(lower(p.p_name), ' ', '') AS topic, coalesce(lower(l.p_type), '') AS label
@@ -200,7 +232,7 @@ def r13(spark, sf_dir):
 LOOKUP = """q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE substr(p_name, 1, 4) END AS q FROM part WHERE p_partkey % 50 = 0),
 c AS (SELECT p_partkey AS id, lower(p_name) AS name, p_size % 3 AS st, CASE WHEN p_type LIKE '%POLISHED%' THEN 1 WHEN p_type LIKE '%BRUSHED%' THEN 2 ELSE 0 END AS pt, lower(p_brand) AS alias FROM part),
 e AS (SELECT q, id, name, st, pt, 0 AS tier FROM q JOIN c ON lower(q) = name UNION ALL SELECT q, id, name, st, pt, 1 FROM q JOIN c ON lower(q) = alias),
-l AS (SELECT q, id, name, st, pt, CASE WHEN starts_with(name, lower(q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(name, lower(q)) WHERE q NOT IN (SELECT q FROM e)),
+l AS (SELECT q, id, name, st, pt, CASE WHEN starts_with(name, lower(q)) THEN 2 ELSE 3 END AS tier FROM q JOIN c ON contains(name, lower(q)) OR contains(alias, lower(q))),
 m AS (SELECT q, id, min(tier) AS tier, min(st) AS st, min(pt) AS pt, min(name) AS name FROM (SELECT * FROM e UNION ALL SELECT * FROM l) GROUP BY q, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, st, pt, length(name), id) AS rank FROM m)"""
 
@@ -225,6 +257,16 @@ def r14_top(spark, sf_dir):
     return looked_up(spark, sf_dir, 5).select("q", "id", "tier", F.col("rank").cast("long").alias("rank"))
 
 
+@query("r14_foods_with_portions", f"""
+WITH {LOOKUP}, p AS (SELECT l_partkey AS id, string_agg(DISTINCT l_returnflag || '=' || l_quantity || 'g', '; ' ORDER BY l_returnflag || '=' || l_quantity || 'g') AS portions FROM lineitem GROUP BY 1)
+SELECT q, r.id, tier, rank, coalesce(portions, '') AS portions FROM r LEFT JOIN p ON r.id = p.id WHERE rank <= 3""")
+def r14_foods(spark, sf_dir):
+    found = looked_up(spark, sf_dir, 3)
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "id").join(S.small(found.select("id").distinct()), "id", "left_semi")
+    portions = lines.groupBy("id").agg(portion_string(F.col("l_returnflag"), F.col("l_quantity")).alias("portions"))
+    return found.join(portions, "id", "left").select("q", "id", "tier", F.col("rank").cast("long").alias("rank"), F.coalesce("portions", F.lit("")).alias("portions"))
+
+
 @query("r15_recall_memories", """
 WITH m AS (SELECT vec_id AS id, vec_id // 50 AS user_id, CASE label % 3 WHEN 0 THEN 'factual' WHEN 1 THEN 'semantic' ELSE 'episodic' END AS layer, (vec_id % 97) / 100.0 AS weight, embedding FROM embeddings),
 q AS (SELECT vec_id // 50 AS user_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),

@@ -53,22 +53,29 @@ def s3(spark, sf_dir):
     return w.select(F.col("food_id").cast("long").alias("food_id"), "food_name", "energy")
 
 
-@query("s4_rule_counts", "SELECT p_type AS category, p_size % 3 AS severity, count(*) AS n FROM part GROUP BY 1, 2")
+@query("s4_rule_counts", """
+SELECT 'severity' AS field, CASE p_size % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'block' ELSE 'warn' END AS value, count(*) AS n FROM part GROUP BY 1, 2
+UNION ALL SELECT 'category', coalesce(nullif(p_type, ''), 'unknown'), count(*) FROM part GROUP BY 1, 2""")
 def s4(spark, sf_dir):
+    """Parts as rule files of 500, every third rule without a severity."""
     path = new_path(spark, "rules")
-    rule = F.struct(F.col("p_partkey").alias("rule_id"), (F.col("p_size") % 3).alias("severity"), F.col("p_type").alias("category"))
-    table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(rule).alias("rules")).write.json(path)
-    r = spark.read.schema("p_brand string, rules array<struct<rule_id:bigint,severity:int,category:string>>").json(path).select(F.explode("rules").alias("r"))
-    return r.groupBy(F.col("r.category").alias("category"), F.col("r.severity").alias("severity")).agg(F.count("*").alias("n"))
+    severity = F.when(F.col("p_size") % 3 == 1, "block").when(F.col("p_size") % 3 == 2, "warn")
+    rule = F.struct(F.col("p_partkey").cast("string").alias("rule_id"), severity.alias("severity"), F.col("p_type").alias("category"))
+    files = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 500).cast("string").alias("version")).agg(F.collect_list(rule).alias("rules"))
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return S.rule_counts(S.read_rules(spark, path))
 
 
-@query("s5_evaluation_set", "SELECT item_id, text AS question, 'rag' AS expected_route FROM benchmark")
+@query("s5_evaluation_set", """
+SELECT item_id::VARCHAR AS id, coalesce(text, '') AS question, CASE WHEN item_id % 4 = 0 THEN 'wiki' ELSE 'rag' END AS expected_route, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_keywords FROM benchmark""")
 def s5(spark, sf_dir):
+    """Test items as case files of 50, some without a route or keywords."""
     path = new_path(spark, "cases")
-    case = F.struct(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("rag").alias("expected_route"))
-    table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 4).alias("part")).agg(F.collect_list(case).alias("cases")).write.json(path)
-    c = spark.read.schema("part bigint, cases array<struct<id:bigint,question:string,expected_route:string>>").json(path).select(F.explode("cases").alias("c"))
-    return c.select(F.col("c.id").alias("item_id"), "c.question", "c.expected_route")
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 4 == 0, "wiki").alias("expected_route"),
+                    F.when(F.col("item_id") % 2 == 0, F.array(F.substring_index("text", " ", 1))).alias("expected_keywords"))
+    files = table(spark, sf_dir, "benchmark").groupBy(F.floor(F.col("item_id") / 50).cast("string").alias("version")).agg(F.collect_list(case).alias("cases"))
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return S.read_cases(spark, path).select("id", "question", "expected_route", F.size("expected_keywords").cast("long").alias("n_keywords"))
 
 
 @query("s6_feed_items", "SELECT page_id, 'page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'unknown' ELSE 'day ' || page_id % 7 END AS published FROM pages")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Suffixes of the files of a corpus.
 TEXT_SUFFIXES = ("md", "markdown", "txt", "csv", "tsv", "json")
 
 
@@ -42,6 +43,33 @@ def read_csv(spark: SparkSession, path: str, required: list[str], renames: dict[
     return df
 
 
+#: What a rule file and a file of evaluation cases hold.
+RULE_FILE = ("version string, rules array<struct<rule_id string, severity string, category string, description string, review_status string, "
+             "then struct<action string, message string, recommendation string>, evidence struct<source_title string, evidence_level string>>>")
+CASE_FILE = ("version string, cases array<struct<id string, category string, question string, expected_route string, expected_sources array<string>, "
+             "expected_keywords array<string>, reference_answer string, must_not_contain array<string>>>")
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each rule of rule files: version and the rule's fields, null where a rule lacks one; files of one JSON each."""
+    f = spark.read.schema(RULE_FILE).option("multiLine", "true").json(path)
+    return f.select("version", F.explode("rules").alias("r")).select("version", "r.*")
+
+
+def rule_counts(rules: DataFrame) -> DataFrame:
+    """(field, value, n): rules by severity and by category; a null or empty one counts as unknown."""
+    named = lambda c: F.struct(F.lit(c).alias("field"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")).alias("value"))
+    return rules.select(F.explode(F.array(named("severity"), named("category"))).alias("x")).select("x.*").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each case of evaluation files: missing texts are empty, missing lists empty lists, and the route is rag."""
+    f = spark.read.schema(CASE_FILE).option("multiLine", "true").json(path).select("version", F.explode("cases").alias("c")).select("version", "c.*")
+    lists = [c for c, kind in f.dtypes if kind.startswith("array")]
+    other = {"expected_route": "rag"}
+    return f.select(*[F.coalesce(c, F.array().cast("array<string>") if c in lists else F.lit(other.get(c, ""))).alias(c) for c in f.columns])
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """(title, link, description, published) of the items of landed RSS files, with defaults for what an item lacks."""
     x = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)

@@ -195,9 +195,19 @@ def test_rules_of_a_file_and_its_normalisation(spark):
     assert [tuple(r) for r in K.findings(df, "id", [rule]).collect()] == [(1, "g", "block", "m")]
 
 
-@pytest.mark.parametrize("said,want", [("Yes!", "yes"), ("no", "no"), ("好的", "yes"), ("不可以", "no"), ("I would like to think about it yes", None), ("hm", None)])
-def test_yes_or_no(spark, said, want):
-    assert one(spark, K.yes_or_no(F.lit(said))) == want
+@pytest.mark.parametrize("said,want", [("是的！", "accept"), ("确认 更新。", "accept"), ("不是", "reject"), ("不对，先别 更新", "reject"), ("我还想再考虑一下然后再告诉你是的", "accept"), ("我还想再考虑一下然后再告诉你是的吧", None), ("hm", None), ("", None), (None, None)])
+def test_review_decision(spark, said, want):
+    assert one(spark, K.review_decision(F.lit(said).cast("string"))) == want
+
+
+def test_rule_drafts_take_ids_and_defaults(spark):
+    kind = "source string, at int, rule_id string, severity string, category string, description string, then struct<action:string,message:string,recommendation:string>, evidence struct<source_title:string,evidence_level:string>"
+    rows = [("guide 1", 1, " low-salt rule!", "block", "c", "d", ("a", "m", "r"), ("t", "l")), ("guide 1", 2, None, None, None, None, None, None)]
+    got = K.rule_drafts(spark.createDataFrame(rows, kind), "source", "at").collect()
+    by_id = {r["rule_id"]: r for r in got}
+    assert set(by_id) == {"LOW_SALT_RULE", "DRAFT_GUIDE_1_2"} and {r["review_status"] for r in got} == {"draft_needs_review"}
+    made = by_id["DRAFT_GUIDE_1_2"]
+    assert (made["severity"], made["category"], made["then"]["action"], made["evidence"]["source_title"]) == ("warn", "draft_clinical_nutrition", "warn", "guide 1")
 
 
 # Sinks
@@ -278,7 +288,34 @@ def test_facts_and_titles(spark):
 
 
 def test_portion_strings(spark):
-    assert [(p["name"], p["grams"]) for p in one(spark, N.portions_of(F.lit("cup=12.0g; big slice = 30 g;bad;=4g; x=yg")))] == [("cup", 12.0), ("big slice", 30.0)]
+    assert [(p["name"], p["grams"]) for p in one(spark, N.portions_of(F.lit("cup=12.0g; big slice = 30 g;bad;=4g; x=yg")))] == [("cup", 12.0), ("big slice", 30.0), ("", 4.0), ("x", None)]
+
+
+def test_detected_items_and_sweet_notice(spark):
+    said = '{"items": [{"name": "Milk", "estimated_ml": 200, "quantity": 2, "unit": "cup"}, {"food_name": "tea", "estimated_ml": 100, "risk_tags": ["含奶"]}, {"name": " "}, {"name": "rice", "estimated_grams": 50, "estimated_ml": 9}, {"name": "egg"}]}'
+    df = spark.createDataFrame([(1, said), (2, None), (3, "no JSON"), (4, "{}")], "id long, payload string")
+    got = sorted((r["id"], r["name"], r["quantity"], r["unit"] or "", r["grams"] or 0) for r in N.detected_items(df, "id", "payload").collect())
+    assert got == [(1, "Milk", 2, "cup", 206), (1, "egg", 1, "", 0), (1, "rice", 1, "", 50), (1, "tea", 1, "", 103)]
+    notice = lambda names, sick: one(spark, N.sweet_notice(F.lit(None).cast("array<string>") if names is None else F.array(*[F.lit(n) for n in names]), F.lit(sick)))
+    assert notice(["rice", "Milk Tea"], True) and not notice(["Milk Tea"], False) and not notice(["rice"], True) and not notice(None, True)
+
+
+def test_recipe_tree(spark):
+    said = "春季食谱 1\nno meal yet 5g\n早餐 粥（米 50g，*山药【干】 3.5 片。）\n水\n注：note\n加餐\n（糖 5g）\n晚餐\n本食谱提供能量约为 1500kcal"
+    df = spark.createDataFrame([(1, said), (2, ""), (3, None), (4, "早餐 title only（米 5g）")], "id long, text string")
+    got = [tuple(r) for r in X.recipe_tree(df, "id", "text").orderBy("meal_no", "dish_no", "ingredient_no").collect()]
+    assert got == [(1, 1, "早餐", 1, "粥", 0, "米", 50, "g"), (1, 1, "早餐", 1, "粥", 1, "山药干", 3.5, "片"), (1, 1, "早餐", 2, "水", None, None, None, None),
+                   (1, 2, "加餐", 1, "（糖 5g）", 0, "糖", 5, "g")]
+
+
+def test_plan_nutrition_and_rule_targets(spark):
+    exact = one(spark, X.plan_nutrition(F.lit("本食谱提供能量约为 1500 kcal，\n其中蛋白质 60.5 g，碳水化合物 200 g，脂肪 40 g；蛋白质 16%，碳水化合物 54%，脂肪 24%")))
+    assert tuple(exact) == (1500, 60.5, 200, 40, 16, 54, 24)
+    ranged = one(spark, X.plan_nutrition(F.lit("本食谱可提供能量及营养，总值为 1500～1700 kcal，蛋白质 60-70 g，碳水化合物 200 g，脂肪 40 g")))
+    assert tuple(ranged) == (1600, 65, 200, 40, None, None, None)
+    assert tuple(one(spark, X.plan_nutrition(F.lit("no facts")))) == (None,) * 7
+    pages = spark.createDataFrame([(1, 2, "a b\nx"), (1, 1, "ab y"), (1, 3, "ab"), (2, 1, None)], "id long, page int, text string")
+    assert [tuple(r) for r in X.rule_targets(pages, "id", "page", "text", [(["ab"], ["x", "y"], [("n", "<2")])]).collect()] == [(1, "n", "<2", 1)]
 
 
 def test_adjusted_scores(spark):
