@@ -37,18 +37,42 @@ def metrics(text: Column, names: list[str]) -> Column:
     return F.transform(F.arrays_zip(*groups), lambda x: F.struct(x["0"].alias("name"), x["1"].try_cast("double").alias("value"), x["2"].alias("unit")))
 
 
+#: What a clause says of a reading's kind and meal, in the order looked for, of the day, and of the time of day.
+READING_KINDS = [("fasting", "空腹|fasting"), ("pre_meal", "餐前|饭前|before"), ("postprandial_2h", "[餐饭]后(2|两)小时|餐二|2 ?h(ours?)? after"),
+                 ("post_meal", "餐后|饭后|after"), ("bedtime", "睡前|bedtime")]
+MEAL_CONTEXTS = [("breakfast", "早餐|breakfast"), ("lunch", "午餐|中饭|lunch"), ("dinner", "晚餐|晚饭|dinner")]
+DAYS_BACK = [(2, "前天"), (1, "昨天|昨日|yesterday")]
+TIME_OF_DAY = r"(凌晨|早上|上午|中午|下午|晚上|今晚|今早)?\s*(\d{1,2})[:：点](\d{1,2})?"
+AFTERNOON = ["下午", "晚上", "今晚"]
+#: Units of a reading, those of mg/dl first.
+READING_UNITS = [("mg/dl", "(?i)mg/dl|毫克每分升"), ("mmol", "(?i)mmol(?:/l)?|毫摩尔")]
+
+
 def readings(text: Column, base: Column) -> Column:
-    """(kind, value, at) of each clause with a value: the clause's words give the kind, and days back from base."""
-    clauses = F.split(text, "[,;，；。]")
+    """(kind, meal, value, on, at) of each clause with a value and a unit.
 
-    def reading(c: Column) -> Column:
-        raw = F.regexp_extract(c, r"([\d.]+)\s*(mmol|mg/dl)", 1).try_cast("double")
-        unit = F.regexp_extract(c, r"([\d.]+)\s*(mmol|mg/dl)", 2)
-        kind = F.when(c.rlike("fasting|空腹"), "fasting").when(c.rlike("after|餐后"), "post_meal").otherwise("random")
-        back = F.when(c.rlike("yesterday|昨"), 1).otherwise(0)
-        return F.struct(kind.alias("kind"), T.glucose_mmol(raw, unit).alias("value"), (F.to_date(base) - F.make_interval(days=back)).cast("date").alias("on"))
+    The clause's words give the kind (random without one), the meal (empty without one) and the days back from base; at is
+    the last time of day that the clause names, on that day, and null where it names none or none that exists. Values
+    out of range, null and empty texts have no readings.
+    """
+    units = "|".join(p.removeprefix("(?i)") for _, p in READING_UNITS)
+    value = rf"(?i)(\d+(?:\.\d+)?)\s*({units})"
+
+    def named(c: Column, rules: list, other) -> Column:
+        return F.coalesce(*[F.when(c.rlike(p), F.lit(n)) for n, p in rules], F.lit(other))
 
-    return F.filter(F.transform(clauses, reading), lambda r: r["value"].isNotNull())
+    def reading(c: Column) -> Column:
+        unit = F.regexp_extract(c, value, 2)
+        raw = F.regexp_extract(c, value, 1).try_cast("double")
+        on = (F.to_date(base) - F.make_interval(days=named(c, DAYS_BACK, 0))).cast("date")
+        last = lambda i: F.try_element_at(F.regexp_extract_all(c, F.lit(TIME_OF_DAY), F.lit(i)), F.lit(-1))
+        period, hour, minute = F.coalesce(last(1), F.lit("")), last(2).try_cast("int"), F.coalesce(last(3).try_cast("int"), F.lit(0))
+        hour = F.when(period.isin(AFTERNOON) & (hour < 12), hour + 12).when((period == "中午") & (hour < 11), hour + 12).otherwise(hour)
+        at = F.when((hour <= 23) & (minute <= 59), on.cast("timestamp_ntz") + F.make_interval(hours=hour, mins=minute))
+        return F.struct(named(c, READING_KINDS, "random").alias("kind"), named(c, MEAL_CONTEXTS, "").alias("meal"),
+                        T.glucose_mmol(raw, F.when(unit.rlike(READING_UNITS[0][1]), "mg/dl").otherwise("mmol")).alias("value"), on.alias("on"), at.alias("at"))
+
+    return F.filter(F.transform(F.split(text, "[,;，；。\n]"), reading), lambda r: r["value"].isNotNull())
 
 
 def bmi(weight_kg: Column, height_cm: Column) -> Column:

@@ -41,12 +41,16 @@ def p3(spark, sf_dir):
 
 
 @query("p4_readings", """
-WITH r AS (SELECT event_id, 'fasting' AS kind, floor(value) AS value, ts::DATE AS day FROM events UNION ALL SELECT event_id, 'post_meal', CAST(5 + user_id % 40 AS DOUBLE), ts::DATE - 1 FROM events)
-SELECT event_id, kind, value, CAST(day AS VARCHAR) AS "on" FROM r WHERE value BETWEEN 1 AND 35""")
+WITH r AS (SELECT event_id, 'fasting' AS kind, '' AS meal, floor(value) AS value, ts::DATE AS day, NULL::TIMESTAMP AS observed FROM events
+  UNION ALL SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'post_meal' ELSE 'pre_meal' END, 'dinner', CAST(5 + user_id % 40 AS DOUBLE), ts::DATE - 1, ts::DATE - INTERVAL 1 DAY + to_hours(12 + event_id % 12) + to_minutes(event_id % 60) FROM events)
+SELECT event_id, kind, meal, value, CAST(day AS VARCHAR) AS "on", CAST(observed AS VARCHAR) AS observed FROM r WHERE value BETWEEN 1 AND 35""")
 def p4(spark, sf_dir):
-    said = F.concat(F.lit("fasting "), F.floor("value"), F.lit(" mmol, yesterday after dinner "), (5 + F.col("user_id") % 40) * 18, F.lit(" mg/dl; pulse 70"))
+    """Two clauses for each event, its value and its user's, with times of day of its id."""
+    e = F.col("event_id")
+    said = F.concat(F.lit("fasting "), F.floor("value"), F.lit(" mmol, 昨天 下午"), F.when(e % 12 == 0, 12).otherwise(e % 12), F.lit(":"), e % 60,
+                    F.when(F.col("user_id") % 2 == 0, " after").otherwise(" before"), F.lit(" dinner "), (5 + F.col("user_id") % 40) * 18, F.lit(" mg/dL; pulse 70"))
     r = events(spark, sf_dir).select("event_id", F.explode(P.readings(said, F.col("ts"))).alias("r"))
-    return r.select("event_id", "r.kind", "r.value", F.col("r.on").cast("string").alias("on"))
+    return r.select("event_id", "r.kind", "r.meal", "r.value", F.col("r.on").cast("string").alias("on"), F.col("r.at").cast("string").alias("observed"))
 
 
 @query("p5_update_merge", """

@@ -146,6 +146,16 @@ def test_readings_with_relative_days(spark):
     assert [(r["kind"], r["value"], r["on"]) for r in out] == [("fasting", 6.1, datetime.date(2024, 5, 2)), ("post_meal", 10.0, datetime.date(2024, 5, 1))]
 
 
+def test_readings_with_kinds_meals_and_times(spark):
+    said = "空腹血糖 5.6 mmol/L，前天晚上8点30早餐前血糖 7 毫摩尔，昨天餐后2小时 180毫克每分升，睡前 25:70 6 mmol；50 mmol，中午 1点午餐后 6.5mmol，血糖高"
+    out = one(spark, P.readings(F.lit(said), F.lit("2024-05-03 10:00:00").cast("timestamp_ntz")))
+    day, at = datetime.date, datetime.datetime
+    assert [(r["kind"], r["meal"], r["value"], r["on"], r["at"]) for r in out] == [
+        ("fasting", "", 5.6, day(2024, 5, 3), None), ("pre_meal", "breakfast", 7.0, day(2024, 5, 1), at(2024, 5, 1, 20, 30)),
+        ("postprandial_2h", "", 10.0, day(2024, 5, 2), None), ("bedtime", "", 6.0, day(2024, 5, 3), None), ("post_meal", "lunch", 6.5, day(2024, 5, 3), at(2024, 5, 3, 13, 0))]
+    assert one(spark, P.readings(F.lit(None).cast("string"), F.lit("2024-05-03").cast("date"))) in (None, [])
+
+
 def test_out_of_range_values_give_nothing(spark):
     assert one(spark, P.guarded(F.lit("am 400 years"), r"am (\d+) years", 1, 120)) is None
     assert one(spark, T.glucose_mmol(F.lit(700.0), F.lit("mg/dL"))) is None
