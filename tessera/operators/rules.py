@@ -114,6 +114,10 @@ def review_decision(text: Column, rejects: list[str] = REJECTS, accepts: list[st
     return F.when((said == "") | (F.length(said) > longest), F.lit(None)).when(holds(rejects), "reject").when(holds(accepts), "accept")
 
 
+#: What a rule draft has where it says nothing else.
+DRAFT_SEVERITY, DRAFT_CATEGORY, DRAFT_ACTION, DRAFT_LEVEL, DRAFT_STATUS = "warn", "draft_clinical_nutrition", "warn", "draft", "draft_needs_review"
+
+
 def rule_drafts(rules: DataFrame, source: str, order: str) -> DataFrame:
     """rules (rule_id, severity, category, description, then, evidence and the source's column) as drafts to review.
 
@@ -123,8 +127,8 @@ def rule_drafts(rules: DataFrame, source: str, order: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(source).orderBy(order))
     made = F.concat(F.lit("DRAFT_"), F.upper(F.col(source).cast("string")), F.lit("_"), place)
     rule_id = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(F.nullif("rule_id", F.lit("")), made)), "[^A-Z0-9_]+", "_"), "^_+|_+$", "")
-    then = F.struct(F.lit("warn").alias("action"), F.lit("").alias("message"), F.lit("").alias("recommendation"))
-    evidence = F.struct(F.col(source).cast("string").alias("source_title"), F.lit("draft").alias("evidence_level"))
-    return rules.select(source, rule_id.alias("rule_id"), F.coalesce("severity", F.lit("warn")).alias("severity"), F.coalesce("category", F.lit("draft_clinical_nutrition")).alias("category"),
+    then = F.struct(F.lit(DRAFT_ACTION).alias("action"), F.lit("").alias("message"), F.lit("").alias("recommendation"))
+    evidence = F.struct(F.col(source).cast("string").alias("source_title"), F.lit(DRAFT_LEVEL).alias("evidence_level"))
+    return rules.select(source, rule_id.alias("rule_id"), F.coalesce("severity", F.lit(DRAFT_SEVERITY)).alias("severity"), F.coalesce("category", F.lit(DRAFT_CATEGORY)).alias("category"),
                         F.coalesce("description", F.lit("")).alias("description"), F.coalesce("then", then).alias("then"), F.coalesce("evidence", evidence).alias("evidence"),
-                        F.lit("draft_needs_review").alias("review_status"))
+                        F.lit(DRAFT_STATUS).alias("review_status"))
