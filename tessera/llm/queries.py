@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, line_dedup, mixing, quality_rules, secrets, simhash, toxicity, url_filter
+from . import chat_format, collocations, decontamination, divergence, language_id, line_dedup, mixing, quality_rules, secrets, simhash, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -256,6 +256,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c)::HUGEINT AS lc FROM t GROUP BY lang, term HAVING count(*) >= 3),
+c AS (SELECT t.lang, source, t.term, sum(c)::HUGEINT AS c, any_value(lc) AS lc FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY ALL),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(lc)::HUGEINT AS ln FROM kept GROUP BY lang),
+g AS (
+  SELECT s.lang, s.source, coalesce(n, 0)::HUGEINT AS n, coalesce(v, 0)::HUGEINT AS v, coalesce(ln, 0)::HUGEINT AS ln
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) x ON s.lang = x.lang AND s.source = x.source LEFT JOIN l ON s.lang = l.lang),
+full_ AS (
+  SELECT g.lang, g.source, kept.term, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (g.n + g.v) AS p
+  FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM full_ a JOIN full_ b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+own AS (
+  SELECT c.lang, c.source, c.term, 1 + (1000000000 * (c.c + 1)) // (g.n + g.v) AS p, 1 + (1000000000 * (c.lc + 1)) // (g.ln + g.v) AS q
+  FROM c JOIN g ON c.lang = g.lang AND c.source = g.source),
+every AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM own WHERE p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS s, count(*)::HUGEINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, s, f AS a, string_split(s, ' ') AS w FROM g WHERE k > 1 AND f >= 100),
+longer AS (
+  SELECT lang, s, max(a) AS most FROM (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS s, a
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer ON c.lang = longer.lang AND c.s = longer.s WHERE most IS NULL OR 100 * most < 100 * a),
+cuts AS (SELECT *, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+sc AS (
+  SELECT cuts.lang, cuts.s, a, n, j, gx.f AS l, gy.f AS r, 1000 * a * n // (gx.f * gy.f) AS score
+  FROM cuts JOIN n ON n.lang = cuts.lang JOIN g gx ON gx.lang = cuts.lang AND gx.s = x JOIN g gy ON gy.lang = cuts.lang AND gy.s = y),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank FROM best)
+SELECT lang, rank, s AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -269,8 +332,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op10_quality_rules": OP10_SQL,
+            "op12_source_divergence": OP12_SQL, "op13_collocations": OP13_SQL}
