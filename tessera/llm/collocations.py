@@ -33,6 +33,7 @@ EDGE = b"."
 FILTER_BITS = 1 << 26
 #: Entries of stripes in a batch on the way to Spark.
 SENT = 100_000
+#: Parts of a language's phrases that are ranked apart first.
 SALTS = 32
 
 
@@ -46,15 +47,15 @@ def _mixed(words: np.ndarray, k: int, seed: int) -> np.ndarray:
     return h
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash in the filter."""
-    most = np.uint64(FILTER_BITS - 1)
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a filter of a power of two of bits."""
+    most = np.uint64(bits - 1)
     return h & most, (h >> np.uint64(36)) & most
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     out = np.ones(len(h), bool)
-    for at in _places(h):
+    for at in _places(h, 64 * len(bits)):
         out &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return out
 
@@ -63,7 +64,7 @@ def _seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 7)
 
 
-def _stripes(lang: str, texts: list[bytes], k: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _stripes(lang: str, texts: list[bytes], k: int, bits: np.ndarray | None, sent: int) -> Iterator[pa.RecordBatch]:
     """The stripes of level k over texts of one language."""
     tokens = EDGE.join(texts).translate(FOLD).replace(EDGE, b" . ").split()
     ids: defaultdict[bytes, int] = defaultdict()
@@ -94,7 +95,7 @@ def _stripes(lang: str, texts: list[bytes], k: int, bits: np.ndarray | None) ->
     starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(starts, starts[a] + SENT, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + sent, "right")) - 1)
         ends = starts[b] if b < len(starts) else len(pair)
         one = where[starts[a:b]]
         said = [names.take(pa.array(w[one + j])) for j in range(k - 1)]
@@ -107,7 +108,7 @@ def _stripes(lang: str, texts: list[bytes], k: int, bits: np.ndarray | None) ->
         a = b
 
 
-def _level(docs: DataFrame, k: int, bits) -> DataFrame:
+def _level(docs: DataFrame, k: int, bits, sent: int) -> DataFrame:
     """(lang, prefix, word, a): merged stripes of prefixes of k - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +118,14 @@ def _level(docs: DataFrame, k: int, bits) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts[lang].append(text)
             for lang, own in texts.items():
-                yield from _stripes(lang, own, k, held)
+                yield from _stripes(lang, own, k, held, sent)
 
     stripes = docs.mapInArrow(run, "lang string, prefix string, words array<string>, counts array<long>")
     entries = stripes.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
     return entries.groupBy("lang", "prefix", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("a"))
 
 
-def _filter(phrases: DataFrame):
+def _filter(phrases: DataFrame, size: int):
     """The Bloom filter of (lang, phrase), as a broadcast array of 64 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,31 +134,33 @@ def _filter(phrases: DataFrame):
             for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 words = np.array([xxhash.xxh64_intdigest(x) for x in phrase.encode().split(b" ")], np.uint64)
                 h[i] = _mixed(words, len(words), _seed(lang))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h)).astype(np.int64))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h, size)).astype(np.int64))], ["bit"])
 
     spark = phrases.sparkSession
     parts = phrases.mapInArrow(run, "bit long").groupBy(F.expr("shiftright(bit, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits"))
-    got = parts.toArrow()  # a row for each 64 bits of the filter at most: 1,048,576
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    got = parts.toArrow()  # a row for each 64 bits of the filter at most, 1,048,576 by default
+    bits = np.zeros(size >> 6, np.int64)
     bits[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return spark.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000,
+                 filter_bits: int = FILTER_BITS, sent: int = SENT) -> DataFrame:
     """The best top phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A-Z are lowered, texts cut at .,;:!? and line ends into pieces and those at blanks and tabs into words. Candidates are the
     phrases of 2 to longest words that occur least times or more in a language. The score is the lowest over all cuts of
     floor(1000 * a * n / (l * r)); the rank orders by score and a descending, then by phrase. A candidate that is always part of
     a longer one is left out: one word more on either side shows it, as no phrase between the two can be rarer than the
-    longer or more frequent than the shorter. A null text is empty, a null lang is 'und', as is one so called; an empty
+    longer or more frequent than the shorter. filter_bits (a power of two from 64 on) and sent bound memory and
+    don't change the result. A null text is empty, a null lang is 'und', as is one so called; an empty
     table gives an empty result. Repeated rows count each. Columns of docs other than the two are left out, so no name
     clashes. A text may be as long as a batch of Arrow holds.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     given = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
-    levels = [materialize(_level(given, 1, None), "stripes")]
+    levels = [materialize(_level(given, 1, None, sent), "stripes")]
     totals = levels[0].groupBy("lang").agg(F.sum("a").alias("n"))
     levels[0] = levels[0].filter(F.col("a") >= least)
 
@@ -165,8 +168,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         return level.select("lang", F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word")).alias("phrase"), "prefix", "a")
 
     for k in range(2, longest + 1):
-        bits = _filter(phrase(levels[-1]).select("lang", "phrase"))
-        levels.append(materialize(_level(given, k, bits).filter(F.col("a") >= least), "stripes"))
+        bits = _filter(phrase(levels[-1]).select("lang", "phrase"), filter_bits)
+        levels.append(materialize(_level(given, k, bits, sent).filter(F.col("a") >= least), "stripes"))
         bits.unpersist()
     phrases = [phrase(x).withColumn("m", F.lit(k + 1)) for k, x in enumerate(levels)]
     counts = reduce(DataFrame.unionByName, phrases[: longest - 1] or phrases).select("lang", "phrase", F.col("a").alias("f"))

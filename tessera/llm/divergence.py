@@ -27,10 +27,13 @@ BLOCK = 256
 #: Cells of a tile's matrix at a time.
 CELLS = 1 << 20
 SENT = 100_000
+#: Rows of a tile in one task, about.
+ROWS = 1 << 18
+#: Parts of a group's terms that are ranked apart first.
 SALTS = 32
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], sent: int) -> Iterator[pa.RecordBatch]:
     """(lang, source, terms, counts, documents) of each batch of (lang, source, text as bytes)."""
     for batch in batches:
         counts: defaultdict[tuple, Counter] = defaultdict(Counter)
@@ -41,8 +44,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[lang, source].update(one.keys())
         for (lang, source), c in counts.items():
             terms = list(c)
-            for i in range(0, len(terms), SENT):
-                some = terms[i : i + SENT]
+            for i in range(0, len(terms), sent):
+                some = terms[i : i + sent]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x]) for x in (lang, source)] + [
                         pa.array([some], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
@@ -62,7 +65,7 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     """Partial sums of each ordered pair of a tile's sources over the terms of its bucket.
 
     Rows come sorted by tile and bucket, first the sources (no term, p of an absent term), then those of the terms, by term.
@@ -83,7 +86,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = rows.column("p").to_numpy()
         n = int(terms.max()) + 1
         seen += n
-        step = max(1, CELLS // len(sources))
+        step = max(1, cells // len(sources))
         for t in range(0, n, step):
             a, b = np.searchsorted(terms, (t, t + step))
             m = np.repeat(absent[:, None], min(step, n - t), axis=1)
@@ -141,21 +144,22 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 3, top: int = 200) -> DataFrame:
+def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 3, top: int = 200,
+                      cells: int = CELLS, sent: int = SENT, task_rows: int = ROWS) -> DataFrame:
     """lang, source, part, item, value, rank: divergence of each source from the others (pair) and its own terms (term).
 
     Null text, lang and source are ''. A language keeps the terms in at least least of its documents; a group gives each a
     share of a thousand million, plus one, with add-one smoothing. Part pair has, for each group, all other sources of its
     language by the sum of floor((p - q)^2 / q) over all kept terms, absent ones included (0 where none is kept); part term
     the top terms whose share is above the language's. Ranks are by value descending, then item ascending. All arithmetic is
-    on integers. Repeated rows count each; an empty table gives an empty result. Columns of docs other than the three are
+    on integers. cells, sent and task_rows bound the memory of a task and don't change the result. Repeated rows count each; an empty table gives an empty result. Columns of docs other than the three are
     left out, so no name clashes. A text may be as long as a batch of Arrow holds.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     given = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).cast("binary").alias("text"))
-    sparse = given.mapInArrow(_counted, "lang string, source string, terms array<string>, counts array<long>, documents array<long>")
+    sparse = given.mapInArrow(lambda batches: _counted(batches, sent), "lang string, source string, terms array<string>, counts array<long>, documents array<long>")
     entries = sparse.select("lang", "source", F.explode(F.arrays_zip("terms", "counts", "documents")).alias("e"))
     counts = entries.groupBy("lang", "source", F.col("e.terms").alias("term")).agg(F.sum("e.counts").alias("n"), F.sum("e.documents").alias("documents"))
     of_term = Window.partitionBy("lang", "term")
@@ -166,14 +170,16 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     per_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("new").alias("new"), F.count("*").alias("rows"))
     groups = given.select("lang", "source").distinct().join(per_group, ["lang", "source"], "left").fillna(0, ["total", "new", "rows"])
     groups = materialize(groups, "groups")
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("new").alias("v"), F.count("*").alias("sources"))
+    langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("new").alias("v"), F.count("*").alias("sources"), F.sum("rows").alias("lang_rows"))
     groups = materialize(groups.join(langs, "lang"), "groups")
     blocks = F.ceil(F.col("sources") / BLOCK)
-    groups = groups.select("lang", "source", "total", "lang_total", "v", "rows", blocks.alias("blocks"), F.pmod(F.xxhash64("source"), blocks).alias("block"))
+    # A language's terms are dealt to as many buckets as its rows need, so partial sums stay few beside them.
+    buckets = F.floor(F.col("lang_rows") / task_rows) + 1
+    groups = groups.select("lang", "source", "total", "lang_total", "v", "rows", buckets.alias("buckets"), blocks.alias("blocks"), F.pmod(F.xxhash64("source"), blocks).alias("block"))
     p = share(F.col("n") + 1, F.col("total") + F.col("v")).alias("p")
     known = groups.drop("rows")
     terms = join_hot(kept.select("lang", "source", "term", "n", "ln"), known, ["lang", "source"], groups.select("lang", "source", F.col("rows").alias("n")), kept.count())
-    terms = terms.select("lang", "source", "term", "block", "blocks", p, share(F.col("ln") + 1, F.col("lang_total") + F.col("v")).alias("q"))
+    terms = terms.select("lang", "source", "term", "block", "blocks", F.pmod(F.xxhash64("term"), "buckets").alias("bucket"), p, share(F.col("ln") + 1, F.col("lang_total") + F.col("v")).alias("q"))
     terms = materialize(terms, "shares")
 
     # Own terms: the best of each share of a group's terms, then of those.
@@ -184,16 +190,14 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     own = own.drop("salt").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).filter(F.col("rank") <= top)
 
     # Pairs: the rows of each source in the tiles of its block with each block of its language.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
     tile = [F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other")]
-    heads = groups.select("*", every).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    heads = heads.select("lang", *tile, F.col("bucket").cast("long").alias("bucket"), F.lit(None).cast("string").alias("term"), "source", "block", share(F.lit(1).cast("long"), F.greatest(F.col("v") + F.col("total"), F.lit(1))).alias("p"), "v")
-    bucket = F.pmod(F.xxhash64("term"), F.lit(n)).alias("bucket")
-    rows = terms.select("*", every).select("lang", *tile, bucket, "term", "source", "block", "p", F.lit(0).cast("long").alias("v"))
+    heads = groups.select("*", every).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
+    heads = heads.select("lang", *tile, "bucket", F.lit(None).cast("string").alias("term"), "source", "block", share(F.lit(1).cast("long"), F.greatest(F.col("v") + F.col("total"), F.lit(1))).alias("p"), "v")
+    rows = terms.select("*", every).select("lang", *tile, "bucket", "term", "source", "block", "p", F.lit(0).cast("long").alias("v"))
     keys = ["lang", "one", "other", "bucket"]
-    dealt = heads.unionByName(rows).repartition(n, *keys).sortWithinPartitions(*keys, F.col("term").asc_nulls_first())
-    sums = dealt.mapInArrow(_tiles, "lang string, source string, item string, value long, seen long, absent long, v long")
+    dealt = heads.unionByName(rows).repartition(*keys).sortWithinPartitions(*keys, F.col("term").asc_nulls_first())
+    sums = dealt.mapInArrow(lambda batches: _tiles(batches, cells), "lang string, source string, item string, value long, seen long, absent long, v long")
     pairs = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"), F.max("absent").alias("absent"), F.max("v").alias("v"))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") + (F.col("v") - F.col("seen")) * F.col("absent")).alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))

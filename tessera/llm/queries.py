@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, decontamination, divergence, language_id, line_dedup, mixing, quality_rules, secrets, simhash, toxicity, url_filter
+from . import chat_format, collocations, decontamination, divergence, language_id, line_dedup, mixing, personal_data, quality_rules, secrets, simhash, toxicity, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -256,6 +256,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(personal_data.spans_text(F.col("base")), 256).alias("base_sha256"),
+        personal_data.spans_text(F.concat("base", "added")).alias("spans"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -332,6 +339,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_personal_data": op11_personal_data,
         "op12_source_divergence": op12_source_divergence,
         "op13_collocations": op13_collocations,
     }
