@@ -24,8 +24,10 @@ from .common import bounded_batches, materialize, others
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-#: Labelled documents that training reads at most, over all languages; the bytes of their subword counts; languages, the most frequent.
-SAMPLE_ROWS, SAMPLE_BYTES, MOST_LANGUAGES = 2000, 64 << 20, 1000
+#: Labelled documents that training reads at most, over all languages; the bytes of their subword counts.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64 << 20
+#: Languages that a model knows at most: its table of 32768 buckets takes 128 KB for each, 131 MB in all.
+MOST_LANGUAGES = 1000
 #: Of the subword distribution of a language, the part that is spread evenly over all buckets; and the allowance for short texts.
 EVEN, SLACK = 0.02, 3.0
 LETTER = regex.compile(r"\p{L}")
@@ -171,16 +173,17 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 4.0, rou
     return model
 
 
-def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
+def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Fit on at most rows documents, and SAMPLE_BYTES of counts, of those that may_learn and have a language, in equal
-    parts by language. Without such documents, or in an empty table, the model knows no language.
+    parts by language. A model knows the languages most frequent among them, up to languages (ties by name), as its table is
+    sent to all executors; texts of others are judged as of a language it never saw. Without such documents, or in an empty table, the model knows no language.
 
     The sample is taken by a hash of doc_id and text, so reruns agree; only counts of subwords reach the driver, never texts.
     """
     bounded_batches(docs.sparkSession)
     drawn = F.pmod(F.xxhash64("doc_id", text, F.lit("language sample")), F.lit(1 << 40))
     labelled = docs.select("doc_id", text, lang).filter(may_learn & F.col(lang).isNotNull()).withColumn("_u", drawn)
-    per = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(MOST_LANGUAGES).collect()}
+    per = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(languages).collect()}
     if not per:
         return fit([])
     each = max(1, rows // len(per))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, collocations, decontamination, divergence, language_id, line_dedup, mixing, personal_data, quality_rules, secrets, simhash, toxicity, url_filter
-from .common import table
+from .common import materialize, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -124,12 +124,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    # The list: addresses of pages over 2 % of whose characters outside tags are symbols, and hosts most of whose pages are such.
+    # The list: addresses of pages over 2 % of whose characters outside tags are symbols, and hosts with over twice as large a
+    # share of such pages as all hosts together.
     host, path = url_filter.url_parts(F.col("url"))
     shown = F.regexp_replace("html", "<[^>]*>", " ")
     junk = 50 * (F.length(shown) - F.length(F.translate(shown, "#*$%&|", ""))) > F.length(shown)
     judged = pages.select(host.alias("host"), path.alias("path"), F.coalesce(junk, F.lit(False)).cast("int").alias("junk")).filter("host <> ''")
-    hosts = judged.groupBy("host").agg(F.avg("junk").alias("share")).filter("share > 0.5").select(F.col("host").alias("key"))
+    judged = materialize(judged, "judged")
+    all_junk, every = judged.agg(F.coalesce(F.sum("junk"), F.lit(0)), F.count("*")).first()
+    hosts = judged.groupBy("host").agg(F.sum("junk").alias("junk"), F.count("*").alias("pages"))
+    hosts = hosts.filter(F.col("junk") * every > 2 * F.lit(all_junk) * F.col("pages")).select(F.col("host").alias("key"))
     listed = hosts.unionByName(judged.filter("junk = 1").select(F.concat("host", "path").alias("key")))
     out = url_filter.url_filter(pages.select("page_id", "url"), URL_RULES, listed)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -145,7 +149,7 @@ u AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 t AS (SELECT host, path, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM u WHERE host <> ''),
 j AS (SELECT host, path, coalesce((length(t) - length(regexp_replace(t, '[#*$%&|]', '', 'g'))) / length(t) > 0.02, false) AS junk FROM t),
-bad_host AS (SELECT host FROM j GROUP BY host HAVING 2 * count(*) FILTER (junk) > count(*)),
+bad_host AS (SELECT host FROM j GROUP BY host HAVING count(*) FILTER (junk) * (SELECT count(*) FROM j) > 2 * count(*) * (SELECT count(*) FILTER (junk) FROM j)),
 bad_page AS (SELECT DISTINCT host, path FROM j WHERE junk),
 best AS (
   SELECT u.page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action

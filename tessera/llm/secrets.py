@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,11 +61,18 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if "@" in text:
         parts += [(3, *m.span(), True) for m in EMAIL.finditer(text)]
     parts += [(5, *m.span(), True) for m in ADDRESS.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
+    # Base spans joined where they overlap: starts and ends both ascend, so the last that begins before b decides.
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
     def free(a: int, b: int) -> bool:
-        k = bisect_right(taken, (b,))
-        return not any(x < b and a < y for x, y in taken[max(0, k - 3) : k])
+        k = bisect_left(starts, b)
+        return not k or ends[k - 1] <= a
 
     for a, b in runs:
         s = text[a:b]

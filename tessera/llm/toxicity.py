@@ -86,7 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
     """Fit on at most rows documents, and SAMPLE_BYTES of features, that may_learn and have a label, drawn by a hash of
     doc_id at their natural rate. Without such documents, or in an empty table, the model scores all texts alike.
 
-    Labels are joined by doc_id before any text is read into features; only buckets reach the driver.
+    Labels are joined by doc_id before any text is read into features; only buckets reach the driver. Of rows that agree in
+    doc_id and text one is learned; of those that agree in doc_id alone each, in an order that a hash of both gives.
     """
     bounded_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(may_learn)
@@ -96,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30))
     chosen = known.withColumn("_u", drawn).filter(F.col("_u") <= int(min(1.0, 1.1 * rows / n) * (1 << 30)))
     # Bounded by rows: a share of the labels that falls as they grow.
-    pairs = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("toxic", text, "_u")
+    pairs = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select("toxic", text, F.xxhash64("doc_id", text, F.lit("toxicity sample")).alias("_u"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

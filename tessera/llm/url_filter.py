@@ -23,10 +23,13 @@ from .common import materialize, pack, unpack
 PART_BITS = 1 << 25
 #: Parts whose levels one task holds at a time.
 PASS_PARTS = 8
+#: From this level on, what is left is kept as a list, if it has at most so many keys.
+DEEP, LEFT = 16, 1000
 
 
 def _bit(key: Column, level: int, probe: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(probe)), F.lit(bits).cast("long"))
+    # Level and probe come first: they seed the hash of the key, so keys that share one of its hashes don't share all.
+    return F.pmod(F.xxhash64(F.lit(level), F.lit(probe), key), F.lit(bits).cast("long"))
 
 
 @dataclass
@@ -46,6 +49,16 @@ class Level:
         return hit
 
 
+@dataclass
+class Listed:
+    """The last level of a deep cascade: the few keys left, each as it is."""
+
+    keys: list[str]
+
+    def holds(self, key: Column, level: int) -> Column:
+        return key.isin(self.keys)
+
+
 def _encode(keys: DataFrame, n: int, level: int, per_key: int, probes: int) -> Level:
     bits = max(64, -(-n * per_key // 64) * 64)
     at = F.explode(F.array(*[_bit(F.col("key"), level, p, bits) for p in range(probes)]))
@@ -56,14 +69,14 @@ def _encode(keys: DataFrame, n: int, level: int, per_key: int, probes: int) -> L
 
 
 def _part(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts).cast("long"))
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts).cast("long"))
 
 
 @dataclass
 class Cascade:
     """The levels of each part of the keys."""
 
-    parts: list[list[Level]]
+    parts: list[list[Level | Listed]]
 
     @property
     def levels(self) -> int:
@@ -72,7 +85,7 @@ class Cascade:
     def contains(self, key: Column, parts: list[int] | None = None) -> Column:
         """Exact for keys of the universe that the cascade was built over; null keys are in no list. Of parts given, only
         keys of those are asked."""
-        def of(levels: list[Level]) -> Column:
+        def of(levels: list[Level | Listed]) -> Column:
             out = F.lit(len(levels) % 2 == 1)
             for i in reversed(range(len(levels))):
                 out = F.when(levels[i].holds(key, i), out).otherwise(F.lit(i % 2 == 1))
@@ -118,7 +131,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     return Cascade([_build_part(inside, keys, part, parts, per_key, probes) for part in range(parts)])
 
 
-def _build_part(inside: DataFrame, keys: DataFrame, part: int, parts: int, per_key: int, probes: int) -> list[Level]:
+def _build_part(inside: DataFrame, keys: DataFrame, part: int, parts: int, per_key: int, probes: int) -> list[Level | Listed]:
     if parts > 1:
         inside, keys = (df.filter(_part(F.col("key"), parts) == part) for df in (inside, keys))
     n = inside.count()
@@ -129,6 +142,8 @@ def _build_part(inside: DataFrame, keys: DataFrame, part: int, parts: int, per_k
     wrong, other = materialize(passed.join(inside, "key", "left_anti"), "passed"), inside
     while (n := wrong.count()) > 0:
         level = len(levels)
+        if level >= DEEP and n <= LEFT:
+            return [*levels, Listed([r["key"] for r in wrong.collect()])]
         # Deep levels get more bits a key, so that even a few keys that share hashes are told apart.
         levels.append(_encode(wrong, n, level, 4 + level // 4, 2))
         wrong, other = materialize(other.filter(levels[-1].holds(F.col("key"), level)), "passed"), wrong

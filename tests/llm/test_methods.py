@@ -137,8 +137,25 @@ def test_toxicity_scores_against_plain_sums(spark):
     assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_toxicity_learns_each_text_of_a_repeated_id(spark):
+    rows = [(k // 2, f"bad word{k % 9} stuff" if k % 4 else f"good word{k % 9} stuff", "en", "s", 0) for k in range(80)]
+    rows += rows[:10]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    models = [toxicity.train(x, labels, F.lit(True)) for x in (d, d.orderBy(F.rand(3)).repartition(3))]
+    assert models[0].bias == models[1].bias and models[0].weights.tolist() == models[1].weights.tolist()
+
+
 # Secrets
 
+def test_parts_inside_a_long_base_span_are_not_free():
+    text = "AKIA" + "A" * 16 + " and token=" + ".".join(["0123456789abcdef01234567"] * 5) + ".XyZ1234567890abCdefghij"
+    base, parts = secrets.scan(text)
+    taken = [(a, b) for _, a, b in base]
+    assert len(taken) >= 7
+    assert all(not weak or kind == 5 or all(b <= x or y <= a for x, y in taken) for kind, _, a, b, weak in parts)
+
+
 def brute_links(text, reach=400):
     base, parts = secrets.scan(text)
     out = []
@@ -263,6 +280,14 @@ def test_cascade_in_parts_and_passes(spark, monkeypatch):
     assert marked.filter("listed <> coalesce(substring(key, -1) = '7', false)").count() == 0
 
 
+def test_deep_cascade_ends_in_a_list(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "DEEP", 1)
+    keys = spark.range(300).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = url_filter.build_cascade(keys.filter("substring(key, -1) = '7'"), keys)
+    assert isinstance(cascade.parts[0][-1], url_filter.Listed) and cascade.levels == 2
+    assert keys.filter(cascade.contains(F.col("key")) != (F.substring("key", -1, 1) == "7")).count() == 0
+
+
 def test_url_filter_edges(spark):
     long = "https://www.long.example.net/" + "a/" * 20000
     pages = spark.createDataFrame([(1, long), (2, long), (3, "http://ok.net/a"), (4, "http://ok.net/b?x"), (5, None)], "page_id long, url string").withColumn("_url", F.lit("mine")).withColumn("Verdict", F.lit("clash"))
@@ -281,7 +306,7 @@ def test_url_query_blocks_by_a_cascade_of_levels(spark, monkeypatch):
     build = url_filter.build_cascade
     monkeypatch.setattr(url_filter, "build_cascade", lambda *a: built.append(build(*a)) or built[-1])
     out = queries.op7_url_filter(spark, SF)
-    assert max(c.levels for c in built[2:]) >= 2
+    assert len(built) == 4 and all(c.levels >= 1 for c in built) and max(c.levels for c in built[2:]) >= 2, "hosts and addresses are both listed"
     assert out.filter("rule is null and verdict = 'block'").count() > 50
 
 
@@ -398,3 +423,10 @@ def test_some_host_of_the_tables_fails(spark):
 
 def test_words_of_a_fixture():
     assert re.fullmatch(WORD, "a") and decontamination.WORDS.findall("a-b É") == ["a", "b", "É"]
+
+
+def test_languages_beyond_the_bound_are_unknown(spark):
+    rows = [(i, text, lang, "s", 0) for i, (lang, text) in enumerate([("aa", "one two three four"), ("bb", "uno dos tres cuatro"), ("cc", "eins zwei drei vier")] * 30 + [("aa", "one two"), ("bb", "dos tres")])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language_id.train(d, F.lit(True), languages=2)
+    assert {r["lang_pred"] for r in language_id.identify(d, model).collect()} <= {"aa", "bb"}

@@ -63,3 +63,18 @@ def test_run_is_all_stages(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     once, again = (sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) for _ in range(2))
     assert once == again and once
+
+
+def test_stages_on_empty_tables_long_texts_and_clashing_columns(spark, tmp_path):
+    rows, _, item = corpus()
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/full/benchmark.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    long = (500, "\n".join(f"the quick brown fox number {i} sleeps near the old river bank" for i in range(20000)), "en", "s1", 0)
+    clash = spark.createDataFrame([*rows, long], DOCS).selectExpr("*", "1 as fp", "'x' as rejected", "2 as component_id", "'y' as removed", "3 as _id")
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (clash, clash.limit(0)):
+            for folder in ("full", "empty"):
+                out = stage(spark, given, f"{tmp_path}/{folder}")
+                n = out.count()
+                assert (n == 0) == (given is not clash), name
+                assert name == "mixing" or out.columns == clash.columns
