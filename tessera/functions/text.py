@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,17 +59,6 @@ def query_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def expand_queries(queries: DataFrame, triggers: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """queries with expanded: the text and the phrases of all triggers (place, trigger, phrase) that it contains.
-
-    The trigger table is a vocabulary: each query is tested against each trigger.
-    """
-    hit = F.contains(F.lower(queries[text]), F.lower(triggers["trigger"]))
-    met = queries.join(triggers, hit, "left").groupBy(key, text).agg(F.array_sort(F.collect_list(F.when(
-        F.col("phrase").isNotNull(), F.struct("place", "phrase")))).alias("p"))
-    return met.select(key, text, F.concat_ws(" ", F.col(text), F.col("p.phrase")).alias("expanded"))
-
-
 def index_text(title: Column, section: Column, body: Column) -> Column:
     """Title, section and body with the body's own tokens appended."""
     return F.concat(F.concat_ws("\n", title, section, body), F.lit("\n\n"), F.array_join(index_tokens(body), " "))
@@ -84,16 +76,39 @@ def snippet(text: Column, tokens: Column, chars: int = 160) -> Column:
     return F.when(hit.isNull(), F.substring(t, 1, chars)).otherwise(cut)
 
 
+#: What stands between the windows of an excerpt.
+EXCERPT_JOINT = "\n\n---\n\n"
+
+
 def keyword_windows(text: Column, keywords: Sequence[str], budget: int = 4000, before: int = 500, after: int = 1200) -> Column:
-    """Windows about the first hit of each keyword, skipping hits inside an earlier window, up to a budget of characters."""
-    hits = F.array(*[F.call_function("instr", text, F.lit(k)) for k in keywords])
-    spans = F.transform(F.filter(hits, lambda x: x > 0), lambda x: F.struct(
-        F.greatest(x - 1 - before, F.lit(0)).alias("a"), F.least(x - 1 + after, F.length(text)).alias("b"), (x - 1).alias("hit")))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    kept = F.aggregate(spans, F.struct(none.alias("s"), F.lit(0).alias("n")), lambda acc, x: F.when(
-        F.exists(acc["s"], lambda y: (x["hit"] >= y["a"]) & (x["hit"] < y["b"])) | (acc["n"] + x["b"] - x["a"] > budget), acc).otherwise(
-        F.struct(F.array_append(acc["s"], F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("s"), (acc["n"] + x["b"] - x["a"]).alias("n"))), lambda acc: acc["s"])
-    return F.transform(kept, lambda y: F.substring(text, y["a"] + 1, y["b"] - y["a"]))
+    """Windows about keywords: for each the first occurrence whose window, up to after characters beyond its end, meets none
+    taken before; trimmed, until they hold budget characters together."""
+    def places(k: str) -> Column:
+        """The window of each occurrence, one after the other."""
+        gaps = F.split(text, re.escape(k), -1)
+        step = lambda a, g: F.struct((a["at"] + F.length(g) + len(k)).alias("at"), F.array_append(a["out"], a["at"] + F.length(g)).alias("out"))
+        at = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: F.slice(a["out"], 1, F.size(a["out"]) - 1))
+        return F.transform(at, lambda x: F.struct(F.greatest(x - before, F.lit(0)).alias("a"), (x + len(k) + after).alias("b")))
+
+    said = [F.when(F.contains(text, F.lit(k)), places(k)) for k in keywords if k]
+    spans = F.array_compact(F.array(*said)) if said else F.array().cast("array<array<struct<a:int,b:int>>>")
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("taken"), empty_strings().alias("out"), F.lit(0).alias("n"), F.length(text).alias("end"), text.alias("text"))
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+    def step(acc: Column, own: Column) -> Column:
+        meets = lambda x, y: ~((F.least(x["b"], acc["end"]) < y["a"]) | (x["a"] > F.least(y["b"], acc["end"])))
+        first = F.get(F.filter(own, lambda x: ~F.exists(acc["taken"], lambda y: meets(x, y))), F.lit(0))
+        # The window, then its text, are bound once each.
+        bound = F.transform(F.array(first), lambda x: F.struct(x.alias("x"), trimmed(F.substring(acc["text"], x["a"] + 1, x["b"] - x["a"])).alias("t")))
+        return F.element_at(F.transform(bound, lambda w: F.when(w["x"].isNull() | (acc["n"] >= budget), acc).otherwise(F.struct(
+            F.array_append(acc["taken"], w["x"]).alias("taken"), F.array_append(acc["out"], w["t"]).alias("out"), (acc["n"] + F.length(w["t"])).alias("n"), acc["end"].alias("end"), acc["text"].alias("text")))), 1)
+
+    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+
+
+def keyword_excerpt(text: Column, keywords: Sequence[str], budget: int = 4000, before: int = 500, after: int = 1200) -> Column:
+    """The keyword windows with a line of dashes between, cut at budget characters."""
+    return F.substring(F.array_join(keyword_windows(text, keywords, budget, before, after), EXCERPT_JOINT), 1, budget)
 
 
 def front_matter(text: Column) -> Column:
@@ -184,10 +199,43 @@ def recovered_json(text: Column) -> Column:
     return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull() & (x != ""), x) for x in (text, bare, widest)])
 
 
+def _masked(value, words: tuple[str, ...], mask: str):
+    """An object's values masked by key; objects below it, in lists, and in strings that are the JSON of one, likewise."""
+    out = {}
+    for k, v in value.items():
+        if any(w in k.lower() for w in words):
+            out[k] = mask
+        elif isinstance(v, dict):
+            out[k] = _masked(v, words, mask)
+        elif isinstance(v, list):
+            out[k] = [_masked(x, words, mask) if isinstance(x, dict) else x for x in v]
+        else:
+            out[k] = _masked_text(v, words, mask) if isinstance(v, str) else v
+    return out
+
+
+def _masked_text(text: str, words: tuple[str, ...], mask: str) -> str:
+    try:
+        value = json.loads(text) if "{" in text else None
+        return json.dumps(_masked(value, words, mask), ensure_ascii=False) if isinstance(value, dict) else text
+    except ValueError:
+        return text
+    except RecursionError:  # deeper than can be read: nothing of it is shown
+        return json.dumps(mask)
+
+
 def masked(json_text: Column, words: Sequence[str], mask: str = "***") -> Column:
-    """JSON text with the scalar values masked whose key contains a sensitive word, at any depth."""
-    key = "|".join(words)
-    return F.regexp_replace(json_text, f'(?i)("[^"]*(?:{key})[^"]*"\\s*:\\s*)("(?:[^"\\\\]|\\\\.)*"|[^,}}\\]\\s]+)', f'$1"{mask}"')
+    """The JSON of an object with each value masked, whatever it is, whose key contains a sensitive word, letter case aside.
+
+    Objects inside it, in its lists, and in strings that hold JSON are gone through too. Text that is no JSON object stays
+    as it is; null stays null. In Arrow batches, as no built-in function goes down to any depth.
+    """
+    low = tuple(w.lower() for w in words)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _masked_text(t, low, mask))
+
+    return F.pandas_udf(run, "string")(json_text)
 
 
 #: Fixed values.

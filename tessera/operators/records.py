@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.search import in_blocks
 from tessera.functions import text as T
+from tessera.operators.grams import containing
 
 
 def guarded(text: Column, pattern: str, least: float, most: float) -> Column:
@@ -20,10 +20,10 @@ def guarded(text: Column, pattern: str, least: float, most: float) -> Column:
 def entities(texts: DataFrame, aliases: DataFrame, key: str, text: str, clip: int = 80) -> DataFrame:
     """(key, name, evidence) of aliases (alias, name, generic_of) in the texts; a generic name goes where a specific one is.
 
-    The alias table is a vocabulary; it is broadcast in blocks of a checked size.
+    Aliases are looked for by their rarest grams, so there may be any number. An empty one is in nothing.
     """
     t = texts.select(key, F.lower(text).alias("_t"), F.col(text).alias("_raw"))
-    hit = in_blocks(aliases, lambda block: t.join(block, F.contains("_t", F.lower("alias"))))
+    hit = containing(t, aliases.withColumn("_alias", F.lower("alias")), "_t", "_alias")
     at = F.call_function("instr", F.col("_t"), F.lower("alias"))
     found = hit.groupBy(key, "name").agg(F.min_by(F.substring("_raw", F.greatest(at - 20, F.lit(1)), F.lit(clip)), F.struct(at, "alias")).alias("evidence"), F.first("generic_of").alias("generic_of"))
     covered = found.filter("generic_of is not null").select(key, F.col("generic_of").alias("name")).distinct()

@@ -6,36 +6,18 @@ and joined by shuffle beyond it. Candidates are cut by a window per query before
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources.scratch import materialize
+from tessera.operators.grams import containing
+from tessera.operators.index import Index, search, write_index
+from tessera.operators.joins import in_blocks, small
+from tessera.operators.vectors import vector_top
+from tessera.sources.scratch import materialize, new_path, spread
 
 WORD = "[a-z0-9_+-]+"
 
-#: Query rows up to which the query side is broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def in_blocks(queries: DataFrame, against: Callable[[DataFrame], DataFrame], rows: int = BROADCAST_ROWS) -> DataFrame:
-    """against(block) for blocks of at most about rows rows of queries, each marked for broadcast: a join on a condition that
-    is no equality holds the queries against all rows, a block at a time."""
-    n = max(1, -(-queries.count() // rows))
-    if n == 1:
-        return against(F.broadcast(queries))
-    block = F.pmod(F.xxhash64(*queries.columns), F.lit(n))
-    return reduce(DataFrame.unionByName, [against(F.broadcast(queries.filter(block == k))) for k in range(n)])
-
-
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", boost: int = 0) -> DataFrame:
     """(tok, key, tf): words of each document and how often they occur; boost is added to every count."""
     words = docs.select(key, F.explode(T.matches(F.lower(F.col(text)), "[a-z0-9_+-]+")).alias("tok"))
@@ -52,51 +34,38 @@ def rank_per(df: DataFrame, key: str, order: list[Column], n: int, name: str = "
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 40, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def indexed(docs: DataFrame) -> Index:
+    """The index of docs (doc_id, text) in the scratch folder."""
+    return write_index(docs, new_path(docs.sparkSession, "index"))
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, top: int = 40) -> DataFrame:
     """(item_id, doc_id, score, rank, lexical): lexical is the inverse of the rank, which fusion uses.
 
-    Words that are in no query are dropped where they are read, so only postings of query tokens are shuffled, each with
-    its document's length.
+    Of a query the first 16 distinct tokens count. docs are documents, or an index of them that is searched as it is.
     """
-    terms = query_terms(queries)
-    low = F.lower("text")
-    stats = docs.select(F.regexp_count(low, F.lit(WORD)).alias("dl")).filter("dl > 0").agg(F.avg("dl").alias("avg"), F.count("*").alias("n")).first()
-    n, mean = stats["n"], stats["avg"] or 1.0
-    words = docs.select("doc_id", T.matches(low, WORD).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("tok"))
-    hit = words.join(small(terms.select("tok").distinct()), "tok", "left_semi").groupBy("tok", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    hit = materialize(hit, "hits")
-    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    terms = terms.join(hit.groupBy("tok").agg(F.count("*").alias("df")).select("tok", idf.alias("idf")), "tok")
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    scored = hit.select("tok", "doc_id", norm.alias("w")).join(small(terms), "tok")
-    scored = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("w")), 6).alias("score"))
-    return rank_per(scored, "item_id", [F.col("score").desc(), F.col("doc_id")], top).withColumn("lexical", 1.0 / F.col("rank"))
+    index = docs if isinstance(docs, Index) else indexed(docs)
+    found = search(index, query_terms(queries).select("item_id", "tok"), top)
+    return found.withColumn("lexical", 1.0 / F.col("rank"))
 
 
 def substring_hits(docs: DataFrame, queries: DataFrame, top: int = 40) -> DataFrame:
     """(item_id, doc_id, pos, rank): documents that contain one of a query's first five tokens, by token then document."""
     low = docs.select("doc_id", F.lower("text").alias("t"))
-    hit = in_blocks(query_terms(queries, first=5), lambda terms: low.join(terms, F.contains("t", "tok")).select("item_id", "doc_id", "pos"))
+    hit = containing(low, query_terms(queries, first=5), "t", "tok").select("item_id", "doc_id", "pos")
     first = hit.groupBy("item_id", "doc_id").agg(F.min("pos").alias("pos"))
     return rank_per(first, "item_id", [F.col("pos"), F.col("doc_id")], top)
 
 
-def vector_top(corpus: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """(query_id, vec_id, vector, rank) by cosine, shown as (cosine + 1) / 2, at least 0; other dimensions don't match.
-
-    Norms are computed once a vector. Every query is held against the whole corpus, exactly, in blocks of broadcast
-    queries; the corpus is only filtered and projected.
-    """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    c = corpus.select("vec_id", "embedding", norm("embedding").alias("cn"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
-    cos = F.when(F.col("cn") * F.col("qn") > 0, dot(F.col("embedding"), F.col("qv")) / (F.col("cn") * F.col("qn"))).otherwise(0.0)
-    score = F.round(F.greatest(F.lit(0.0), (cos + 1) / 2), 6).alias("vector")
-    # A condition that is no equality keeps the join a broadcast of the queries, never a shuffle by the one number of dimensions.
-    same = (F.size("embedding") >= F.size("qv")) & (F.size("embedding") <= F.size("qv"))
-    scored = in_blocks(q, lambda block: c.join(block, same).select("query_id", "vec_id", score))
-    return rank_per(scored, "query_id", [F.col("vector").desc(), F.col("vec_id")], top)
+def expand_queries(queries: DataFrame, triggers: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
+    """queries with expanded: the text and the phrases of all triggers (place, trigger, phrase) that it contains, letter case
+    aside."""
+    low = queries.select(key, F.col(text).alias("_text"), F.lower(text).alias("_low"))
+    named = triggers.select("place", "phrase", F.lower("trigger").alias("_trigger"))
+    met = containing(low, named, "_low", "_trigger").groupBy(key, "_text").agg(F.array_sort(F.collect_list(F.struct("place", "phrase"))).alias("p"))
+    own = queries.select(key, text).distinct()
+    same = own[key].eqNullSafe(met[key]) & (own[text] == F.col("_text"))
+    return own.join(met, same, "left").select(own[key], own[text], F.concat_ws(" ", own[text], F.col("p.phrase")).alias("expanded"))
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, keys: list[str], lexical_share: float = 0.55) -> DataFrame:
@@ -135,9 +104,10 @@ def hybrid(chunks: DataFrame, queries: DataFrame, rules: list[tuple[str, str, fl
     goes. Chunks are used several times: pass a written table.
     """
     if triggers is not None:
-        queries = T.expand_queries(queries, small(triggers)).select("item_id", F.col("expanded").alias("text"))
+        queries = expand_queries(queries, triggers).select("item_id", F.col("expanded").alias("text"))
     queries = materialize(queries.select("item_id", "text"), "queries")
     lexical = bm25(chunks, queries, candidates)
+    chunks = spread(chunks)
     vector_of = T.hashed_vector(T.index_tokens(F.col("text")), dimensions).alias("embedding")
     corpus = materialize(chunks.select(F.col("doc_id").alias("vec_id"), vector_of), "chunk-vectors")
     near = vector_top(corpus, materialize(queries.select(F.col("item_id").alias("vec_id"), vector_of), "query-vectors"), candidates)
@@ -179,7 +149,7 @@ def structured_search(records: DataFrame, queries: DataFrame, top: int = 10) ->
     r = records.groupBy("type", "id").agg(F.max("title").alias("title"), F.max("search_text").alias("search_text"))
     t = F.lower("search_text")
     r = r.select("type", "id", F.lower("title").alias("title"), t.alias("t"))
-    pairs = in_blocks(query_tokens_of(queries), lambda tokens: r.join(tokens, F.contains("t", "tok")))
+    pairs = containing(r, query_tokens_of(queries), "t", "tok")
     count = F.least((F.length("t") - F.length(F.replace("t", "tok", F.lit("")))) / F.length("tok"), F.lit(4.0))
     bonus = F.when(F.col("title") == F.col("tok"), 40.0).when(F.contains("title", "tok"), 18.0).otherwise(0.0)
     scored = pairs.groupBy("item_id", "type", "id").agg(F.round(F.sum(count * token_weight(F.col("tok"))) + F.max(bonus), 4).alias("score"))
@@ -248,7 +218,7 @@ def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, to
 
     Equal matches are ordered by the catalogue's tiers, in the order given, then by length of name and id. Exact and alias
     matches are equi-joins. The best match of a name that has one of these needs no more; other names, and all where more
-    than one match is asked for, take the substring join against the catalogue in blocks of checked size.
+    than one match is asked for, are looked for in the catalogue by their rarest grams. An empty name is in nothing.
     """
     c = catalogue.select("id", F.lower("name").alias("name"), *tiers)
     q = names.select("q").distinct()
@@ -258,8 +228,8 @@ def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, to
     called = aliases.groupBy("id").agg(F.array_join(F.collect_set(F.lower("alias")), "\n").alias("called"))
     c = c.join(called, "id", "left")
     held = F.contains("name", F.lower("q")) | F.contains(F.coalesce("called", F.lit("")), F.lower("q"))
-    like = in_blocks(rest, lambda block: c.join(block, held).select(
-        "q", "id", "name", *tiers, F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier")))
+    like = containing(c.withColumn("_said", F.concat_ws("\n", "name", "called")), rest.withColumn("_q", F.lower("q")), "_said", "_q").filter(held).select(
+        "q", "id", "name", *tiers, F.when(F.startswith("name", F.lower("q")), 2).otherwise(3).alias("tier"))
     every = exact.unionByName(alias).unionByName(like)
     found = every.groupBy("q", "id").agg(F.min("tier").alias("tier"), *[F.min(t).alias(t) for t in tiers], F.min("name").alias("name"))
     return rank_per(found, "q", [F.col("tier"), *[F.col(t) for t in tiers], F.length("name"), F.col("id")], top)

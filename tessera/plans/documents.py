@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import documents as D
 from tessera.operators import extraction as X
 from tessera.plans.registry import query, table
+from tessera.sources.scratch import spread
 
 PAGES = "pg AS (SELECT doc_id, CAST(i AS INT) AS page, substr(coalesce(text, ''), (i - 1) * 1500 + 1, 1500) AS text FROM (SELECT doc_id, text, unnest(range(1, greatest(CAST(ceil(length(coalesce(text, '')) / 1500.0) AS BIGINT), 1) + 1)) AS i FROM documents))"
 
@@ -22,10 +23,12 @@ def pages(spark, sf_dir):
 
 
 def units(spark, sf_dir):
-    """Lines as units: every seventh is made a heading of level one, every third after that of level two."""
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "text"))
-    mark = F.when(F.col("no") % 7 == 0, F.concat(F.lit("# Part "), "no")).when(F.col("no") % 7 == 3, F.concat(F.lit("## Section "), "no"))
-    return D.section_paths(lines.select("doc_id", (F.floor(F.col("no") / 5) + 1).cast("int").alias("page"), "no", F.coalesce(mark, "text").alias("text")))
+    """Lines as units, all of them: a heading of level one goes before every seventh, one of level two before the third after it."""
+    line = lambda x, i: F.struct((2 * i + 1).alias("no"), x.alias("text"))
+    mark = lambda i: F.when(i % 7 == 0, F.concat(F.lit("# Part "), i)).when(i % 7 == 3, F.concat(F.lit("## Section "), i))
+    headed = lambda x, i: F.filter(F.array(F.struct((2 * i).alias("no"), mark(i).alias("text")), line(x, i)), lambda u: u["text"].isNotNull())
+    every = spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.explode(F.flatten(F.transform(F.split("text", "\n"), headed))).alias("u"))
+    return D.section_paths(every.select("doc_id", (F.floor(F.col("u.no") / 10) + 1).cast("int").alias("page"), "u.no", "u.text"))
 
 
 @query("d1_register", "SELECT sha256(text) AS content_sha256, min(doc_id) AS document_id, max_by(source, doc_id) AS name, count(*) AS n_copies FROM documents GROUP BY 1")
@@ -46,13 +49,15 @@ def d3(spark, sf_dir):
 
 
 @query("d4_section_paths", r"""
-WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
-h AS (SELECT *, CASE WHEN no % 7 = 0 THEN no END AS top, CASE WHEN no % 7 = 3 THEN no END AS sub FROM l),
+WITH r AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS text FROM documents),
+l AS (SELECT doc_id, 2 * i + 1 AS no, i, text, false AS heading FROM r
+  UNION ALL SELECT doc_id, 2 * i, i, CASE WHEN i % 7 = 0 THEN '# Part ' || i ELSE '## Section ' || i END, true FROM r WHERE i % 7 IN (0, 3)),
+h AS (SELECT *, CASE WHEN heading AND i % 7 = 0 THEN i END AS top, CASE WHEN heading AND i % 7 = 3 THEN i END AS sub FROM l),
 g AS (SELECT *, last_value(top IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no) AS a, sum(CASE WHEN top IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY no) AS g FROM h),
 s AS (SELECT *, last_value(sub IGNORE NULLS) OVER (PARTITION BY doc_id, g ORDER BY no) AS b FROM g)
-SELECT doc_id, no, coalesce('Section ' || b, 'Part ' || a) AS section, concat_ws(' > ', 'Part ' || a, 'Section ' || b) AS path FROM s""")
+SELECT doc_id, no, md5(text) AS text_md5, coalesce('Section ' || b, 'Part ' || a) AS section, concat_ws(' > ', 'Part ' || a, 'Section ' || b) AS path FROM s""")
 def d4(spark, sf_dir):
-    return units(spark, sf_dir).select("doc_id", F.col("no").cast("long").alias("no"), "section", "path")
+    return units(spark, sf_dir).select("doc_id", F.col("no").cast("long").alias("no"), F.md5("text").alias("text_md5"), "section", "path")
 
 
 @query("d5_chunks")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import documents as D
 from tessera.operators import search as S
+from tessera.operators import vectors as V
 from tessera.operators.foods import portion_string
 from tessera.plans.documents import units
 from tessera.plans.registry import ordered_distinct, query, rows, table
-from tessera.sources.scratch import materialize
+from tessera.sources.scratch import materialize, new_path, spread
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9_+-]+')"
 POSTINGS = f"p AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS tok FROM documents) GROUP BY doc_id, tok)"
@@ -35,7 +36,7 @@ def asked(spark, sf_dir):
 
 @query("r1_postings", f"WITH {POSTINGS} SELECT tok, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY tok")
 def r1(spark, sf_dir):
-    return S.postings(docs(spark, sf_dir)).groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return S.indexed(docs(spark, sf_dir)).tokens()
 
 
 @query("r2_bm25", f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 10")
@@ -59,7 +60,15 @@ vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC,
 @query("r4_vector", f"WITH {VECTORS} SELECT query_id, vec_id, vector, rank FROM vt WHERE rank <= 10")
 def r4(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return S.vector_top(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "vector", F.col("rank").cast("long").alias("rank"))
+    return V.vector_top(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "vector", F.col("rank").cast("long").alias("rank"))
+
+
+@query("r4_cells", f"WITH {VECTORS} SELECT query_id, vec_id, vector, rank FROM vt WHERE rank <= 10")
+def r4_cells(spark, sf_dir):
+    """The same by an index of cells: exact by the triangle inequality."""
+    e = table(spark, sf_dir, "embeddings")
+    index = V.write_cells(e, new_path(spark, "cells"))
+    return V.search_cells(index, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "vector", F.col("rank").cast("long").alias("rank"))
 
 
 def hashed_sql(name: str, key: str, source: str) -> str:
@@ -78,9 +87,9 @@ vt AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY vector DESC, d
 m AS (SELECT item_id, doc_id, max(lexical) AS lexical, max(vector) AS vector FROM (SELECT item_id, doc_id, 1.0::DOUBLE / rank AS lexical, 0.0::DOUBLE AS vector FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, 0.0, vector FROM vt WHERE rank <= 10) GROUP BY 1, 2)
 SELECT item_id, doc_id, round(0.55::DOUBLE * lexical + 0.45::DOUBLE * vector, 6) AS score FROM m""")
 def r5(spark, sf_dir):
-    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
+    d, q = spread(docs(spark, sf_dir).select("doc_id", "text")), asked(spark, sf_dir)
     vector_of = T.hashed_vector(T.index_tokens(F.col("text"), None)).alias("embedding")
-    near = S.vector_top(d.select(F.col("doc_id").alias("vec_id"), vector_of), q.select(F.col("item_id").alias("vec_id"), vector_of), 10)
+    near = V.vector_top(d.select(F.col("doc_id").alias("vec_id"), vector_of), q.select(F.col("item_id").alias("vec_id"), vector_of), 10)
     vector = near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "vector")
     return S.fuse(S.bm25(d, q, 10), vector, ["item_id", "doc_id"]).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import search as S
 from tessera.plans.registry import ordered_distinct, query, rows, table
 
 NORMAL = r"""trim(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"""
@@ -42,7 +43,7 @@ SELECT item_id, concat_ws(' ', text, string_agg(phrase, ' ' ORDER BY place, phra
 FROM benchmark LEFT JOIN {SYNONYM_SQL} ON contains(lower(text), trigger) GROUP BY item_id, text""")
 def t4(spark, sf_dir):
     triggers = rows(spark, "place int, trigger string, phrase string", SYNONYMS)
-    return T.expand_queries(table(spark, sf_dir, "benchmark"), triggers).select("item_id", "expanded")
+    return S.expand_queries(table(spark, sf_dir, "benchmark"), triggers).select("item_id", "expanded")
 
 
 @query("t5_index_text", f"""
