@@ -115,6 +115,8 @@ def vector_top(corpus: DataFrame, queries: DataFrame, top: int = 10) -> DataFram
         parts = max(1, math.ceil(n / QUERIES))
         for k in range(parts):
             block = q.filter((F.col("dims") == dims) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)).toArrow()
+            if not block.num_rows:
+                continue
             sent = spark.sparkContext.broadcast((block.column("query_id").to_numpy(), _matrix(block.column("unit").combine_chunks())))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent, dims=dims) -> Iterator[pa.RecordBatch]:

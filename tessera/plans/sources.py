@@ -8,6 +8,7 @@ from tessera.functions.registry import register_functions
 from tessera.functions.text import vector_sum
 from tessera.plans.registry import query, rows, table
 from tessera.sources import tables as S
+from tessera.sources.buckets import BucketedTable
 from tessera.sources.scratch import new_path
 
 
@@ -80,10 +81,13 @@ def s5(spark, sf_dir):
 
 @query("s6_feed_items", "SELECT page_id, 'page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'unknown' ELSE 'day ' || page_id % 7 END AS published FROM pages")
 def s6(spark, sf_dir):
-    path = new_path(spark, "feed")
+    """Feeds of about a hundred items, an item a row, between a row that opens the feed and one that closes it."""
+    path, p = new_path(spark, "feed"), table(spark, sf_dir, "pages").select("page_id")
+    n = 1 + p.count() // 100
     item = F.concat(F.lit("<item><title>page "), "page_id", F.lit("</title><link>"), "page_id", F.lit("</link>"), F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("<pubDate>day "), F.col("page_id") % 7, F.lit("</pubDate>"))), F.lit("</item>"))
-    feeds = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 8).alias("feed")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), "\n"), F.lit("</channel></rss>")).alias("value"))
-    feeds.write.partitionBy("feed").text(path)
+    items = p.select(F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("feed"), F.lit(1).alias("place"), item.alias("value"))
+    ends = items.select("feed").distinct().select("feed", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("<rss><channel>").alias("value")), F.struct(F.lit(2).alias("place"), F.lit("</channel></rss>").alias("value")))).alias("e")).select("feed", "e.*")
+    items.unionByName(ends).repartition("feed").sortWithinPartitions("feed", "place").drop("place").write.partitionBy("feed").text(path)
     return S.read_feed(spark, path).select(F.col("link").cast("long").alias("page_id"), "title", "published")
 
 
@@ -99,7 +103,10 @@ def s7(spark, sf_dir):
 SELECT o_custkey, max_by(o_orderkey, o_orderkey) AS o_orderkey, min(o_orderkey) AS created FROM orders GROUP BY o_custkey""")
 def s8(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("created"))
-    return S.upsert(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey", "created")
+    t = BucketedTable(spark, new_path(spark, "newest"), o.schema, ["o_custkey"])
+    for k in range(2):
+        t.upsert(o.filter(F.col("o_orderkey") % 2 == k), "o_orderkey", "created")
+    return t.read()
 
 
 @query("s9_insert_or_ignore", """
@@ -114,17 +121,25 @@ def s9(spark, sf_dir):
 def s10(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"))
     new = li.filter("l_orderkey % 4 = 0 and l_linenumber <= 2").withColumn("flag", F.lit("new"))
-    # An order that has no new line keeps none: it is replaced by nothing, so its key must be among the new ones.
-    old = li.join(li.filter("l_orderkey % 4 = 0 and l_linenumber > 2").select("l_orderkey").distinct(), "l_orderkey", "left_anti")
-    return S.replace_documents(old, new, "l_orderkey")
+    t = BucketedTable(spark, new_path(spark, "lines"), li.schema, ["l_orderkey"])
+    t.replace(li)
+    # An order that has no new line keeps none: it is replaced by nothing.
+    t.replace(new, gone=li.filter("l_orderkey % 4 = 0"))
+    return t.read()
 
 
 @query("s11_cascade_delete", """
 SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 <> 0""")
 def s11(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    left = S.cascade_delete({"orders": (o, "o_custkey"), "customer": (c, "c_custkey")}, c.union(c).select(F.col("c_custkey").alias("id")).filter("id % 10 = 0").union(o.filter("o_custkey % 10 = 0").select("o_custkey")))
-    return left["orders"].agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n").unionByName(left["customer"].agg(F.count("*").alias("n")).select(F.lit("customer").alias("name"), "n"))
+    ids = c.select(F.col("c_custkey").alias("id")).filter("id % 10 = 0")
+    left = []
+    for name, rows, key in (("orders", o, "o_custkey"), ("customer", c, "c_custkey")):
+        t = BucketedTable(spark, new_path(spark, name), rows.schema, [key])
+        t.replace(rows)
+        t.delete(ids)
+        left.append(t.read().agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
+    return left[0].unionByName(left[1])
 
 
 @query("s12_schema_evolution", "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'unknown' ELSE CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier")

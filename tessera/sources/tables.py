@@ -87,10 +87,12 @@ def article_text(html: Column, most: int = 2000) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], recency: str, created: str | None = None) -> DataFrame:
-    """The newest row of each key; created keeps its earliest value."""
+    """The newest row of each key; created keeps its earliest value. Of rows of equal recency the one with the largest other
+    columns, in their order, is the newest."""
     every = old.unionByName(new)
     w = Window.partitionBy(*keys)
-    newest = every.withColumn("_n", F.row_number().over(w.orderBy(F.col(recency).desc())))
+    rest = [F.col(c).desc() for c in old.columns if c not in (*keys, recency)]
+    newest = every.withColumn("_n", F.row_number().over(w.orderBy(F.col(recency).desc(), *rest)))
     if created:
         newest = newest.withColumn(created, F.min(created).over(w))
     return newest.filter("_n = 1").drop("_n")

@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.sources.buckets import BucketedTable
 from tessera.sources.scratch import new_path
-from tessera.sources.tables import upsert
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,26 +42,23 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 
 
 def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, created: str | None = None, mode: str = "append", path: str | None = None) -> DataFrame:
-    """The stream folded into a table by upsert, a version for each batch; a repeated batch writes the same version again.
+    """The stream folded into a table by upsert: each batch rewrites the buckets of its keys, and no others.
 
-    Batch n reads version n - 1 in the path and writes version n, so nothing is held in the driver and a restart from the same
-    path goes on where it stopped. With mode update the stream may aggregate: each batch then brings the groups that changed.
+    Nothing is held in the driver; a restart from the same path goes on where it stopped, and a repeated batch changes
+    nothing. With mode update the stream may aggregate: each batch then brings the groups that changed.
     """
     spark = stream.sparkSession
     path = path or new_path(spark, name)
-    base, state, schema = f"{path}/versions", f"{path}/state", stream.schema
+    schema = stream.schema
+
+    def table(of: SparkSession) -> BucketedTable:
+        return BucketedTable(of, f"{path}/rows", schema, keys)
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        old = batch.sparkSession.read.schema(schema).parquet(f"{base}/{epoch - 1}") if epoch else batch.limit(0)
-        upsert(old, batch, keys, recency, created).write.mode("overwrite").parquet(f"{base}/{epoch}")
-
-    stream.writeStream.foreachBatch(fold).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    try:
-        every = spark.read.schema(schema).parquet(f"{base}/*")
-    except AnalysisException:  # no batch has ever come
-        return spark.createDataFrame([], schema)
-    last = every.select(F.max(F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).cast("long"))).first()[0]
-    return spark.read.schema(schema).parquet(f"{base}/{last}") if last is not None else every
+        table(batch.sparkSession).upsert(batch, recency, created)
+
+    stream.writeStream.foreachBatch(fold).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return table(spark).read()
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
