@@ -6,14 +6,14 @@ documents run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-UNIT = "array<struct<text:string,page:int,section:string,path:string,heading:boolean>>"
-
-
 def pages_of(docs: DataFrame, chars: int = 1500) -> DataFrame:
     """(doc_id, page, text): a document cut every so many characters; an empty document has one empty page."""
     t = F.coalesce("text", F.lit(""))
@@ -90,49 +90,79 @@ def section_paths(units: DataFrame) -> DataFrame:
     return u.select("doc_id", "page", "no", "text", "heading", F.coalesce("_second", "_first", F.lit("")).alias("section"), F.concat_ws(" > ", "_first", "_second").alias("path"))
 
 
-CHUNK = "array<struct<page_start:int,page_end:int,section:string,path:string,text:string>>"
-
-
-def packed_chunks(units: Column, chunk_chars: int = 850, overlap: int = 150, heading_share: float | None = None, separator: int = 0) -> Column:
-    """Units (text, page, section, path, heading) packed greedily to chunks of about chunk_chars characters.
+class _Packer:
+    """Units of one document, in order, packed greedily to chunks; holds the units of the chunk that is being filled."""
+
+    def __init__(self, chunk_chars: int, overlap: int, heading_share: float | None, separator: int):
+        self.chunk_chars, self.overlap, self.separator = chunk_chars, overlap, separator
+        self.heading_at = None if heading_share is None else int(chunk_chars * heading_share)
+        self.start([], 0, [], "", "")
+        self.made = 0
+
+    def start(self, texts: list[str], held: int, pages: list[int], section: str, path: str) -> None:
+        self.texts, self.held, self.section, self.path = texts, held, section, path
+        self.first, self.last, self.page = min(pages, default=None), max(pages, default=None), pages[-1] if pages else None
+
+    def chunk(self) -> tuple | None:
+        text = "\n\n".join(x for x in self.texts if x.strip(" ")).strip(" ")
+        if not text:
+            return None
+        self.made += 1
+        return self.made - 1, self.first, self.last, self.section, self.path, text
+
+    def add(self, text: str, page: int, section: str, path: str, heading: bool) -> tuple | None:
+        """The chunk that ends before this unit, if one does."""
+        full = self.held + len(text) > self.chunk_chars or self.heading_at is not None and heading and self.held >= self.heading_at
+        if self.texts and full:
+            done = self.chunk()
+            whole = "\n\n".join(self.texts).strip(" ") if self.overlap > 0 else ""
+            tail = whole[-self.overlap :].strip(" ") if whole else ""
+            kept = [tail] if tail else []
+            self.start([*kept, text], sum(len(x) + self.separator for x in (*kept, text)), [self.page, page], section or self.section, path or self.path)
+            return done
+        self.texts.append(text)
+        self.held += len(text) + self.separator
+        self.first, self.last, self.page = (page, page, page) if self.first is None else (min(self.first, page), max(self.last, page), page)
+        if not self.section:
+            self.section, self.path = section, path
+        return None
+
+
+def chunk_documents(units: DataFrame, drop_headings: bool = True, chunk_chars: int = 850, overlap: int = 150, heading_share: float | None = None, separator: int = 0) -> DataFrame:
+    """(doc_id, chunk_index, page_start, page_end, section, path, text) from the units of section_paths, packed greedily to
+    chunks of about chunk_chars characters.
 
     A chunk begins with the last overlap characters of the one before and the page on which that ended. Its section is
-    the one at its beginning. With heading_share a heading also ends a chunk that is so far filled; separator counts
-    so many characters for each joint.
+    the one at its beginning. With heading_share a heading also ends a chunk that is so far filled; separator counts so many
+    characters for each joint. Units are sorted by Spark and read in Arrow batches with the open chunk carried from batch to
+    batch: a document is never one row, however long it is. Units without a character are left out.
     """
-    none = T.empty_strings()
-    start = F.struct(F.array().cast(CHUNK).alias("out"), none.alias("buf"), F.array().cast("array<int>").alias("pages"), F.lit("").alias("section"), F.lit("").alias("path"))
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x) + separator)
-    joined = lambda a: F.trim(F.array_join(F.filter(a["buf"], lambda x: F.trim(x) != ""), "\n\n"))
-    emitted = lambda a: F.when(joined(a) == "", a["out"]).otherwise(F.array_append(a["out"], F.struct(
-        F.array_min(a["pages"]).alias("page_start"), F.array_max(a["pages"]).alias("page_end"), a["section"].alias("section"), a["path"].alias("path"), joined(a).alias("text"))))
-    pick = lambda x, y: F.when(x != "", x).otherwise(y)
-
-    def step(a: Column, u: Column) -> Column:
-        held = size(a["buf"])
-        full = held + F.length(u["text"]) > chunk_chars
-        if heading_share is not None:
-            full = full | (u["heading"] & (held >= int(chunk_chars * heading_share)))
-        full = full & (F.size(a["buf"]) > 0)
-        whole = F.trim(F.array_join(a["buf"], "\n\n"))
-        tail = F.trim(F.when(F.length(whole) <= overlap, whole).otherwise(F.substring(whole, -overlap, overlap))) if overlap > 0 else F.lit("")
-        kept = F.when(tail != "", F.array(tail)).otherwise(none)
-        return F.when(full, F.struct(
-            emitted(a).alias("out"), F.array_append(kept, u["text"]).alias("buf"), F.array(F.element_at(a["pages"], -1), u["page"]).alias("pages"),
-            pick(u["section"], a["section"]).alias("section"), pick(u["path"], a["path"]).alias("path"))).otherwise(F.struct(
-            a["out"].alias("out"), F.array_append(a["buf"], u["text"]).alias("buf"), F.array_append(a["pages"], u["page"]).alias("pages"),
-            pick(a["section"], u["section"]).alias("section"), F.when(a["section"] != "", a["path"]).otherwise(u["path"]).alias("path")))
-
-    return F.aggregate(units, start, step, emitted)
-
-
-def chunk_documents(units: DataFrame, drop_headings: bool = True, **params) -> DataFrame:
-    """(doc_id, chunk_index, page_start, page_end, section, path, text) from the units of section_paths."""
     u = units.withColumn("text", F.btrim("text", F.lit(" \n\t"))).filter("text <> ''")
     u = u.filter("not heading") if drop_headings else u
-    unit = F.struct("page", "no", "text", "section", "path", "heading")
-    per = u.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    return per.select("doc_id", F.posexplode(packed_chunks(F.col("units"), **params)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
+    key = dict(units.dtypes)["doc_id"]
+    names = ["doc_id", "chunk_index", "page_start", "page_end", "section", "path", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, packer, out = None, None, []
+        for batch in batches:
+            for d, page, text, section, path, heading in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if packer is None or d != doc:
+                    if packer is not None and (done := packer.chunk()):
+                        out.append((doc, *done))
+                    doc, packer = d, _Packer(chunk_chars, overlap, heading_share, separator)
+                if done := packer.add(text, page, section, path, heading):
+                    out.append((doc, *done))
+            yield as_batch(out, batch.schema.field(0).type)
+            out = []
+        if packer is not None and (done := packer.chunk()):
+            yield as_batch([(doc, *done)], batch.schema.field(0).type)
+
+    def as_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    dealt = u.repartition("doc_id").sortWithinPartitions("doc_id", "page", "no", "text").select("doc_id", F.col("page").cast("int").alias("page"), "text", "section", "path", "heading")
+    return dealt.mapInArrow(run, f"doc_id {key}, chunk_index int, page_start int, page_end int, section string, path string, text string")
 
 
 def classified(text: Column, rules: list[tuple[str, str]], other: str) -> Column:

@@ -9,12 +9,18 @@ from tessera.functions import text as T
 from tessera.operators.search import small
 
 
-def ranked_measures(cases: DataFrame, results: DataFrame, relevant: DataFrame, key: str = "item_id", item: str = "doc_id", cuts: tuple[int, ...] = (1, 3, 4, 6)) -> DataFrame:
-    """Per case of cases: hit@k, reciprocal rank and precision at the last cut; a case without results scores 0."""
+def ranked_measures(cases: DataFrame, results: DataFrame, relevant: DataFrame, key: str = "item_id", item: str = "doc_id", cuts: tuple[int, ...] = (1, 3, 4, 6), preferred: DataFrame | None = None) -> DataFrame:
+    """Per case of cases: hit@k, reciprocal rank and precision at the last cut; a case without results scores 0. With
+    preferred (key, item) also preferred_top1: whether the first result is the case's preferred one."""
     hit = results.join(relevant.select(key, item).distinct().withColumn("_hit", F.lit(1)), [key, item], "left")
     per = hit.filter(F.col("rank") <= cuts[-1]).groupBy(key).agg(F.min(F.when(F.col("_hit") == 1, F.col("rank"))).alias("first"), F.count("_hit").alias("found"))
     j = cases.select(key).join(per, key, "left")
-    return j.select(key, *[F.coalesce(F.col("first") <= k, F.lit(False)).alias(f"hit_{k}") for k in cuts],
+    also = []
+    if preferred is not None:
+        top = results.filter(F.col("rank") == 1).select(key, item).join(preferred.select(key, item).distinct(), [key, item], "left_semi").select(key, F.lit(True).alias("_top"))
+        j = j.join(top, key, "left")
+        also = [F.coalesce("_top", F.lit(False)).alias("preferred_top1")]
+    return j.select(key, *also, *[F.coalesce(F.col("first") <= k, F.lit(False)).alias(f"hit_{k}") for k in cuts],
                     F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("found"), F.lit(0)) / cuts[-1], 6).alias("precision"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.grams import containing
 
+#: Populations, and the ages under and from which two of them are.
+POPULATIONS, CHILD, OLDER = ("pregnancy", "child", "older_adult"), 18, 65
 #: An ASCII word of a rule, and what separates the parts of one.
 ASCII_WORD, SEPARATORS = r"[a-z0-9_ -]+", r"[_\s-]+"
 
@@ -60,27 +65,67 @@ def predicate(df: DataFrame, clause: dict[str, Any]) -> Column:
     raise ValueError(f"unknown operator {op}")
 
 
-def condition(df: DataFrame, node: dict[str, Any]) -> Column:
-    """A tree of all, any and not over predicates; an empty all holds, an empty any does not."""
+def condition(leaf: Callable[[dict[str, Any]], Column], node: dict[str, Any]) -> Column:
+    """A tree of all, any and not over predicates, which leaf gives; an empty all holds, an empty any does not."""
     if "all" in node:
-        return reduce(lambda a, b: a & b, [condition(df, n) for n in node["all"]], F.lit(True))
+        return reduce(lambda a, b: a & b, [condition(leaf, n) for n in node["all"]], F.lit(True))
     if "any" in node:
-        return reduce(lambda a, b: a | b, [condition(df, n) for n in node["any"]], F.lit(False))
+        return reduce(lambda a, b: a | b, [condition(leaf, n) for n in node["any"]], F.lit(False))
     if "not" in node:
-        return ~condition(df, node["not"])
-    return predicate(df, node)
+        return ~condition(leaf, node["not"])
+    return leaf(node)
 
 
 def findings(df: DataFrame, key: str, rules: list[dict[str, Any]], group: int = 50) -> DataFrame:
-    """(key, rule_id, severity, message) for each record and rule that holds: one scan, rules in groups of columns.
+    """(key, rule_id, severity, message) for each record and rule that holds, in one scan.
 
-    rules as a rule file has them: rule_id, severity, if and a message, of its own or under then.
+    rules as a rule file has them: rule_id, severity, if and a message, of its own or under then. Predicates that several
+    rules share are worked out once a record, in a projection of their own; rules are trees over their results, and each
+    group of them is a column, so that no expression grows with the number of rules.
     """
+    names: dict[str, str] = {}
+    leaves: list[Column] = []
+
+    def leaf(node: dict[str, Any]) -> Column:
+        said = json.dumps(node, sort_keys=True, default=str)
+        if said not in names:
+            names[said] = f"_p{len(names)}"
+            leaves.append(predicate(df, node).alias(names[said]))
+        return F.col(names[said])
+
     hits = []
     for at in range(0, len(rules), group):
-        hits.append(F.array_compact(F.array(*[F.when(condition(df, r["if"]), F.struct(
-            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"] if "message" in r else r["then"]["message"]).alias("message"))) for r in rules[at : at + group]])))
-    return df.select(key, F.explode(F.concat(*hits)).alias("f")).select(key, "f.*")
+        hits.append(F.array_compact(F.array(*[F.when(condition(leaf, r["if"]), F.struct(
+            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["message"] if "message" in r else r["then"]["message"]).alias("message"))) for r in rules[at : at + group]])).alias(f"_g{at}"))
+    if not hits:
+        return df.select(key, *[F.lit("").alias(c) for c in ("rule_id", "severity", "message")]).limit(0)
+    # Results of predicates are kept as an array: a projection that the optimizer doesn't dissolve into the rules.
+    places = {n: i for i, n in enumerate(names.values())}
+    held = df.select(key, F.explode(F.array(F.struct(*leaves, F.lit(0).alias("_")))).alias("_x")) if places else df.select(key, F.struct(F.lit(0)).alias("_x"))
+    held = held.select(key, *[F.col(f"_x.{n}").alias(n) for n in places])
+    grouped = held.select(key, *hits)
+    return grouped.select(key, F.explode(F.concat(*[F.col(f"_g{at}") for at in range(0, len(rules), group)])).alias("f")).select(key, "f.*")
+
+
+def build_context(records: DataFrame, key: str, text: str, aliases: DataFrame, items: DataFrame | None = None, age: Column | None = None, sex: Column | None = None) -> DataFrame:
+    """(key, kind, names) that rules look at: the sorted names of each kind that a record's text, items, age and sex give.
+
+    aliases (kind, name, alias): a text that contains an alias, letter case aside, has the name. items (key, kind, name, and
+    status if there is one): names of those that are active or have no status, trimmed and lowered; empty ones are none.
+    Under CHILD years old is a child, from OLDER on an older adult; the sex pregnant tells of pregnancy. Null texts, ages
+    and names give nothing; records without a name of any kind have no row.
+    """
+    low = records.select(key, F.lower(text).alias("_low"))
+    found = containing(low, aliases.select("kind", "name", F.lower("alias").alias("_alias")), "_low", "_alias").select(key, "kind", "name")
+    if items is not None:
+        active = F.coalesce(F.col("status"), F.lit("")).isin("", "active") if "status" in items.columns else F.lit(True)
+        found = found.unionByName(items.filter(active).select(key, "kind", _plain(F.col("name")).alias("name")).filter("name <> ''"))
+    years = age.try_cast("double") if age is not None else F.lit(None).cast("double")
+    bands = F.array_compact(F.array(
+        F.when(F.lower(sex) == "pregnant", POPULATIONS[0]) if sex is not None else F.lit(None).cast("string"),
+        F.when(years < CHILD, POPULATIONS[1]).when(years >= OLDER, POPULATIONS[2])))
+    found = found.unionByName(records.select(key, F.lit("populations").alias("kind"), F.explode(bands).alias("name")))
+    return found.groupBy(key, "kind").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def near(text: Column, alias: str, marker: str, reach: int = 12) -> Column:

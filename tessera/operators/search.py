@@ -6,11 +6,13 @@ and joined by shuffle beyond it. Candidates are cut by a window per query before
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.grams import containing
+from tessera.operators.grams import char_grams, containing
 from tessera.operators.index import Index, search, write_index
 from tessera.operators.joins import in_blocks, small
 from tessera.operators.vectors import vector_top
@@ -75,10 +77,14 @@ def fuse(lexical: DataFrame, vector: DataFrame, keys: list[str], lexical_share:
     return merged.withColumn("score", lexical_share * F.col("lexical") + round(1 - lexical_share, 9) * F.col("vector"))
 
 
-def rescored(score: Column, text: Column, rules: list[tuple[str, str, float]]) -> Column:
-    """Rules (pattern, op, value) in order: op * multiplies where the text matches, op + adds."""
-    for pattern, op, value in rules:
-        score = F.when(text.rlike(pattern), score * value if op == "*" else score + value).otherwise(score)
+def rescored(score: Column, text: Column, rules: list[tuple], query: Column | None = None, source: Column | None = None) -> Column:
+    """Rules (pattern, op, value), or (query's pattern, source's pattern, text's pattern, op, value), in order: op * multiplies
+    where all patterns match, op + adds. Empty patterns match all; null texts are empty."""
+    said = [F.coalesce(c, F.lit("")) if c is not None else F.lit("") for c in (query, source, text)]
+    for *patterns, op, value in rules:
+        own = ["", "", *patterns][-3:]
+        fits = reduce(lambda a, b: a & b, [c.rlike(p) for c, p in zip(said, own, strict=True) if p], F.lit(True))
+        score = F.when(fits, score * value if op == "*" else score + value).otherwise(score)
     return score
 
 
@@ -235,29 +241,69 @@ def tiered_lookup(names: DataFrame, catalogue: DataFrame, aliases: DataFrame, to
     return rank_per(found, "q", [F.col("tier"), *[F.col(t) for t in tiers], F.length("name"), F.col("id")], top)
 
 
-def recall_memories(memories: DataFrame, asked: DataFrame, top: int = 6, least: float = 0.1) -> DataFrame:
-    """memories (user_id, id, layer, weight, embedding) for asked (user_id, embedding): cosine + weight + layer bonus."""
-    bonus = F.when(F.col("layer") == "factual", 0.25).when(F.col("layer") == "semantic", 0.18).when(F.col("layer") == "episodic", 0.12).otherwise(0.0)
-    m = memories.filter(F.col("weight") >= least).join(asked.select("user_id", F.col("embedding").alias("q")), "user_id")
-    m = m.withColumn("score", F.round(T.cosine(F.col("q"), F.col("embedding")) + F.col("weight") + bonus, 4))
-    return rank_per(m.select("user_id", "id", "layer", "score"), "user_id", [F.col("score").desc(), F.col("id")], top)
+#: What a layer adds to a memory's score, and how many of it a bundle holds.
+LAYER_BONUS = {"factual": 0.25, "semantic": 0.18, "episodic": 0.12}
+LAYER_CAPS = {"factual": 6, "semantic": 4, "episodic": 4}
 
 
-def fuzzy_match(names: DataFrame, catalogue: DataFrame, least: float = 0.4) -> DataFrame:
-    """The best catalogue name (id, name) for each name (q): 1 - edit distance / longer length, at least the floor.
+def recall_memories(memories: DataFrame, asked: DataFrame, caps: dict[str, int] = LAYER_CAPS, least: float = 0.1) -> DataFrame:
+    """memories (user_id, id, layer, weight, embedding) for asked (user_id, embedding): cosine + weight + layer bonus; rank
+    within the layer, up to its cap. Layers without a cap, weights under least and null vectors are left out."""
+    own = F.col("layer")
+    bonus = F.coalesce(*[F.when(own == k, v) for k, v in LAYER_BONUS.items()], F.lit(0.0))
+    m = memories.filter((F.col("weight") >= least) & own.isin(list(caps))).join(asked.select("user_id", F.col("embedding").alias("q")), "user_id")
+    m = m.withColumn("score", F.round(T.cosine(F.col("q"), F.col("embedding")) + F.col("weight") + bonus, 4)).filter("score is not null")
+    w = Window.partitionBy("user_id", "layer").orderBy(F.col("score").desc(), "id")
+    most = F.coalesce(*[F.when(own == k, v) for k, v in caps.items()])
+    return m.select("user_id", "id", "layer", "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+#: Rarest grams by which a name finds its first candidates.
+FIRST_GRAMS = 3
+
+
+def fuzzy_pairs(names: DataFrame, catalogue: DataFrame, least: float = 0.4) -> DataFrame:
+    """(q, name, ratio, by): the pairs of names (q) and catalogue names whose edit distance is computed, and by which step.
 
-    Every name is held against every different name of the catalogue, in blocks of broadcast names; only lengths that
-    can't reach the floor are passed over.
+    The catalogue names that share one of a name's three rarest pairs of letters give it a first ratio r. One that is as
+    good has at most (1 - r) / r * length(q) edits, each of which takes two pairs of letters at most: so it shares one
+    of the name's 2 * edits + 1 rarest, and its length is within the ratio. Names too short for that are held against all
+    catalogue names of such a length, in blocks.
     """
-    c = catalogue.groupBy("name").agg(F.min("id").alias("id"))
+    c = materialize(catalogue.select("name").filter("name is not null").distinct(), "catalogue")
+    q = materialize(names.select("q").filter("q is not null").distinct(), "names")
+    cg = materialize(c.select("name", F.explode(char_grams(F.col("name"), 2)).alias("gram")), "name-grams")
+    df = cg.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    qg = q.select("q", F.explode(char_grams(F.col("q"), 2)).alias("gram")).join(df, "gram", "left")
+    # Grams that no name has come first: they count, but find nothing.
+    qg = materialize(qg.withColumn("place", F.row_number().over(rarest)).select("q", "gram", "place"), "asked-grams")
     longer = F.greatest(F.length("q"), F.length("name"))
-    fits = F.least(F.length("q"), F.length("name")) >= F.lit(least) * longer
     ratio = F.round(1 - F.levenshtein("q", "name") / longer, 6)
 
-    def against(block: DataFrame) -> DataFrame:
-        return c.join(block, fits).select("q", "id", "name", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+    def rated(pairs: DataFrame, by: str) -> DataFrame:
+        return pairs.select("q", "name", ratio.alias("ratio"), F.lit(by).alias("by"))
 
-    found = in_blocks(names.select("q").distinct(), against)
+    first = materialize(rated(qg.filter(F.col("place") <= FIRST_GRAMS).join(cg, "gram").select("q", "name").distinct(), "first"), "first-pairs")
+    bound = F.greatest(F.coalesce(F.max("ratio"), F.lit(0.0)), F.lit(least)) - 2e-6
+    edits = F.floor((1 - F.col("r")) / F.col("r") * F.length("q"))
+    distinct = qg.groupBy("q").agg(F.max("place").alias("grams"))
+    known = q.join(first, "q", "left").groupBy("q").agg(bound.alias("r")).join(distinct, "q", "left").withColumn("need", 2 * edits + 1)
+    known = materialize(known, "bounds")
+    fits = F.least(F.length("q"), F.length("name")) >= F.col("r") * longer
+    strong = known.filter("need <= grams").select("q", "r", "need")
+    near = qg.join(strong, "q").filter(F.col("place") <= F.col("need")).join(cg, "gram").filter(fits).select("q", "name").distinct()
+    weak = in_blocks(known.filter("grams is null or need > grams").select("q", "r"), lambda block: c.join(block, fits).select("q", "name"))
+    return first.unionByName(rated(near.join(first.select("q", "name"), ["q", "name"], "left_anti"), "bounded")).unionByName(rated(weak, "all"))
+
+
+def fuzzy_match(names: DataFrame, catalogue: DataFrame, least: float = 0.4) -> DataFrame:
+    """The best catalogue name (id, name) for each name (q): 1 - edit distance / longer length, at least the floor.
+
+    What can't be the best by its pairs of letters and its length is not compared; the result is that of all comparisons.
+    """
+    found = fuzzy_pairs(names, catalogue, least).filter(F.col("ratio") >= least)
     # The best is found by partial aggregation: no name gathers its candidates.
-    best = found.groupBy("q").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "name", "id")).alias("b"))
-    return best.select("q", "b.id", "b.name", (-F.col("b.r")).alias("ratio"))
+    best = found.groupBy("q").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "name")).alias("b")).select("q", "b.name", (-F.col("b.r")).alias("ratio"))
+    ids = catalogue.groupBy("name").agg(F.min("id").alias("id"))
+    return best.join(ids, "name").select("q", "id", "name", "ratio")

@@ -8,6 +8,7 @@ from tessera.operators import evaluation as V
 from tessera.operators import search as S
 from tessera.plans.registry import query, table
 from tessera.plans.search import BM25, WORDS
+from tessera.sources.scratch import materialize
 
 MEASURED = f"""{BM25}, bw AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bw)),
@@ -28,9 +29,14 @@ def cases(spark, sf_dir):
     return m.withColumn("passed", F.col("hit_6")).withColumn("manual", F.col("item_id") % 8 == 0).withColumn("category", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd"))
 
 
-@query("v1_measures", f"WITH {MEASURED} SELECT * FROM e")
+@query("v1_measures", f"""WITH {MEASURED}, pr AS (SELECT item_id, min(doc_id) AS doc_id FROM rel GROUP BY item_id)
+SELECT e.*, coalesce(t.doc_id = pr.doc_id, false) AS preferred_top1 FROM e LEFT JOIN pr ON pr.item_id = e.item_id LEFT JOIN (SELECT item_id, doc_id FROM bm WHERE rank = 1) t ON t.item_id = e.item_id""")
 def v1(spark, sf_dir):
-    return measured(spark, sf_dir)
+    """The preferred result of an item is its first relevant document."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    relevant = materialize(V.sharing_passages(docs, asked), "relevant")
+    preferred = relevant.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return V.ranked_measures(asked, materialize(S.bm25(docs, asked, 6), "results"), relevant, preferred=preferred)
 
 
 @query("v2_keyword_coverage", """

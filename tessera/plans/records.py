@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.operators import grams as G
 from tessera.operators import records as P
 from tessera.plans.registry import query, rows, table
 
@@ -34,6 +36,23 @@ def p2(spark, sf_dir):
     return P.entities(customers(spark, sf_dir).select("c_custkey", said.alias("t")), vocabulary, "c_custkey", "t").select("c_custkey", "name")
 
 
+@query("p2_dictionary", r"""
+WITH w AS (SELECT DISTINCT regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM benchmark), u AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w),
+a AS (SELECT w[i] AS alias FROM u UNION SELECT w[i] || ' ' || w[i + 1] FROM u WHERE i < len(w)),
+f AS (SELECT doc_id, alias, string_split(lower(text), alias) AS p FROM documents JOIN a ON contains(lower(text), alias)),
+o AS (SELECT doc_id, alias, list_sum([length(x) for x in p[1:i]]) + (i - 1) * length(alias) AS start FROM (SELECT *, unnest(range(1, len(p))) AS i FROM f)),
+m AS (SELECT *, start + length(alias) AS stop, max(start + length(alias)) OVER (PARTITION BY doc_id ORDER BY start, length(alias) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o)
+SELECT doc_id, alias, count(*) AS n, CAST(min(start) AS BIGINT) AS first FROM m WHERE reach IS NULL OR reach < stop GROUP BY doc_id, alias""")
+def p2_dictionary(spark, sf_dir):
+    """Words of four letters or more, and pairs of neighbours among them, of the benchmark as a dictionary over the documents;
+    a match inside a longer one goes."""
+    w = table(spark, sf_dir, "benchmark").select(T.matches(F.lower("text"), "[a-z]{4,}").alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    aliases = w.select(F.explode(F.concat("w", pairs)).alias("alias")).distinct()
+    found = G.dictionary_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), aliases, "doc_id")
+    return found.groupBy("doc_id", "alias").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first"))
+
+
 @query("p3_metrics", "SELECT event_id, 'egfr' AS name, CAST(user_id AS DOUBLE) AS value, 'ml/min' AS unit FROM events UNION ALL SELECT event_id, 'hba1c', 6.5, '%' FROM events")
 def p3(spark, sf_dir):
     said = F.concat(F.lit("egfr "), F.col("user_id"), F.lit(" ml/min, hba1c: 6.5%"))

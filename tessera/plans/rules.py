@@ -55,6 +55,27 @@ def k3(spark, sf_dir):
     return j.select("c_custkey", F.concat(F.lit("["), F.array_join(both, ", "), F.lit("]")).alias("context"))
 
 
+CONTEXT_ALIASES = [("goods", "building", "Building"), ("goods", "machine", "machinery"), ("goods", "house", "house"), ("goods", "house", "furniture"), ("goods", "car", "auto")]
+
+
+@query("k3_built_context", """
+WITH c AS (SELECT c_custkey, lower('Buys ' || c_mktsegment) AS t, c_custkey % 100 AS age FROM customer),
+n AS (SELECT c_custkey, 'goods' AS kind, name FROM c JOIN (VALUES ('building', 'building'), ('machine', 'machinery'), ('house', 'house'), ('house', 'furniture'), ('car', 'auto')) a(name, alias) ON contains(t, alias)
+  UNION SELECT o_custkey, 'priorities', lower(trim(o_orderpriority)) FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer)
+  UNION SELECT c_custkey, 'populations', 'child' FROM c WHERE age < 18 UNION SELECT c_custkey, 'populations', 'older_adult' FROM c WHERE age >= 65
+  UNION SELECT c_custkey, 'populations', 'pregnancy' FROM c WHERE c_custkey % 7 = 0)
+SELECT c_custkey, kind, string_agg(name, ', ' ORDER BY name) AS names FROM n GROUP BY c_custkey, kind""")
+def k3_built(spark, sf_dir):
+    """Of what customers buy, the priorities of their finished orders, and their age."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Buys "), "c_mktsegment").alias("said"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("priorities").alias("kind"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("done").alias("status"))
+    o = o.join(c.select("c_custkey"), "c_custkey", "left_semi")
+    aliases = rows(spark, "kind string, name string, alias string", CONTEXT_ALIASES)
+    sex = F.when(F.col("c_custkey") % 7 == 0, "Pregnant").otherwise("none")
+    found = K.build_context(c, "c_custkey", "said", aliases, o, F.col("c_custkey") % 100, sex)
+    return found.select("c_custkey", "kind", F.array_join("names", ", ").alias("names"))
+
+
 @query("k4_proximity", "SELECT doc_id, regexp_matches(text, '(?s)the.{0,12}tion|tion.{0,12}the') AS near FROM documents")
 def k4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", K.near(F.col("text"), "the", "tion").alias("near"))

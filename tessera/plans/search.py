@@ -117,6 +117,23 @@ def r6(spark, sf_dir):
     return found.select("item_id", "doc_id", F.round(S.rescored(F.col("lexical"), F.col("text"), BOOSTS), 6).alias("score"))
 
 
+#: (query's pattern, source's pattern, text's pattern, op, value)
+GATED = [("the", "src1", "", "*", 1.5), ("", "^src2$", "tion", "+", 0.25), ("of", "", r"\|", "*", 0.55)]
+
+
+@query("r6_gated", f"""
+WITH {BM25}, x AS (SELECT bm.item_id, bm.doc_id, 1.0::DOUBLE / rank AS s, b.text AS q, d.source, d.text FROM bm JOIN documents d ON d.doc_id = bm.doc_id JOIN benchmark b ON b.item_id = bm.item_id WHERE rank <= 10),
+y AS (SELECT *, CASE WHEN contains(q, 'the') AND contains(source, 'src1') THEN s * 1.5::DOUBLE ELSE s END AS s1 FROM x),
+z AS (SELECT *, CASE WHEN source = 'src2' AND contains(text, 'tion') THEN s1 + 0.25::DOUBLE ELSE s1 END AS s2 FROM y)
+SELECT item_id, doc_id, round(CASE WHEN contains(q, 'of') AND contains(text, '|') THEN s2 * 0.55::DOUBLE ELSE s2 END, 6) AS score FROM z""")
+def r6_gated(spark, sf_dir):
+    """Rules that look at the query, the source and the text."""
+    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
+    found = S.bm25(d, q, 10).select("item_id", "doc_id", "lexical").join(d.select("doc_id", "text", "source"), "doc_id").join(q.select("item_id", F.col("text").alias("query")), "item_id")
+    score = S.rescored(F.col("lexical"), F.col("text"), GATED, F.col("query"), F.col("source"))
+    return found.select("item_id", "doc_id", F.round(score, 6).alias("score"))
+
+
 @query("r7_diverse_top")
 def r7(spark, sf_dir):
     c = chunks(spark, sf_dir)
@@ -280,13 +297,15 @@ def r14_foods(spark, sf_dir):
 WITH m AS (SELECT vec_id AS id, vec_id // 50 AS user_id, CASE label % 3 WHEN 0 THEN 'factual' WHEN 1 THEN 'semantic' ELSE 'episodic' END AS layer, (vec_id % 97) / 100.0 AS weight, embedding FROM embeddings),
 q AS (SELECT vec_id // 50 AS user_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT m.user_id, id, layer, round(list_cosine_similarity(qe::DOUBLE[], embedding::DOUBLE[]) + weight + CASE layer WHEN 'factual' THEN 0.25 WHEN 'semantic' THEN 0.18 ELSE 0.12 END, 4) AS score FROM m JOIN q ON m.user_id = q.user_id WHERE weight >= 0.1),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS n FROM s) SELECT user_id, id, layer, score FROM r WHERE n <= 6""")
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, layer ORDER BY score DESC, id) AS rank FROM s)
+SELECT user_id, id, layer, score, rank FROM r WHERE rank <= CASE layer WHEN 'factual' THEN 6 ELSE 4 END""")
 def r15(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     layer = F.when(F.col("label") % 3 == 0, "factual").when(F.col("label") % 3 == 1, "semantic").otherwise("episodic")
     user = F.floor(F.col("vec_id") / 50).alias("user_id")
     m = e.select(F.col("vec_id").alias("id"), user, layer.alias("layer"), ((F.col("vec_id") % 97) / 100.0).alias("weight"), "embedding")
-    return S.recall_memories(m, e.filter("vec_id % 50 = 0").select(user, "embedding")).select("user_id", "id", "layer", "score")
+    found = S.recall_memories(m, e.filter("vec_id % 50 = 0").select(user, "embedding"))
+    return found.select("user_id", "id", "layer", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("r16_page_relevance", "SELECT l_orderkey, l_linenumber, l_partkey % 20 <= 9 AND l_partkey % 20 + l_linenumber >= 5 AS relevant FROM lineitem")

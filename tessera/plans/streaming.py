@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import records as P
 from tessera.plans.registry import query, table
 from tessera.streaming import streams as X
 
@@ -29,6 +30,20 @@ def x1_stream(spark, sf_dir):
     return X.drained(X.keyed(event_stream(spark, sf_dir), ["user_id"], X.Activity(60, 20, 3, 2), "event_id long, voice int, active boolean"), "activity")
 
 
+@query("x1_segments_stream", """
+WITH v AS (SELECT *, coalesce(last_value(CASE WHEN value >= 60 THEN 1 WHEN value <= 20 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS voice FROM events),
+a AS (SELECT *, sum(voice) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) >= 2 AS active, floor(epoch(ts))::BIGINT AS s FROM v),
+l AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM a WHERE active),
+o AS (SELECT *, sum(CASE WHEN before IS NULL OR s - before > 36000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM l)
+SELECT user_id, CAST(segment AS BIGINT) AS segment, min(s) AS started, max(s) AS ended, count(*) AS n FROM o GROUP BY user_id, segment
+HAVING (max(s) + 36001) * 1000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def x1_segments(spark, sf_dir):
+    """Segments that have ended by the last watermark, an hour behind the newest event."""
+    s = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").select("user_id", "event_id", "ts", "value")
+    out = X.keyed(s, ["user_id"], X.Segments(60, 20, 3, 2, 36000), "user_id long, segment long, started long, ended long, n long", timers=True)
+    return X.drained(out, "segments")
+
+
 @query("x2_sessions_stream")
 def x2_stream(spark, sf_dir):
     return X.drained(X.idle_sessions(event_stream(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour"), "idle")
@@ -59,6 +74,17 @@ def x6(spark, sf_dir):
     return X.drained(X.keyed(event_stream(spark, sf_dir), ["user_id", "event_type"], X.RepeatedHigh(50), "event_id long, user_id long, event_type string"), "alerts")
 
 
+@query("x6_every_alert_stream", """
+SELECT event_id, user_id, CASE WHEN value < 3 THEN 'severe_low' WHEN value <= 6 THEN 'low' WHEN value >= 200 THEN 'very_high' ELSE 'above_target' END AS code FROM events WHERE value <= 6 OR value > 80
+UNION ALL SELECT event_id, user_id, 'repeated_high' FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS 2 PRECEDING)) WHERE n = 3 AND m > 50""")
+def x6_every(spark, sf_dir):
+    """Alerts of a reading's level, which need no state, and of repeated high readings, in one stream."""
+    s = event_stream(spark, sf_dir)
+    level = s.select("event_id", "user_id", P.level(F.col("value"), F.lit(80.0), 6, 3, 200).alias("code")).filter("code is not null")
+    high = X.keyed(s, ["user_id", "event_type"], X.RepeatedHigh(50), "event_id long, user_id long, event_type string")
+    return X.drained(level.unionByName(high.select("event_id", "user_id", F.lit("repeated_high").alias("code"))), "alerts")
+
+
 @query("x7_compaction_stream", """
 WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), g AS (SELECT *, (i - 1) // 3 AS batch FROM t)
 SELECT conv_id, batch, min(turn) AS first_turn, max(turn) AS last_turn FROM g WHERE n >= 5 + 3 * batch GROUP BY conv_id, batch""")
@@ -67,17 +93,33 @@ def x7(spark, sf_dir):
     return X.drained(X.keyed(s, ["conv_id"], X.Compaction(4, 2), "conv_id long, batch int, first_turn long, last_turn long"), "compaction").withColumn("batch", F.col("batch").cast("long"))
 
 
-@query("x8_late_rows_stream")
-def x8(spark, sf_dir):
-    """Daily counts; a last drop repeats the first day's rows, which are behind the watermark and must not count."""
+def late_stream(spark, sf_dir):
+    """Events in drops of days; a last drop repeats the first day's rows, which are behind the watermark by then."""
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     drop = F.least(F.floor((F.dayofmonth("ts") - 1) / DAYS), F.lit(3))
     every = e.withColumn("drop", drop.cast("int")).unionByName(e.filter(F.dayofmonth("ts") == 1).withColumn("drop", F.lit(4)))
-    s = X.stream_of(spark, X.in_drops(every, F.col("drop"), 5), every.schema).drop("drop")
+    return X.stream_of(spark, X.in_drops(every, F.col("drop"), 5), every.schema).drop("drop")
+
+
+@query("x8_late_rows_stream", """
+WITH d AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT CAST(day AS VARCHAR) AS day, event_type, n FROM d WHERE epoch_ms(day + INTERVAL 1 DAY) <= (SELECT epoch_ms(max(ts)) - 86400000 FROM events)""")
+def x8(spark, sf_dir):
+    """Daily counts of the days that the watermark has closed; late rows do not count."""
+    s = late_stream(spark, sf_dir)
     c = X.drained(X.windowed_counts(s, "ts", "1 day", "1 day", ["event_type"]), "late")
     return c.select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n")
 
 
+@query("x8_progress_stream", """
+WITH d AS (SELECT least(floor((dayofmonth(ts) - 1) / 8), 3) AS batch, ts FROM events UNION ALL SELECT 4, ts FROM events WHERE dayofmonth(ts) = 1)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_rows, batch = 4 AS late FROM d GROUP BY batch""")
+def x8_progress(spark, sf_dir):
+    """The batches of the stream of late rows: how many rows each brought, and which brought rows behind the watermark."""
+    s = late_stream(spark, sf_dir).observe("landed", F.count("*").alias("n"))
+    return X.drained_with_progress(X.windowed_counts(s, "ts", "1 day", "1 day", ["event_type"]), "late")[1].select("batch", "n_rows", "late")
+
+
 @query("x9_sentences_stream")
 def x9(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("no", "fragment"), F.size(F.split("text", "(?<= )")).alias("n"))

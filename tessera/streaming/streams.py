@@ -41,6 +41,26 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def drained_with_progress(stream: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """drained, and a table of its batches with input: (batch, n_rows, watermark, late).
+
+    n_rows is what the stream's observe named landed counts; late tells whether a state operator dropped rows behind the
+    watermark, which stood where watermark says when the batch began. One row a batch, of the query's own progress.
+    """
+    spark = stream.sparkSession
+    path, state = new_path(spark, name), new_path(spark, f"{name}-state")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 10_000)
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = []
+    for p in q.recentProgress:
+        landed = (p.observedMetrics or {}).get("landed")
+        if landed is not None and landed["n"]:
+            rows.append((p.batchId, landed["n"], (p.eventTime or {}).get("watermark"), any(o.numRowsDroppedByWatermark > 0 for o in p.stateOperators)))
+    progress = spark.createDataFrame(rows, "batch long, n_rows long, watermark string, late boolean")
+    return spark.read.schema(stream.schema).parquet(path), progress
+
+
 def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, created: str | None = None, mode: str = "append", path: str | None = None) -> DataFrame:
     """The stream folded into a table by upsert: each batch rewrites the buckets of its keys, and no others.
 
@@ -82,9 +102,10 @@ def daily_totals(stream: DataFrame, key: str, ts: str, amount: Column, delay: st
     return d.select(key, F.col("w.start").alias("day"), "used")
 
 
-def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, timers: bool = False) -> DataFrame:
+    """The rows that the processor makes of each key's; with timers the stream needs a watermark, which they follow."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime" if timers else "None")
 
 
 class RepeatedHigh(StatefulProcessor):
@@ -133,6 +154,60 @@ class Activity(StatefulProcessor):
         pass
 
 
+class Segments(StatefulProcessor):
+    """Segments of activity as Activity finds it: user_id, segment, started, ended, n, each once it has ended.
+
+    A segment ends when gap seconds have passed without an active row: a timer under event time tells it as soon as the
+    watermark has gone by, without a further row of the user. Seconds are whole.
+    """
+
+    def __init__(self, high: float, low: float, k: int, least: int, gap: int):
+        self.high, self.low, self.k, self.least, self.gap = high, low, k, least, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "voices array<int>, segment int, started bigint, ended bigint, n int")
+
+    def _timer(self, ended: int) -> int:
+        return (ended + self.gap + 1) * 1000
+
+    def _as_frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["user_id", "segment", "started", "ended", "n"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        voices, segment, started, ended, n = self.state.get() if self.state.exists() else ([], 0, None, None, 0)
+        voices, out, was = list(voices), [], ended
+        for r in pd.concat([x[["ts", "event_id", "value"]] for x in rows]).sort_values(["ts", "event_id"]).itertuples():
+            voice = 1 if r.value >= self.high else 0 if r.value <= self.low else (voices[-1] if voices else 0)
+            voices = [*voices, voice][-self.k :]
+            if sum(voices) < self.least:
+                continue
+            at = int(r.ts.timestamp() // 1)
+            if ended is not None and at - ended > self.gap:
+                out.append((key[0], segment, started, ended, n))
+                ended = None
+            if ended is None:
+                segment, started, n = segment + 1, at, 0
+            ended, n = at, n + 1
+        if ended != was:
+            if was is not None:
+                self.handle.deleteTimer(self._timer(was))
+            self.handle.registerTimer(self._timer(ended))
+        self.state.update((voices, segment, started, ended, n))
+        yield self._as_frame(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        voices, segment, started, ended, n = self.state.get()
+        out = []
+        if ended is not None and self._timer(ended) <= expiredTimerInfo.getExpiryTimeInMs():
+            out.append((key[0], segment, started, ended, n))
+            self.state.update((list(voices), segment, None, None, 0))
+        yield self._as_frame(out)
+
+    def close(self) -> None:
+        pass
+
+
 class Compaction(StatefulProcessor):
     """Emits the older turns of a conversation whenever more than trigger are held, and keeps the last: conv_id, batch, first_turn, last_turn."""
 
