@@ -82,7 +82,7 @@ EXCERPT_JOINT = "\n\n---\n\n"
 
 def keyword_windows(text: Column, keywords: Sequence[str], budget: int = 4000, before: int = 500, after: int = 1200) -> Column:
     """Windows about keywords: for each the first occurrence whose window, up to after characters beyond its end, meets none
-    taken before; trimmed, until they hold budget characters together."""
+    taken before; trimmed, until they hold budget characters together. A null text has none."""
     def places(k: str) -> Column:
         """The window of each occurrence, one after the other."""
         gaps = F.split(text, re.escape(k), -1)

@@ -268,10 +268,10 @@ def fuzzy_pairs(names: DataFrame, catalogue: DataFrame, least: float = 0.4) -> D
     The catalogue names that share one of a name's three rarest pairs of letters give it a first ratio r. One that is as
     good has at most (1 - r) / r * length(q) edits, each of which takes two pairs of letters at most: so it shares one
     of the name's 2 * edits + 1 rarest, and its length is within the ratio. Names too short for that are held against all
-    catalogue names of such a length, in blocks.
+    catalogue names of such a length, in blocks. Null and empty names are like none.
     """
-    c = materialize(catalogue.select("name").filter("name is not null").distinct(), "catalogue")
-    q = materialize(names.select("q").filter("q is not null").distinct(), "names")
+    c = materialize(catalogue.select("name").filter("name <> ''").distinct(), "catalogue")
+    q = materialize(names.select("q").filter("q <> ''").distinct(), "names")
     cg = materialize(c.select("name", F.explode(char_grams(F.col("name"), 2)).alias("gram")), "name-grams")
     df = cg.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "gram")
