@@ -7,6 +7,7 @@ documents run in parallel.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -218,6 +219,58 @@ def block_texts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
         parts, lambda x: F.concat(F.lit("[page "), x["page"], F.lit("]\n"), x["text"])), "\n").alias("block_text"))
 
 
+def topic_pages(items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, topic, source_pages, items) of items (key, topic, page, text): of each document's topic the pages it is on, in
+    order and each once, and its texts, the first of those that agree but for case and blanks, in the order of their pages.
+
+    What a topic has in one document is one row, so rows are bounded by documents. Null and blank texts add pages only.
+    """
+    said = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    first = items.withColumn("_k", said).filter("_k <> ''").groupBy(key, "topic", "_k").agg(F.min(F.struct("page", "text")).alias("i"))
+    texts = first.groupBy(key, "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i.page", "_k", "i.text"))), lambda x: x["text"]).alias("items"))
+    pages = items.groupBy(key, "topic").agg(F.array_sort(F.collect_set("page")).alias("source_pages"))
+    same = [key, "topic"]
+    return pages.join(texts, same, "left").select(*same, "source_pages", F.coalesce("items", T.empty_strings()).alias("items"))
+
+
+#: Characters of a payload that a row to review shows.
+REVIEW_CHARS = 2000
+
+
+def validated_routes(rows: DataFrame, key: str, kind: str, payload: str, schemas: dict[str, tuple[str, list[str], dict[str, str]]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """({kind: (key, and the schema's fields)}, review (key, kind, errors, payload)) of JSON payloads by kind.
+
+    A schema is the fields as DDL, those that must be there, and checks (what is wrong: condition that must hold; it may be
+    null). A payload that is no JSON of the fields' types, lacks a field or fails a check, and a kind without a schema, is for
+    review with all that is wrong with it, its payload cut to REVIEW_CHARS characters. Each row goes to one table.
+    """
+    typed, review = {}, []
+    for name, (fields, required, checks) in schemas.items():
+        own = rows.filter(F.col(kind) == name).select(key, F.col(kind).alias("kind"), F.col(payload).alias("payload"), F.from_json(
+            F.coalesce(payload, F.lit("")), f"{fields}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+        own = own.select(key, "kind", "payload", "j.*")
+        broken = F.col("_corrupt").isNotNull() | F.coalesce(F.trim("payload"), F.lit("")).eqNullSafe("")
+        wrong = [F.when(~broken & F.col(f).isNull(), f"{f} is missing") for f in required] + [F.when(~broken & ~F.expr(c), said) for said, c in checks.items()]
+        own = own.withColumn("errors", F.array_compact(F.array(F.when(broken, "not valid JSON"), *wrong)))
+        typed[name] = own.filter(F.size("errors") == 0).drop("errors", "_corrupt", "kind", "payload")
+        review.append(own.filter(F.size("errors") > 0).select(key, "kind", "errors", F.substring("payload", 1, REVIEW_CHARS).alias("payload")))
+    known = F.coalesce(F.col(kind).isin(list(schemas)), F.lit(False))
+    rest = rows.filter(~known).select(key, F.col(kind).alias("kind"), F.array(F.lit("no schema")).alias("errors"), F.substring(payload, 1, REVIEW_CHARS).alias("payload"))
+    return typed, reduce(DataFrame.unionByName, review, rest)
+
+
+def index_status(chunks: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(first key, chunks, embedded, status) of documents by their chunks (keys, text) and the vectors (keys) there are.
+
+    A chunk counts from 80 characters on. Without one a document needs OCR; else all, some or none of them have a vector.
+    """
+    held = chunks.join(vectors.select(*keys).distinct().withColumn("_v", F.lit(True)), keys, "left")
+    ok = F.coalesce(F.length(F.trim("text")) >= 80, F.lit(False))
+    c = held.groupBy(keys[0]).agg(F.count_if(ok).alias("chunks"), F.count_if(ok & F.col("_v").isNotNull()).alias("embedded"))
+    status = F.when(F.col("chunks") == 0, "needs_ocr").when(F.col("embedded") == F.col("chunks"), "indexed").when(F.col("embedded") > 0, "indexed_partial_vector").otherwise("indexed_lexical_only")
+    return c.select(keys[0], "chunks", "embedded", status.alias("status"))
+
+
 def newest_versions(files: DataFrame) -> DataFrame:
     """files (path): of directories base-YYYYMMDDHHMMSS the newest per parent and base; an unversioned twin is hidden."""
     f = files.select("path", F.regexp_extract("path", r"^(.*)/([^/]+?)(?:-(\d{14}))?$", 1).alias("parent"), F.regexp_extract("path", r"^(.*)/([^/]+?)(?:-(\d{14}))?$", 2).alias("base"),

@@ -181,6 +181,21 @@ def d17(spark, sf_dir):
     return p.groupBy("topic", "k").agg(F.min("doc_id").alias("d")).groupBy("topic").agg(F.count("*").alias("n_items"), F.min("d").alias("first_doc"), F.max("d").alias("last_doc"))
 
 
+@query("d17_document_topics", rf"""
+WITH {PAGES}, t AS (SELECT CASE WHEN contains(pg.text, 'tion') THEN 'tion' WHEN contains(pg.text, 'ung') THEN 'ung' ELSE 'other' END AS topic, doc_id, page, regexp_split_to_array(text, '[.\n]') AS s FROM pg),
+k AS (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k FROM (SELECT doc_id, topic, page, unnest(s) AS text FROM t)),
+f AS (SELECT * FROM k WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, topic, k ORDER BY page, text) = 1),
+i AS (SELECT doc_id, topic, count(*) AS n, string_agg(text, chr(10) ORDER BY page, k) AS items FROM f GROUP BY ALL),
+p AS (SELECT doc_id, topic, string_agg(page, ',' ORDER BY page) AS source_pages FROM (SELECT DISTINCT doc_id, topic, page FROM t) GROUP BY ALL)
+SELECT p.doc_id, p.topic, source_pages, CAST(coalesce(n, 0) AS BIGINT) AS n_items, md5(coalesce(items, '')) AS items_md5 FROM p LEFT JOIN i ON p.doc_id = i.doc_id AND p.topic = i.topic""")
+def d17_document_topics(spark, sf_dir):
+    """Of each document's pages by topic: the pages, and the sentences on them once each."""
+    p = pages(spark, sf_dir).withColumn("topic", D.classified(F.col("text"), [("tion", "tion"), ("ung", "ung")], "other"))
+    items = p.select("doc_id", "topic", "page", F.explode(F.split("text", r"[.\n]")).alias("text"))
+    t = D.topic_pages(items)
+    return t.select("doc_id", "topic", F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("source_pages"), F.size("items").cast("long").alias("n_items"), F.md5(F.array_join("items", "\n")).alias("items_md5"))
+
+
 #: DuckDB: the lines of the documents, blanks collapsed, numbered from 0.
 LINES = r"ln AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS l FROM documents)"
 
@@ -293,6 +308,25 @@ def d25(spark, sf_dir):
     return e.select("event_id", F.when(error.isNull(), "typed").otherwise("review").alias("route"), error.alias("error"))
 
 
+#: Fields, those that must be there, and checks of the payload of each type of event.
+SCHEMAS = {"click": ("k int", ["k"], {"k out of range": "k < 90"}), "view": ("k int, label string", ["k", "label"], {}), "error": ("k int", ["k"], {"k is odd": "k % 2 = 0", "k out of range": "k < 50"})}
+
+
+@query("d25_typed_tables", """
+WITH e AS (SELECT event_id, event_type AS kind, CASE WHEN event_id % 10 = 0 THEN 'x' || props ELSE props END AS raw, CAST(props->>'$.k' AS INT) AS k, event_id % 10 = 0 AS broken FROM events),
+x AS (SELECT *, CASE WHEN kind NOT IN ('click', 'view', 'error') THEN 'no schema' WHEN broken THEN 'not valid JSON' WHEN kind = 'view' THEN 'label is missing' WHEN kind = 'click' AND k >= 90 THEN 'k out of range'
+  WHEN kind = 'error' THEN nullif(concat_ws('; ', CASE WHEN k % 2 = 1 THEN 'k is odd' END, CASE WHEN k >= 50 THEN 'k out of range' END), '') END AS errors FROM e)
+SELECT event_id, kind, CASE WHEN errors IS NULL THEN 'typed' ELSE 'review' END AS route, CASE WHEN errors IS NULL THEN k END AS k, errors, CASE WHEN errors IS NOT NULL THEN raw END AS payload FROM x""")
+def d25_typed(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    raw = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props"))
+    typed, review = D.validated_routes(e.select("event_id", "event_type", raw.alias("raw")), "event_id", "event_type", "raw", SCHEMAS)
+    out = review.select("event_id", "kind", F.lit("review").alias("route"), F.lit(None).cast("int").alias("k"), F.array_join("errors", "; ").alias("errors"), "payload")
+    for name, rows in typed.items():
+        out = out.unionByName(rows.select("event_id", F.lit(name).alias("kind"), F.lit("typed").alias("route"), "k", F.lit(None).cast("string").alias("errors"), F.lit(None).cast("string").alias("payload")))
+    return out
+
+
 @query("d26_review", """
 WITH c AS (SELECT CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN length(trim(coalesce(text, ''))) < 80 THEN 'needs_review' ELSE 'pending' END AS status FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id) SELECT status, count(*) AS n FROM c GROUP BY status""")
 def d26(spark, sf_dir):
@@ -335,12 +369,14 @@ def d30(spark, sf_dir):
 
 
 @query("d31_index_status", f"""
-WITH {PAGES}, c AS (SELECT doc_id, count(*) FILTER (length(trim(text)) >= 80) AS chunks, count(*) FILTER (length(trim(text)) >= 80 AND page % 3 <> 0) AS embedded FROM pg GROUP BY doc_id)
-SELECT doc_id, CASE WHEN chunks = 0 THEN 'needs_ocr' WHEN embedded = chunks THEN 'indexed' WHEN embedded > 0 THEN 'indexed_partial_vector' ELSE 'indexed_lexical_only' END AS status FROM c""")
+WITH {PAGES}, c AS (SELECT doc_id, count(*) FILTER (length(trim(text)) >= 80) AS chunks, count(*) FILTER (length(trim(text)) >= 80 AND vec_id IS NOT NULL) AS embedded
+  FROM pg LEFT JOIN embeddings ON vec_id % 7 <> 0 AND vec_id // 3 = doc_id AND vec_id % 3 + 1 = page GROUP BY doc_id)
+SELECT doc_id, chunks, embedded, CASE WHEN chunks = 0 THEN 'needs_ocr' WHEN embedded = chunks THEN 'indexed' WHEN embedded > 0 THEN 'indexed_partial_vector' ELSE 'indexed_lexical_only' END AS status FROM c""")
 def d31(spark, sf_dir):
-    ok = F.length(F.trim("text")) >= 80
-    c = pages(spark, sf_dir).groupBy("doc_id").agg(F.count_if(ok).alias("chunks"), F.count_if(ok & (F.col("page") % 3 != 0)).alias("embedded"))
-    return c.select("doc_id", F.when(F.col("chunks") == 0, "needs_ocr").when(F.col("embedded") == F.col("chunks"), "indexed").when(F.col("embedded") > 0, "indexed_partial_vector").otherwise("indexed_lexical_only").alias("status"))
+    """The vectors there are tell a document's state: three of them in turn are the first pages of a document, but for each seventh."""
+    v = table(spark, sf_dir, "embeddings").filter("vec_id % 7 <> 0")
+    vectors = v.select(F.floor(F.col("vec_id") / 3).alias("doc_id"), (F.col("vec_id") % 3 + 1).cast("int").alias("page"))
+    return D.index_status(pages(spark, sf_dir), vectors, ["doc_id", "page"])
 
 
 @query("d32_review_samples", f"WITH {PAGES} SELECT doc_id, page, substr(text, 1, 1200) AS sample FROM pg WHERE page <= 8")

@@ -178,6 +178,31 @@ def u1(spark, sf_dir):
     return spark.sql("SELECT p_partkey, tessera_dedupe_key(p_brand, p_name) AS k, CAST(size(tessera_words(p_name)) AS BIGINT) AS words FROM tessera_part")
 
 
+@query("u1_more_functions", r"""
+SELECT doc_id, 'doc_' || substr(sha1(text), 1, 20) AS id, CASE WHEN doc_id % 5 IN (0, 3) THEN 'p.' || greatest(doc_id % 5, 1) ELSE 'pp.' || doc_id % 5 || '-3' END AS pages,
+  substr(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[!?.,;: ]+$', ''), 1, 40) AS title, lang AS lang_read, least(greatest(CAST(n_chars AS DOUBLE), 10), 500) AS clamped, CASE doc_id % 3 WHEN 0 THEN 2000.0::DOUBLE WHEN 1 THEN 100.0::DOUBLE END AS grams
+FROM documents""")
+def u1_more(spark, sf_dir):
+    register_functions(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
+    return spark.sql(r"""
+        SELECT doc_id, tessera_stable_id('doc', text) AS id, tessera_page_label(CAST(doc_id % 5 AS INT), CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END) AS pages,
+          tessera_session_title(text) AS title, tessera_front_matter(concat('---\nlang: ', lang, '\n---\n', text))['lang'] AS lang_read,
+          tessera_clamp(CAST(n_chars AS STRING), 0D, 10D, 500D) AS clamped, tessera_grams(2D, CASE doc_id % 3 WHEN 0 THEN 'KG' WHEN 1 THEN 'liang' ELSE 'cup' END, 1D) AS grams
+        FROM tessera_documents""")
+
+
+@query("u2_meals", """
+SELECT p_partkey, v.no, CASE v.no WHEN 1 THEN p_brand ELSE v.name END AS name, CASE v.no WHEN 0 THEN p_size::DOUBLE ELSE v.q END AS quantity, v.unit FROM part,
+  (VALUES (0::BIGINT, 'rice', 'g', 0.0), (1, NULL, NULL, 1.0), (2, 'milk', 'cup', 2.5)) AS v(no, name, unit, q)""")
+def u2_meals(spark, sf_dir):
+    register_functions(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("tessera_part")
+    return spark.sql("""
+        SELECT p_partkey, CAST(m.no AS BIGINT) AS no, m.name, m.quantity, m.unit
+        FROM tessera_part, LATERAL tessera_meals(concat(p_size, 'g of rice, ', p_brand, ' and milk 2.5 Cup')) m""")
+
+
 @query("u2_table_function", """
 WITH d AS (SELECT doc_id, text, unnest(range(greatest(CAST(ceil((length(text) - 50) / 250.0) AS BIGINT), 1))) AS no FROM documents) SELECT doc_id, no, md5(substr(text, no * 250 + 1, 300)) AS chunk_md5 FROM d""")
 def u2(spark, sf_dir):
