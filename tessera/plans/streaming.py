@@ -44,9 +44,15 @@ def x1_segments(spark, sf_dir):
     return X.drained(out, "segments")
 
 
-@query("x2_sessions_stream")
+@query("x2_sessions_stream", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o FROM events),
+s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts) + INTERVAL 6 HOUR)) AS BIGINT) AS ended, count(*) AS n FROM s GROUP BY user_id, s
+HAVING epoch_ms(max(ts) + INTERVAL 6 HOUR) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
 def x2_stream(spark, sf_dir):
-    return X.drained(X.idle_sessions(event_stream(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour"), "idle")
+    """Sessions that the last watermark, an hour behind the newest event, has closed."""
+    t = X.drained(X.idle_sessions(event_stream(spark, sf_dir), "user_id", "ts", "6 hours", "1 hour"), "idle")
+    return t.select("user_id", F.unix_timestamp("started").alias("started"), F.unix_timestamp("ended").alias("ended"), "n")
 
 
 @query("x4_quota_stream", "SELECT user_id, CAST(ts::DATE AS VARCHAR) AS day, CAST(sum(length(props)) AS BIGINT) AS used, sum(length(props)) > 20 AS over FROM events GROUP BY 1, 2")
