@@ -50,7 +50,8 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256, targe
     own, flagged over_budget where it does not fit. The last turns of the window before, up to history tokens, come again. Each
     turn is new in exactly one window and only new turns of target_role are under loss_spans (code points of text,
     end exclusive, still escaped). n_repeated turns at the head of a window are repeats. Repeated rows are turns of
-    their own; a null conv_id is a conversation of its own.
+    their own; a null conv_id is a conversation of its own. Empty turns give no windows; columns of turns other than the four
+    are left out, so no name clashes.
     """
     t = turns.select(
         F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

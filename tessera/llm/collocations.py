@@ -221,7 +221,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     clashes. A text may be as long as a batch of Arrow holds.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, megabytes=8)
     given = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
 
     def phrases(entries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, unpack, words
+from .common import BLANKS, join_hot, materialize, unpack, words
 
 SYMBOLS = "#*$%&|<>"
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -97,12 +97,15 @@ def quality_rules(docs: DataFrame, host: str = "source", spread: float = 0.84, t
     """
     rest = [c for c in docs.columns if c != text]
     packed = docs.select(F.col(text).alias("text"), F.col(host).alias("host"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
-    each = materialize(rule_figures(packed, "text").withColumn("base_failed", base_failed()), "quality")
-    hosts = each.groupBy(F.col("host").alias("_host")).agg(
-        F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    # No host has the empty name: null has it.
+    named = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit(""))
+    each = materialize(rule_figures(packed, "text").withColumn("base_failed", base_failed()).withColumn("_host", named), "quality")
+    hosts = each.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = materialize(hosts, "hosts")
     alpha, beta = beta_prior(hosts)
     whole = alpha + beta
     cut = alpha / whole + spread * math.sqrt(alpha * beta / (whole * whole * (whole + 1)))
     verdicts = hosts.select("_host", ((F.col("failed") + alpha) / (F.col("n") + whole)).alias("host_rate"))
-    out = each.join(verdicts, each["host"].eqNullSafe(F.col("_host")), "left").withColumn("host_failed", F.col("host_rate") > cut)
+    out = join_hot(each, verdicts, ["_host"], hosts.select("_host", "n"), hosts.agg(F.sum("n")).first()[0] or 0)
+    out = out.withColumn("host_failed", F.col("host_rate") > cut)
     return unpack(out, rest, **{c: F.col(c) for c in (*FIGURES, "base_failed", "host_rate", "host_failed")}, kept=~F.col("base_failed") & ~F.col("host_failed"))
