@@ -22,7 +22,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the language model does not reject: those with a letter, and not unlike all it has learned.
 
     Null and empty texts go, as they are in no language. Where no document has a language nothing is known and all go.
-    Repeated rows are judged each by itself; an empty table gives an empty one.
+    Repeated rows are judged each by itself; an empty table gives an empty one. Columns of docs of any name come through.
     """
     model = train(docs, F.lit(True))
     return identify(docs, model, keep_text=True).filter("not rejected").select(*[f"`{c}`" for c in docs.columns])
@@ -32,7 +32,7 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """All documents, without later copies of runs of lines of 50 words or more.
 
     Rows that agree in doc_id and text are one document and keep the same lines. Null and empty texts stay as they are;
-    an empty table gives an empty one.
+    an empty table gives an empty one. Columns of docs of any name come through.
     """
     return _as_documents(line_dedup(docs), docs.columns)
 
@@ -56,7 +56,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """All documents, without the words inside passages of the benchmark, and with a line feed in each one's place.
 
     Null and empty texts stay as they are, repeated rows are cut each by itself; an empty table gives an empty one, and an
-    empty benchmark cuts nothing.
+    empty benchmark cuts nothing. Columns of docs of any name come through.
     """
     return _as_documents(find_phrases(docs, table(spark, sf_dir, "benchmark"), cut=True), docs.columns)
 
