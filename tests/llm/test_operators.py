@@ -122,6 +122,15 @@ def test_chat_round_trip(spark):
     assert loss == {c: [x for r, x in v if r == "assistant"] for c, v in want.items()}
 
 
+def test_chat_of_a_very_long_turn_and_of_none(spark):
+    schema, long = "conv_id long, turn long, role string, text string", "<s> [INST] word \\\n" * 60000
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], schema)
+    back = sorted(chat_format.read_back(chat_format.chat_windows(turns)).collect(), key=lambda r: r["window"])
+    assert [(t["role"], t["text"]) for w in back for t in w["new_turns"]] == [("user", "hi"), ("assistant", long)]
+    assert "".join(x for w in back for x in w["loss_texts"]) == long
+    assert chat_format.chat_windows(turns.limit(0)).count() == 0
+
+
 def test_chat_budget_system_and_history(spark):
     turns = spark.createDataFrame(turn_rows(), "conv_id long, turn long, role string, text string")
     out = chat_format.chat_windows(turns, budget=400, history=60).collect()
@@ -431,6 +440,11 @@ def test_mixing_targets_and_takes(spark):
     assert again == {r["doc_id"]: r["taken"] for r in out}
 
 
+def test_mixing_of_a_very_long_text(spark):
+    out = {r["doc_id"]: r for r in mixing.mix(docs(spark, ["a b c"] * 30 + ["word " * 400000])).collect()}
+    assert out[30]["size"] == 400000 and 0 <= out[30]["taken"] <= 800000
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix(docs(spark, [None, ""])).collect()] == [0, 0]
