@@ -151,12 +151,17 @@ def token_weight(token: Column) -> Column:
 
 def structured_search(records: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """(item_id, type, id, score, rank) over records (type, id, title, search_text): occurrences of each query token, at
-    most four, weighted by its kind; a title that equals a token gets 40 more, one that contains one 18."""
+    most four, weighted by its kind; a title that equals a token gets 40 more, one that contains one 18.
+
+    A CJK token that the text lacks is counted in the text without blanks; one of a single character counts nothing."""
     r = records.groupBy("type", "id").agg(F.max("title").alias("title"), F.max("search_text").alias("search_text"))
     t = F.lower("search_text")
-    r = r.select("type", "id", F.lower("title").alias("title"), t.alias("t"))
-    pairs = containing(r, query_tokens_of(queries), "t", "tok")
-    count = F.least((F.length("t") - F.length(F.replace("t", "tok", F.lit("")))) / F.length("tok"), F.lit(4.0))
+    compact = F.when(t.rlike(f"[{T.CJK}]"), F.regexp_replace(t, r"\s+", ""))
+    r = r.select("type", "id", F.lower("title").alias("title"), t.alias("t"), compact.alias("c")).withColumn("said", F.concat_ws("\n", "t", "c"))
+    times = lambda c: (F.length(c) - F.length(F.replace(c, "tok", F.lit("")))) / F.length("tok")
+    held = F.when(F.contains("t", "tok"), times("t")).when(F.col("tok").rlike(f"^[{T.CJK}]+$") & F.contains("c", "tok"), times("c"))
+    pairs = containing(r, query_tokens_of(queries), "said", "tok").withColumn("n", held).filter("n > 0")
+    count = F.least("n", F.lit(4.0))
     bonus = F.when(F.col("title") == F.col("tok"), 40.0).when(F.contains("title", "tok"), 18.0).otherwise(0.0)
     scored = pairs.groupBy("item_id", "type", "id").agg(F.round(F.sum(count * token_weight(F.col("tok"))) + F.max(bonus), 4).alias("score"))
     return rank_per(scored.filter("score > 0"), "item_id", [F.col("score").desc(), F.col("type"), F.col("id")], top)
@@ -204,7 +209,7 @@ def adjusted(found: DataFrame, action_words: list[str], rules: list[tuple[str, s
 
 
 def query_tokens_of(queries: DataFrame) -> DataFrame:
-    return queries.select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("tok")).filter(F.length("tok") > 1)
+    return queries.select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("tok")).filter(~F.col("tok").rlike(f"^[{T.CJK}]$"))
 
 
 def domain_tags(text: Column, tags: dict[str, list[str]]) -> Column:

@@ -178,7 +178,7 @@ def asked_records(spark, sf_dir):
 
 
 ASKED = r"""q AS (SELECT p_partkey AS item_id, list_concat(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9_.+-]+'), regexp_extract_all(lower(p_name || ' ' || p_brand), '\d+(?:\.\d+)?')) AS w FROM part WHERE p_partkey % 50 = 0),
-t AS (SELECT DISTINCT item_id, unnest(w) AS tok FROM q), u AS (SELECT * FROM t WHERE length(tok) > 1),
+t AS (SELECT DISTINCT item_id, unnest(w) AS tok FROM q), u AS (SELECT * FROM t),
 x AS (SELECT item_id, type, id, tok, lower(title) AS title, least((length(t) - length(replace(t, tok, ''))) / length(tok), 4.0) * CASE WHEN regexp_matches(tok, '\d') THEN 4.0 WHEN tok IN ('bmi', 'met') THEN 5.0 ELSE 2.5 END AS s FROM u JOIN rec ON contains(t, tok)),
 g AS (SELECT item_id, type, id, round(sum(s) + max(CASE WHEN title = tok THEN 40.0 WHEN contains(title, tok) THEN 18.0 ELSE 0.0 END), 4) AS score FROM x GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, type, id) AS rank FROM g)"""

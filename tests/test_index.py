@@ -189,3 +189,11 @@ def test_dictionary_keeps_longest_matches(spark):
     got = grams.dictionary_matches(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(names, "alias string, name string"), "id", "t")
     assert {(r["id"], r["start"], r["end"], r["name"]) for r in got.collect()} == {
         (1, 0, 13, "a"), (1, 21, 25, "c"), (1, 21, 25, "again"), (1, 27, 35, "b"), (1, 37, 43, "e"), (3, 0, 4, "c"), (3, 0, 4, "again"), (3, 4, 8, "c"), (3, 4, 8, "again")}
+
+
+def test_structured_search_counts_single_digits_and_spaced_characters(spark):
+    records = spark.createDataFrame([("a", 1, "Tea", "tea 7 7"), ("a", 2, "糖", "糖 尿 病 gi"), ("b", 3, None, "sugar 17")], "type string, id long, title string, search_text string")
+    asked = spark.createDataFrame([(1, "7"), (2, "糖尿病")], "item_id long, text string")
+    got = {(r["item_id"], r["id"]): r["score"] for r in S.structured_search(records, asked).collect()}
+    # 7 weighs 4 an occurrence; the run of three weighs 3, its pairs 1.6 each, single characters nothing.
+    assert got == {(1, 1): 8.0, (1, 3): 4.0, (2, 2): 6.2}
