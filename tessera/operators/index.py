@@ -63,7 +63,8 @@ def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     """
     index = Index(docs.sparkSession, path)
     d = spread(docs.select(F.col(key).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("low")))
-    kind = F.floor(4 * F.log2("length")).cast("long")
+    d = d.withColumn("length", F.regexp_count("low", F.lit(WORD)))
+    kind = F.floor(4 * F.log2(F.greatest("length", F.lit(1)))).cast("long")
     try:
         added = index.lengths().agg(F.max("added")).first()[0]
     except Exception as e:  # the first documents: no table yet
@@ -71,21 +72,23 @@ def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
             raise
         added = None
     added = 0 if added is None else added + 1
-    lengths = d.select("doc_id", F.regexp_count("low", F.lit(WORD)).alias("length")).filter("length > 0").withColumn("kind", kind)
-    lengths = materialize(lengths, "lengths")
+    # No filter by length before this: it would be moved to the scan, which may have fewer tasks.
+    lengths = materialize(d.select("doc_id", "length", kind.alias("kind")), "lengths")
     # At most four kinds for each doubling of the length.
     sizes = {r["kind"]: r["count"] for r in lengths.groupBy("kind").count().collect()}
     segments = F.create_map(*[F.lit(x).cast("long") for k, n in sorted(sizes.items() or [(0, 1)]) for x in (k, -(-n // BLOCK))])
-    words = d.select("doc_id", T.matches(F.col("low"), WORD).alias("w")).select("doc_id", F.size("w").alias("length"), F.explode("w").alias("tok"))
-    counts = words.groupBy("tok", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
+    # Texts are shuffled once, by segment: a segment's words are then counted and gathered where its documents are.
     segment = F.lit(added << 48) + kind * F.lit(1 << 40) + F.pmod(F.xxhash64("doc_id"), segments[kind])
+    d = d.withColumn("segment", segment).repartition("segment")
+    words = d.select("segment", "doc_id", "length", F.explode(T.matches(F.col("low"), WORD)).alias("tok"))
+    counts = words.groupBy("segment", "tok", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
     posting = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length")))
-    blocks = counts.groupBy("tok", segment.alias("segment")).agg(
+    blocks = counts.groupBy("segment", "tok").agg(
         posting.alias("p"), F.count("*").alias("n"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
     blocks = blocks.select("tok", "segment", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), "n", "occurrences", "max_tf", "min_length", _bucket(F.col("tok")).alias("bucket"))
-    # A range of tokens and segments a task, so that a frequent token is in several; files of a bucket are sorted by token.
-    blocks.repartitionByRange("bucket", "tok", "segment").sortWithinPartitions("bucket", "tok", "segment").write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
-    lengths.select("doc_id", "length", F.lit(added).alias("added")).write.mode("append").parquet(f"{path}/lengths")
+    # Large buckets are split and small ones put together by size; files of a bucket are sorted by token.
+    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tok", "segment").write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
+    lengths.filter("length > 0").select("doc_id", "length", F.lit(added).alias("added")).write.mode("append").parquet(f"{path}/lengths")
     return index
 
 
