@@ -13,13 +13,14 @@ are exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.joins import small
+from tessera.operators.joins import BROADCAST_ROWS, small
 from tessera.sources.scratch import materialize, spread
 
 WORD = "[a-z0-9_+-]+"
@@ -114,14 +115,17 @@ class Plan:
     terms: DataFrame
     candidates: DataFrame
     mean: float
+    marked: Callable[[DataFrame], DataFrame]
 
 
 def plan_search(index: Index, terms: DataFrame, top: int, k1: float = 1.2, b: float = 0.75, seed: int = 4) -> Plan:
     """terms: (item_id, tok), a few distinct tokens an item. Its candidates are (item_id, tok, segment, …) of blocks to score."""
     stats = index.lengths().agg(F.avg("length").alias("mean"), F.count("*").alias("n")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
-    terms = terms.withColumn("bucket", _bucket(F.col("tok")))
-    asked = small(terms.select("bucket", "tok").distinct())
+    terms = materialize(terms.withColumn("bucket", _bucket(F.col("tok"))), "asked")
+    # Tables made of terms alone have no more rows than these: where they are few, each is broadcast without a count of its own.
+    marked = F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+    asked = marked(terms.select("bucket", "tok").distinct())
     # Only the bounds of the blocks are read here, and only in the buckets of the tokens asked for.
     bounds = index.blocks().select("bucket", "tok", "segment", "n", "max_tf", "min_length").join(asked, ["bucket", "tok"], "left_semi")
     bounds = materialize(bounds, "bounds")
@@ -134,19 +138,19 @@ def plan_search(index: Index, terms: DataFrame, top: int, k1: float = 1.2, b: fl
     terms = terms.withColumn("before", F.coalesce(F.sum("df").over(down), F.lit(0))).withColumn("upto", F.sum("most").over(up))
     terms = materialize(terms, "terms")
     share = (F.col("idf") * _norm(F.col("tf"), F.col("length"), mean, k1, b)).alias("share")
-    rare = small(terms.filter(F.col("before") < seed * top).select("bucket", "tok", "item_id", "idf"))
+    rare = marked(terms.filter(F.col("before") < seed * top).select("bucket", "tok", "item_id", "idf"))
     seeds = _postings(index.blocks().join(rare, ["bucket", "tok"]), "item_id", "idf").select("item_id", "doc_id", share)
     least = _k_th(seeds.groupBy("item_id", "doc_id").agg(F.sum("share").alias("score")), top)
     terms = terms.join(least, "item_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
     terms = materialize(terms.withColumn("decides", F.col("upto") >= F.col("least")), "terms")
     # Segments: the blocks of the deciding tokens together with all that the others may add.
-    deciding = small(terms.filter("decides").select("bucket", "tok", "item_id", "idf", "least"))
+    deciding = marked(terms.filter("decides").select("bucket", "tok", "item_id", "idf", "least"))
     others = terms.groupBy("item_id").agg(F.sum(F.when(~F.col("decides"), F.col("most")).otherwise(0.0)).alias("others"))
     reach = bounds.join(deciding, ["bucket", "tok"]).groupBy("item_id", "segment").agg(
         F.sum(F.col("idf") * _norm(F.col("max_tf"), F.col("min_length"), mean, k1, b)).alias("reach"), F.max("least").alias("least"))
-    reach = reach.join(small(others), "item_id").filter(F.col("reach") + F.col("others") >= F.col("least")).select("item_id", "segment", "others")
+    reach = reach.join(marked(others), "item_id").filter(F.col("reach") + F.col("others") >= F.col("least")).select("item_id", "segment", "others")
     found = index.blocks().join(deciding, ["bucket", "tok"]).join(reach, ["item_id", "segment"])
-    return Plan(terms, found, mean)
+    return Plan(terms, found, mean, marked)
 
 
 def search(index: Index, terms: DataFrame, top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -158,10 +162,11 @@ def search(index: Index, terms: DataFrame, top: int, k1: float = 1.2, b: float =
     # A second threshold, by all deciding tokens, before the rest is looked up.
     partial = materialize(partial.filter(F.col("score") + F.col("others") >= F.col("least")), "partial")
     again = _k_th(partial, top).withColumnRenamed("least", "more")
-    left = partial.join(small(again), "item_id", "left").filter(F.col("score") + F.col("others") >= F.greatest("least", F.coalesce("more", F.lit(0.0)) - SLACK))
+    left = partial.join(plan.marked(again), "item_id", "left").filter(F.col("score") + F.col("others") >= F.greatest("least", F.coalesce("more", F.lit(0.0)) - SLACK))
     rest = plan.terms.filter(~F.col("decides")).select("item_id", "bucket", "tok", "idf")
-    asked = left.select("item_id", "segment", "doc_id").join(small(rest), "item_id")
-    held = index.blocks().select("bucket", "tok", "segment", "docs", "tfs", "lengths").join(small(rest.select("bucket", "tok").distinct()), ["bucket", "tok"], "left_semi")
+    left = materialize(left, "left")
+    asked = small(left.select("item_id", "segment", "doc_id").join(plan.marked(rest), "item_id"))
+    held = index.blocks().select("bucket", "tok", "segment", "docs", "tfs", "lengths").join(plan.marked(rest.select("bucket", "tok").distinct()), ["bucket", "tok"], "left_semi")
     at = F.array_position("docs", F.col("doc_id")).cast("int")
     more = asked.join(held, ["bucket", "tok", "segment"]).withColumn("at", at).filter("at > 0").select(
         "item_id", "doc_id", F.element_at("tfs", F.col("at")).alias("tf"), F.element_at("lengths", F.col("at")).alias("length"), "idf")
