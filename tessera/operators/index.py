@@ -25,7 +25,7 @@ from tessera.sources.scratch import materialize, spread
 
 WORD = "[a-z0-9_+-]+"
 #: Documents of a segment, about; buckets of the tables by a hash of the token.
-BLOCK, BUCKETS = 64, 32
+BLOCK, BUCKETS = 128, 32
 #: What rounding may take from a bound.
 SLACK = 1e-5
 
@@ -83,12 +83,17 @@ def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     d = d.withColumn("segment", segment).repartition("segment")
     words = d.select("segment", "doc_id", "length", F.explode(T.matches(F.col("low"), WORD)).alias("tok"))
     counts = words.groupBy("segment", "tok", "doc_id", "length").agg(F.count("*").cast("int").alias("tf"))
-    posting = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length")))
-    blocks = counts.groupBy("segment", "tok").agg(
-        posting.alias("p"), F.count("*").alias("n"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    blocks = blocks.select("tok", "segment", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), "n", "occurrences", "max_tf", "min_length", _bucket(F.col("tok")).alias("bucket"))
+    # What goes to the buckets is the documents, and a number of each with its count and length; the bounds are made there.
+    pair = F.shiftleft(F.col("tf").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
+    packed = counts.groupBy("segment", "tok").agg(F.sort_array(F.collect_list(F.struct("doc_id", pair.alias("pair")))).alias("p"))
+    packed = packed.select("tok", "segment", F.col("p.doc_id").alias("docs"), F.col("p.pair").alias("pairs"), _bucket(F.col("tok")).alias("bucket")).hint("rebalance", "bucket")
+    tfs = F.transform("pairs", lambda x: F.shiftright(x, 32).cast("int"))
+    lengths_of = F.transform("pairs", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    blocks = packed.select("tok", "segment", "docs", tfs.alias("tfs"), lengths_of.alias("lengths"), "bucket").select(
+        "tok", "segment", "docs", "tfs", "lengths", F.size("docs").cast("long").alias("n"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("occurrences"),
+        F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_length"), "bucket")
     # Large buckets are split and small ones put together by size; files of a bucket are sorted by token.
-    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tok", "segment").write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("bucket", "tok", "segment").write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
     lengths.filter("length > 0").select("doc_id", "length", F.lit(added).alias("added")).write.mode("append").parquet(f"{path}/lengths")
     return index
 
