@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,163 +104,211 @@ def daily_totals(stream: DataFrame, key: str, ts: str, amount: Column, delay: st
     return d.select(key, F.col("w.start").alias("day"), "used")
 
 
-def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, timers: bool = False) -> DataFrame:
-    """The rows that the processor makes of each key's; with timers the stream needs a watermark, which they follow."""
+#: Groups that the keys of a stream are dealt to: a call of a processor and its state are those of a group.
+GROUPS = 256
+
+
+def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, timers: bool = False, groups: int = GROUPS) -> DataFrame:
+    """The rows that the processor makes of each key's; with timers the stream needs a watermark, which they follow.
+
+    A call for each key costs some 10 ms, however few its rows, so keys are dealt to groups by a hash, and a processor gets the rows of a group with
+    state_key, which tells its keys apart. A group's state and rows of a batch are in memory: more keys need more groups.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime" if timers else "None")
+    dealt = stream.withColumn("state_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).withColumn("state_key", F.to_json(F.struct(*keys)))
+    return dealt.groupBy("state_group").transformWithStateInPandas(processor, schema, "Append", "EventTime" if timers else "None")
 
 
-class RepeatedHigh(StatefulProcessor):
-    """Of each key's readings those at which the last three are all above the target: event_id, user_id, event_type."""
+class _OfGroup(StatefulProcessor):
+    """A processor whose state is a table of its group's keys, kept as one value of arrays."""
 
-    def __init__(self, target: float):
-        self.target = target
+    #: Columns of the state and their types.
+    KEPT: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "values array<double>")
+        self.handle = handle
+        self.state = handle.getValueState("kept", ", ".join(f"{c} array<{t}>" for c, t in self.KEPT.items()))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = list(self.recent.get()[0]) if self.recent.exists() else []
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            held = [*held, r.value][-3:]
-            if len(held) == 3 and min(held) > self.target:
-                out.append((r.event_id, r.user_id, r.event_type))
-        self.recent.update((held,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "event_type"])
+    def kept(self) -> pd.DataFrame:
+        values = self.state.get() if self.state.exists() else [[] for _ in self.KEPT]
+        return pd.DataFrame({c: pd.Series(list(v), dtype=KINDS[t]) for (c, t), v in zip(self.KEPT.items(), values, strict=True)})
+
+    def keep(self, table: pd.DataFrame) -> None:
+        self.state.update(tuple([None if x is None or x != x else x for x in table[c].tolist()] for c in self.KEPT))
 
     def close(self) -> None:
         pass
 
 
-class Activity(StatefulProcessor):
+#: What a column of the state is in pandas.
+KINDS = {"string": object, "double": "float64", "int": "int64", "bigint": "int64"}
+
+
+def _in_order(kept: pd.DataFrame, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """What is kept of the keys, in its order, before the rows of the batch, by time and event; old tells which is which."""
+    new = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+    # What is not kept is filled with some value of the column, so that whole numbers stay such.
+    filled = {c: new[c].iloc[0] for c in new.columns if c not in kept}
+    every = pd.concat([kept.assign(**filled, old=True), new.assign(old=False)], ignore_index=True) if len(kept) else new.assign(old=False)
+    return every.sort_values("state_key", kind="stable", ignore_index=True)
+
+
+def _active(every: pd.DataFrame, high: float, low: float, k: int, least: int) -> pd.DataFrame:
+    """every with voice and active: a voice holds between the two thresholds, and least of a key's last k make it active."""
+    voice = np.where(every["value"] >= high, 1.0, np.where(every["value"] <= low, 0.0, np.nan))
+    if "voice" in every:
+        voice = np.where(every["old"], every["voice"], voice)
+    every["voice"] = pd.Series(voice, index=every.index).groupby(every["state_key"]).ffill().fillna(0).astype("int64")
+    by_key = every.groupby("state_key")["voice"]
+    every["active"] = sum(by_key.shift(j).fillna(0) for j in range(k)) >= least
+    return every
+
+
+class RepeatedHigh(_OfGroup):
+    """Of each key's readings those at which the last three are all above the target: event_id, user_id, event_type."""
+
+    KEPT = {"state_key": "string", "value": "double"}
+
+    def __init__(self, target: float):
+        self.target = target
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        every = _in_order(self.kept(), rows)
+        by_key = every.groupby("state_key")
+        low = np.fmin(every["value"], np.fmin(by_key["value"].shift(1), by_key["value"].shift(2)))
+        out = every[~every["old"] & (by_key.cumcount() >= 2) & (low > self.target)]
+        self.keep(by_key.tail(2))
+        yield out[["event_id", "user_id", "event_type"]]
+
+
+class Activity(_OfGroup):
     """Two-threshold activity with hold over each user's rows: event_id, voice, active."""
 
+    KEPT = {"state_key": "string", "voice": "bigint"}
+
     def __init__(self, high: float, low: float, k: int, least: int):
         self.high, self.low, self.k, self.least = high, low, k, least
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("voices", "voices array<int>")
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        voices = list(self.state.get()[0]) if self.state.exists() else []
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            voice = 1 if r.value >= self.high else 0 if r.value <= self.low else (voices[-1] if voices else 0)
-            voices = [*voices, voice][-self.k :]
-            out.append((r.event_id, voice, sum(voices) >= self.least))
-        self.state.update((voices,))
-        yield pd.DataFrame(out, columns=["event_id", "voice", "active"])
-
-    def close(self) -> None:
-        pass
+        every = _active(_in_order(self.kept(), rows), self.high, self.low, self.k, self.least)
+        self.keep(every.groupby("state_key").tail(self.k))
+        yield every.loc[~every["old"], ["event_id", "voice", "active"]]
 
 
-class Segments(StatefulProcessor):
+class Segments(_OfGroup):
     """Segments of activity as Activity finds it: user_id, segment, started, ended, n, each once it has ended.
 
     A segment ends when gap seconds have passed without an active row: a timer under event time tells it as soon as the
-    watermark has gone by, without a further row of the user. Seconds are whole.
+    watermark has gone by, without a further row of the user, and not before, though a later row may have come. Seconds
+    are whole.
     """
 
+    KEPT = {"state_key": "string", "voice": "bigint"}
+    OPEN = {"state_key": "string", "user_id": "bigint", "segment": "bigint", "started": "bigint", "ended": "bigint", "n": "bigint", "told": "bigint"}
+
     def __init__(self, high: float, low: float, k: int, least: int, gap: int):
         self.high, self.low, self.k, self.least, self.gap = high, low, k, least, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", "voices array<int>, segment int, started bigint, ended bigint, n int")
-
-    def _timer(self, ended: int) -> int:
-        return (ended + self.gap + 1) * 1000
-
-    def _as_frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["user_id", "segment", "started", "ended", "n"])
+        super().init(handle)
+        # Of each user the last segment, told or not, and those before it that are not told yet.
+        self.open = handle.getValueState("open", ", ".join(f"{c} array<{t}>" for c, t in self.OPEN.items()))
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _segments(self) -> pd.DataFrame:
+        values = self.open.get() if self.open.exists() else [[] for _ in self.OPEN]
+        return pd.DataFrame({c: pd.Series(list(v), dtype=object if c == "user_id" else KINDS[t]) for (c, t), v in zip(self.OPEN.items(), values, strict=True)})
+
+    def _told(self, segments: pd.DataFrame, watermark: int) -> pd.DataFrame:
+        """The segments that the watermark has passed and that were not told; the state and the timer are set for the rest."""
+        at = (segments["ended"] + self.gap + 1) * 1000
+        now = (segments["told"] == 0) & (at <= watermark)
+        segments["told"] = segments["told"].where(~now, 1)
+        last = segments["segment"] == segments.groupby("state_key")["segment"].transform("max")
+        self.open.update(tuple(segments.loc[last | (segments["told"] == 0), c].tolist() for c in self.OPEN))
+        waits = at[segments["told"] == 0]
+        due = int(waits.min()) if len(waits) else -1
+        was = self.timer.get()[0] if self.timer.exists() else -1
+        if due != was:
+            if was > watermark:
+                self.handle.deleteTimer(was)
+            if due >= 0:
+                self.handle.registerTimer(due)
+            self.timer.update((due,))
+        return segments.loc[now, ["user_id", "segment", "started", "ended", "n"]]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        voices, segment, started, ended, n = self.state.get() if self.state.exists() else ([], 0, None, None, 0)
-        voices, out, was = list(voices), [], ended
-        for r in pd.concat([x[["ts", "event_id", "value"]] for x in rows]).sort_values(["ts", "event_id"]).itertuples():
-            voice = 1 if r.value >= self.high else 0 if r.value <= self.low else (voices[-1] if voices else 0)
-            voices = [*voices, voice][-self.k :]
-            if sum(voices) < self.least:
-                continue
-            at = int(r.ts.timestamp() // 1)
-            if ended is not None and at - ended > self.gap:
-                out.append((key[0], segment, started, ended, n))
-                ended = None
-            if ended is None:
-                segment, started, n = segment + 1, at, 0
-            ended, n = at, n + 1
-        if ended != was:
-            if was is not None:
-                self.handle.deleteTimer(self._timer(was))
-            self.handle.registerTimer(self._timer(ended))
-        self.state.update((voices, segment, started, ended, n))
-        yield self._as_frame(out)
+        every = _active(_in_order(self.kept(), rows), self.high, self.low, self.k, self.least)
+        self.keep(every.groupby("state_key").tail(self.k))
+        new = every[~every["old"] & every["active"]][["state_key", "user_id", "ts"]]
+        users = pd.Series([None if pd.isna(u) else int(u) for u in new["user_id"]], new.index, dtype=object)
+        new = new.assign(at=np.array([t.timestamp() // 1 for t in new["ts"]], np.int64), user_id=users)
+        segments = self._segments()
+        last = segments.loc[segments.groupby("state_key")["segment"].idxmax()].set_index("state_key") if len(segments) else segments.set_index("state_key")
+        before = new.groupby("state_key")["at"].shift(1)
+        before = before.fillna(new["state_key"].map(last["ended"]))
+        starts = (before.isna() | (new["at"] - before > self.gap)).astype("int64")
+        number = starts.groupby(new["state_key"]).cumsum() + new["state_key"].map(last["segment"]).fillna(0).astype("int64")
+        found = new.assign(segment=number, n=1, told=0).groupby(["state_key", "segment"], as_index=False).agg(
+            user_id=("user_id", "first"), started=("at", "min"), ended=("at", "max"), n=("n", "sum"), told=("told", "min"))
+        merged = pd.concat([segments, found[list(self.OPEN)]], ignore_index=True).groupby(["state_key", "segment"], as_index=False).agg(
+            user_id=("user_id", "first"), started=("started", "min"), ended=("ended", "max"), n=("n", "sum"), told=("told", "max"))
+        yield self._told(merged[list(self.OPEN)], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        voices, segment, started, ended, n = self.state.get()
-        out = []
-        if ended is not None and self._timer(ended) <= expiredTimerInfo.getExpiryTimeInMs():
-            out.append((key[0], segment, started, ended, n))
-            self.state.update((list(voices), segment, None, None, 0))
-        yield self._as_frame(out)
-
-    def close(self) -> None:
-        pass
+        yield self._told(self._segments(), timerValues.getCurrentWatermarkInMs())
 
 
-class Compaction(StatefulProcessor):
+class Compaction(_OfGroup):
     """Emits the older turns of a conversation whenever more than trigger are held, and keeps the last: conv_id, batch, first_turn, last_turn."""
 
-    def __init__(self, trigger: int, keep: int):
-        self.trigger, self.keep = trigger, keep
+    KEPT = {"state_key": "string", "turns": "array<bigint>", "batches": "int"}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "turns array<bigint>, batches int")
+    def __init__(self, trigger: int, keep: int):
+        self.trigger, self.most = trigger, keep
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held, batches = self.state.get() if self.state.exists() else ([], 0)
-        held, out = list(held), []
-        for turn in sorted(int(t) for t in pd.concat(list(rows))["turn"]):
-            held.append(turn)
-            if len(held) > self.trigger:
-                out.append((key[0], batches, held[0], held[-self.keep - 1]))
-                held, batches = held[-self.keep :], batches + 1
-        self.state.update((held, batches))
+        state = {k: (list(t), b) for k, t, b in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        out = []
+        for name, of_key in pd.concat(list(rows)).sort_values("turn").groupby("state_key"):
+            held, batches = state.get(name, ([], 0))
+            conv = of_key["conv_id"].iloc[0]
+            for turn in of_key["turn"].tolist():
+                held.append(turn)
+                if len(held) > self.trigger:
+                    out.append((conv, batches, held[0], held[-self.most - 1]))
+                    held, batches = held[-self.most :], batches + 1
+            state[name] = held, batches
+        self.state.update((list(state), [t for t, _ in state.values()], [b for _, b in state.values()]))
         yield pd.DataFrame(out, columns=["conv_id", "batch", "first_turn", "last_turn"])
 
-    def close(self) -> None:
-        pass
 
-
-class Sentences(StatefulProcessor):
+class Sentences(_OfGroup):
     """Joins text fragments and emits sentences: the first ends at any pause mark, later ones at sentence marks; last flushes."""
 
+    KEPT = {"state_key": "string", "text": "string", "emitted": "int"}
     PAUSE, STOP = "，,、。.！!？?；;：:\n", "。.！!？?；;\n"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("buffer", "text string, emitted int")
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        text, emitted = self.state.get() if self.state.exists() else ("", 0)
+        pause, stop = re.compile(f"[{self.PAUSE}]"), re.compile(f"[{self.STOP}]")
+        state = {k: (t, n) for k, t, n in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
         out = []
-        for r in pd.concat(list(rows)).sort_values("no").itertuples():
-            text += r.fragment
-            while True:
-                marks = self.STOP if emitted else self.PAUSE
-                at = next((i for i, c in enumerate(text) if c in marks), -1)
-                if at < 0:
-                    break
-                if text[: at + 1].strip():
-                    out.append((key[0], key[1], emitted, text[: at + 1].strip()))
+        new = pd.concat(list(rows)).sort_values("no")
+        # Fragments up to a last one are read as one text.
+        new["ends"] = new["last"].groupby(new["state_key"]).cumsum() - new["last"]
+        for (name, _), of_key in new.groupby(["state_key", "ends"], sort=False):
+            held, emitted = state.get(name, ("", 0))
+            conv, turn = of_key["conv_id"].iloc[0], of_key["turn"].iloc[0]
+            text, at = held + "".join(of_key["fragment"]), 0
+            while mark := (stop if emitted else pause).search(text, at):
+                if said := text[at : mark.end()].strip():
+                    out.append((conv, turn, emitted, said))
                     emitted += 1
-                text = text[at + 1 :]
-            if r.last and text.strip():
-                out.append((key[0], key[1], emitted, text.strip()))
+                at = mark.end()
+            text = text[at:]
+            if of_key["last"].iloc[-1] and text.strip():
+                out.append((conv, turn, emitted, text.strip()))
                 text, emitted = "", emitted + 1
-        self.state.update((text, emitted))
+            state[name] = text, emitted
+        self.state.update((list(state), [t for t, _ in state.values()], [n for _, n in state.values()]))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "sentence_no", "sentence"])
-
-    def close(self) -> None:
-        pass

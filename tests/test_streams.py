@@ -38,3 +38,37 @@ def test_upserts_fold_batches(spark):
     s = stream(spark, [(1, 1, 5, 0), (1, 2, 6, 1), (2, 1, 7, 1)], "k int, ts int, created int, drop int", 2)
     out = X.upserted(s.drop("drop"), ["k"], "ts", "u", "created")
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 5), (2, 1, 7)]
+
+
+def test_a_call_of_a_processor_is_for_many_keys(spark, tmp_path):
+    """Ids beyond 2^53, null users and null values, over batches, in one group; calls do not grow with keys."""
+    big, calls = 1 << 60, tmp_path / "calls"
+
+    class Counted(X.RepeatedHigh):
+        def handleInputRows(self, key, rows, timerValues):
+            with calls.open("a") as f:
+                f.write("x")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    rows = [(big + 100 * i + u, None if u == 7 else u, "k", None if u == 8 and i == 1 else float(9 if u % 2 else i), i, i // 2) for i in range(4) for u in range(40)]
+    s = stream(spark, rows, "event_id long, user_id long, event_type string, value double, ts long, drop int", 2)
+    out = X.drained(X.keyed(s, ["user_id", "event_type"], Counted(5), "event_id long, user_id long, event_type string", groups=2), "r").collect()
+    assert sorted(r["event_id"] for r in out) == sorted(big + 100 * i + u for i in (2, 3) for u in range(1, 40, 2))
+    assert sum(r["user_id"] is None for r in out) == 2
+    assert 1 <= len(calls.read_text()) <= 4
+
+
+def test_segments_are_told_no_sooner_than_the_watermark(spark):
+    """A later row of the user closes the first segment, but the last watermark, an hour behind, has not passed its end."""
+    at = ["00:00:00", "00:00:10", "00:10:00", "00:10:10"]
+    rows = [(None, i, f"2024-01-01 {t}", 9.0, 0) for i, t in enumerate(at)] + [(2, 9, "2024-01-01 01:05:00", 1.0, 1)]
+    s = stream(spark, rows, "user_id long, event_id long, t string, value double, drop int", 2).withColumn("ts", F.col("t").cast("timestamp")).withWatermark("ts", "1 hour")
+    out = X.keyed(s.select("user_id", "event_id", "ts", "value"), ["user_id"], X.Segments(5, 2, 2, 2, 60), "user_id long, segment long, started long, ended long, n long", timers=True)
+    assert [(r["user_id"], r["segment"], r["n"]) for r in X.drained(out, "seg").collect()] == [(None, 1, 1)]
+
+
+def test_segments_close_without_a_watermark_beyond(spark):
+    rows = [(1, i, f"2024-01-01 {t}", 9.0, 0) for i, t in enumerate(["00:00:00", "00:00:10", "00:10:00"])]
+    s = stream(spark, rows, "user_id long, event_id long, t string, value double, drop int", 1).withColumn("ts", F.col("t").cast("timestamp")).withWatermark("ts", "1 hour")
+    out = X.keyed(s.select("user_id", "event_id", "ts", "value"), ["user_id"], X.Segments(5, 2, 2, 2, 60), "user_id long, segment long, started long, ended long, n long", timers=True)
+    assert not X.drained(out, "seg").collect()
