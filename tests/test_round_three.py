@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import grams
+import numpy as np
+
+from tessera.operators import grams, vectors
 from tessera.operators import search as S
 from tessera.plans import documents as PD
 
@@ -49,3 +51,16 @@ def test_first_documents_of_a_query_by_token_then_document(spark):
     got = sorted((r["item_id"], r["rank"], r["doc_id"], r["pos"]) for r in S.substring_hits(docs, asked, 20).collect())
     first = [(d, 0) for d in range(1, 30, 2)] + [(d, 1) for d in range(0, 30, 2)]
     assert got == [(1, n + 1, *x) for n, x in enumerate(first[:20])] + [(2, n + 1, d, 0) for n, d in enumerate(range(20))]
+
+
+def test_a_product_of_vectors_is_bounded(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, queries = vectors.shown(rng.normal(size=(500, 8))), rng.normal(size=(40, 8))
+    shapes, add = [], vectors._Best.add
+    monkeypatch.setattr(vectors, "PRODUCT", 40 * 64)
+    monkeypatch.setattr(vectors._Best, "add", lambda self, scores, ids: shapes.append(scores.size) or add(self, scores, ids))
+    best = vectors._Best(40, 5)
+    best.meet(rows, queries, np.arange(500))
+    assert max(shapes) <= 40 * 64 and len(shapes) == 8
+    for q, scores in enumerate(vectors.shown(rows @ queries.T).T):
+        assert best.ids[q].tolist() == np.lexsort((np.arange(500), -scores))[:5].tolist()
