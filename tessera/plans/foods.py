@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import foods as N
 from tessera.plans.registry import query, rows, table
+from tessera.sources.scratch import spread
 
 
 def part(spark, sf_dir):
@@ -70,7 +71,7 @@ SELECT p_partkey, v.no, CASE v.no WHEN 2 THEN p_brand ELSE v.name END AS name, C
   (VALUES (0, 'rice', 'g', 0.0), (1, 'soup', '碗', 2.0), (2, NULL, NULL, 1.0), (3, '饭', '碗', 1.5), (4, '菜', '克', 150.0), (5, '豆', 'kg', 0.5)) AS v(no, name, unit, q)""")
 def f6(spark, sf_dir):
     said = F.concat(F.lit("今天吃了"), F.col("p_size"), F.lit("g rice，soup 两碗 and "), "p_brand", F.lit("，一半碗饭搭配一百五十克菜半kg豆"))
-    m = part(spark, sf_dir).select("p_partkey", F.posexplode(N.meal_items(said)).alias("no", "i"))
+    m = spread(part(spark, sf_dir)).select("p_partkey", F.posexplode(N.meal_items(said)).alias("no", "i"))
     return m.select("p_partkey", "no", "i.name", "i.quantity", "i.unit")
 
 

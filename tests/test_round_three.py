@@ -7,6 +7,7 @@ import numpy as np
 from tessera.operators import grams, vectors
 from tessera.operators import search as S
 from tessera.plans import documents as PD
+from tessera.plans import foods as PF
 
 
 def test_a_line_that_begins_with_an_address_is_no_heading(spark, tmp_path):
@@ -64,3 +65,8 @@ def test_a_product_of_vectors_is_bounded(monkeypatch):
     assert max(shapes) <= 40 * 64 and len(shapes) == 8
     for q, scores in enumerate(vectors.shown(rows @ queries.T).T):
         assert best.ids[q].tolist() == np.lexsort((np.arange(500), -scores))[:5].tolist()
+
+
+def test_meals_are_read_on_all_cores(spark):
+    """A table of parts is one small file, and reading a meal is what takes time."""
+    assert PF.f6(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
