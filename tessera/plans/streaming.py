@@ -27,7 +27,8 @@ def turn_stream(spark, sf_dir):
 WITH v AS (SELECT *, coalesce(last_value(CASE WHEN value >= 60 THEN 1 WHEN value <= 20 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS voice FROM events)
 SELECT event_id, voice, sum(voice) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) >= 2 AS active FROM v""")
 def x1_stream(spark, sf_dir):
-    return X.drained(X.keyed(event_stream(spark, sf_dir), ["user_id"], X.Activity(60, 20, 3, 2), "event_id long, voice int, active boolean"), "activity")
+    s = event_stream(spark, sf_dir).select("event_id", "user_id", "ts", "value")
+    return X.drained(X.keyed(s, ["user_id"], X.Activity(60, 20, 3, 2), "event_id long, voice int, active boolean"), "activity")
 
 
 @query("x1_segments_stream", """
@@ -77,7 +78,8 @@ def x5(spark, sf_dir):
 @query("x6_alerts_stream", """
 SELECT event_id, user_id, event_type FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS 2 PRECEDING)) WHERE n = 3 AND m > 50""")
 def x6(spark, sf_dir):
-    return X.drained(X.keyed(event_stream(spark, sf_dir), ["user_id", "event_type"], X.RepeatedHigh(50), "event_id long, user_id long, event_type string"), "alerts")
+    s = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "value")
+    return X.drained(X.keyed(s, ["user_id", "event_type"], X.RepeatedHigh(50), "event_id long, user_id long, event_type string"), "alerts")
 
 
 @query("x6_every_alert_stream", """
@@ -85,7 +87,7 @@ SELECT event_id, user_id, CASE WHEN value < 3 THEN 'severe_low' WHEN value <= 6
 UNION ALL SELECT event_id, user_id, 'repeated_high' FROM (SELECT *, count(*) OVER w AS n, min(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS 2 PRECEDING)) WHERE n = 3 AND m > 50""")
 def x6_every(spark, sf_dir):
     """Alerts of a reading's level, which need no state, and of repeated high readings, in one stream."""
-    s = event_stream(spark, sf_dir)
+    s = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "value")
     level = s.select("event_id", "user_id", P.level(F.col("value"), F.lit(80.0), 6, 3, 200).alias("code")).filter("code is not null")
     high = X.keyed(s, ["user_id", "event_type"], X.RepeatedHigh(50), "event_id long, user_id long, event_type string")
     return X.drained(level.unionByName(high.select("event_id", "user_id", F.lit("repeated_high").alias("code"))), "alerts")

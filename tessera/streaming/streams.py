@@ -8,9 +8,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tessera.sources.buckets import BucketedTable
 from tessera.sources.scratch import new_path
@@ -35,11 +36,31 @@ def in_drops(df: DataFrame, drop: Column, n: int, files: int = FILES) -> str:
     return path
 
 
+#: Parts of a stream's state for each core.
+STATE_PARTS = 2
+
+
+def _run(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """The stream drained, its state in a few parts for each core: a part costs about half a second a batch, however few its rows.
+
+    A query takes the session's settings when it starts; the session's own number of parts stays, and is kept where it is smaller.
+    """
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, min(int(was), STATE_PARTS * spark.sparkContext.defaultParallelism))
+    try:
+        q = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, was)
+    q.awaitTermination()
+    return q
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """All that the stream gives on the files present, appended to a table and read back."""
     spark = stream.sparkSession
     path, state = new_path(spark, name), new_path(spark, f"{name}-state")
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    _run(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state), spark)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -52,8 +73,7 @@ def drained_with_progress(stream: DataFrame, name: str) -> tuple[DataFrame, Data
     spark = stream.sparkSession
     path, state = new_path(spark, name), new_path(spark, f"{name}-state")
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 10_000)
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = _run(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state), spark)
     rows = []
     for p in q.recentProgress:
         landed = (p.observedMetrics or {}).get("landed")
@@ -79,7 +99,7 @@ def upserted(stream: DataFrame, keys: list[str], recency: str, name: str, create
     def fold(batch: DataFrame, epoch: int) -> None:
         table(batch.sparkSession).upsert(batch, recency, created)
 
-    stream.writeStream.foreachBatch(fold).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    _run(stream.writeStream.foreachBatch(fold).outputMode(mode).option("checkpointLocation", f"{path}/state"), spark)
     return table(spark).read()
 
 
@@ -106,6 +126,45 @@ def daily_totals(stream: DataFrame, key: str, ts: str, amount: Column, delay: st
 
 #: Groups that the keys of a stream are dealt to: a call of a processor and its state are those of a group.
 GROUPS = 256
+#: Bytes of rows that a task puts together before it packs them.
+PACKED_BYTES = 16 << 20
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(state_group, packed): of so many bytes of rows those of each group as one value, an Arrow stream."""
+    held: list[pa.RecordBatch] = []
+
+    def pack() -> pa.RecordBatch:
+        every = pa.Table.from_batches(held)
+        group = every["state_group"].to_numpy()
+        order = np.argsort(group, kind="stable")
+        rows = every.drop_columns(["state_group"]).take(order).combine_chunks()
+        groups, starts = np.unique(group[order], return_index=True)
+        values = []
+        for at, end in zip(starts, [*starts[1:], len(group)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows.slice(at, end - at))
+            values.append(sink.getvalue().to_pybytes())
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(values, pa.binary())], ["state_group", "packed"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= PACKED_BYTES:
+            yield pack()
+    if held:
+        yield pack()
+
+
+def _together(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of a call, packed or not, as one table."""
+    frames = list(rows)
+    if "packed" not in frames[0]:
+        return pd.concat(frames)
+    tables = [pa.ipc.open_stream(value).read_all() for frame in frames for value in frame["packed"]]
+    return pa.concat_tables(tables).to_pandas(integer_object_nulls=True)
 
 
 def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, timers: bool = False, groups: int = GROUPS) -> DataFrame:
@@ -113,9 +172,13 @@ def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, sche
 
     A call for each key costs some 10 ms, however few its rows, so keys are dealt to groups by a hash, and a processor gets the rows of a group with
     state_key, which tells its keys apart. A group's state and rows of a batch are in memory: more keys need more groups.
+    Spark hands rows to a processor one by one, so they come packed by group; with timers they do not, as the watermark is told by
+    a column of the rows. Of the stream only the columns that the processor reads should come here.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     dealt = stream.withColumn("state_group", F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")).withColumn("state_key", F.to_json(F.struct(*keys)))
+    if not timers:
+        dealt = dealt.mapInArrow(_packed, "state_group int, packed binary")
     return dealt.groupBy("state_group").transformWithStateInPandas(processor, schema, "Append", "EventTime" if timers else "None")
 
 
@@ -146,7 +209,7 @@ KINDS = {"string": object, "double": "float64", "int": "int64", "bigint": "int64
 
 def _in_order(kept: pd.DataFrame, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """What is kept of the keys, in its order, before the rows of the batch, by time and event; old tells which is which."""
-    new = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+    new = _together(rows).sort_values(["ts", "event_id"], kind="stable")
     # What is not kept is filled with some value of the column, so that whole numbers stay such.
     filled = {c: new[c].iloc[0] for c in new.columns if c not in kept}
     every = pd.concat([kept.assign(**filled, old=True), new.assign(old=False)], ignore_index=True) if len(kept) else new.assign(old=False)
@@ -270,7 +333,7 @@ class Compaction(_OfGroup):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = {k: (list(t), b) for k, t, b in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
         out = []
-        for name, of_key in pd.concat(list(rows)).sort_values("turn").groupby("state_key"):
+        for name, of_key in _together(rows).sort_values("turn").groupby("state_key"):
             held, batches = state.get(name, ([], 0))
             conv = of_key["conv_id"].iloc[0]
             for turn in of_key["turn"].tolist():
@@ -293,7 +356,7 @@ class Sentences(_OfGroup):
         pause, stop = re.compile(f"[{self.PAUSE}]"), re.compile(f"[{self.STOP}]")
         state = {k: (t, n) for k, t, n in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
         out = []
-        new = pd.concat(list(rows)).sort_values("no")
+        new = _together(rows).sort_values("no")
         # Fragments up to a last one are read as one text.
         new["ends"] = new["last"].groupby(new["state_key"]).cumsum() - new["last"]
         for (name, _), of_key in new.groupby(["state_key", "ends"], sort=False):
