@@ -7,6 +7,8 @@ import os
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.operators import grams
+from tessera.operators import search as S
 from tessera.streaming import streams as X
 
 
@@ -38,3 +40,13 @@ def test_rows_of_a_group_are_handed_over_together(monkeypatch):
         assert got["user"].tolist() == [None if i % 5 else i for i in range(group, 40, 3)]
     monkeypatch.setattr(X, "PACKED_BYTES", 1)
     assert sum(len(X._together(iter([b.to_pandas()]))) for b in X._packed(iter(rows.to_batches(max_chunksize=7)))) == 40
+
+
+def test_records_of_the_same_text_are_searched_once(spark, monkeypatch):
+    texts = []
+    monkeypatch.setattr(S, "containing", lambda *a: texts.append(a[0]) or grams.containing(*a))
+    records = spark.createDataFrame([(k, i, "red" if i % 2 else None, "Red of all" if i % 2 else "none") for k in ("b", "a") for i in range(200)], "type string, id long, title string, search_text string")
+    asked = spark.createDataFrame([(1, "red"), (2, "none of")], "item_id long, text string")
+    got = sorted((r["item_id"], r["rank"], r["type"], r["id"], r["score"]) for r in S.structured_search(records, asked, 3).collect())
+    assert got == [(1, n + 1, "a", 2 * n + 1, 42.5) for n in range(3)] + [(2, n + 1, "a", n, 2.5) for n in range(3)]
+    assert texts[0].count() == 2
