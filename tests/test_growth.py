@@ -7,6 +7,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import grams
 from tessera.operators import search as S
 from tessera.streaming import streams as X
@@ -50,3 +51,10 @@ def test_records_of_the_same_text_are_searched_once(spark, monkeypatch):
     got = sorted((r["item_id"], r["rank"], r["type"], r["id"], r["score"]) for r in S.structured_search(records, asked, 3).collect())
     assert got == [(1, n + 1, "a", 2 * n + 1, 42.5) for n in range(3)] + [(2, n + 1, "a", n, 2.5) for n in range(3)]
     assert texts[0].count() == 2
+
+
+def test_a_text_is_collapsed_once_for_its_snippet(spark):
+    docs = spark.createDataFrame([(" a\t\n b  word  c ",), ("x" * 200 + "\n\nword",), (None,), ("  y",)], "text string")
+    out = docs.select(T.snippet(F.col("text"), F.array(F.lit("none"), F.lit("word"))).alias("s"))
+    assert [r["s"] for r in out.collect()] == ["a b word c", "..." + "x" * 79 + " word", "", "  y"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
