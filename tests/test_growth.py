@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import grams
+from tessera.operators import grams, index
 from tessera.operators import search as S
 from tessera.streaming import streams as X
 
@@ -58,3 +58,15 @@ def test_a_text_is_collapsed_once_for_its_snippet(spark):
     out = docs.select(T.snippet(F.col("text"), F.array(F.lit("none"), F.lit("word"))).alias("s"))
     assert [r["s"] for r in out.collect()] == ["a b word c", "..." + "x" * 79 + " word", "", "  y"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_texts_are_counted_in_parts_of_so_many_words(spark, tmp_path, monkeypatch):
+    """A part of the index's texts does not grow with the texts."""
+    calls, docs = [], spark.createDataFrame([(i, "some words " * 10) for i in range(100)], "doc_id long, text string")
+    kind = type(docs)
+    as_was = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *a: calls.append(a) or as_was(df, *a))
+    monkeypatch.setattr(index, "PART_WORDS", 150)
+    got = index.write_index(docs, f"{tmp_path}/index").tokens().collect()
+    assert sorted(tuple(r) for r in got) == [("some", 100, 1000), ("words", 100, 1000)]
+    assert (14, "segment") in calls
