@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 import pyarrow as pa
@@ -70,3 +71,12 @@ def test_texts_are_counted_in_parts_of_so_many_words(spark, tmp_path, monkeypatc
     got = index.write_index(docs, f"{tmp_path}/index").tokens().collect()
     assert sorted(tuple(r) for r in got) == [("some", 100, 1000), ("words", 100, 1000)]
     assert (14, "segment") in calls
+
+
+def test_ranking_keeps_no_table_of_tokens_and_documents(spark):
+    docs = spark.createDataFrame([(i, "alpha beta alpha" if i % 2 else "beta", "alpha" if i == 4 else None) for i in range(8)], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "none")], "item_id long, text string")
+    out = S.idf_rank(docs, asked, {"text": 1.0, "source": 3.0}, 3)
+    idf = math.log(9 / 5) + 1
+    assert [(r["item_id"], r["doc_id"], r["score"], r["rank"]) for r in out.orderBy("rank").collect()] == [(1, 4, round(3 * idf, 6), 1), (1, 1, round(idf, 6), 2), (1, 3, round(idf, 6), 3)]
+    assert "hashpartitioning(tok" not in out._jdf.queryExecution().executedPlan().toString()
