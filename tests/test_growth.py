@@ -56,9 +56,9 @@ def test_records_of_the_same_text_are_searched_once(spark, monkeypatch):
 
 
 def test_a_text_is_collapsed_once_for_its_snippet(spark):
-    docs = spark.createDataFrame([(" a\t\n b  word  c ",), ("x" * 200 + "\n\nword",), (None,), ("  y",)], "text string")
+    docs = spark.createDataFrame([(" a\t\n b  word  c ",), ("x" * 200 + "\n\nword",), (None,), ("\u00a0 y",)], "text string")
     out = docs.select(T.snippet(F.col("text"), F.array(F.lit("none"), F.lit("word"))).alias("s"))
-    assert [r["s"] for r in out.collect()] == ["a b word c", "..." + "x" * 79 + " word", "", "  y"]
+    assert [r["s"] for r in out.collect()] == ["a b word c", "..." + "x" * 79 + " word", "", "\u00a0 y"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
 
 
