@@ -58,21 +58,41 @@ def readings(text: Column, base: Column) -> Column:
     units = "|".join(p.removeprefix("(?i)") for _, p in READING_UNITS)
     value = rf"(?i)(\d+(?:\.\d+)?)\s*({units})"
 
+    def says(c: Column, pattern: str) -> Column:
+        # Plain words need no regular expression.
+        plain = not set(pattern) & set("\\[](){}.*+?^$")
+        return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in pattern.split("|")]) if plain else c.rlike(pattern)
+
     def named(c: Column, rules: list, other) -> Column:
-        return F.coalesce(*[F.when(c.rlike(p), F.lit(n)) for n, p in rules], F.lit(other))
-
-    def reading(c: Column) -> Column:
-        unit = F.regexp_extract(c, value, 2)
-        raw = F.regexp_extract(c, value, 1).try_cast("double")
-        on = (F.to_date(base) - F.make_interval(days=named(c, DAYS_BACK, 0))).cast("date")
-        last = lambda i: F.try_element_at(F.regexp_extract_all(c, F.lit(TIME_OF_DAY), F.lit(i)), F.lit(-1))
-        period, hour, minute = F.coalesce(last(1), F.lit("")), last(2).try_cast("int"), F.coalesce(last(3).try_cast("int"), F.lit(0))
+        return F.coalesce(*[F.when(says(c, p), F.lit(n)) for n, p in rules], F.lit(other))
+
+    # A lambda computes what it names as often as it is named, so each step hands on what the next ones need more than once.
+    def found(c: Column) -> Column:
+        return F.struct(
+            c.alias("c"), F.regexp_extract(c, value, 1).try_cast("double").alias("raw"), F.regexp_extract(c, value, 2).rlike(READING_UNITS[0][1]).alias("mg"),
+            F.try_element_at(F.regexp_extract_all(c, F.lit(TIME_OF_DAY), F.lit(0)), F.lit(-1)).alias("time"),
+            F.date_sub(F.to_date(base), named(c, DAYS_BACK, 0)).alias("on"))
+
+    def timed(x: Column) -> Column:
+        part = lambda i: F.regexp_extract(x["time"], TIME_OF_DAY, i)
+        value = T.glucose_mmol(x["raw"], F.when(x["mg"], "mg/dl").otherwise("mmol"))
+        return F.struct(x.alias("x"), value.alias("value"), F.coalesce(part(1), F.lit("")).alias("period"), part(2).try_cast("int").alias("hour"), F.coalesce(part(3).try_cast("int"), F.lit(0)).alias("minute"))
+
+    def told(x: Column) -> Column:
+        period, hour = x["period"], x["hour"]
         hour = F.when(period.isin(AFTERNOON) & (hour < 12), hour + 12).when((period == "中午") & (hour < 11), hour + 12).otherwise(hour)
-        at = F.when((hour <= 23) & (minute <= 59), on.cast("timestamp_ntz") + F.make_interval(hours=hour, mins=minute))
-        return F.struct(named(c, READING_KINDS, "random").alias("kind"), named(c, MEAL_CONTEXTS, "").alias("meal"),
-                        T.glucose_mmol(raw, F.when(unit.rlike(READING_UNITS[0][1]), "mg/dl").otherwise("mmol")).alias("value"), on.alias("on"), at.alias("at"))
-
-    return F.filter(F.transform(F.split(text, "[,;，；。\n]"), reading), lambda r: r["value"].isNotNull())
+        return F.struct(x["x"].alias("x"), x["value"].alias("value"), hour.alias("hour"), x["minute"].alias("minute"))
+
+    def reading(y: Column) -> Column:
+        x, hour, minute = y["x"], y["hour"], y["minute"]
+        at = F.when((hour <= 23) & (minute <= 59), x["on"].cast("timestamp_ntz") + F.make_interval(hours=hour, mins=minute))
+        return F.struct(named(x["c"], READING_KINDS, "random").alias("kind"), named(x["c"], MEAL_CONTEXTS, "").alias("meal"),
+                        y["value"].alias("value"), x["on"].alias("on"), at.alias("at"))
+
+    clauses = F.filter(F.split(F.translate(text, ",;，；。", "\n" * 5), "\n"), lambda c: c.rlike(value))
+    for step in (found, timed, told, reading):
+        clauses = F.transform(clauses, step)
+    return F.filter(clauses, lambda r: r["value"].isNotNull())
 
 
 def bmi(weight_kg: Column, height_cm: Column) -> Column:
