@@ -123,14 +123,19 @@ def labelled_fields(text: Column, labels: dict[str, str]) -> Column:
 def ingredients(text: Column) -> Column:
     """(name, amount, unit) of each part that ends in an amount; parts are cut at commas, semicolons and brackets."""
     dried = F.replace(F.coalesce(text, F.lit("")), F.lit("【干】"), F.lit("干"))
-    parts = F.split(F.regexp_replace(dried, "[（）]", "，"), "[，,、；;]")
-    pattern = r"^(.+?)([0-9]+(?:\.[0-9]+)?)\s*(g|mL|ml|克|毫升|枚|片|个|次)"
+    amount, units = "[0-9]+(?:\\.[0-9]+)?", "g|mL|ml|克|毫升|枚|片|个|次"
+    # A lambda computes what it names as often as it is named, so the search for the name is done once for each part, and the
+    # amount is what stands behind it. What follows the unit is not read.
+    parts = F.transform(F.split(F.translate(dried, "（），、；;", "," * 6), ","), lambda x: F.ltrim(x, F.lit(" 。.")))
+    cut = F.transform(parts, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, rf"^(.+?){amount}\s*(?:{units})", 1).alias("head")))
+    rest = lambda p: F.substr(p["x"], F.length(p["head"]) + 1)
+    cut = F.transform(F.filter(cut, lambda p: p["head"] != ""), lambda p: F.struct(p["head"].alias("head"), rest(p).alias("rest")))
 
-    def made(x: Column) -> Column:
-        group = lambda i: F.regexp_extract(F.regexp_replace(x, "^[ 。.]+|[ 。.]+$", ""), pattern, i)
-        return F.struct(F.regexp_replace(F.trim(group(1)), r"^\*+|\*+$", "").alias("name"), group(2).try_cast("double").alias("amount"), group(3).alias("unit"))
+    def made(p: Column) -> Column:
+        group = lambda i: F.regexp_extract(p["rest"], rf"^({amount})\s*({units})", i)
+        return F.struct(F.regexp_replace(F.trim(p["head"]), r"^\*+|\*+$", "").alias("name"), group(1).try_cast("double").alias("amount"), group(2).alias("unit"))
 
-    return F.filter(F.transform(parts, made), lambda i: i["amount"].isNotNull() & ~i["name"].isin("", "主要材料", "材料"))
+    return F.filter(F.transform(cut, made), lambda i: i["amount"].isNotNull() & ~i["name"].isin("", "主要材料", "材料"))
 
 
 #: Names of meals, in the order they are looked for, and beginnings of lines of a plan that are no dishes.
@@ -154,8 +159,11 @@ def recipe_tree(plans: DataFrame, key: str, text: str, meals: list[str] = MEALS)
     s = s.withColumn("said", F.when(F.col("opened").isNull(), F.col("l")).otherwise(F.trim(F.substr("l", F.length("opened") + 1))))
     w = Window.partitionBy(key).orderBy("no")
     s = s.withColumn("meal_no", F.count("opened").over(w)).withColumn("meal", F.last("opened", ignorenulls=True).over(w))
-    is_dish = (F.col("said") != "") & (F.col("opened").isNotNull() | ~F.startswith("l", F.lit(PLAN_TOTAL)))
-    s = s.filter((F.col("meal_no") > 0) & is_dish).withColumn("dish_no", F.row_number().over(Window.partitionBy(key, "meal_no").orderBy("no")))
+    # Dishes are numbered by what their plan has had so far, less what it had before the meal: all windows share one sort.
+    s = s.withColumn("is_dish", (F.col("said") != "") & (F.col("opened").isNotNull() | ~F.startswith("l", F.lit(PLAN_TOTAL))))
+    s = s.withColumn("so_far", F.count_if("is_dish").over(w))
+    before = F.when(F.col("opened").isNotNull(), F.col("so_far") - F.col("is_dish").cast("int"))
+    s = s.withColumn("dish_no", (F.col("so_far") - F.last(before, ignorenulls=True).over(w)).cast("int")).filter("meal_no > 0 and is_dish")
     named = F.coalesce(F.nullif(F.trim(F.split_part("said", F.lit("（"), F.lit(1))), F.lit("")), F.substring("said", 1, 40))
     s = s.select(key, "meal_no", "meal", "dish_no", named.alias("dish"), F.posexplode_outer(ingredients(F.col("said"))).alias("ingredient_no", "i"))
     return s.select(key, "meal_no", "meal", "dish_no", "dish", "ingredient_no", "i.*")
