@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import records as P
 from tessera.plans.registry import query, table
+from tessera.sources.scratch import materialize, spread
 from tessera.streaming import streams as X
 
 DAYS = 8
@@ -15,12 +16,12 @@ def event_stream(spark, sf_dir):
     """Events in four drops of eight days each."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     drop = F.least(F.floor((F.dayofmonth("ts") - 1) / DAYS), F.lit(3))
-    return X.stream_of(spark, X.in_drops(e, drop, 4), e.schema)
+    return X.landed(e, drop, 4)
 
 
 def turn_stream(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    return X.stream_of(spark, X.in_drops(t, F.least(F.floor(F.col("turn") / 3), F.lit(2)), 3), t.schema)
+    return X.landed(t, F.least(F.floor(F.col("turn") / 3), F.lit(2)), 3)
 
 
 @query("x1_activity_stream", """
@@ -106,7 +107,7 @@ def late_stream(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     drop = F.least(F.floor((F.dayofmonth("ts") - 1) / DAYS), F.lit(3))
     every = e.withColumn("drop", drop.cast("int")).unionByName(e.filter(F.dayofmonth("ts") == 1).withColumn("drop", F.lit(4)))
-    return X.stream_of(spark, X.in_drops(every, F.col("drop"), 5), every.schema).drop("drop")
+    return X.landed(every, F.col("drop"), 5).drop("drop")
 
 
 @query("x8_late_rows_stream", """
@@ -130,7 +131,9 @@ def x8_progress(spark, sf_dir):
 
 @query("x9_sentences_stream")
 def x9(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("no", "fragment"), F.size(F.split("text", "(?<= )")).alias("n"))
+    t = spread(table(spark, sf_dir, "conversations").filter("role = 'assistant'")).select("conv_id", "turn", F.split("text", "(?<= )").alias("said"))
+    t = t.select("conv_id", "turn", F.size("said").alias("n"), F.posexplode("said").alias("no", "fragment"))
     t = t.select("conv_id", "turn", "no", "fragment", (F.col("no") == F.col("n") - 1).alias("last"))
-    s = X.stream_of(spark, X.in_drops(t, F.least(F.floor(F.col("no") / 40), F.lit(2)), 3), t.schema)
+    # Texts are split once, not for each drop.
+    s = X.landed(materialize(t, "fragments"), F.least(F.floor(F.col("no") / 40), F.lit(2)), 3)
     return X.drained(X.keyed(s, ["conv_id", "turn"], X.Sentences(), "conv_id long, turn long, sentence_no int, sentence string"), "sentences")

@@ -36,6 +36,17 @@ def in_drops(df: DataFrame, drop: Column, n: int, files: int = FILES) -> str:
     return path
 
 
+#: Rows of a file of a drop, about, where that makes more than FILES of them.
+FILE_ROWS = 200_000
+
+
+def landed(df: DataFrame, drop: Column, n: int) -> DataFrame:
+    """The stream of df's n drops, a batch each. Files are as many as the largest drop's rows need, so no writer grows with the rows."""
+    most = df.groupBy(drop.alias("drop")).count().agg(F.max("count")).first()[0] or 0
+    files = max(FILES, -(-most // FILE_ROWS))
+    return stream_of(df.sparkSession, in_drops(df, drop, n, files), df.schema, files)
+
+
 #: Parts of a stream's state for each core.
 STATE_PARTS = 2
 
@@ -183,28 +194,38 @@ def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, sche
 
 
 class _OfGroup(StatefulProcessor):
-    """A processor whose state is a table of its group's keys, kept as one value of arrays."""
+    """A processor whose state is a table of its group's keys, kept as one value: an Arrow stream, as values of many objects cost more than the rows."""
 
     #: Columns of the state and their types.
     KEPT: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("kept", ", ".join(f"{c} array<{t}>" for c, t in self.KEPT.items()))
+        self.state = handle.getValueState("kept", "rows binary")
 
     def kept(self) -> pd.DataFrame:
-        values = self.state.get() if self.state.exists() else [[] for _ in self.KEPT]
-        return pd.DataFrame({c: pd.Series(list(v), dtype=KINDS[t]) for (c, t), v in zip(self.KEPT.items(), values, strict=True)})
+        if not self.state.exists():
+            return pd.DataFrame({c: pd.Series([], dtype=KINDS[t]) for c, t in self.KEPT.items()})
+        return pa.ipc.open_stream(self.state.get()[0]).read_all().to_pandas()
+
+    def kept_rows(self) -> Iterator[tuple]:
+        kept = self.kept()
+        return zip(*[kept[c].tolist() for c in self.KEPT], strict=True)
 
     def keep(self, table: pd.DataFrame) -> None:
-        self.state.update(tuple([None if x is None or x != x else x for x in table[c].tolist()] for c in self.KEPT))
+        rows = pa.Table.from_pandas(table[list(self.KEPT)], pa.schema([(c, ARROW[t]) for c, t in self.KEPT.items()]), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        self.state.update((sink.getvalue().to_pybytes(),))
 
     def close(self) -> None:
         pass
 
 
-#: What a column of the state is in pandas.
-KINDS = {"string": object, "double": "float64", "int": "int64", "bigint": "int64"}
+#: What a column of the state is in pandas, and in Arrow.
+KINDS = {"string": object, "double": "float64", "int": "int64", "bigint": "int64", "array<bigint>": object}
+ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def _in_order(kept: pd.DataFrame, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -331,7 +352,7 @@ class Compaction(_OfGroup):
         self.trigger, self.most = trigger, keep
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = {k: (list(t), b) for k, t, b in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        state = {k: (list(t), b) for k, t, b in self.kept_rows()}
         out = []
         for name, of_key in _together(rows).sort_values("turn").groupby("state_key"):
             held, batches = state.get(name, ([], 0))
@@ -342,7 +363,7 @@ class Compaction(_OfGroup):
                     out.append((conv, batches, held[0], held[-self.most - 1]))
                     held, batches = held[-self.most :], batches + 1
             state[name] = held, batches
-        self.state.update((list(state), [t for t, _ in state.values()], [b for _, b in state.values()]))
+        self.keep(pd.DataFrame({"state_key": list(state), "turns": [t for t, _ in state.values()], "batches": [b for _, b in state.values()]}))
         yield pd.DataFrame(out, columns=["conv_id", "batch", "first_turn", "last_turn"])
 
 
@@ -354,24 +375,26 @@ class Sentences(_OfGroup):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         pause, stop = re.compile(f"[{self.PAUSE}]"), re.compile(f"[{self.STOP}]")
-        state = {k: (t, n) for k, t, n in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        state = {k: (t, n) for k, t, n in self.kept_rows()}
         out = []
-        new = _together(rows).sort_values("no")
-        # Fragments up to a last one are read as one text.
-        new["ends"] = new["last"].groupby(new["state_key"]).cumsum() - new["last"]
-        for (name, _), of_key in new.groupby(["state_key", "ends"], sort=False):
+        new = _together(rows).sort_values(["state_key", "no"], kind="stable", ignore_index=True)
+        # Fragments up to a last one are read as one text: they lie together now.
+        names, last, fragments = new["state_key"].tolist(), new["last"].to_numpy(bool), new["fragment"].tolist()
+        convs, turns = new["conv_id"].tolist(), new["turn"].tolist()
+        ends = np.flatnonzero(last | np.append(new["state_key"].to_numpy()[1:] != new["state_key"].to_numpy()[:-1], True)) + 1
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+            name, conv, turn = names[begin], convs[begin], turns[begin]
             held, emitted = state.get(name, ("", 0))
-            conv, turn = of_key["conv_id"].iloc[0], of_key["turn"].iloc[0]
-            text, at = held + "".join(of_key["fragment"]), 0
+            text, at = held + "".join(fragments[begin:end]), 0
             while mark := (stop if emitted else pause).search(text, at):
                 if said := text[at : mark.end()].strip():
                     out.append((conv, turn, emitted, said))
                     emitted += 1
                 at = mark.end()
             text = text[at:]
-            if of_key["last"].iloc[-1] and text.strip():
+            if last[end - 1] and text.strip():
                 out.append((conv, turn, emitted, text.strip()))
                 text, emitted = "", emitted + 1
             state[name] = text, emitted
-        self.state.update((list(state), [t for t, _ in state.values()], [n for _, n in state.values()]))
+        self.keep(pd.DataFrame({"state_key": list(state), "text": [t for t, _ in state.values()], "emitted": [n for _, n in state.values()]}))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "sentence_no", "sentence"])
